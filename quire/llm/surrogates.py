@@ -27,6 +27,8 @@ PATTERNS = (
     ("person", r"(?<![\p{L}])(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|господин|госпожа)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}(?![\p{L}])"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: A text without any of these has no entity; far cheaper than the patterns, it spares most texts from them.
+GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|M(?:rs?|s|iss|onsieur|adame|me)\.? |Herr|Frau|Señor|госп"
 FEMALE_TITLES = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|госпожа)\b"
 TITLE = r"^[\p{L}]+\.? "
 
@@ -222,7 +224,7 @@ def replace_pii(docs: DataFrame, key: str = "quire", text: str = "text", count:
     on the text alone, so texts that occur often are worked on once; repeated rows stay repeated, an empty table
     stays empty.
     """
-    row = docs.select(F.struct("*").alias("row"), F.col(text).alias("body")).withColumn("found", F.regexp_extract_all("body", F.lit(ANY), F.lit(0)))
+    row = docs.select(F.struct("*").alias("row"), F.col(text).alias("body")).withColumn("found", F.when(F.col("body").rlike(GATE), F.regexp_extract_all("body", F.lit(ANY), F.lit(0))))
     some = F.coalesce(F.size("found") > 0, F.lit(False))
     plain = row.where(~some).select("row", F.col("body"), F.lit(0).alias("n"))
     hit = row.where(some).select("row", "body", "found", F.sha2("body", 256).alias("h"))
