@@ -297,7 +297,7 @@ def drive_ids(spark, sf_dir):
     return u.select("page_id", files.is_drive(c).alias("is_drive"), files.is_drive_folder(c).alias("is_folder"), F.when(files.is_drive(c), files.drive_id(c)).alias("id"))
 
 
-@query(r"SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href=""/([^""]*)""', 1))) AS INTEGER) AS n_links, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '""', '&quot;'), '''', '&#x27;') AS title FROM pages".replace('""', '"'))
+@query(r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href="/([^"]*)"', 1))) AS INTEGER) AS n_links, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS title FROM pages""")
 def page_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)))).alias("n_links"), text.xml_escape(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
