@@ -78,6 +78,14 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs:
     return rows, cut(extra_cuts(rows, water_fill(ranked_weights(sizes, weights), max_epochs)))
 
 
+def beside(plan: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """The stored plan, keyed by k, for a join by source. A plan measured to be small is broadcast, so that texts of a
+    hot source stay where they are; beyond that Spark shuffles and splits the hot source."""
+    plan = plan.withColumnRenamed("key", "k")
+    told = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.col("k").cast("string"))), F.lit(0)).alias("chars")).first()
+    return F.broadcast(plan) if 64 * told.n + 4 * told.chars <= most_bytes else plan
+
+
 def repetitions(h: Column) -> Column:
     """How often a row comes, given its hash and its source's plan."""
     return F.col("times") + F.coalesce((h <= F.col("cut")).cast("long"), F.lit(0))
@@ -91,7 +99,7 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
     source without words has target 0. No row comes more than max_epochs times.
     """
     rows, plan = mix_plan(docs, **options)
-    plan = plan.withColumnRenamed("key", "k")
+    plan = beside(plan)
     return rows.join(plan, rows.key.eqNullSafe(plan.k)).select("doc_id", "size", "source_size", "target", (F.col("size") * repetitions(F.col("h"))).alias("taken"))
 
 
@@ -99,7 +107,7 @@ def mix(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", source: str
     """docs with each row as often as the mix takes it, all columns as they were."""
     _, plan = mix_plan(docs, seed=seed, doc_id=doc_id, source=source, **options)
     row = docs.select(F.struct("*").alias("row"), F.col(source).alias("key"), row_hash(seed, F.col(doc_id)).alias("h"))
-    plan = plan.withColumnRenamed("key", "k")
+    plan = beside(plan)
     times = row.join(plan, row.key.eqNullSafe(plan.k)).select("row", repetitions(F.col("h")).alias("times"))
     return times.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 

@@ -106,7 +106,7 @@ def split_row(entry: str) -> tuple[str, str]:
     return host, "/" + path
 
 
-def fit(blocked: str = BLOCKED, allowed: str = ALLOWED, rounds: int = 300, rate: float = 2.0, decay: float = 1e-3) -> UrlModel:
+def fit(blocked: str = BLOCKED, allowed: str = ALLOWED, rounds: int = 1500, rate: float = 4.0, decay: float = 2e-4) -> UrlModel:
     """Gradient descent with a quadratic penalty over the small labelled table; deterministic."""
     rows = [(split_row(e), 1.0) for e in blocked.split()] + [(split_row(e), 0.0) for e in allowed.split()]
     x = np.zeros((len(rows), BUCKETS), np.float32)
@@ -114,12 +114,15 @@ def fit(blocked: str = BLOCKED, allowed: str = ALLOWED, rounds: int = 300, rate:
         at = grams(host, path)
         x[i, at] = 1 / max(len(at), 1) ** 0.5
     y = np.array([v for _, v in rows], np.float32)
-    w, bias = np.zeros(BUCKETS, np.float32), 0.0
+    met = np.flatnonzero(x.any(0))
+    x, w, bias = x[:, met], np.zeros(len(met), np.float32), 0.0
     for _ in range(rounds):
         g = (1 / (1 + np.exp(-(x @ w + bias))) - y) / len(y)
         w -= rate * (x.T @ g + decay * w)
         bias -= rate * float(g.sum())
-    return UrlModel(bias, w)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[met] = w
+    return UrlModel(bias, weights)
 
 
 def judge(pages: DataFrame, model: UrlModel | None = None, rules=RULES, threshold: float = 0.5, page_id: str = "page_id", url: str = "url") -> DataFrame:
