@@ -29,6 +29,8 @@ CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("d
 #: A host shows a template from so many pages on; tokens in so many of its pages may belong to it; and a text found
 #: once in every page is part of the template, even within the article, from so many pages on.
 MIN_PAGES, MIN_SHARE, FIXED_PAGES = 3, 0.5, 10
+#: Templates measured to be at most so many bytes are broadcast; beyond that a host's pages go to so many tasks.
+MOST_BROADCAST, SALTS = 8 << 20, 64
 
 
 @dataclass
@@ -182,8 +184,9 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     occurs once in every page is the template's root; valid classes below it are its repeated parts.
     """
     tokens = cut(occurrence_vectors(pages))
+    shared = tokens.where(F.col("pages") >= MIN_PAGES * MIN_SHARE)  # a token of fewer pages is in no host's template
     hosts = tokens.where(~F.col("is_text")).groupBy("host").agg(F.max("pages").alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
-    often = tokens.join(hosts, "host").where(F.col("pages") >= MIN_SHARE * F.col("n_pages"))
+    often = shared.join(hosts, "host").where(F.col("pages") >= MIN_SHARE * F.col("n_pages"))
     classes = often.groupBy("host", "vector", "pages", "n_pages").agg(
         F.collect_list(F.struct("token", "parent", "is_text", "least", "most", "chars", "links")).alias("members"))
     tops = classes.select("host", "pages", "vector", "n_pages", F.explode("members").alias("m")).select("host", "pages", "vector", "n_pages", "m.*")
@@ -225,5 +228,11 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             text = slots(Outline.of(h), *known[host])
             yield i, u, text, len(text)
 
-    joined = p.join(templates, "host", "left").select("page_id", "url", "html", "host", "fixed", "linky")
+    size = templates.agg(F.coalesce(F.sum(F.length("host") * 4 + 64 + 8 * (F.size("fixed") + F.size("linky"))), F.lit(0)).alias("bytes")).first().bytes
+    if size <= MOST_BROADCAST:
+        joined = p.join(F.broadcast(templates), "host", "left")
+    else:  # the pages of a host of any size are dealt to SALTS tasks
+        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "host", "fixed", "linky")
     return arrow_map(joined, rows, "page_id long, url string, text string, n_chars long", pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]), chunk=64)
