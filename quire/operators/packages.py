@@ -133,7 +133,7 @@ def validate(archives: DataFrame) -> DataFrame:
     books = archives.select("book").join(shape, "book", "left")
     first = F.coalesce((F.col("first.name") == "mimetype") & F.col("first.stored") & (F.col("first.content") == F.encode(F.lit(MIMETYPE), "UTF-8")), F.lit(False))
     opf_path = F.regexp_extract(F.col("container").cast("string"), r'full-path="([^"]+)"', 1)
-    found = books.select("book", opf_path.alias("name")).join(members.select("book", "name", F.col("content").cast("string").alias("opf")), ["book", "name"])
+    found = books.select("book", opf_path.alias("name")).join(members.select("book", "name", F.make_valid_utf8(F.when(F.col("name").endswith(".opf"), F.col("content").cast("string"))).alias("opf")), ["book", "name"])
     well = found.withColumn("well", well_formed("opf"))
     docs = well.where("well").withColumn("root", F.regexp_extract("name", r"^(.*/)?[^/]*$", 1))
     ids, hrefs, props = (F.xpath("opf", F.lit(f"/package/manifest/item/@{a}")) for a in ("id", "href", "properties"))
