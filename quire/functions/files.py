@@ -60,13 +60,14 @@ def reader_for(path: Column) -> Column:
 
 
 def is_drive(url: Column) -> Column:
-    """An http(s) URL whose host is the drive's (or below it)."""
-    host = F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    return (host == DRIVE_HOST) | host.endswith("." + DRIVE_HOST)
+    """An http(s) URL whose host part ends with the drive's host."""
+    return F.regexp_extract(url, r"^(?i:https?)://([^/?#]*)", 1).endswith(DRIVE_HOST)
 
 
 def is_drive_folder(url: Column) -> Column:
-    return is_drive(url) & ~url.contains("/file/d/") & (url.contains("/folders/") | (url.rlike(r"[?&]id=") & ~url.contains("/uc?")))
+    """A drive link that names a folder, or has an id in its query without naming a file."""
+    by_id = url.rlike(r"\?(?:[^#]*&)?id=[^&#]") & ~url.contains("/file/d/")
+    return is_drive(url) & (url.contains("/folders/") | by_id)
 
 
 def drive_id(url: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import files, text
-from quire.operators import attempts, context, cost, lines, packages, pages
+from quire.operators import attempts, context, cost, lines, packages, pages, summaries
+from quire.sources import containers
+from quire.streaming import recognize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,7 +289,7 @@ def json_payload_extract(spark, sf_dir):
 
 
 @query(r"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://drive.google.com/file/d/F' || page_id || '/view' WHEN 1 THEN 'https://drive.google.com/drive/folders/D' || page_id WHEN 2 THEN 'https://drive.google.com/open?id=Q' || page_id WHEN 3 THEN 'https://drive.google.com/uc?id=U' || page_id ELSE url END AS url FROM pages)
-SELECT page_id, page_id % 5 < 4 AS is_drive, page_id % 5 IN (1, 2) AS is_folder, CASE WHEN page_id % 5 < 4 THEN coalesce(nullif(regexp_extract(url, '/file/d/([\w-]+)', 1), ''), nullif(regexp_extract(url, '/folders/([\w-]+)', 1), ''), nullif(regexp_extract(url, '[?&]id=([^&#]+)', 1), '')) END AS id FROM u""")
+SELECT page_id, page_id % 5 < 4 AS is_drive, page_id % 5 IN (1, 2, 3) AS is_folder, CASE WHEN page_id % 5 < 4 THEN coalesce(nullif(regexp_extract(url, '/file/d/([\w-]+)', 1), ''), nullif(regexp_extract(url, '/folders/([\w-]+)', 1), ''), nullif(regexp_extract(url, '[?&]id=([^&#]+)', 1), '')) END AS id FROM u""")
 def drive_ids(spark, sf_dir):
     n, k = F.col("page_id").cast("string"), F.col("page_id") % 5
     base = F.lit("https://drive.google.com/")
@@ -411,3 +413,129 @@ def magic_dims(spark, sf_dir):
     png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), w, h))
     p = table(spark, sf_dir, "part").select("p_partkey", png.alias("content"))
     return p.select("p_partkey", files.sniff(F.col("content")).alias("kind"), files.image_size(F.col("content")).alias("size")).select("p_partkey", "kind", "size.w", "size.h")
+
+
+#: Answers of a model about books, made from customers.
+ANSWER = """'Sure:' || chr(10) || '{"title": "' || CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_name END || '"' || CASE WHEN c_custkey % 2 = 0 THEN ', "author": "' || c_mktsegment || '"' ELSE '' END
+|| CASE WHEN c_custkey % 4 = 0 THEN ', "year": 1990' ELSE '' END || ', "pages_per_image": "' || CASE c_custkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN '2' ELSE '1' END || '", "lang": "' || CASE WHEN c_custkey % 5 = 0 THEN 'ja' ELSE 'vi' END
+|| '", "content_type": "' || CASE WHEN c_custkey % 7 = 0 THEN 'Verse' ELSE 'prose' END || '", "terminology": ["t' || CAST(c_custkey AS STRING) || '", ""]}'"""
+_Q = lambda s: s.replace("'", "''")
+
+
+@query(f"""SELECT c_custkey, '{context.HEAD}' || chr(10) || '{_Q(context.RULES[0])}' || chr(10) || '{_Q(context.RULES[1])}' || chr(10) || CASE WHEN c_custkey % 7 = 0 THEN '{_Q(context.VERSE_RULE)}' || chr(10) ELSE '' END
+  || 'Sách: ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' — ' || c_mktsegment ELSE '' END || CASE WHEN c_custkey % 4 = 0 THEN ' (1990)' ELSE '' END || chr(10) || '{context.PER_IMAGE}' || CASE WHEN c_custkey % 3 = 1 THEN '2' ELSE '1' END
+  || CASE WHEN c_custkey % 3 <> 1 THEN '' WHEN c_custkey % 5 = 0 THEN chr(10) || 'Double pages, right to left: 2 pages in each image, the right one first.' ELSE chr(10) || 'Double pages, left to right: 2 pages in each image, the left one first.' END
+  || chr(10) || '{context.TERMS}' || 't' || c_custkey AS block, CAST(2 AS INTEGER) AS n_terms FROM customer WHERE c_custkey % 11 <> 0""")
+def context_block(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", context.parse(F.expr(ANSWER)).alias("c")).where("c is not null")
+    return c.select("c_custkey", context.render(F.col("c")).alias("block"), F.size("c.terminology").alias("n_terms"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 AND p_size BETWEEN 1 AND 20 THEN p_size END AS cover, substr(CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE 'no answer ' || p_name END, 1, 200) AS reason FROM part")
+def cover_answers(spark, sf_dir):
+    answer = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit('{"cover_page": '), F.col("p_size").cast("string"), F.lit(', "reason": "'), "p_name", F.lit('"}'))).otherwise(F.concat(F.lit("no answer "), "p_name"))
+    p = table(spark, sf_dir, "part").select("p_partkey", answer.alias("a"))
+    return p.select("p_partkey", context.cover_page(F.col("a"), F.lit(20)).alias("cover"), context.safe_reason(F.col("a")).alias("reason"))
+
+
+@query("SELECT c_custkey, ['A', c_name, c_mktsegment] AS authors, to_base64(encode(repeat(c_name, 5))) AS encoded, 'HTTP # ' || substr(c_mktsegment, 1, 113) AS reason FROM customer")
+def text_fields(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    msg = F.concat(F.lit("HTTP 503 "), "c_mktsegment", F.lit("\nmore | body[:20]=x"))
+    return c.select("c_custkey", text.split_authors(F.concat(F.lit("A; "), "c_name", F.lit(", ,"), "c_mktsegment")).alias("authors"), text.plain_base64(F.encode(F.repeat("c_name", 5), "UTF-8")).alias("encoded"), attempts.dead_reason(msg).alias("reason"))
+
+
+PATHS = ("a/b.mobi", "x.AZW3", "c.cbz", "d.d/e.zip", "folder", "https://drive.google.com/file/d/x", "e.txt", "p.webp")
+
+
+@query(f"SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'mobi' WHEN 1 THEN 'mobi' WHEN 2 THEN 'archive' WHEN 3 THEN 'archive' WHEN 4 THEN 'folder' WHEN 5 THEN 'drive' END AS reader, CASE WHEN doc_id % 8 = 7 THEN 'image/webp' ELSE 'image/png' END AS mime, {list(PATHS)}[doc_id % 8 + 1] AS path FROM documents")
+def input_routes(spark, sf_dir):
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return d.select("doc_id", "path", files.reader_for(F.col("path")).alias("reader"), files.upload_mime(files.extension(F.col("path"))).alias("mime"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'F' || page_id WHEN 1 THEN 'L' || page_id END AS token, ['A' || page_id, 'B'] AS listed FROM pages")
+def drive_pages(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    form = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<input name="confirm" value="F'), n, F.lit('">'))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<a href="/uc?confirm=L'), n, F.lit('&amp;id=x">'))).otherwise("<p>")
+    links = F.concat(F.lit('<a href="/file/d/A'), n, F.lit('/view"><a href="/file/d/B/view"><a href="/file/d/A'), n, F.lit('/edit">'))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(form, links).alias("html"))
+    return p.select("page_id", files.confirm_token(F.col("html")).alias("token"), files.listed_files(F.col("html")).alias("listed"))
+
+
+@query("""SELECT event_id, '{"event":"' || event_type || '","user":' || user_id || CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"note":"' || event_type || '"' END || '}' AS line FROM events""")
+def event_lines(spark, sf_dir):
+    note = F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("note")
+    return table(spark, sf_dir, "events").select("event_id", summaries.event_line(F.col("event_type"), F.col("user_id").alias("user"), note).alias("line"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'done' ELSE 'page_ok' END AS k FROM events),
+l AS (SELECT user_id, max(event_id) FILTER (WHERE k = 'start') AS s, max(event_id) FILTER (WHERE k = 'done') AS d FROM e GROUP BY user_id)
+SELECT user_id, coalesce(d, 0) AS ok, CAST(0 AS BIGINT) AS blank, coalesce(d % 5, 0) AS fail, coalesce(s % 3, 0) AS skipped, coalesce(s, 0) AS total FROM l""")
+def run_summaries(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "done").otherwise("page_ok")
+    n = F.col("event_id")
+    payload = F.when(kind == "start", F.to_json(F.struct(n.alias("total"), (n % 3).alias("skipped")))).otherwise(F.to_json(F.struct(n.alias("ok"), (n % 5).alias("fail"))))
+    e = table(spark, sf_dir, "events").select("user_id", n.alias("seq"), kind.alias("event"), payload.alias("payload"))
+    return summaries.run_summary(e, ["user_id"]).drop("cost_usd")
+
+
+@query(f"""WITH {ATT_SQL}, o AS (SELECT user_id % 20 AS book, tokens_in, tokens_out, CASE WHEN msg IS NULL THEN 'ok' WHEN contains(msg, 'empty content') THEN 'blank' WHEN contains(msg, 'HTTP 400') THEN 'dead' ELSE 'fail' END AS o FROM att)
+SELECT book, count(*) FILTER (WHERE o = 'ok') AS ok, count(*) FILTER (WHERE o = 'fail') AS fail, count(*) FILTER (WHERE o = 'blank') AS blank, count(*) FILTER (WHERE o = 'dead') AS dead, count(*) AS total, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(count(*) FILTER (WHERE o IN ('fail', 'dead')) AS INTEGER) AS n_failures FROM o GROUP BY book""")
+def batch_summary(spark, sf_dir):
+    m = F.col("msg")
+    outcome = F.when(m.isNull(), "ok").when(m.contains("empty content"), "blank").when(m.contains("HTTP 400"), "dead").otherwise("fail")
+    a = attempt_rows(spark, sf_dir).withColumn("book", F.col("user_id") % 20).withColumn("page", F.col("event_id").cast("string")).withColumn("outcome", outcome)
+    return attempts.batch_summary(a).withColumn("n_failures", F.size("failures")).drop("failures")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey AND s.s_suppkey % 4 > 0)")
+def spine_integrity(spark, sf_dir):
+    refs = table(spark, sf_dir, "lineitem").select(F.lit("b").alias("book"), F.col("l_suppkey").cast("string").alias("idref"), "l_orderkey", "l_linenumber")
+    ids = table(spark, sf_dir, "supplier").where("s_suppkey % 4 > 0").select(F.lit("b").alias("book"), F.col("s_suppkey").cast("string").alias("id"))
+    return packages.dangling_idrefs(refs, ids).select("l_orderkey", "l_linenumber")
+
+
+def packaged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed-layout package for each brand, its parts being the page images."""
+    p = table(spark, sf_dir, "part").selectExpr(*SIZED)
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), *(F.lpad(F.hex(c), 8, "0") for c in ("w", "h")))
+    images = p.select("book", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("stem"), F.lit("png").alias("ext"), F.unhex(head).alias("content"))
+    none = F.lit(None).cast("string")
+    books = p.select("book").distinct().select("book", F.col("book").alias("title"), none.alias("author"), F.lit("ja").alias("lang"), F.lit("2024-01-01T00:00:00Z").alias("modified"), F.lit(True).alias("rtl"))
+    return packages.build_fixed_layout(images, books)
+
+
+@query("SELECT DISTINCT p_brand AS book, true AS valid, CAST(0 AS INTEGER) AS n_errors FROM part")
+def package_validation(spark, sf_dir):
+    return packages.validate(packaged_parts(spark, sf_dir)).select("book", "valid", F.size("errors").alias("n_errors"))
+
+
+@query(f"""WITH s AS (SELECT {', '.join(SIZED)} FROM part), f AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY p_partkey) AS n FROM s WHERE greatest(w, h) >= 400)
+SELECT book, 'OEBPS/img/page_' || lpad(CAST(n AS VARCHAR), 4, '0') || '.png' AS name, CAST(n AS INTEGER) AS page_no FROM f""")
+def packaged_images(spark, sf_dir):
+    return containers.archived_images(packaged_parts(spark, sf_dir), ["book"]).select("book", "name", "page_no")
+
+
+@query("SELECT p_partkey, CAST(1 AS INTEGER) AS record_no, CAST(1 AS INTEGER) AS page_no, 'png' AS ext, CAST(1208 AS INTEGER) AS n_bytes FROM part WHERE p_partkey % 2 = 0")
+def pdb_pages(spark, sf_dir):
+    """Containers of two records, a name and an image; every other image is too small to be a page."""
+    u32 = lambda c: F.concat(F.lpad(F.hex(c), 8, "0"), F.lit("0" * 8))
+    image = F.concat(F.lit("89504E470D0A1A0A"), F.when(F.col("p_partkey") % 2 == 0, F.repeat(F.lit("00"), 1200)).otherwise(F.repeat(F.lit("00"), 10)))
+    whole = F.concat(F.lit("00" * 76), F.lit("0002"), u32(F.lit(94)), u32(F.octet_length("p_name") + 94), F.hex("p_name"), image)
+    c = table(spark, sf_dir, "part").select("p_partkey", F.unhex(whole).alias("content"))
+    return containers.pdb_images(c, ["p_partkey"]).select("p_partkey", "record_no", "page_no", "ext", F.length("record").alias("n_bytes"))
+
+
+@query("SELECT doc_id, CAST(doc_id % 4 + 4 AS BIGINT) AS members FROM documents")
+def reflowable_members(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("book"), F.col("lang").alias("title"), F.repeat(F.lit("# Head\nbody\n"), (F.col("doc_id") % 4 + 1).cast("int")).alias("md"))
+    m = containers.zip_members(packages.build_reflowable(d), ["book"])
+    return m.where("crc_ok").groupBy(F.col("book").cast("long").alias("doc_id")).agg(F.count("*").alias("members"))
+
+
+@query("SELECT 'p' || doc_id AS stem, source AS book, 'stop' AS finish, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS tokens_in, coalesce(text, '') = '' AS blank FROM documents")
+def recognized_pages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("stem"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit("").alias("prompt"))
+    return recognize.recognize(d).select("stem", "book", "finish", "tokens_in", F.col("md").isNull().alias("blank"))
