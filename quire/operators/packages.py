@@ -126,31 +126,32 @@ def dangling_idrefs(spine_rows: DataFrame, manifest_rows: DataFrame) -> DataFram
 
 
 def validate(archives: DataFrame) -> DataFrame:
-    """book, valid, errors: the seven gates of a package. archives: book, content."""
-    members = zip_members(archives, keys=["book"]).cache()
-    err = lambda df, msg: df.select("book", msg.alias("error"))
-    shape = members.groupBy("book").agg(F.min_by(F.struct("name", "stored", "content"), "pos").alias("first"), F.bool_and("crc_ok").alias("crc"), F.max(F.when(F.col("name") == CONTAINER_PATH, F.col("content"))).alias("container"))
-    books = archives.select("book").join(shape, "book", "left")
+    """book, valid, errors (sorted): the seven gates of a package. archives: book, content.
+
+    A package's members meet once, in one aggregation; all gates are expressions on the arrays of its row. What is no
+    zip, null included, fails for want of members.
+    """
+    members = zip_members(archives, keys=["book"])
+    is_opf = F.col("name").endswith(".opf")
+    shape = members.groupBy("book").agg(
+        F.min_by(F.struct("name", "stored", F.when(F.col("name") == "mimetype", F.col("content")).alias("content")), "pos").alias("first"), F.bool_and("crc_ok").alias("crc"),
+        F.max(F.when(F.col("name") == CONTAINER_PATH, F.col("content"))).alias("container"), F.collect_set("name").alias("names"),
+        F.collect_list(F.when(is_opf, F.struct("name", "content"))).alias("opfs"))
+    b = archives.select("book").join(shape, "book", "left")
+    b = b.withColumn("path", F.nullif(F.regexp_extract(F.make_valid_utf8(F.col("container").cast("string")), r'full-path="([^"]+)"', 1), F.lit("")))
+    b = b.withColumn("opf", F.make_valid_utf8(F.get(F.filter("opfs", lambda o: o["name"] == F.col("path")), F.lit(0))["content"].cast("string")))
+    b = b.withColumn("well", well_formed("opf")).withColumn("opf", F.when(F.col("well"), F.col("opf"))).withColumn("root", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1))
+    each = lambda path: F.coalesce(F.xpath("opf", F.lit(path)), F.array().cast("array<string>"))
+    hrefs = F.transform(each("/package/manifest/item/@href"), lambda h: F.concat("root", h))
+    missing = F.transform(F.array_except(hrefs, "names"), lambda n: F.concat(F.lit("missing: "), n))
+    unknown = F.transform(F.array_except(each("/package/spine/itemref/@idref"), each("/package/manifest/item/@id")), lambda i: F.concat(F.lit("unknown idref: "), i))
     first = F.coalesce((F.col("first.name") == "mimetype") & F.col("first.stored") & (F.col("first.content") == F.encode(F.lit(MIMETYPE), "UTF-8")), F.lit(False))
-    opf_path = F.regexp_extract(F.col("container").cast("string"), r'full-path="([^"]+)"', 1)
-    found = books.select("book", opf_path.alias("name")).join(members.select("book", "name", F.make_valid_utf8(F.when(F.col("name").endswith(".opf"), F.col("content").cast("string"))).alias("opf")), ["book", "name"])
-    well = found.withColumn("well", well_formed("opf"))
-    docs = well.where("well").withColumn("root", F.regexp_extract("name", r"^(.*/)?[^/]*$", 1))
-    ids, hrefs, props = (F.xpath("opf", F.lit(f"/package/manifest/item/@{a}")) for a in ("id", "href", "properties"))
-    items = docs.select("book", "root", F.explode(F.arrays_zip(ids.alias("id"), hrefs.alias("href"))).alias("i")).select("book", "i.id", F.concat("root", "i.href").alias("name"))
-    refs = docs.select("book", F.explode(F.xpath("opf", F.lit("/package/spine/itemref/@idref"))).alias("idref"))
-    errors = [
-        err(books.where(~first), F.lit("mimetype is not the first, stored member")), err(books.where(~F.coalesce("crc", F.lit(False))), F.lit("a member is damaged")),
-        err(books.where(F.coalesce(opf_path, F.lit("")) == ""), F.lit("no package document named")), err(well.where(~F.col("well")), F.lit("the package document is not well-formed")),
-        err(items.join(members.select("book", "name"), ["book", "name"], "left_anti"), F.concat(F.lit("missing: "), "name")), err(refs.join(items.select("book", F.col("id").alias("idref")), ["book", "idref"], "left_anti"), F.concat(F.lit("unknown idref: "), "idref")),
-        err(docs.where(~F.array_contains(props, "cover-image")), F.lit("no cover image")),
-    ]
-    told = errors[0]
-    for e in errors[1:]:
-        told = told.union(e)
-    listed = told.groupBy("book").agg(F.array_sort(F.collect_list("error")).alias("errors"))
-    out = archives.select("book").join(listed, "book", "left")
-    return out.select("book", F.col("errors").isNull().alias("valid"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    told = F.array(
+        F.when(~first, "mimetype is not the first, stored member"), F.when(~F.coalesce("crc", F.lit(False)), "a member is damaged"),
+        F.when(F.col("path").isNull(), "no package document named").when(~F.array_contains("names", F.col("path")), "the package document is missing").when(~F.col("well"), "the package document is not well-formed"),
+        F.when(F.col("well") & ~F.array_contains(F.flatten(F.transform(each("/package/manifest/item/@properties"), lambda p: F.split(p, r"\s+"))), "cover-image"), "no cover image"))
+    errors = F.array_sort(F.concat(F.array_compact(told), F.coalesce(missing, F.array().cast("array<string>")), unknown))
+    return b.select("book", errors.alias("errors")).select("book", (F.size("errors") == 0).alias("valid"), "errors")
 
 
 @F.pandas_udf(T.BooleanType())

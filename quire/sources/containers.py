@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quire.functions import files
 
 MIN_RECORD = 1000
+#: Members that a task hands on together.
+MEMBERS_AT_ONCE = 64
 
 
 def scan_images(spark: SparkSession, folder: str, patterns: str = "*.png,*.jpg,*.jpeg,*.heic,*.heif") -> DataFrame:
@@ -29,6 +31,7 @@ def zip_members(archives: DataFrame, keys: list[str], content: str = "content")
     kinds = ", ".join(f"`{k}` {archives.schema[k].dataType.simpleString()}" for k in keys)
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
         for part in parts:
             for row in part.itertuples(index=False):
                 key = {k: getattr(row, k) for k in keys}
@@ -43,7 +46,12 @@ def zip_members(archives: DataFrame, keys: list[str], content: str = "content")
                         data, ok = z.read(info), True
                     except (zipfile.BadZipFile, zlib.error, EOFError):
                         data, ok = b"", False
-                    yield pd.DataFrame([key | {"pos": pos, "name": info.filename, "stored": info.compress_type == zipfile.ZIP_STORED, "crc_ok": ok, "content": data}])
+                    held.append(key | {"pos": pos, "name": info.filename, "stored": info.compress_type == zipfile.ZIP_STORED, "crc_ok": ok, "content": data})
+                    if len(held) == MEMBERS_AT_ONCE:
+                        yield pd.DataFrame(held)
+                        held = []
+        if held:
+            yield pd.DataFrame(held)
 
     return archives.select(*keys, content).mapInPandas(unpack, f"{kinds}, pos int, name string, stored boolean, crc_ok boolean, content binary")
 

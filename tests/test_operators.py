@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import files, text
-from quire.operators import attempts, context, cost, lines, packages, pages
-from quire.sources import containers
+from quire.operators import attempts, context, cost, lines, packages, pages, summaries
+from quire.sources import containers, convert
 from quire.streaming import recognize
 
 
@@ -139,3 +139,33 @@ def test_sample_sizes(spark):
         df = spark.range(n).withColumn("b", F.lit(1))
         got = sorted(r.id for r in pages.context_sample(df, "b", [F.col("id")]).collect())
         assert len(got) == want and (n != 152 or got[7] == 74)
+
+
+def test_conversions_take_the_first_backend_that_works(spark):
+    def broken(data, *_):
+        raise ValueError("no such program")
+
+    df = spark.createDataFrame([("a", "HEIC", bytearray(b"x")), ("b", "png", bytearray(b"y")), ("c", "heif", None)], "stem string, ext string, content binary")
+    got = {r.stem: (r.ext, r.content and bytes(r.content), r.error) for r in convert.heic_to_jpg(df, [broken, lambda b: b + b"!"]).collect()}
+    assert got == {"a": ("jpg", b"x!", None), "b": ("png", b"y", None), "c": ("jpg", None, "no content")}
+    assert "no such program" in convert.heic_to_jpg(df.where("stem = 'a'"), [broken]).first().error
+    pdfs = spark.createDataFrame([("a", bytearray(b"12")), ("b", None)], "book string, content binary")
+    split = lambda data, dpi: [bytes([c]) for c in data]
+    assert [(r.page_no, bytes(r.content)) for r in convert.pdf_pages(pdfs, ["book"], backends=[split]).orderBy("page_no").collect()] == [(1, b"1"), (2, b"2")]
+    assert {r.error for r in convert.pdf_pages(pdfs, ["book"], backends=[broken]).collect()} == {"broken: no such program"}
+    rar = convert.rar_images(pdfs.where("book = 'a'"), ["book"], lambda b: [("p10.png", b), ("p9.png", b), ("x.txt", b)])
+    assert [r.name for r in rar.orderBy("page_no").collect()] == ["p9.png", "p10.png"]
+
+
+def test_summary(spark):
+    df = spark.createDataFrame([("r", 1, "start", '{"total": 5, "skipped": 2}'), ("r", 2, "page_ok", "{}"), ("r", 3, "done", '{"ok": 3, "cost_usd": 0.0123456}'), ("q", 1, "page_ok", None)], "run string, seq long, event string, payload string")
+    got = {r.run: (r.ok, r.blank, r.fail, r.skipped, r.total, str(r.cost_usd)) for r in summaries.run_summary(df, ["run"]).collect()}
+    assert got == {"r": (3, 0, 0, 2, 5, "0.012346"), "q": (0, 0, 0, 0, 0, "0.000000")}
+    s = spark.range(1).select(summaries.summary_json(F.lit("ocr"), F.lit("ok"), F.struct(F.lit(1).alias("ok")), F.lit(0.12345), md=F.lit("a.md"), epub=F.lit(None).cast("string")).alias("s")).first().s
+    assert s == '{"status":"ok","stage":"ocr","pages":{"ok":1},"cost_usd":0.1235,"paths":{"md":"a.md"}}'
+
+
+def test_drive_links(spark):
+    urls = {"https://drive.google.com/uc?id=a": (True, True), "https://drive.google.com/file/d/a?id=b": (True, False), "https://drive.google.com/open?x=1&id=a": (True, True), "https://drive.google.com/open?id=": (True, False), "ftp://drive.google.com/folders/a": (False, False), "http://x.org/?u=drive.google.com/folders/a": (False, False)}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: (r.d, r.f) for r in df.select("u", files.is_drive(F.col("u")).alias("d"), files.is_drive_folder(F.col("u")).alias("f")).collect()} == urls
