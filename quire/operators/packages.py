@@ -129,15 +129,14 @@ def validate(archives: DataFrame) -> DataFrame:
     """book, valid, errors (sorted): the seven gates of a package. archives: book, content.
 
     A package's members meet once, in one aggregation; all gates are expressions on the arrays of its row. What is no
-    zip, null included, fails for want of members.
+    zip, null included, fails for want of members. Archives of one book are judged together.
     """
-    members = zip_members(archives, keys=["book"])
+    members = zip_members(archives, keys=["book"], mark_empty=True)
     is_opf = F.col("name").endswith(".opf")
-    shape = members.groupBy("book").agg(
+    b = members.groupBy("book").agg(
         F.min_by(F.struct("name", "stored", F.when(F.col("name") == "mimetype", F.col("content")).alias("content")), "pos").alias("first"), F.bool_and("crc_ok").alias("crc"),
         F.max(F.when(F.col("name") == CONTAINER_PATH, F.col("content"))).alias("container"), F.collect_set("name").alias("names"),
         F.collect_list(F.when(is_opf, F.struct("name", "content"))).alias("opfs"))
-    b = archives.select("book").join(shape, "book", "left")
     b = b.withColumn("path", F.nullif(F.regexp_extract(F.make_valid_utf8(F.col("container").cast("string")), r'full-path="([^"]+)"', 1), F.lit("")))
     b = b.withColumn("opf", F.make_valid_utf8(F.get(F.filter("opfs", lambda o: o["name"] == F.col("path")), F.lit(0))["content"].cast("string")))
     b = b.withColumn("well", well_formed("opf")).withColumn("opf", F.when(F.col("well"), F.col("opf"))).withColumn("root", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1))

@@ -406,7 +406,7 @@ def scan_names(spark, sf_dir):
     return d.select("doc_id", files.media_type(e).alias("media"), (e.isin(*files.IMPORT_EXTS) & ~files.is_sidecar(F.col("name"))).alias("taken"))
 
 
-@query()
+@query("SELECT p_partkey, 'png' AS kind, CAST(p_size + 100 AS INTEGER) AS w, CAST(p_size + 700 AS INTEGER) AS h FROM part")
 def magic_dims(spark, sf_dir):
     """Headers made from part sizes: type, width and height of each."""
     w, h = (F.lpad(F.hex(F.col("p_size") + F.lit(n)), 8, "0") for n in (100, 700))

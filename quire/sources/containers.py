@@ -26,8 +26,9 @@ def scan_images(spark: SparkSession, folder: str, patterns: str = "*.png,*.jpg,*
     return found.select("path", name.alias("name"), files.stem(name).alias("stem"), files.extension(name).alias("ext"), F.col("length").alias("size"), "content").where(~files.is_sidecar(F.col("name")))
 
 
-def zip_members(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """A row for each member: keys, pos, name, stored, crc_ok, content. What is no zip has no rows."""
+def zip_members(archives: DataFrame, keys: list[str], content: str = "content", mark_empty: bool = False) -> DataFrame:
+    """A row for each member: keys, pos, name, stored, crc_ok, content. What is no zip has no rows or, with mark_empty,
+    like a zip without members one row of nulls."""
     kinds = ", ".join(f"`{k}` {archives.schema[k].dataType.simpleString()}" for k in keys)
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,11 +38,12 @@ def zip_members(archives: DataFrame, keys: list[str], content: str = "content")
                 key = {k: getattr(row, k) for k in keys}
                 try:
                     z = zipfile.ZipFile(io.BytesIO(getattr(row, content) or b""))
+                    listed = [(pos, info) for pos, info in enumerate(z.infolist()) if not info.is_dir()]
                 except zipfile.BadZipFile:
-                    continue
-                for pos, info in enumerate(z.infolist()):
-                    if info.is_dir():
-                        continue
+                    listed = []
+                if mark_empty and not listed:
+                    yield pd.DataFrame([key | {"pos": None, "name": None, "stored": None, "crc_ok": None, "content": None}])
+                for pos, info in listed:
                     try:
                         data, ok = z.read(info), True
                     except (zipfile.BadZipFile, zlib.error, EOFError):
