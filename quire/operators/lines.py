@@ -11,7 +11,7 @@ from quire.functions import text
 def explode_lines(pages: DataFrame, md: str = "md") -> DataFrame:
     """A row for each line of each page (ends trimmed first, so none ends in an empty line); blank pages have none."""
     p = pages.withColumn(md, text.trimmed(F.col(md))).where(F.col(md) != "")
-    return p.select(*(c for c in p.columns if c != md), F.posexplode(F.split(md, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]")).alias("line_no", "line"))
+    return p.select(*(c for c in p.columns if c != md), F.posexplode(F.split(md, text.SEPARATORS)).alias("line_no", "line"))
 
 
 def strip_outer_fence(lines: DataFrame, page: list[str]) -> DataFrame:
@@ -31,10 +31,16 @@ def with_fences(lines: DataFrame, page: list[str]) -> DataFrame:
     return fenced.withColumn("in_fence", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)) % 2 == 1)
 
 
-def page_notes(fenced: DataFrame, page: list[str]) -> DataFrame:
-    """The largest note number of each page outside fences, 0 if none."""
-    n = F.when(~F.col("is_fence") & ~F.col("in_fence"), F.array_max(text.note_numbers(F.col("line"))))
-    return fenced.groupBy(*page).agg(F.coalesce(F.max(n), F.lit(0)).alias("max_note"))
+def page_notes(pages: DataFrame, page: list[str], md: str = "md") -> DataFrame:
+    """The largest note number of each page outside fences, 0 if none; pages of which no line is left have no row.
+
+    Read off each page's text as a whole: no lines are made, and only keys and numbers are shuffled.
+    """
+    body = F.when(F.col(md).contains("```"), text.unwrapped(F.col(md))).otherwise(F.nullif(text.trimmed(F.col(md)), F.lit("")))
+    plain = F.when(F.col("body_").contains("```"), text.unfenced(F.col("body_"))).otherwise(F.col("body_"))
+    most = F.coalesce(F.when(F.col("body_").contains("[^"), F.array_max(text.note_numbers(plain))), F.when(F.col("body_").isNotNull(), 0))
+    each = pages.select(*page, body.alias("body_")).select(*page, most.alias("n_"))
+    return each.groupBy(*page).agg(F.max("n_").alias("max_note")).where(F.col("max_note").isNotNull())
 
 
 def note_offsets(notes: DataFrame, book: str = "book", stem: str = "stem") -> DataFrame:
@@ -91,7 +97,7 @@ def cleaned_lines(pages: DataFrame, book: str = "book", stem: str = "stem", md:
     """The merge of a book up to its joined text: (lines, note offsets of each page)."""
     page = [book, stem]
     fenced = with_fences(strip_outer_fence(explode_lines(pages, md), page), page)
-    offsets = note_offsets(page_notes(fenced, page), book, stem)
+    offsets = note_offsets(page_notes(pages, page, md), book, stem)
     return rewrite_rules(with_fences(upgrade_headings(renumber(fenced, offsets, page)).drop("is_fence", "in_fence"), page)), offsets
 
 

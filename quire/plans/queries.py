@@ -90,13 +90,13 @@ def book_merge_stats(spark, sf_dir):
 
 @query(f"WITH {PAGES_SQL}, {LINES_SQL}, {NOTES_SQL} SELECT * FROM offsets_")
 def footnote_offsets(spark, sf_dir):
-    return lines.note_offsets(lines.page_notes(fenced_lines(spark, sf_dir), PAGE))
+    return lines.note_offsets(lines.page_notes(marked_pages(spark, sf_dir), PAGE))
 
 
 @query(f"{ALL_SQL} SELECT book, stem, CAST(line_no AS INTEGER) AS line_no, line FROM moved_")
 def footnote_rewrite(spark, sf_dir):
     fenced = fenced_lines(spark, sf_dir)
-    return lines.renumber(fenced, lines.note_offsets(lines.page_notes(fenced, PAGE)), PAGE).select(*PAGE, "line_no", "line")
+    return lines.renumber(fenced, lines.note_offsets(lines.page_notes(marked_pages(spark, sf_dir), PAGE)), PAGE).select(*PAGE, "line_no", "line")
 
 
 @query(f"WITH {PAGES_SQL}, {LINES_SQL} SELECT book, stem, count(*) AS n_lines, count(*) FILTER (WHERE is_fence) AS fences, count(*) FILTER (WHERE in_fence) AS inside FROM fence_ GROUP BY book, stem")

@@ -1,6 +1,7 @@
 """Operators on small fixtures: containers, packages, contexts, attempts, recognition."""
 
 import io
+import random
 import struct
 import zipfile
 
@@ -169,3 +170,18 @@ def test_drive_links(spark):
     urls = {"https://drive.google.com/uc?id=a": (True, True), "https://drive.google.com/file/d/a?id=b": (True, False), "https://drive.google.com/open?x=1&id=a": (True, True), "https://drive.google.com/open?id=": (True, False), "ftp://drive.google.com/folders/a": (False, False), "http://x.org/?u=drive.google.com/folders/a": (False, False)}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r.u: (r.d, r.f) for r in df.select("u", files.is_drive(F.col("u")).alias("d"), files.is_drive_folder(F.col("u")).alias("f")).collect()} == urls
+
+
+def test_notes_of_whole_texts_are_those_of_the_lines(spark):
+    r = random.Random(1)
+    bits = ["```", "```md", "```markdown  ", "``` x", "a[^3] b", "[^12]", "", "x", "[^7]", "```\t", "````"]
+    texts = ["".join(r.choice(bits) + r.choice(["\n", "\r\n", "\r", "\x0b", " "]) for _ in range(r.randint(0, 7))) for _ in range(1500)]
+    texts += [None, "[^5] long\n" + "word\n" * 200_000 + "```\n[^6]", "```\n" + "word [^2]\n" * 200_000 + "```\ntail [^9]"]
+    page = ["book", "stem"]
+    df = spark.createDataFrame([("b", f"p{i}", t) for i, t in enumerate(texts)], "book string, stem string, md string")
+    fenced = lines.with_fences(lines.strip_outer_fence(lines.explode_lines(df), page), page)
+    number = F.when(~F.col("is_fence") & ~F.col("in_fence"), F.array_max(text.note_numbers(F.col("line"))))
+    want = fenced.groupBy(*page).agg(F.coalesce(F.max(number), F.lit(0)).alias("max_note"))
+    got = {r.stem: r.max_note for r in lines.page_notes(df, page).collect()}
+    assert got == {r.stem: r.max_note for r in want.collect()}
+    assert (got["p1501"], got["p1502"]) == (5, 2)
