@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import mixing, packing, quality_fm, simhash, surrogates
-from quire.llm.common import cut, table
+from quire.llm.common import remove_dir, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what each keeps is stored in the shared folder before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
-    return docs
+    """All stages over the documents. What each keeps is written as Parquet to the shared folder and read back by the
+    next one, so lineage ends there and later stages read only the columns they need; it is removed once the next is
+    written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last:
+            remove_dir(last)
+        last = path
+    return STAGES[-1][1](spark, docs, sf_dir)

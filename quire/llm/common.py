@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet to a new folder of the shared one and read back, and that folder."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_dir(path: str) -> None:
+    """Removes a folder of the shared one if it is there."""
+    store, folder = fs.FileSystem.from_uri(path)
+    if store.get_file_info(folder).type == fs.FileType.Directory:
+        store.delete_dir(folder)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(c, UPPER, LOWER)

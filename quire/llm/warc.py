@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, shared_dir
+from quire.llm.common import arrow_map, cut, remove_dir, shared_dir
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -189,7 +189,5 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, **columns) -> DataFrame:
     out = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(pages, out, min_bytes, **columns)
     captures = cut(assemble(cut(read_archives(manifest, out, with_payload=False))).select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to.page_id").alias("refers_to")))
-    store, folder = fs.FileSystem.from_uri(out)
-    if store.get_file_info(folder).type == fs.FileType.Directory:
-        store.delete_dir(folder)
+    remove_dir(out)
     return captures
