@@ -29,6 +29,9 @@ CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("d
 #: A host shows a template from so many pages on; tokens in so many of its pages may belong to it; and a text found
 #: once in every page is part of the template, even within the article, from so many pages on.
 MIN_PAGES, MIN_SHARE, FIXED_PAGES = 3, 0.5, 10
+#: Where such texts make up this share of a page's article or more, the host's pages are copies of one article, not
+#: articles in one template, and the texts stay.
+COPY_SHARE = 0.5
 #: Templates measured to be at most so many bytes are broadcast; beyond that a host's pages go to so many tasks.
 MOST_BROADCAST, SALTS = 8 << 20, 64
 
@@ -201,8 +204,14 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
 
 
 def slots(page: Outline, fixed: frozenset[int] = frozenset(), linky: frozenset[int] = frozenset()) -> str:
-    """The text of the slots that the template leaves: all blocks of the article, or of the page if it marks none."""
-    kept = [b for b in page.blocks if (b.article or not page.has_article) and token(b.path, b.text) not in fixed]
+    """The text of the slots that the template leaves: all blocks of the article, or of the page if it marks none.
+
+    Template texts stay where they are COPY_SHARE of its characters or more: there the pages repeat one article.
+    """
+    inside = [b for b in page.blocks if b.article or not page.has_article]
+    kept = [b for b in inside if token(b.path, b.text) not in fixed] if fixed else inside
+    if sum(len(b.text) for b in kept) <= (1 - COPY_SHARE) * sum(len(b.text) for b in inside):
+        kept = inside
     if not page.has_article:
         kept = [b for b in kept if token(b.path) not in linky]
     return "\n".join(b.text for b in kept)

@@ -192,6 +192,15 @@ def test_template_text(spark):
     assert [g[1] for g in got[-3:]] == ["", "", "plain <b> text"] and all(len(g[1]) == g[2] for g in got)
 
 
+def test_pages_that_repeat_one_article(spark):
+    same = "<nav>Menu</nav><article><h1>One story</h1><p>It is told on every page.<p>{}</article>"
+    rows = [(i, f"http://copies.org/{i}", same.format("No" if i % 2 else "Yes")) for i in range(30)]
+    rows += [(100 + i, f"http://exact.org/{i}", same.format("End")) for i in range(30)]
+    got = {r.page_id: r.text for r in templates.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    tail = lambda i: "End" if i >= 100 else "No" if i % 2 else "Yes"
+    assert got == {i: f"One story\nIt is told on every page.\n{tail(i)}" for i, *_ in rows}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 16))
