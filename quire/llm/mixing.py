@@ -48,7 +48,8 @@ def extra_cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (key, source_size, target) -> (key, source_size, target, times, cut).
 
     times is the number of whole repetitions; the rows with a hash up to `cut` (none if null) come once more, which
-    brings the source within half a row of its target. Rows are summed by bucket of the hash, the bucket in which the
+    brings the source within half a row of its target; a source that whole repetitions fill has no cut, so that not even
+    its empty rows come once more. Rows are summed by bucket of the hash, the bucket in which the
     target falls is found from those sums, and only that bucket's rows (one in 4096) are ordered.
     """
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -68,7 +69,7 @@ def extra_cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     inner = taken.groupBy("key").agg(F.max("h").alias("inner")).withColumnRenamed("key", "k")
     out = need.join(inner, need.key.eqNullSafe(inner.k), "left")
     whole_buckets = F.when(F.col("bucket").isNotNull(), F.shiftleft("bucket", shift) - 1)
-    return out.select("key", "source_size", "target", "times", F.coalesce("inner", whole_buckets).alias("cut"))
+    return out.select("key", "source_size", "target", "times", F.when(F.col("need") > 0, F.coalesce("inner", whole_buckets)).alias("cut"))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:

@@ -89,6 +89,9 @@ def test_mixing(spark):
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     assert mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r.taken for r in rows)
+    small = documents(spark, [(i, "a b" if i % 3 else "") for i in range(30)] + [(100 + i, "w " * 50) for i in range(40)], ["a"] * 30 + ["b"] * 40)
+    often = {(r.source, r.doc_id): r["count"] for r in mixing.mix(small).groupBy("source", "doc_id").count().collect()}
+    assert {n for (s, _), n in often.items() if s == "a"} == {3} and max(often.values()) <= 3  # empty rows too
     assert mixing.mix_sizes(documents(spark, [])).collect() == [] and mixing.mix(documents(spark, [])).collect() == []
 
 
