@@ -54,6 +54,23 @@ def remove_dir(path: str) -> None:
         store.delete_dir(folder)
 
 
+#: Fewer keys than this can each have over 1/HOT_KEYS of all rows.
+HOT_KEYS = 20_000
+
+
+def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], least: int = 64) -> DataFrame:
+    """rows joined with told, which has one row for each key (none null) and in `n` about how many of rows have it.
+
+    The keys that over 1/HOT_KEYS of all rows (and over `least`) have are fewer than HOT_KEYS whatever the input, so
+    these are broadcast and their rows stay where they are; the others are shuffled, none of them a hot one. Both
+    tables are read twice and should be stored.
+    """
+    total = told.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    is_hot = F.col("n") > max(total // HOT_KEYS, least)
+    hot, rest = F.broadcast(told.where(is_hot).drop("n")), told.where(~is_hot).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(told.where(is_hot).select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(c, UPPER, LOWER)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, words_of
+from quire.llm.common import arrow_map, cut, join_counted, words_of
 from quire.llm.graph import connected_components, star_roots
 
 BITS, SEED = 64, 42
@@ -135,12 +135,12 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows stay repeated; an empty table gives none. Other columns are not read.
     """
     prints = cut(fingerprints(docs, doc_id, text, width))
-    named = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    named = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = cut(connected_components(fingerprint_links(named.select("fp"), radius, max_tree), "a", "b").withColumnRenamed("node", "fp"))
-    least = roots.join(named, "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = roots.join(least, "root").select("fp", "least_id")
-    names = named.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = cut(roots.join(named.select("fp", "first_id"), "fp").groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n")))
+    linked = join_counted(roots, least, ["root"]).select("fp", "least_id")
+    names = cut(named.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), "n"))
+    return join_counted(prints, names, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
