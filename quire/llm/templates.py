@@ -189,18 +189,18 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     tokens = cut(occurrence_vectors(pages))
     shared = tokens.where(F.col("pages") >= MIN_PAGES * MIN_SHARE)  # a token of fewer pages is in no host's template
     hosts = tokens.where(~F.col("is_text")).groupBy("host").agg(F.max("pages").alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
-    often = shared.join(hosts, "host").where(F.col("pages") >= MIN_SHARE * F.col("n_pages"))
-    classes = often.groupBy("host", "vector", "pages", "n_pages").agg(
-        F.collect_list(F.struct("token", "parent", "is_text", "least", "most", "chars", "links")).alias("members"))
-    tops = classes.select("host", "pages", "vector", "n_pages", F.explode("members").alias("m")).select("host", "pages", "vector", "n_pages", "m.*")
-    parents = tops.where(~F.col("is_text")).select("host", F.col("token").alias("parent"), F.col("pages").alias("parent_pages"))
-    nested = tops.join(parents, ["host", "parent"], "left").groupBy("host", "vector", "pages", "n_pages").agg(
-        F.bool_and(F.coalesce(F.col("parent_pages") >= F.col("pages"), F.lit(True))).alias("valid"),
-        F.collect_list(F.struct("token", "is_text", "least", "most", "chars", "links")).alias("members")).where("valid")
+    # A host may hold a third of all tokens, so they meet their host's figures in SALTS places.
+    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = shared.withColumn("salt", F.pmod("token", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"]).drop("salt")
+    often = cut(dealt.where(F.col("pages") >= MIN_SHARE * F.col("n_pages")))  # fewer for each host than two pages have
+    parents = often.where(~F.col("is_text")).select("host", F.col("token").alias("parent"), F.col("pages").alias("parent_pages"))
+    nests = F.coalesce(F.col("parent_pages") >= F.col("pages"), F.lit(True))
+    classes = often.join(parents, ["host", "parent"], "left").groupBy("host", "vector", "pages", "n_pages").agg(F.bool_and(nests).alias("valid"), F.collect_list(F.struct("token", "is_text", "least", "most", "chars", "links")).alias("members"))
     root = (F.col("pages") == F.col("n_pages")) & (F.col("n_pages") >= FIXED_PAGES)
     fixed = F.transform(F.filter("members", lambda m: m["is_text"] & root & (m["least"] == 1) & (m["most"] == 1)), lambda m: m["token"])
     linky = F.transform(F.filter("members", lambda m: ~m["is_text"] & (m["chars"] > 0) & (m["links"] >= 0.8 * m["chars"])), lambda m: m["token"])
-    return nested.groupBy("host").agg(F.flatten(F.collect_list(fixed)).alias("fixed"), F.flatten(F.collect_list(linky)).alias("linky"))
+    told = classes.where("valid").select("host", fixed.alias("fixed"), linky.alias("linky")).where("size(fixed) + size(linky) > 0")
+    return told.groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("fixed"), F.flatten(F.collect_list("linky")).alias("linky"))
 
 
 def slots(page: Outline, fixed: frozenset[int] = frozenset(), linky: frozenset[int] = frozenset()) -> str:
