@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, join_counted
 from quire.llm.graph import connected_components
 
 TILE = 1024
@@ -156,8 +156,8 @@ def embedding_groups(rows: DataFrame, threshold: float = 0.93, tile: int = TILE,
     found = cut(linked_classes(tile_pairs(classes.drop("first_id"), tile), threshold))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     roots = cut(connected_components(found.select("class_id", "root").distinct(), "class_id", "root").withColumnRenamed("node", "class_id"))
-    names = roots.join(classes.select("class_id", "first_id"), "class_id").groupBy("root").agg(F.min("first_id").alias("name"))
-    named = roots.join(names, "root").select("class_id", "name")
+    names = cut(roots.join(classes.select("class_id", "first_id"), "class_id").groupBy("root").agg(F.min("first_id").alias("name"), F.count("*").alias("n")))
+    named = join_counted(roots, names, ["root"]).select("class_id", "name")
     told = classes.join(links, "class_id", "left").join(named, "class_id", "left").select(*group, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("name", "first_id").alias("component_id"))
     linked = able.join(told, group).select("vec_id", "n_links", "component_id")
     alone = v.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
