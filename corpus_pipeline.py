@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, packing, quality_fm, simhash, surrogates
+from quire.llm import mixing, packing, quality_fm, shingles, surrogates
 from quire.llm.common import remove_dir, stored, table
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return shingles.keep_one(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

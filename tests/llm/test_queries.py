@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import random
 import re
 import zlib
 
@@ -171,3 +172,62 @@ def test_one_row_stays_of_each_group(spark):
     docs = read("documents")
     kept = sorted(r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id").collect())
     assert kept == sorted({r.component_id for r in queries.op5_simhash_groups(spark, SF).collect()}) and len(kept) <= len(docs)
+
+
+def near_copies():
+    """Texts with copies of ever more changed words, common passages, ends without words, repeated and missing ids."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(r.choices(words, k=60))
+    texts = [None, "", " \t", "One two", "one TWO", "one two three", "a b c d e", "a b c d e f"]
+    for n in (6, 9, 30, 80, 300, 900):
+        for _ in range(4):
+            base = r.choices(words, k=n)
+            for changed in (0, 0, 1, 2, 3, n // 60, n // 50, n // 45, n // 40, n // 30):
+                copy = list(base)
+                for at in r.sample(range(n), min(changed, n)):
+                    copy[at] = r.choice(words)
+                texts.append(" ".join(copy[: n - r.randint(0, n // 20)]) + (" " + passage if r.random() < 0.3 else ""))
+    ids = [None if k % 11 == 0 else 1000 - k for k in range(len(texts))]
+    return list(zip(ids, texts))
+
+
+def brute_groups(texts, width=5):
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set() for w in words]
+    near = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
+    return smallest_of(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])])
+
+
+def smallest_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("sample", [32, 1])
+def test_near_duplicate_stage_leaves_one_of_each_group(spark, monkeypatch, sample):
+    """Against brute force over all pairs, Jaccard similarity of 0.8 or more of the sets of five-word shingles."""
+    monkeypatch.setattr("quire.llm.shingles.SAMPLE", sample)
+    rows = near_copies()
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    groups = brute_groups([t for _, t in rows])
+    assert 20 < len(set(groups)) < len(rows) / 2
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    least = {g: min((i for (i, _), h in zip(rows, groups) if h == g and i is not None), default=None) for g in groups}
+    order = lambda i: (i is None, i or 0)
+    assert sorted((r.doc_id for r in got.collect()), key=order) == sorted(least.values(), key=order)
+
+
+def test_near_duplicate_stage_on_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    groups = brute_groups([d["text"] for d in docs])
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted({g: min(d["doc_id"] for d, h in zip(docs, groups) if h == g) for g in groups}.values())
