@@ -12,12 +12,14 @@ from quire.llm.common import cut
 
 #: Marks that noise may have put behind each part of an entity.
 _N = r"[#*$%&|<>!]{0,4}"
+#: What stands between the name of a secret and its value, its opening quote aside.
+_IS = r"[\"']?" + _N + r"[ \t]*+[=:]" + _N + r"[ \t]*+"
 
 #: Types and their patterns, in order of precedence. None has a capturing group.
 PATTERNS = (
     ("email", r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]+\.)+[A-Za-z]{2,24}(?![\w-])"),
-    ("secret", r"(?<![\w])(?i:password|passwd|pwd|secret|api_key)" + _N + r"[=:]" + _N + r"[^\s#*$%&|<>!\"',;]{6,80}"),
-    ("token", r"(?<![\w])(?i:token|key)" + _N + r" ?[=:]" + _N + r" ?[\"'][0-9A-Za-z_\-+/=]{16,100}[\"']"),
+    ("secret", r"(?<![\w])(?i:password|passwd|pwd|secret|api_key)" + _IS + r"(?:\"[^\"'\r\n]{6,}+\"|'[^\"'\r\n]{6,}+'|[\"']?[^\s#*$%&|<>!\"',;]{6,}+)"),
+    ("token", r"(?<![\w])(?i:token|key)" + _IS + r"[\"'][0-9A-Za-z_\-+/=.]{16,}+[\"']"),
     ("cloud_key", r"(?<![\w])(?i:AKIA|ASIA)[0-9A-Za-z]{16}(?![\w])"),
     ("iban", r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
     ("phone", r"(?<![\w+])\+\d{1,3}" + _N + r"[ .-]?\(?\d{2,4}\)?" + _N + r"(?:[ .-]?\d{2,4}" + _N + r"){1,3}(?<![#*$%&|<>!])(?!\d)|(?<![\w+])\(\d{3}\)" + _N + r" \d{3}-\d{4}(?!\d)"),
@@ -56,7 +58,7 @@ def kind_of(mention: Column) -> Column:
 
 def letters_of(c: Column) -> Column:
     """The value of a secret without its name, or the parts that are kept for identity of other types."""
-    return F.regexp_replace(c, r"^(?:\w+)[#*$%&|<>!]{0,4} ?[=:][#*$%&|<>!]{0,4} ?|[\"']", "")
+    return F.regexp_replace(c, r"^\w+" + _IS + r"|[\"']", "")
 
 
 def identity(kind: Column, mention: Column) -> Column:
@@ -204,7 +206,9 @@ def rendered(kind: Column, mention: Column, surrogates: Column) -> Column:
     person = F.concat(F.regexp_extract(mention, TITLE, 0), F.array_join(F.transform(surrogates, lambda x: x["surrogate"]), " "))
     cloud = F.when(upper, s).otherwise(F.lower(s))
     out = F.when(kind.isin("phone", "ssn", "card"), redrawn(mention, value, s, "0-9")).when(kind == "iban", redrawn(mention, value, s, "0-9A-Z"))
-    out = out.when(kind.isin("secret", "token"), F.replace(mention, value, s)).when(kind == "email", email).when(kind == "cloud_key", cloud)
+    end = F.regexp_extract(mention, r"[\"']?\z", 0)  # the value stands before it; the same word may be the secret's name
+    head = F.substring(mention, F.lit(1), F.length(mention) - F.length(value) - F.length(end))
+    out = out.when(kind.isin("secret", "token"), F.concat(head, s, end)).when(kind == "email", email).when(kind == "cloud_key", cloud)
     return out.when(kind == "person", person).otherwise(s)
 
 
