@@ -15,6 +15,8 @@ _N = r"[#*$%&|<>!]{0,4}"
 #: What stands between the name of a secret and its value, its opening quote aside.
 _IS = r"[\"']?" + _N + r"[ \t]*+[=:]" + _N + r"[ \t]*+"
 
+TITLES = "Mrs|Mr|Ms|Miss|Dr|Prof|Doctor|Professor|Sir|Madam|Herr|Frau|Doktor|Monsieur|Madame|Mademoiselle|Mme|Mlle|Docteur|Professeur|Señora|Señorita|Señor|Sra|Srta|Sr|Doctora|Profesora|Profesor|господин|госпожа|доктор|профессор"
+
 #: Types and their patterns, in order of precedence. None has a capturing group.
 PATTERNS = (
     ("email", r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]+\.)+[A-Za-z]{2,24}(?![\w-])"),
@@ -22,17 +24,19 @@ PATTERNS = (
     ("token", r"(?<![\w])(?i:token|key)" + _IS + r"[\"'][0-9A-Za-z_\-+/=.]{16,}+[\"']"),
     ("cloud_key", r"(?<![\w])(?i:AKIA|ASIA)[0-9A-Za-z]{16}(?![\w])"),
     ("iban", r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}" + _N + r"[ .-]?\(?\d{2,4}\)?" + _N + r"(?:[ .-]?\d{2,4}" + _N + r"){1,3}(?<![#*$%&|<>!])(?!\d)|(?<![\w+])\(\d{3}\)" + _N + r" \d{3}-\d{4}(?!\d)"),
+    ("phone", r"(?<![\w+])\+\d{1,3}" + _N + r"[ .-]?\(?\d{2,4}\)?" + _N + r"(?:[ .-]?\d{2,4}" + _N + r"){1,3}(?<![#*$%&|<>!])(?!\d)|(?<![\w+])\(\d{3}\)" + _N + r"[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w)"),
-    ("person", r"(?<![\p{L}])(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|господин|госпожа)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}(?![\p{L}])"),
+    ("person", r"(?<![\p{L}])(?:(?:" + TITLES + r")\.? ){1,4}+\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}(?![\p{L}])"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A text without any of these has no entity; far cheaper than the patterns, it spares most texts from them.
-GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|M(?:rs?|s|iss|onsieur|adame|me)\.? |Herr|Frau|Señor|госп"
-FEMALE_TITLES = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|госпожа)\b"
-TITLE = r"^[\p{L}]+\.? "
+GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|(?:" + TITLES + r")\.? "
+FEMALE_TITLES = r"(?:^|[ .])(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Mme|Mlle|Señora|Señorita|Sra|Srta|Doctora|Profesora|госпожа)\.? "
+MALE_TITLES = r"(?:^|[ .])(?:Mr|Sir|Herr|Monsieur|Señor|Sr|Profesor|господин)\.? "
+TITLE = r"^(?:(?:" + TITLES + r")\.? )+"
+PERSON = dict(PATTERNS)["person"]
 
 #: Given names by gender and script, and family names by script.
 NAMES = {
@@ -75,11 +79,31 @@ def script_of(c: Column) -> Column:
     return F.when(c.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
 
 
-def parts_of(kind: Column, mention: Column) -> Column:
+def titled(found: Column) -> Column:
+    """The mentions of persons with a title among all of a text."""
+    return F.filter(found, lambda m: m.rlike(rf"\A(?:{PERSON})\z"))
+
+
+def pattern_with_names(titled: Column) -> Column:
+    """ANY, and behind it the full and the family names of a text's titled persons, for where they stand alone."""
+    full = F.transform(titled, lambda m: F.regexp_replace(m, TITLE, ""))
+    names = F.reverse(F.array_sort(F.array_distinct(F.concat(full, F.transform(full, lambda m: F.substring_index(m, " ", -1))))))
+    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+
+
+def is_female(mention: Column, titled: Column) -> Column:
+    """By the mention's own title; without one that tells, by another title of the name in the text or a known given name."""
+    name = F.regexp_replace(mention, TITLE, "")
+    told = F.exists(titled, lambda m: m.rlike(FEMALE_TITLES) & F.endswith(m, F.concat(F.lit(" "), name)))
+    known = F.substring_index(F.substring_index(name, " ", 1), "-", 1).isin(*NAMES["given", "f", "latin"], *NAMES["given", "f", "cyrillic"])
+    return F.when(mention.rlike(FEMALE_TITLES), F.lit(True)).when(mention.rlike(MALE_TITLES), F.lit(False)).otherwise(told | known)
+
+
+def parts_of(kind: Column, mention: Column, female: Column) -> Column:
     """array<struct<kind, gender, value>>: one part, or for persons one for each name, the last being the family's."""
     single = F.array(F.struct(kind.alias("kind"), F.lit("").alias("gender"), identity(kind, mention).alias("value")))
     names = F.split(F.regexp_replace(mention, TITLE, ""), "[ -]")
-    gender = F.when(mention.rlike(FEMALE_TITLES), F.lit("f")).otherwise(F.lit("m"))
+    gender = F.when(female, F.lit("f")).otherwise(F.lit("m"))
     named = F.transform(names, lambda x, i: F.struct(F.when(i == F.size(names) - 1, F.lit("family")).otherwise(F.lit("given")).alias("kind"), F.when(i == F.size(names) - 1, F.lit("")).otherwise(gender).alias("gender"), x.alias("value")))
     return F.when(kind == "person", named).otherwise(single)
 
@@ -214,8 +238,9 @@ def rendered(kind: Column, mention: Column, surrogates: Column) -> Column:
 
 def mentions(texts: DataFrame) -> DataFrame:
     """texts (h, found array<string>) -> h, pos, mention, kind, part, gender, value: a row for each part."""
-    each = texts.select("h", F.posexplode("found").alias("pos", "mention")).withColumn("type", kind_of(F.col("mention")))
-    parts = each.select("h", "pos", "mention", "type", F.posexplode(parts_of(F.col("type"), F.col("mention"))).alias("part", "p"))
+    each = texts.select("h", titled(F.col("found")).alias("titled"), F.posexplode("found").alias("pos", "mention")).withColumn("type", kind_of(F.col("mention")))
+    female = is_female(F.col("mention"), F.col("titled"))
+    parts = each.select("h", "pos", "mention", "type", F.posexplode(parts_of(F.col("type"), F.col("mention"), female)).alias("part", "p"))
     return parts.select("h", "pos", "mention", "type", "part", "p.kind", "p.gender", "p.value")
 
 
@@ -229,16 +254,19 @@ def replace_pii(docs: DataFrame, key: str = "quire", text: str = "text", count:
     stays empty.
     """
     row = docs.select(F.struct("*").alias("row"), F.col(text).alias("body")).withColumn("found", F.when(F.col("body").rlike(GATE), F.regexp_extract_all("body", F.lit(ANY), F.lit(0))))
+    # Only texts with an entity get further: those with a titled person are read again for the bare names.
     some = F.coalesce(F.size("found") > 0, F.lit(False))
     plain = row.where(~some).select("row", F.col("body"), F.lit(0).alias("n"))
-    hit = row.where(some).select("row", "body", "found", F.sha2("body", 256).alias("h"))
+    hit = row.where(some).withColumn("who", titled(F.col("found"))).withColumn("pattern", F.when(F.size("who") > 0, pattern_with_names(F.col("who"))).otherwise(F.lit(ANY)))
+    again = F.when(F.size("who") > 0, F.regexp_extract_all("body", F.col("pattern"), F.lit(0))).otherwise(F.col("found"))
+    hit = hit.select("row", "body", again.alias("found"), "pattern", F.sha2("body", 256).alias("h"))
     parts = cut(mentions(hit.groupBy("h").agg(F.first("found").alias("found"))))
     named = assign(parts.select("kind", "gender", "value").distinct(), key)
     told = parts.join(named, ["kind", "gender", "value"])
     each = told.groupBy("h", "pos", "mention", "type").agg(F.array_sort(F.collect_list(F.struct("part", "value", "surrogate"))).alias("s"))
     drawn = each.select("h", "pos", rendered(F.col("type"), F.col("mention"), F.col("s")).alias("new"))
     news = drawn.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"))
-    between = F.split("body", ANY, -1)
+    between = F.split("body", F.col("pattern"), -1)
     woven = F.array_join(F.zip_with(between, F.col("news.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = hit.join(news, "h").select("row", woven.alias("body"), F.size("news").alias("n"))
     out = plain.union(changed)
