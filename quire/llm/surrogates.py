@@ -191,19 +191,42 @@ def candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     return df.select("kind", "gender", "value", out.otherwise(F.col("main")).alias("surrogate"))
 
 
+def wider(entities: DataFrame, key: str, attempt: int) -> DataFrame:
+    """entities with surrogates of a wider format than their own, for those whose format has none left: 32 hex digits
+    in place of a secret, before a reserved domain, or behind a cloud key's type; 20 more digits; an address of the
+    documentation's IPv6 range; a name of 16 syllables."""
+    kind, value = F.col("kind"), F.col("value")
+    k = keystream(key, F.lit("wider"), kind, F.col("gender"), value, F.lit(attempt))
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: (byte_at(k, i) % 10).cast("string")), "")
+    out = F.when(kind == "email", F.concat(F.substring(k, 1, 32), F.lit("@example.org"))).when(kind == "cloud_key", F.concat(F.substring(value, 1, 4), F.upper(F.substring(k, 1, 32))))
+    out = out.when(kind == "ip", F.concat_ws(":", F.lit("2001:db8"), *(F.substring(k, n, 4) for n in range(1, 25, 4))))
+    for s, syllables in SYLLABLES.items():
+        pool = F.array(*map(F.lit, syllables))
+        word = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.element_at(pool, byte_at(k, i) % len(syllables) + 1)), "")
+        out = out.when(kind.isin("given", "family") & (script_of(value) == s), F.initcap(word))
+    # Numbers are drawn anew as a whole: digits of the own format, then 20 more.
+    fresh = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), (byte_at(k, i + 20) % 10).cast("string")).otherwise(c)), "")
+    number = F.when(kind.isin("phone") & value.contains("-"), F.concat(F.substring_index(value, "-", 1), F.lit("-"), F.substring_index(fresh, "-", -1), digits)).otherwise(F.concat(fresh, digits))
+    out = out.when(kind.isin("phone", "ssn", "card", "iban"), number)
+    return entities.select("kind", "gender", "value", out.otherwise(F.substring(k, 1, 32)).alias("surrogate"))
+
+
 def assign(entities: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """entities (kind, gender, value), distinct -> with surrogate; no two of a kind share one, and none is the value
     of an entity of the corpus.
 
     Each round proposes a surrogate to those that have none yet. Of those with one proposal the least value gets it,
     unless it has been given before, is a real value, or is an address from no public range in place of one from
-    there; the others try again. Names come from lists first, then from more and more syllables.
+    there; the others try again. Names come from lists first, then from more and more syllables. What has none after
+    `max_attempts`, or holds no letter or digit that could be moved, gets one of a wider format.
     """
+    fixed = F.col("kind").isin("secret", "token") & (~F.col("value").rlike("[0-9A-Za-z]") | F.col("value").rlike(r"[^\x00-\x7F]"))
     todo = cut(entities)
     real = todo.select("kind", F.lower("value").alias("taken")).distinct()
     done = todo.limit(0).withColumn("surrogate", F.lit(""))
-    for attempt in range(max_attempts):
-        tried = cut(candidates(todo, key, attempt)).withColumn("taken", F.lower("surrogate"))
+    for attempt in range(max_attempts + 8):
+        drawn = wider(todo, key, attempt) if attempt >= max_attempts else candidates(todo.where(~fixed), key, attempt).union(wider(todo.where(fixed), key, attempt))
+        tried = cut(drawn).withColumn("taken", F.lower("surrogate"))
         first = tried.groupBy("kind", "taken").agg(F.min(F.struct("value", "gender")).alias("winner"))
         public = (F.col("kind") == "ip") & F.substring_index("value", ".", 1).try_cast("int").between(1, 223) & ~F.substring_index("surrogate", ".", 1).try_cast("int").between(1, 223)
         given = done.select("kind", F.lower("surrogate").alias("taken")).union(real).distinct()
@@ -212,14 +235,15 @@ def assign(entities: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> D
         todo = cut(todo.join(done, ["kind", "gender", "value"], "left_anti"))
         if todo.isEmpty():
             return done
-    raise RuntimeError(f"{max_attempts} attempts left entities without a surrogate")
+    raise RuntimeError("wider formats of 16 syllables, 20 digits or more were all taken")
 
 
 def redrawn(mention: Column, value: Column, surrogate: Column, wanted: str) -> Column:
     """mention with its characters of the class `wanted` replaced by the surrogate's, in order."""
     drawn = F.regexp_replace(surrogate, f"[^{wanted}]", "")
     left = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), f"[^{wanted}]", ""))
-    return F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(f"[{wanted}]"), F.substring(drawn, left(i), F.lit(1))).otherwise(c)), "")
+    inside = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(f"[{wanted}]"), F.substring(drawn, left(i), F.lit(1))).otherwise(c)), "")
+    return F.concat(inside, F.substring(drawn, left(F.length(mention) - 1) + 1, F.length(drawn)))  # what a wider surrogate has more
 
 
 def rendered(kind: Column, mention: Column, surrogates: Column) -> Column:
