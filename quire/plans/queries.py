@@ -310,6 +310,12 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.latin_slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN slug = '' THEN 'book' ELSE slug END AS slug FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝđĐ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYdD'), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents)""")
+def text_slugs(spark, sf_dir):
+    """slugify() over whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
+
+
 @query(r"""SELECT p_partkey, '---' || chr(10) || 'title: "' || replace(replace(p_name || '\' || p_type, '\', '\\'), '"', '\"') || '"' || chr(10) || CASE WHEN p_partkey % 3 > 0 THEN 'author: "' || p_brand || '"' || chr(10) ELSE '' END || 'lang: "vi"' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN 'date: "' || p_size || '"' || chr(10) ELSE '' END || '---' || chr(10) AS fm FROM part""")
 def front_matter(spark, sf_dir):
     odd = F.col("p_partkey") % 2 == 0

@@ -18,3 +18,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 20
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_slugs_of_whole_texts(spark):
+    """Nothing of a text is left out: the slug has all its ASCII letters and digits."""
+    import pyarrow.parquet as pq
+
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    got = {r.doc_id: r.slug for r in queries.QUERIES["text_slugs"](spark, SF).collect()}
+    assert sorted(got) == sorted(texts) and sum(len(t) > 60 for t in texts.values()) > len(texts) / 2
+    for i, t in texts.items():
+        if t.isascii() and any(c.isalnum() for c in t):
+            assert got[i].replace("-", "") == "".join(c for c in t.lower() if c.isalnum())
