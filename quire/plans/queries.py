@@ -332,6 +332,17 @@ def folder_classify(spark, sf_dir):
     return pages.classify_folders(d.select(F.concat("source", k.cast("string")).alias("folder"), F.when(k == 0, "jpg").when(k == 1, "zip").otherwise(F.col("lang")).alias("file_type")))
 
 
+@query("""WITH i AS (SELECT CASE WHEN doc_id % 6 = 1 THEN source || '/' || doc_id ELSE source || CAST(doc_id % 6 AS STRING) END AS folder, CASE WHEN doc_id % 6 = 0 THEN 'jpg' WHEN doc_id % 6 = 1 THEN ['zip', 'rar', 'mobi', 'pdf'][doc_id // 6 % 4 + 1] ELSE lang END AS t FROM documents),
+c AS (SELECT folder, t, count(*) AS n FROM i GROUP BY folder, t)
+SELECT folder, CAST(sum(n) AS BIGINT) AS n_files, CASE WHEN bool_and(t IN ('jpg', 'png')) THEN 'images' WHEN sum(n) = 1 AND min(t) IN ('zip', 'rar', 'mobi', 'pdf') THEN min(t) ELSE 'mixed' END AS route, string_agg(t || '×' || n, ', ' ORDER BY t || '×' || n) AS histogram FROM c GROUP BY folder""")
+def folder_routes(spark, sf_dir):
+    """All documents as files; every sixth is an archive in a folder of its own."""
+    k, n = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    kind = F.element_at(F.array(*map(F.lit, ("zip", "rar", "mobi", "pdf"))), F.expr("CAST(doc_id div 6 % 4 + 1 AS INT)"))
+    folder = F.when(k == 1, F.concat("source", F.lit("/"), n)).otherwise(F.concat("source", k.cast("string")))
+    return pages.classify_folders(table(spark, sf_dir, "documents").select(folder.alias("folder"), F.when(k == 0, "jpg").when(k == 1, kind).otherwise(F.col("lang")).alias("file_type")))
+
+
 @query("SELECT count(*) FILTER (WHERE s = 'OK') AS ok, count(*) FILTER (WHERE s = 'TINY') AS tiny, count(*) FILTER (WHERE s = 'BADZIP') AS badzip, count(*) FILTER (WHERE s = 'MISSING') AS missing, count(*) AS total FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 'MISSING' WHEN n_chars < 10240 THEN 'TINY' WHEN doc_id % 4 = 0 THEN 'BADZIP' ELSE 'OK' END AS s FROM documents)")
 def verify_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -30,3 +30,10 @@ def test_slugs_of_whole_texts(spark):
     for i, t in texts.items():
         if t.isascii() and any(c.isalnum() for c in t):
             assert got[i].replace("-", "") == "".join(c for c in t.lower() if c.isalnum())
+
+
+def test_folders_hold_all_documents(spark):
+    got = queries.QUERIES["folder_routes"](spark, SF).collect()
+    assert sum(r.n_files for r in got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert {r.route for r in got} >= {"images", "mixed"} and {r.route for r in got} & {"zip", "rar", "mobi", "pdf"}
+    assert all(r.n_files == 1 for r in got if r.route not in ("images", "mixed"))
