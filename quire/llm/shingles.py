@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +119,20 @@ def candidates(keys: DataFrame, least: tuple[int, int]) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "a long, b long")
 
 
+def linked_sets(run: Iterable[tuple[int, list[int]]], least: tuple[int, int]) -> dict[int, int]:
+    """Every set -> the least of those that links connect it with. Pairs already connected are not compared."""
+    sets: dict[int, np.ndarray] = {}
+    groups: dict[int, list[int]] = {}
+    for uid, s in run:
+        if uid in sets:
+            continue
+        x = np.array(s, np.int64)
+        met = [g for g, members in groups.items() if any(similar(len(x), len(y), min(len(x), len(y)), least) and similar(len(x), len(y), len(np.intersect1d(x, y, True)), least) for y in map(sets.__getitem__, members))]
+        groups[uid] = [uid, *(m for g in met for m in groups.pop(g))]
+        sets[uid] = x
+    return {m: min(members) for members in groups.values() for m in members}
+
+
 def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """One row per row of docs: doc_id, t (hash of the text), uid (its shingle set) and root (its group).
 
@@ -149,10 +164,15 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield set_id(s), s
 
     whole_sets = arrow_map(bodies, whole, "uid long, s array<long>", pa.schema([("uid", pa.int64()), ("s", pa.list_(pa.int64()))]))
-    whole_sets = cut(whole_sets.groupBy("uid").agg(F.first("s").alias("s")))
-    both = pairs.join(whole_sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(whole_sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
-    links = both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")), least)).select("a", "b")
-    roots = connected_components(links, "a", "b").withColumnRenamed("node", "uid")
+    # All links of a set lie in what the pairs connect, so each whole set is sent once, to the task of its part.
+    parts = cut(connected_components(pairs, "a", "b").withColumnRenamed("node", "uid"))
+    near = whole_sets.join(parts, "uid").select("root", "uid", "s").repartition("root").sortWithinPartitions("root", "uid")
+
+    def linked(it):
+        for _, run in itertools.groupby(it, key=lambda r: r[0]):
+            yield from linked_sets(((uid, s) for _, uid, s in run), least).items()
+
+    roots = arrow_map(near, linked, "uid long, root long", pa.schema([("uid", pa.int64()), ("root", pa.int64())]), 64)
     named = cut(sets.select("uid").distinct().join(roots, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root")))
     return sets.select("doc_id", "t", "uid").join(named, "uid").select("doc_id", "t", "uid", "root")
 
