@@ -71,6 +71,29 @@ def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], least: int =
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(told.where(is_hot).select(*keys)), keys, "left_anti").join(rest, keys))
 
 
+#: A table of keys measured to be at most so many rows of 32 bytes is broadcast.
+MOST_KEYS = 250_000
+
+
+def given(rows: DataFrame, told: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """rows that told (stored, only columns `keys`) names, or with how="left_anti" those that it does not. Names that
+    are measured to be few are broadcast and rows stay where they are; else both are shuffled."""
+    return rows.join(F.broadcast(told) if told.count() <= MOST_KEYS else told, keys, how)
+
+
+def tiled(rows: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
+    """rows dealt to tasks so that any two of a key meet in one, and none holds over about 2 * most rows of a key.
+
+    A key's rows are cut into tiles of about `most`, and each row goes once to every pair (i, j) of tiles that its own
+    is in; keys of one row are left out. Sorted by key, i, j and member; read twice.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.ceil(F.col("n") / most).cast("int").alias("tiles"))
+    placed = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(member), F.col("tiles")).cast("int"))
+    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = both.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *(c for c in rows.columns if c not in keys))
+    return dealt.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", member)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(c, UPPER, LOWER)

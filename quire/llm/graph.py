@@ -8,24 +8,6 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut
 
 
-def star_roots(parent: dict, edges) -> dict:
-    """Union-find over edges within one task: every node -> the smallest node of its set."""
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        parent.setdefault(a, a)
-        parent.setdefault(b, b)
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return {x: find(x) for x in parent}
-
-
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge, root being the smallest node reachable.
 

@@ -1,4 +1,11 @@
-"""Near copies by the Jaccard similarity of shingle sets: candidates by prefix filtering, each verified exactly."""
+"""Near copies among documents: SimHash and BK-trees find them at any radius, whole shingle sets confirm them.
+
+Fingerprints that may differ in a third of their bits agree in no block of useful width, so shards are cut by least
+hashes instead: texts whose Jaccard similarity is at least 0.8 share one of BANDS shards with a likelihood of
+1 - (1 - 0.8^ROWS)^BANDS, all but one in 36 000 pairs that are just as similar as that, and of more similar ones fewer
+are missed. Each shard grows BK-trees of its members' fingerprints and follows only edges within the radius; what the
+trees link is then compared by its whole sets.
+"""
 
 from __future__ import annotations
 
@@ -11,15 +18,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, words_of
+from quire.llm.common import arrow_map, cut, given, tiled, words_of
 from quire.llm.graph import connected_components
+from quire.llm.simhash import SHARD_ROWS, signed, tree_links
 
 SEED, WIDTH = 42, 5
 #: Two texts are near copies if their similarity is at least this fraction.
 LEAST = (4, 5)
-#: One text in so many is read to find the shingles that many texts have, and of these so many are told to the tasks.
-SAMPLE, FREQUENT = 32, 20_000
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 65, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shards of a text: each is named by so many least hashes.
+BANDS, ROWS = 20, 4
+#: Fingerprints of sets just as similar as LEAST differ in 9.7 of 64 bits, give or take 2.9: five deviations are within.
+RADIUS = 24
+#: Whole sets that one task holds at a time are at most about twice as many.
+CHUNK = 256
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, WIDTH + 2 + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -31,10 +44,11 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     hashed = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
     width = min(width, len(words))
     n = len(words) - width + 1
-    out = np.full(n, np.uint64(width) * _ODD[-1])
+    out = np.full(n, np.uint64(width) * _ODD[WIDTH])
     for i in range(width):
         out += hashed[i : i + n] * _ODD[i]
-    out = (out ^ (out >> np.uint64(32))) * _ODD[-2]
+    out = (out ^ (out >> np.uint64(32))) * _ODD[WIDTH + 1]
+    out ^= out >> np.uint64(29)
     return np.unique(out.view(np.int64))
 
 
@@ -42,20 +56,20 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh64_digest(shingles.tobytes(), SEED), np.int64)[0])
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """The first shingles in an order that all texts share, frequent ones last. Sets as similar as `least` have so
-    many shingles in common that their prefixes meet, whatever the order is."""
-    n = len(shingles)
-    late = np.isin(shingles, frequent) if len(frequent) else np.zeros(n, bool)
-    return np.concatenate([shingles[~late], shingles[late]])[: n + least[0] * n // -least[1] + 1 if n else 0]
-
-
-def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Shingles that three or more texts of a sample have, the most frequent FREQUENT of them."""
-    some = docs.select(F.col(text).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    sets = arrow_map(some, lambda it: ((shingle_set(t, width),) for (t,) in it), "s array<long>", pa.schema([("s", pa.list_(pa.int64()))]))
-    counts = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
-    return np.array(sorted(r.s for r in counts.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()), np.int64)
+def sketch(shingles: np.ndarray) -> tuple[int, list[int]]:
+    """The SimHash of a set, unsigned, and the names of its shards; both by blocks, so memory is bounded. The empty set
+    has fingerprint 0 and no shards: it is similar to nothing but itself."""
+    if not len(shingles):
+        return 0, []
+    ones, least = np.zeros(64, np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        part = shingles[at : at + 4096].view(np.uint64)
+        ones += np.add.reduce(np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64), axis=0, dtype=np.int32)
+        for i in range(0, len(part), 512):
+            np.minimum(least, (part[i : i + 512, None] * _ODD[None, WIDTH + 2 :] + _PLUS).min(0), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    names = [int.from_bytes(xxhash.xxh64_digest(b.tobytes(), k), "big", signed=True) for k, b in enumerate(bands)]
+    return int.from_bytes(np.packbits(ones * 2 > len(shingles)).tobytes(), "big"), names
 
 
 def similar(na, nb, common, least: tuple[int, int]):
@@ -63,62 +77,6 @@ def similar(na, nb, common, least: tuple[int, int]):
     return common * (least[0] + least[1]) >= least[0] * (na + nb)
 
 
-def meeting(run: tuple[np.ndarray, ...], least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of sets with one shingle in their prefixes that sizes and places leave possible. run: uid, n, pos."""
-    uid, n, pos = run
-    for k in range(1, len(uid)):
-        most = np.minimum(pos[:k], pos[k]) + 1 + np.minimum(n[:k] - pos[:k], n[k] - pos[k]) - 1
-        fits = np.flatnonzero(similar(n[:k], n[k], most, least) & (uid[:k] != uid[k]))
-        if len(fits):
-            yield uid[fits], np.full(len(fits), uid[k])
-
-
-def candidates(keys: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b), a < b, repeated: the sets whose prefixes meet. keys: key, uid, n, pos."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(pairs):
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        def runs() -> Iterator[tuple[np.ndarray, ...]]:
-            held: list[tuple[np.ndarray, ...]] = []  # of the last key so far
-            for b in batches:
-                key, *cols = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-                if not len(key):
-                    continue
-                at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                if held and held[0][0][0] != key[0]:
-                    yield tuple(map(np.concatenate, list(zip(*held))[1:]))
-                    held = []
-                ends = np.r_[at[1:], len(key)]
-                many = np.flatnonzero(ends - at > 1)
-                if len(at) > 1 and held:
-                    held.append((key[: ends[0]], *(c[: ends[0]] for c in cols)))
-                    yield tuple(map(np.concatenate, list(zip(*held))[1:]))
-                    held = []
-                    many = many[many > 0]
-                for i in many[many < len(at) - 1]:
-                    yield tuple(c[at[i] : ends[i]] for c in cols)
-                held.append((key[at[-1] :], *(c[at[-1] :] for c in cols)))
-            if held:
-                yield tuple(map(np.concatenate, list(zip(*held))[1:]))
-
-        out, size = [], 0
-        for uid, n, pos in runs():
-            once = np.r_[True, uid[1:] != uid[:-1]]  # copies of a set stand together
-            for pair in meeting((uid[once], n[once], pos[once]), least):
-                out.append(pair)
-                size += len(pair[0])
-                if size > 8192:
-                    yield batch(out)
-                    out, size = [], 0
-        if out:
-            yield batch(out)
-
-    return keys.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "a long, b long")
-
-
 def linked_sets(run: Iterable[tuple[int, list[int]]], least: tuple[int, int]) -> dict[int, int]:
     """Every set -> the least of those that links connect it with. Pairs already connected are not compared."""
     sets: dict[int, np.ndarray] = {}
@@ -133,56 +91,82 @@ def linked_sets(run: Iterable[tuple[int, list[int]]], least: tuple[int, int]) ->
     return {m: min(members) for members in groups.values() for m in members}
 
 
-def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
+def candidates(sets: DataFrame, radius: int, least: tuple[int, int], shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b), repeated: edges that connect the sets (uid, n, fp, bands) which the shards' trees find near each other.
+    Sets of sizes that make `least` impossible are not linked. A task streams over its shards."""
+
+    def grow(it: Iterator[tuple]) -> Iterator[tuple]:
+        for _, run in itertools.groupby(it, key=lambda r: r[:3]):
+            members = {(fp & ((1 << 64) - 1), uid): n for *_, fp, uid, n in run}
+            fits = lambda x, y: similar(members[x], members[y], min(members[x], members[y]), least)  # noqa: B023, E731
+            yield from ((a[1], b[1]) for a, b in tree_links(list(members), radius, fits))
+
+    shards = sets.select(F.explode("bands").alias("shard"), "fp", "uid", "n")
+    return arrow_map(tiled(shards, ["shard"], "uid", shard_rows), grow, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs: doc_id, t (hash of the text), uid (its shingle set) and root (its group).
 
-    Texts are linked if the Jaccard similarity of their shingle sets is at least `least`, and groups are what links
-    connect. No pair is missed: prefixes of all pairs as similar meet, and each pair that meets is compared by its
-    whole sets. Texts without words are linked to each other only. Repeated rows stay repeated.
+    Texts are linked if their sets of `width`-word shingles have a Jaccard similarity of at least `least`; groups are
+    what links connect. Texts without words are linked to each other only. Null ids and repeated rows are rows like
+    any other; an empty table gives none; other columns are not read.
+
+    Texts are read twice and only sets that a tree has linked are sent whole: each to the tasks that compare its part
+    of a connected component, `chunk` sets with `chunk` others at a time, so no component meets in one task.
     """
-    frequent = frequent_shingles(docs, text, width)
 
-    def rows(it):
+    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         for i, t, h in it:
             s = shingle_set(t, width)
-            yield i, h, set_id(s), len(s), prefix(s, frequent, least)
+            fp, bands = sketch(s)
+            yield i, h, set_id(s), len(s), signed(fp), bands
 
     body = F.col(text).cast("string")
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("t"))
-    kinds = [("doc_id", pa.int64()), ("t", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))]
-    sets = cut(arrow_map(ids, rows, "doc_id long, t long, uid long, n long, prefix array<long>", pa.schema(kinds)))
-    keys = sets.select("uid", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "uid", "n", F.col("pos").cast("long").alias("pos"))
-    pairs = cut(candidates(keys, least).distinct())
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    texts = cut(sets.join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("t").alias("t")).select("t").distinct())
-    bodies = ids.join(texts, "t", "left_semi").select("text").distinct()
-
-    def whole(it):
-        for (t,) in it:
+    kinds = [("doc_id", pa.int64()), ("t", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    sets = cut(arrow_map(ids, rows, "doc_id long, t long, uid long, n long, fp long, bands array<long>", pa.schema(kinds), 64))
+    once = sets.groupBy("uid").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    once = cut(once.where("n > 0"))
+    parts = cut(connected_components(candidates(once, radius, least), "a", "b").withColumnRenamed("node", "uid"))
+    placed = cut(parts.join(once.select("uid", "t"), "uid").select("uid", "t", "root"))
+
+    def whole(it: Iterator[tuple]) -> Iterator[tuple]:
+        for t, h in it:
             s = shingle_set(t, width)
-            yield set_id(s), s
+            yield set_id(s), h, s
 
-    whole_sets = arrow_map(bodies, whole, "uid long, s array<long>", pa.schema([("uid", pa.int64()), ("s", pa.list_(pa.int64()))]))
-    # All links of a set lie in what the pairs connect, so each whole set is sent once, to the task of its part.
-    parts = cut(connected_components(pairs, "a", "b").withColumnRenamed("node", "uid"))
-    near = whole_sets.join(parts, "uid").select("root", "uid", "s").repartition("root").sortWithinPartitions("root", "uid")
+    # Copies of a text are one set: of the rows with its hash, those of one text hash are enough.
+    bodies = given(ids, placed.select("t").distinct(), ["t"]).select("text", "t")
+    found = arrow_map(bodies, whole, "uid long, t long, s array<long>", pa.schema([("uid", pa.int64()), ("t", pa.int64()), ("s", pa.list_(pa.int64()))]), 64)
+    found = found.dropDuplicates(["uid"]).drop("t")
+    tasks = tiled(cut(found.join(placed.drop("t"), "uid")).select("root", "uid", "s"), ["root"], "uid", chunk)
 
-    def linked(it):
-        for _, run in itertools.groupby(it, key=lambda r: r[0]):
-            yield from linked_sets(((uid, s) for _, uid, s in run), least).items()
+    def linked(it: Iterator[tuple]) -> Iterator[tuple]:
+        for _, run in itertools.groupby(it, key=lambda r: r[:3]):
+            yield from ((a, b) for a, b in linked_sets(((uid, s) for *_, uid, s in run), least).items() if a != b)
 
-    roots = arrow_map(near, linked, "uid long, root long", pa.schema([("uid", pa.int64()), ("root", pa.int64())]), 64)
-    named = cut(sets.select("uid").distinct().join(roots, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root")))
-    return sets.select("doc_id", "t", "uid").join(named, "uid").select("doc_id", "t", "uid", "root")
+    edges = arrow_map(tasks, linked, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]), 64)
+    roots = cut(connected_components(edges, "a", "b").withColumnRenamed("node", "uid"))
+    named = sets.select("doc_id", "t", "uid").join(roots, "uid", "left")
+    return named.select("doc_id", "t", "uid", F.coalesce("root", "uid").alias("root"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row of each group of near copies, all columns as they were: the one of the least doc_id, rows
-    without one last; of rows that repeat it with another text of the group, any one."""
-    groups = near_copy_groups(docs, doc_id, text, **options)
-    who = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("t"))
-    keepers = groups.groupBy("root").agg(F.min(who).alias("w")).select("w.*").distinct()
+    without one last; of rows that repeat it with another text of the group, any one.
+
+    Only the rows that go, and those that a kept row repeats, are named to the texts; where they are few enough that
+    is a broadcast, so texts stay where they are.
+    """
+    groups = cut(near_copy_groups(docs, doc_id, text, **options))
+    key = ["last", "id", "t"]
+    who = (F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("t"))
+    least = groups.groupBy("root").agg(F.min(F.struct(*who)).alias("w"))
+    each = groups.select("root", *who).groupBy("root", *key).agg(F.count("*").alias("n")).join(least, "root")
+    odd = cut(each.withColumn("kept", F.struct(*key) == F.col("w")).where("not kept or n > 1").select(*key, "kept"))
     i = F.col(doc_id).cast("long")
     rows = docs.select(F.struct("*").alias("row"), i.isNull().alias("last"), F.coalesce(i, F.lit(0)).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("t"))
-    return rows.join(keepers, ["last", "id", "t"], "left_semi").dropDuplicates(["last", "id", "t"]).select("row.*")
+    single = given(rows, odd.select(*key), key, "left_anti")
+    repeated = given(rows, odd.where("kept").select(*key), key).dropDuplicates(key)
+    return single.select("row.*").union(repeated.select("row.*"))

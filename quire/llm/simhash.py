@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, join_counted, words_of
-from quire.llm.graph import connected_components, star_roots
+from quire.llm.common import arrow_map, cut, join_counted, tiled, words_of
+from quire.llm.graph import connected_components
 
 BITS, SEED = 64, 42
-#: A shard of more fingerprints than this gets no tree; its links are found through one-bit neighbours instead.
-MAX_TREE = 1024
+#: Blocks of a fingerprint that shards are named by.
+BLOCKS = 5
+#: One task holds about twice as many fingerprints of a shard at most.
+SHARD_ROWS = 8192
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -47,41 +49,62 @@ def signed(x: int) -> int:
 
 
 class BKTree:
-    """A tree of 64-bit numbers in which a child hangs on the edge that is its Hamming distance to the parent."""
+    """A tree of 64-bit numbers in which a child hangs on the edge that is its Hamming distance to the parent. Nodes
+    are tuples whose first member is the number."""
 
     def __init__(self) -> None:
         self.root: list | None = None
 
-    def add(self, x: int) -> None:
+    def add(self, x: tuple) -> None:
         if self.root is None:
             self.root = [x, {}]
             return
         node = self.root
-        while (d := (node[0] ^ x).bit_count()) in node[1]:
+        while (d := (node[0][0] ^ x[0]).bit_count()) in node[1]:
             node = node[1][d]
         node[1][d] = [x, {}]
 
-    def within(self, x: int, radius: int) -> Iterator[int]:
-        """The numbers at most `radius` bits from x. By the triangle inequality only edges d-radius..d+radius count."""
+    def within(self, x: tuple, radius: int) -> Iterator[tuple]:
+        """The nodes at most `radius` bits from x. By the triangle inequality only edges d-radius..d+radius count."""
         stack = [self.root] if self.root else []
         while stack:
             y, children = stack.pop()
-            d = (y ^ x).bit_count()
+            d = (y[0] ^ x[0]).bit_count()
             if d <= radius:
                 yield y
             if children:
                 stack += [c for e, c in children.items() if d - radius <= e <= d + radius]
 
 
-def tree_links(shard: list[int], radius: int) -> list[tuple[int, int]]:
-    """Star edges (member, smallest member) of the components that a shard's tree finds."""
-    tree, found = BKTree(), []
+def tree_links(shard: list[tuple], radius: int, fits: Callable[[tuple, tuple], bool] = lambda x, y: True) -> list[tuple[tuple, tuple]]:
+    """Edges that connect a shard's members as those do that its trees find and `fits` admits.
+
+    Each component has a tree of its own, and one link to it is enough: the search of a tree ends at the first, so a
+    shard of copies costs each member one step, not one for each pair.
+    """
+    trees: list[tuple[BKTree, list[tuple]]] = []
+    out = []
     for x in shard:
-        found += [(x, y) for y in tree.within(x, radius)] if tree.root else []
+        met = []
+        for k, (tree, members) in enumerate(trees):
+            if (y := next((y for y in tree.within(x, radius) if fits(x, y)), None)) is not None:
+                out.append((x, y))
+                met.append(k)
+        if met:
+            home = max(met, key=lambda k: len(trees[k][1]))
+            for k in reversed(met):
+                if k != home:
+                    for y in trees[k][1]:
+                        trees[home][0].add(y)
+                    trees[home][1].extend(trees[k][1])
+            tree, members = trees[home]
+            trees = [t for k, t in enumerate(trees) if k == home or k not in met] if len(met) > 1 else trees
+        else:
+            tree, members = BKTree(), []
+            trees.append((tree, members))
         tree.add(x)
-        if len(found) > 65536:  # only their connectivity counts
-            found = list(star_roots({}, found).items())
-    return [(x, r) for x, r in star_roots({}, found).items() if x != r]
+        members.append(x)
+    return out
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -95,38 +118,36 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return arrow_map(ids, rows, "doc_id long, fp long", pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]))
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints (column fp) at most `radius` bits apart.
+def shard_masks(radius: int, blocks: int) -> list[int]:
+    """The bits that name a shard: every choice of all but `radius` of the blocks that 64 bits are cut into. Of two
+    fingerprints at most `radius` bits apart one choice agrees whole."""
+    edges = np.linspace(0, BITS, blocks + 1).astype(int)
+    block = [((1 << int(hi)) - 1) ^ ((1 << int(lo)) - 1) for lo, hi in zip(edges, edges[1:])]
+    return [signed(sum(chosen)) for chosen in itertools.combinations(block, blocks - radius)]
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = 2, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Edges (a, b), repeated, that connect exactly the distinct fingerprints (column fp) at most `radius` bits apart.
 
-    Cut into radius + 1 blocks, two such fingerprints agree in one block whole: every (block, value) is a shard with
-    its own BK-tree, sent to the tasks that hold the shard's fingerprints. A shard of over `max_tree` fingerprints
-    would make a long task; there each fingerprint meets the others through the numbers half the radius away from it
-    (for radius 2 those that differ in one bit outside the block), of which no number has more than 65 owners.
+    Every (choice of blocks, their value) is a shard, and every shard has its BK-trees, grown in the task that holds
+    its fingerprints. With five blocks and radius 2 a fingerprint is in ten shards named by 38 of its 64 bits, so that the
+    shards of 10^11 fingerprints that are spread evenly have few members. A shard of more than `shard_rows` is cut
+    into tiles, and each pair of tiles grows its own trees.
     """
-    if radius not in (0, 2):
-        raise ValueError("radius is 0 or 2: larger shards are joined through one-bit neighbours")
-    if radius == 0:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    edges = np.linspace(0, BITS, radius + 2).astype(int)
-    masks = [signed(((1 << int(hi)) - 1) ^ ((1 << int(lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
+    if not 0 <= radius < blocks:
+        raise ValueError("blocks must be more than radius")
+    masks = shard_masks(radius, blocks)
     keys = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("block", "value"))
-    counts = keys.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shards = cut(keys.join(counts, ["block", "value"]))
 
-    def grow(it):
-        for _, run in itertools.groupby(it, key=lambda r: r[:2]):
-            yield from ((signed(a), signed(b)) for a, b in tree_links([r[2] & ((1 << BITS) - 1) for r in run], radius))
+    def grow(it: Iterator[tuple]) -> Iterator[tuple]:
+        for _, run in itertools.groupby(it, key=lambda r: r[:4]):
+            members = [(r[4] & ((1 << BITS) - 1),) for r in run]
+            yield from ((signed(a[0]), signed(b[0])) for a, b in tree_links(members, radius))
 
-    cold = shards.where(F.col("n") <= max_tree).select("block", "value", "fp").repartition("block", "value").sortWithinPartitions("block", "value", "fp")
-    trees = arrow_map(cold, grow, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    free = [F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << i)) for i in range(BITS) if not (m >> i) & 1)) for m in masks]
-    flips = F.element_at(F.array(*free), F.col("block") + 1)
-    near = shards.where(F.col("n") > max_tree).select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("via")).distinct()
-    met = near.groupBy("via").agg(F.collect_set("fp").alias("who")).where("size(who) > 1")
-    return trees.union(met.select(F.array_min("who").alias("a"), F.explode("who").alias("b")).where("a <> b"))
+    return arrow_map(tiled(keys, ["block", "value"], "fp", shard_rows), grow, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, max_tree: int = MAX_TREE) -> DataFrame:
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
     component_id is the smallest doc_id reachable over links of at most `radius` differing bits, itself included;
@@ -136,39 +157,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     prints = cut(fingerprints(docs, doc_id, text, width))
     named = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    roots = cut(connected_components(fingerprint_links(named.select("fp"), radius, max_tree), "a", "b").withColumnRenamed("node", "fp"))
+    roots = cut(connected_components(fingerprint_links(named.select("fp"), radius, blocks), "a", "b").withColumnRenamed("node", "fp"))
     least = cut(roots.join(named.select("fp", "first_id"), "fp").groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("n")))
     linked = join_counted(roots, least, ["root"]).select("fp", "least_id")
     names = cut(named.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), "n"))
     return join_counted(prints, names, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates, all columns as they were.
-
-    The row whose doc_id names the component stays; of rows repeating that id, one stays. A component in which no row
-    has an id keeps one row of each of its texts.
-    """
-    row = docs.select(F.col(doc_id).cast("long").alias("id"), F.struct("*").alias("row"), F.col(text).alias("body"))
-    keepers = simhash_groups(docs, doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    kept = row.where("id is not null").join(keepers, "id", "left_semi").dropDuplicates(["id"])
-    nameless = row.where("id is null")
-    lone = fingerprints_without_names(nameless, docs, doc_id, text, **options)
-    return kept.select("row.*").union(lone.select("row.*"))
-
-
-def fingerprints_without_names(nameless: DataFrame, docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
-    """The rows without an id whose component has no id at all, one of each text."""
-    if nameless.isEmpty():
-        return nameless
-    groups = simhash_groups(docs, doc_id, text, **options).where("component_id is null").select("fingerprint").distinct()
-    width = options.get("width", 3)
-
-    def rows(it):
-        for (t,) in it:
-            yield t, f"{fingerprint(t, width):016x}"
-
-    texts = nameless.select("body").distinct()
-    marked = arrow_map(texts, rows, "body string, fingerprint string", pa.schema([("body", pa.string()), ("fingerprint", pa.string())]))
-    wanted = marked.join(groups, "fingerprint", "left_semi").select(F.col("body").alias("wanted"))
-    return nameless.join(wanted, nameless.body.eqNullSafe(wanted.wanted), "left_semi").dropDuplicates(["body"])

@@ -45,18 +45,16 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
 
 
-@pytest.mark.parametrize("max_tree", [1024, 1])
-def test_simhash(spark, max_tree):
+@pytest.mark.parametrize("blocks", [3, 5])
+def test_simhash(spark, blocks):
     texts = made_texts(40)
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in simhash.simhash_groups(documents(spark, texts), max_tree=max_tree).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in simhash.simhash_groups(documents(spark, texts), blocks=blocks).collect())
     prints = [brute_print(t) for _, t in texts]
     links = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
     groups = smallest(len(texts), links)
     name = {g: min((texts[k][0] for k in range(len(texts)) if groups[k] == g and texts[k][0] is not None), default=None) for g in groups}
     assert got == sorted((i if i is not None else -1, f"{p:016x}", name[g]) for (i, _), p, g in zip(texts, prints, groups))
-    kept = simhash.keep_one(documents(spark, texts), max_tree=max_tree)
-    assert kept.columns == documents(spark, []).columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(name.values()))
+    assert simhash.simhash_groups(documents(spark, [])).collect() == []
 
 
 def test_near_fingerprints_in_hot_shards(spark):
@@ -67,8 +65,8 @@ def test_near_fingerprints_in_hot_shards(spark):
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
     links = [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & ((1 << 64) - 1)).bit_count() <= 2]
     want = smallest(len(fps), links)
-    for most in (1024, 2):
-        found = [(fps.index(e.a), fps.index(e.b)) for e in simhash.fingerprint_links(df, 2, most).collect()]
+    for blocks, rows in ((3, 8192), (3, 5), (5, 8192)):
+        found = [(fps.index(e.a), fps.index(e.b)) for e in simhash.fingerprint_links(df, 2, blocks, rows).collect()]
         assert smallest(len(fps), found) == want
 
 

@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from quire.llm import line_crf, packing, queries, quality_fm, simhash, url_model
+from quire.llm import line_crf, packing, queries, quality_fm, shingles, url_model
 from tests.llm.test_operators import SF, brute_print, smallest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,12 +168,6 @@ def test_empty_labels(spark):
     assert line_crf.judge(docs, line_crf.train(docs, none)).count() == docs.count()
 
 
-def test_one_row_stays_of_each_group(spark):
-    docs = read("documents")
-    kept = sorted(r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id").collect())
-    assert kept == sorted({r.component_id for r in queries.op5_simhash_groups(spark, SF).collect()}) and len(kept) <= len(docs)
-
-
 def near_copies():
     """Texts with copies of ever more changed words, common passages, ends without words, repeated and missing ids."""
     r = random.Random(8)
@@ -210,15 +204,15 @@ def smallest_of(n, links):
     return [find(x) for x in range(n)]
 
 
-@pytest.mark.parametrize("sample", [32, 1])
-def test_near_duplicate_stage_leaves_one_of_each_group(spark, monkeypatch, sample):
+@pytest.mark.parametrize(("chunk", "most"), [(256, 250_000), (3, 0)])
+def test_near_duplicate_stage_leaves_one_of_each_group(spark, monkeypatch, chunk, most):
     """Against brute force over all pairs, Jaccard similarity of 0.8 or more of the sets of five-word shingles."""
-    monkeypatch.setattr("quire.llm.shingles.SAMPLE", sample)
+    monkeypatch.setattr("quire.llm.common.MOST_KEYS", most)
     rows = near_copies()
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     groups = brute_groups([t for _, t in rows])
     assert 20 < len(set(groups)) < len(rows) / 2
-    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    got = shingles.keep_one(docs, chunk=chunk)
     assert got.columns == docs.columns
     least = {g: min((i for (i, _), h in zip(rows, groups) if h == g and i is not None), default=None) for g in groups}
     order = lambda i: (i is None, i or 0)
