@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, given, tiled, words_of
+from quire.llm.common import arrow_map, cut, given, join_counted, tiled, words_of
 from quire.llm.graph import connected_components
 from quire.llm.simhash import SHARD_ROWS, signed, tree_links
 
@@ -162,9 +162,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     groups = cut(near_copy_groups(docs, doc_id, text, **options))
     key = ["last", "id", "t"]
     who = (F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("t"))
-    least = groups.groupBy("root").agg(F.min(F.struct(*who)).alias("w"))
-    each = groups.select("root", *who).groupBy("root", *key).agg(F.count("*").alias("n")).join(least, "root")
-    odd = cut(each.withColumn("kept", F.struct(*key) == F.col("w")).where("not kept or n > 1").select(*key, "kept"))
+    least = cut(groups.groupBy("root").agg(F.min(F.struct(*who)).alias("w"), F.count("*").alias("n")))
+    told = join_counted(groups.select("root", *who), least, ["root"]).withColumn("kept", F.struct(*key) == F.col("w"))
+    odd = cut(told.groupBy(*key).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").drop("n"))
     i = F.col(doc_id).cast("long")
     rows = docs.select(F.struct("*").alias("row"), i.isNull().alias("last"), F.coalesce(i, F.lit(0)).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("t"))
     single = given(rows, odd.select(*key), key, "left_anti")
