@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, join_counted
 
 #: Marks that noise may have put behind each part of an entity.
 _N = r"[#*$%&|<>!]{0,4}"
@@ -17,9 +17,23 @@ _IS = r"[\"']?" + _N + r"[ \t]*+[=:]" + _N + r"[ \t]*+"
 
 TITLES = "Mrs|Mr|Ms|Miss|Dr|Prof|Doctor|Professor|Sir|Madam|Herr|Frau|Doktor|Monsieur|Madame|Mademoiselle|Mme|Mlle|Docteur|Professeur|Señora|Señorita|Señor|Sra|Srta|Sr|Doctora|Profesora|Profesor|господин|госпожа|доктор|профессор"
 
-#: Types and their patterns, in order of precedence. None has a capturing group.
+#: Given names by gender and script, and family names by script.
+NAMES = {
+    ("given", "f", "latin"): "Alice Anna Clara Diana Elena Emma Eva Helen Ida Irene Julia Laura Lena Lucia Maria Martha Nina Nora Paula Rosa Sara Sofia Vera".split(),
+    ("given", "m", "latin"): "Adam Albert Anton Bruno Carl Daniel David Emil Erik Felix Hugo Jonas Leo Lucas Martin Max Oscar Otto Paul Peter Simon Theo Victor".split(),
+    ("given", "f", "cyrillic"): "Анна Вера Дарья Елена Ирина Лидия Мария Нина Ольга Софья".split(),
+    ("given", "m", "cyrillic"): "Антон Борис Виктор Денис Егор Иван Максим Олег Павел Роман".split(),
+    ("family", "", "latin"): "Adler Baker Bauer Berg Brandt Carter Dumont Fischer Garcia Garnier Hansen Keller Lambert Lopez Marsh Meyer Moreau Navarro Novak Palmer Romero Vogel Walker Weber".split(),
+    ("family", "", "cyrillic"): "Орлов Соколов Лебедев Козлов Новиков Морозов Волков Зайцев Павлов Белов".split(),
+}
+#: Given names that tell a person without a title, if another name follows.
+GIVEN = "|".join(n for (kind, _, _), names in NAMES.items() if kind == "given" for n in names)
+_MORE = r"(?:[ -]\p{Lu}\p{Ll}++)"
+
+#: Types and their patterns, in order of precedence. None has a capturing group, and none repeats a group without a
+#: bound: the matcher recurses for each repetition of a group, so a long text would overflow its stack.
 PATTERNS = (
-    ("email", r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]+\.)+[A-Za-z]{2,24}(?![\w-])"),
+    ("email", r"(?<![\w.+-])[\w.+-]++@[\w-][\w.-]*\.[A-Za-z]{2,24}(?![\w-])"),
     ("secret", r"(?<![\w])(?i:password|passwd|pwd|secret|api_key)" + _IS + r"(?:\"[^\"'\r\n]{6,}+\"|'[^\"'\r\n]{6,}+'|[\"']?[^\s#*$%&|<>!\"',;]{6,}+)"),
     ("token", r"(?<![\w])(?i:token|key)" + _IS + r"[\"'][0-9A-Za-z_\-+/=.]{16,}+[\"']"),
     ("cloud_key", r"(?<![\w])(?i:AKIA|ASIA)[0-9A-Za-z]{16}(?![\w])"),
@@ -28,28 +42,23 @@ PATTERNS = (
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w)"),
-    ("person", r"(?<![\p{L}])(?:(?:" + TITLES + r")\.? ){1,4}+\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}(?![\p{L}])"),
+    ("person", r"(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:(?:" + TITLES + r")\.? ){1,4}+\p{Lu}\p{Ll}++" + _MORE + r"{0,3}|(?:" + GIVEN + ")" + _MORE + r"{1,3})(?!\p{L})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A text without any of these has no entity; far cheaper than the patterns, it spares most texts from them.
-GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|(?:" + TITLES + r")\.? "
+GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:" + TITLES + r")\.? |(?:" + GIVEN + r")[ -]\p{Lu})"
 FEMALE_TITLES = r"(?:^|[ .])(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Mme|Mlle|Señora|Señorita|Sra|Srta|Doctora|Profesora|госпожа)\.? "
 MALE_TITLES = r"(?:^|[ .])(?:Mr|Sir|Herr|Monsieur|Señor|Sr|Profesor|господин)\.? "
-TITLE = r"^(?:(?:" + TITLES + r")\.? )+"
-PERSON = dict(PATTERNS)["person"]
+TITLE = r"^(?:(?:" + TITLES + r")\.? ){1,4}"
+CARD, IBAN, PERSON = (dict(PATTERNS)[k] for k in ("card", "iban", "person"))
+#: The first digits and lengths that card issuers have.
+ISSUERS = r"\A(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11,16}|(?:6011|6[45]\d\d|62\d\d|35\d\d)\d{12,15})\z"
 
-#: Given names by gender and script, and family names by script.
-NAMES = {
-    ("given", "f", "latin"): "Alice Anna Clara Diana Elena Emma Eva Helen Ida Irene Julia Laura Lena Lucia Maria Martha Nina Nora Paula Rosa Sara Sofia Vera".split(),
-    ("given", "m", "latin"): "Adam Albert Anton Bruno Carl Daniel David Emil Erik Felix Hugo Jonas Leo Lucas Martin Max Oscar Otto Paul Peter Simon Theo Victor".split(),
-    ("given", "f", "cyrillic"): "Анна Вера Дарья Елена Ирина Лидия Мария Нина Ольга Софья".split(),
-    ("given", "m", "cyrillic"): "Антон Борис Виктор Денис Егор Иван Максим Олег Павел Роман".split(),
-    ("family", "", "latin"): "Adler Baker Bauer Berg Brandt Carter Dumont Fischer Garcia Garnier Hansen Keller Lambert Lopez Marsh Meyer Moreau Navarro Novak Palmer Romero Vogel Walker Weber".split(),
-    ("family", "", "cyrillic"): "Орлов Соколов Лебедев Козлов Новиков Морозов Волков Зайцев Павлов Белов".split(),
-}
 #: Parts of made-up names, for when a list is used up.
 SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo na".split(), "cyrillic": "ба бо ва во да до ка ко ла ло ма мо на но ра ро".split()}
 MAX_ATTEMPTS = 24
+#: Characters of a value that are permuted within their classes.
+LONG = 256
 
 
 def kind_of(mention: Column) -> Column:
@@ -80,7 +89,7 @@ def script_of(c: Column) -> Column:
 
 
 def titled(found: Column) -> Column:
-    """The mentions of persons with a title among all of a text."""
+    """The mentions of persons among all of a text: those with a title or a known given name."""
     return F.filter(found, lambda m: m.rlike(rf"\A(?:{PERSON})\z"))
 
 
@@ -88,13 +97,13 @@ def pattern_with_names(titled: Column) -> Column:
     """ANY, and behind it the full and the family names of a text's titled persons, for where they stand alone."""
     full = F.transform(titled, lambda m: F.regexp_replace(m, TITLE, ""))
     names = F.reverse(F.array_sort(F.array_distinct(F.concat(full, F.transform(full, lambda m: F.substring_index(m, " ", -1))))))
-    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}_])(?=\p{Lu})(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
 
 
-def is_female(mention: Column, titled: Column) -> Column:
-    """By the mention's own title; without one that tells, by another title of the name in the text or a known given name."""
+def is_female(mention: Column, told: Column) -> Column:
+    """By the mention's own title; without one that tells, by `told` (another title of the name in the text) or a known
+    given name."""
     name = F.regexp_replace(mention, TITLE, "")
-    told = F.exists(titled, lambda m: m.rlike(FEMALE_TITLES) & F.endswith(m, F.concat(F.lit(" "), name)))
     known = F.substring_index(F.substring_index(name, " ", 1), "-", 1).isin(*NAMES["given", "f", "latin"], *NAMES["given", "f", "cyrillic"])
     return F.when(mention.rlike(FEMALE_TITLES), F.lit(True)).when(mention.rlike(MALE_TITLES), F.lit(False)).otherwise(told | known)
 
@@ -149,18 +158,38 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.lit(0) - F.aggregate(doubled, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))), F.lit(10))
 
 
+def mod_97(text: Column) -> Column:
+    """The remainder by 97 of a text's digits and letters as a number, A being 10."""
+    step = lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + c.try_cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def is_entity(mention: Column) -> Column:
+    """Whether what a pattern found is one: a card's number has an issuer and Luhn's check digit, an IBAN its remainder
+    of 1; other numbers of that length stay as they are."""
+    digits, packed = F.regexp_replace(mention, "[ -]", ""), F.replace(mention, F.lit(" "), F.lit(""))
+    n = F.length(digits)
+    card = digits.rlike(ISSUERS) & (luhn(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)).try_cast("int"))
+    iban = mod_97(F.concat(F.substring(packed, F.lit(5), F.length(packed)), F.substring(packed, 1, 4))) == 1
+    return F.coalesce(F.when(mention.rlike(rf"\A(?:{CARD})\z"), card).when(mention.rlike(rf"\A(?:{IBAN})\z"), iban).otherwise(F.lit(True)), F.lit(False))
+
+
 def candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     """entities (kind, gender, value) with the surrogate that each would have at the given attempt."""
     kind, value, n = F.col("kind"), F.col("value"), F.length("value")
     domain = F.substring_index(value, "@", -1)
     safe = F.regexp_extract(domain, r"(?:^|\.)example\.(?:com|net|org)$", 0)
     outer = F.when(safe != "", F.substring(domain, F.lit(1), F.length(domain) - F.length(safe))).otherwise(domain)
-    # What is permuted: all but a card's check digit, the two sides of an email, all but the type of a cloud key and
-    # the country of a phone number.
-    main = F.when(kind == "card", F.substring(value, F.lit(1), n - 1)).when(kind == "email", F.substring_index(value, "@", 1)).when(kind == "cloud_key", F.substring(value, F.lit(5), n)).when(kind == "phone", F.substring_index(value, "-", -1))
+    # What is permuted: all but a card's check digit, the two sides of an email, all but the type of a cloud key, the
+    # country of a phone number, and country and check digits of an IBAN.
+    main = F.when(kind == "card", F.substring(value, F.lit(1), n - 1)).when(kind == "email", F.substring_index(value, "@", 1)).when(kind.isin("cloud_key", "iban"), F.substring(value, F.lit(5), n)).when(kind == "phone", F.substring_index(value, "-", -1))
     df = entities.withColumns({"main": F.when(~kind.isin("ip", "given", "family"), main.otherwise(value)).otherwise(F.lit("")), "host": F.when(kind == "email", outer).otherwise(F.lit("")), "safe": safe})
     df = df.withColumn("body", F.col("main"))
+    # Of a very long value the beginning is permuted, the rest drawn anew; its collisions show like any other's.
+    rest = lambda c: F.when(F.length(c) > LONG, F.rpad(F.lit(""), F.length(c) - LONG, keystream(key, F.lit(c), kind, value, F.lit(attempt)))).otherwise(F.lit(""))
+    df = df.withColumns({"main_rest": rest("main"), "host_rest": rest("host"), "main": F.substring("main", 1, LONG), "host": F.substring("host", 1, LONG)})
     df = permute(permute(df, "main", key, kind, attempt), "host", key, F.lit("host"), attempt)
+    df = df.withColumns({"main": F.concat("main", "main_rest"), "host": F.concat("host", "host_rest")})
 
     # A card number stays as valid under Luhn's rule, or as far from valid, as it was.
     last = F.pmod(F.substring(value, n, F.lit(1)).try_cast("int") - luhn(F.col("body")) + luhn(F.col("main")), F.lit(10))
@@ -188,6 +217,8 @@ def candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     out = out.when(kind == "email", F.concat("main", F.lit("@"), "host", F.when(F.col("safe") != "", F.col("safe")).otherwise(F.lit(".invalid"))))
     out = out.when((kind == "phone") & value.contains("-"), F.concat(F.substring_index(value, "-", 1), F.lit("-"), F.col("main")))
     out = out.when(kind.isin("given", "family"), name).when(kind == "cloud_key", F.concat(F.substring(value, 1, 4), "main"))
+    check = F.lpad((F.lit(98) - mod_97(F.concat("main", F.substring(value, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    out = out.when(kind == "iban", F.concat(F.substring(value, 1, 2), check, "main"))
     return df.select("kind", "gender", "value", out.otherwise(F.col("main")).alias("surrogate"))
 
 
@@ -260,39 +291,82 @@ def rendered(kind: Column, mention: Column, surrogates: Column) -> Column:
     return out.when(kind == "person", person).otherwise(s)
 
 
-def mentions(texts: DataFrame) -> DataFrame:
-    """texts (h, found array<string>) -> h, pos, mention, kind, part, gender, value: a row for each part."""
-    each = texts.select("h", titled(F.col("found")).alias("titled"), F.posexplode("found").alias("pos", "mention")).withColumn("type", kind_of(F.col("mention")))
-    female = is_female(F.col("mention"), F.col("titled"))
+def matches(texts: DataFrame) -> DataFrame:
+    """texts (h, found array<string>) -> h, pos, mention, type, name, stored: a row for each match. type is null if it
+    is no entity; name is a person's without titles."""
+    each = texts.select("h", F.posexplode("found").alias("pos", "mention"))
+    each = each.withColumn("type", F.when(is_entity(F.col("mention")), kind_of(F.col("mention"))))
+    return cut(each.withColumn("name", F.when(F.col("type") == "person", F.regexp_replace("mention", TITLE, ""))))
+
+
+def mentions(each: DataFrame) -> DataFrame:
+    """The entities of matches() -> h, pos, mention, type, part, kind, gender, value: a row for each part. What a text's
+    titles tell of its names meets these by a join, so a text of any number of names is a row for each."""
+    women = each.where(F.col("name").isNotNull() & F.col("mention").rlike(FEMALE_TITLES))
+    women = women.select("h", F.explode(F.array("name", F.substring_index("name", " ", -1))).alias("name")).distinct().withColumn("told", F.lit(True))
+    each = each.where("type is not null").join(women, ["h", "name"], "left")
+    female = is_female(F.col("mention"), F.coalesce("told", F.lit(False)))
     parts = each.select("h", "pos", "mention", "type", F.posexplode(parts_of(F.col("type"), F.col("mention"), female)).alias("part", "p"))
     return parts.select("h", "pos", "mention", "type", "part", "p.kind", "p.gender", "p.value")
 
 
+def texts_with_entities(docs: DataFrame, text: str) -> DataFrame:
+    """(h, pattern, found) of every different text with an entity, stored: its hash, the pattern whose matches are
+    replaced, and these. Each text is searched once (an exploded array keeps Spark from searching again for a filter);
+    those that name a person are read again for the bare names."""
+    body = F.col(text).cast("string")
+    searched = F.filter(F.array(F.regexp_extract_all("body", F.lit(ANY), F.lit(0))), lambda f: F.exists(f, is_entity))
+    hits = docs.select(body.alias("body")).where(F.col("body").rlike(GATE)).select("body", F.explode(searched).alias("found"))
+    told = hits.select("body", "found", titled(F.col("found")).alias("who"))
+    named = F.size("who") > 0
+    told = told.select("body", "found", "who", F.when(named, pattern_with_names(F.col("who"))).otherwise(F.lit(ANY)).alias("pattern"))
+    again = F.when(named, F.regexp_extract_all("body", F.col("pattern"), F.lit(0))).otherwise(F.col("found"))
+    return cut(told.select(F.sha2("body", 256).alias("h"), F.when(named, F.col("pattern")).alias("pattern"), again.alias("found")).dropDuplicates(["h"]))
+
+
+def replacements(texts: DataFrame, key: str) -> DataFrame:
+    """texts of texts_with_entities() -> (h, pattern, news, n), stored: what each match becomes, and how many of them
+    are entities. Entities that very many texts have are broadcast, so none of them meets in one task."""
+    found = matches(texts)
+    parts = cut(mentions(found))
+    entity = ["kind", "gender", "value"]
+    counts = cut(parts.groupBy(*entity).agg(F.count("*").alias("n")))
+    named = cut(assign(counts.select(*entity), key).join(counts, entity))
+    each = join_counted(parts, named, entity).groupBy("h", "pos", "mention", "type").agg(F.array_sort(F.collect_list(F.struct("part", "value", "surrogate"))).alias("s"))
+    drawn = each.select("h", "pos", rendered(F.col("type"), F.col("mention"), F.col("s")).alias("new"), F.lit(1).alias("ok"))
+    same = found.where("type is null").select("h", "pos", F.col("mention").alias("new"), F.lit(0).alias("ok"))
+    news = drawn.union(same).groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("news"), F.sum("ok").alias("n"))
+    return cut(texts.join(news, "h").select("h", "pattern", "news", "n"))
+
+
+#: Replacements measured to be at most so many bytes are broadcast.
+MOST_BROADCAST = 8 << 20
+
+
 def replace_pii(docs: DataFrame, key: str = "quire", text: str = "text", count: str | None = None) -> DataFrame:
     """docs with the entities in `text` replaced, all other columns as they were; `count` names a column to be added
     with the number of replaced mentions.
 
     Equal entities have equal surrogates in all texts (the key decides which), different ones different surrogates.
-    Texts without an entity, empty ones and nulls stay as they are and are not shuffled. What replaces what depends
-    on the text alone, so texts that occur often are worked on once; repeated rows stay repeated, an empty table
-    stays empty.
+    Texts without an entity, empty ones and nulls stay as they are. What replaces what depends on the text alone, so
+    texts that occur often are worked on once; repeated rows stay repeated, an empty table stays empty.
+
+    What becomes of a text's matches is told by its hash. A table of replacements that is measured to be small is
+    broadcast and the texts are rewritten where they are read; beyond that the texts that a pattern finds something in
+    are shuffled by their hash, and no others.
     """
-    row = docs.select(F.struct("*").alias("row"), F.col(text).alias("body")).withColumn("found", F.when(F.col("body").rlike(GATE), F.regexp_extract_all("body", F.lit(ANY), F.lit(0))))
-    # Only texts with an entity get further: those with a titled person are read again for the bare names.
-    some = F.coalesce(F.size("found") > 0, F.lit(False))
-    plain = row.where(~some).select("row", F.col("body"), F.lit(0).alias("n"))
-    hit = row.where(some).withColumn("who", titled(F.col("found"))).withColumn("pattern", F.when(F.size("who") > 0, pattern_with_names(F.col("who"))).otherwise(F.lit(ANY)))
-    again = F.when(F.size("who") > 0, F.regexp_extract_all("body", F.col("pattern"), F.lit(0))).otherwise(F.col("found"))
-    hit = hit.select("row", "body", again.alias("found"), "pattern", F.sha2("body", 256).alias("h"))
-    parts = cut(mentions(hit.groupBy("h").agg(F.first("found").alias("found"))))
-    named = assign(parts.select("kind", "gender", "value").distinct(), key)
-    told = parts.join(named, ["kind", "gender", "value"])
-    each = told.groupBy("h", "pos", "mention", "type").agg(F.array_sort(F.collect_list(F.struct("part", "value", "surrogate"))).alias("s"))
-    drawn = each.select("h", "pos", rendered(F.col("type"), F.col("mention"), F.col("s")).alias("new"))
-    news = drawn.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"))
-    between = F.split("body", F.col("pattern"), -1)
-    woven = F.array_join(F.zip_with(between, F.col("news.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = hit.join(news, "h").select("row", woven.alias("body"), F.size("news").alias("n"))
-    out = plain.union(changed)
-    kept = [F.col("body").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
-    return out.select(*kept, *([F.col("n").cast("long").alias(count)] if count else []))
+    news = replacements(texts_with_entities(docs, text), key)
+    size = news.agg(F.coalesce(F.sum(F.lit(96) + F.coalesce(F.length("pattern"), F.lit(0)) + F.length(F.array_join("news", "        "))), F.lit(0)).alias("bytes")).first().bytes
+    body = F.col("row")[text].cast("string")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("h", F.sha2(body, 256))
+    if size <= MOST_BROADCAST:
+        out = rows.join(F.broadcast(news), "h", "left")
+    else:
+        some = F.coalesce(body.rlike(GATE) & body.rlike(ANY), F.lit(False))
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in news.schema.fields[1:]]
+        out = rows.where(some).join(news, "h", "left").select("row", *news.columns[1:]).union(rows.where(~some).select("row", *none))
+    between = F.split(body, F.coalesce("pattern", F.lit(ANY)), -1)
+    woven = F.array_join(F.zip_with(between, "news", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.when(F.col("n").isNotNull(), woven).otherwise(body)
+    kept = [changed.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*kept, *([F.coalesce("n", F.lit(0)).cast("long").alias(count)] if count else []))
