@@ -1,11 +1,17 @@
-"""Main text of web pages by deducing each host's template from equivalence classes of tokens."""
+"""Main text of web pages: each host's template is deduced from equivalence classes of tokens, and its main slot read.
+
+Tokens are a page's containers (elements that hold blocks), told apart by their place. Tokens that occur in the same
+pages equally often have one occurrence vector and form a class; classes that many pages have and whose tokens lie
+within tokens of classes as frequent nest into the template. What its containers hold themselves, on the mean of the
+host's pages, tells the slot of the article from those of menus, adverts and notices. Markup that says what it is (nav,
+footer, article) is believed; names in class, id and role only decide about small parts beside or within the article.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,50 +24,76 @@ from quire.llm.url_model import host_of
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements that hold blocks; others (paragraphs, headings, cells) count as what lies within.
+CONTAINERS = set("html body div section article main header footer nav aside ul ol dl table blockquote figure form fieldset details center".split())
 #: Elements whose text is never part of the article, and such that are not unless within the article.
 DROPPED = set("head title script style noscript template iframe object svg canvas nav footer aside form button select option textarea input dialog menu".split())
 DROPPED_OUTSIDE = {"header"}
-#: Words of class, id and role that say the same of any element.
-ROLES = set("ad ads advert adverts advertisement adverts sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended comment comments reply replies discussion disqus footer masthead contentinfo complementary login search toolbar widget form".split())
-ROLES_OUTSIDE = set("header banner topbar alert".split())
+#: Words of class, id and role that tell of adverts, menus and the like, and words before them that say otherwise.
+ROLES = set("ad ads advert adverts advertisement adverts sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended comment comments reply replies discussion disqus footer masthead contentinfo complementary login search toolbar widget form banner topbar alert".split())
+DENIED = set("no not non has have with without is hide hidden show".split())
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 
-#: A host shows a template from so many pages on; tokens in so many of its pages may belong to it; and a text found
-#: once in every page is part of the template, even within the article, from so many pages on.
-MIN_PAGES, MIN_SHARE, FIXED_PAGES = 3, 0.5, 10
-#: Where such texts make up this share of a page's article or more, the host's pages are copies of one article, not
-#: articles in one template, and the texts stay.
-COPY_SHARE = 0.5
+#: A class belongs to a host's template if it occurs in this share of its pages.
+MIN_SHARE = 0.5
+#: A container with this share of its own in its text is not a mere frame of what it holds.
+OWN_SHARE = 0.2
+#: Of parts side by side those with this share of the largest one's text are parts of the article.
+PART_SHARE = 0.3
+#: A part named like an advert is dropped if it has less than this share of the article; one of links has this share in
+#: links.
+NAMED_SHARE, LINK_SHARE = 0.5, 0.8
 #: Templates measured to be at most so many bytes are broadcast; beyond that a host's pages go to so many tasks.
 MOST_BROADCAST, SALTS = 8 << 20, 64
 
 
+def token(*parts: str) -> int:
+    h = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 @dataclass
-class Block:
-    text: str
-    path: str
-    article: bool
-    link_chars: int
+class Node:
+    """A container of a page. chars and links: of its own blocks, those in links and others."""
+
+    token: int
+    parent: int
+    tag: str = ""
+    told: bool = False
+    article: bool = False
+    prose: float = 0.0
+    links: float = 0.0
+    text: int = 0
+    inside: list[int] = field(default_factory=list)
 
 
 @dataclass
 class Open:
     tag: str
-    path: str
+    node: int
     dropped: bool
     article: bool
     link: bool
 
 
+def names_of(marks: str) -> bool:
+    """Whether class, id and role tell of a part that is not the article."""
+    for name in marks.split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if any(w in ROLES and not (i and words[i - 1] in DENIED) for i, w in enumerate(words)):
+            return True
+    return False
+
+
 class Outline(HTMLParser):
-    """A page's blocks of text in order, and the paths of all of its elements."""
+    """A page's containers as a tree, and its blocks of text in order as (text, container)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack = [Open("", "", False, False, False)]
-        self.blocks: list[Block] = []
-        self.paths: Counter = Counter()
-        self.has_article = False
+        self.nodes = [Node(token(""), -1)]
+        self.stack = [Open("", 0, False, False, False)]
+        self.blocks: list[tuple[str, int]] = []
+        self.seen: dict[tuple[int, str], int] = {}
         self.held: list[str] = []
         self.link_chars = 0
 
@@ -75,8 +107,11 @@ class Outline(HTMLParser):
 
     def flush(self) -> None:
         if text := " ".join("".join(self.held).split()):
-            at = next(o for o in reversed(self.stack) if o.tag not in INLINE)
-            self.blocks.append(Block(text, at.path, at.article, self.link_chars))
+            node = self.nodes[self.stack[-1].node]
+            self.blocks.append((text, self.stack[-1].node))
+            node.links += min(self.link_chars, len(text))
+            node.prose += max(len(text) - self.link_chars, 0)
+            node.text = token(str(node.text), text)
         self.held, self.link_chars = [], 0
 
     def pop_to(self, tags: set[str], stop: set[str]) -> None:
@@ -94,19 +129,25 @@ class Outline(HTMLParser):
         if tag in CLOSES:
             names, stop = CLOSES[tag]
             self.pop_to(set(names.split()), stop)
-        up = self.stack[-1]
-        told = {k: v or "" for k, v in attrs}
-        marks = " ".join(told.get(k, "") for k in ("class", "id", "role"))
-        names = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower())) if marks.strip() else set()
-        article = up.article or tag in ("article", "main") or told.get("role") == "main"
-        dropped = up.dropped or tag in DROPPED or bool(names & ROLES) or "hidden" in told or (not article and (tag in DROPPED_OUTSIDE or bool(names & ROLES_OUTSIDE)))
-        path = f"{up.path}/{tag}" + (f".{re.sub(r'[0-9]+', '#', marks)}" if names else "")
-        self.paths[path] += 1
-        self.has_article |= article and not dropped
         if tag == "br":
             self.held.append("\n")
-        if tag not in VOID:
-            self.stack.append(Open(tag, path, dropped, article, up.link or tag == "a"))
+        if tag in VOID:
+            return
+        up = self.stack[-1]
+        has = {k: v or "" for k, v in attrs}
+        marks = " ".join(has.get(k, "") for k in ("class", "id", "role"))
+        told = tag not in INLINE and bool(marks.strip()) and names_of(marks)
+        own = tag in ("article", "main") or has.get("role") == "main"
+        article = up.article or own
+        dropped = up.dropped or tag in DROPPED or "hidden" in has or (not article and tag in DROPPED_OUTSIDE)
+        at = up.node
+        if not dropped and (tag in CONTAINERS or told):
+            kind = tag + "." + re.sub(r"[0-9]+", "#", marks)
+            n = self.seen[at, kind] = self.seen.get((at, kind), 0) + 1
+            self.nodes[at].inside.append(len(self.nodes))
+            self.nodes.append(Node(token(str(self.nodes[at].token), kind, str(n)), at, tag, told, own))
+            at = len(self.nodes) - 1
+        self.stack.append(Open(tag, at, dropped, article, up.link or tag == "a"))
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -120,128 +161,152 @@ class Outline(HTMLParser):
             self.link_chars += len(data) * top.link
 
 
-def token(*parts: str) -> int:
-    h = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
 @dataclass
 class Seen:
-    """What is summed up of one token of one host: pages, signature of its occurrence vector, extremes, characters."""
+    """What is summed up of one token of one host."""
 
     pages: int = 0
-    vector: int = 0
-    least: int = 1 << 62
-    most: int = 0
-    chars: int = 0
+    vector: list[int] = field(default_factory=lambda: [0, 0])
+    prose: int = 0
     links: int = 0
+    least: int = 1 << 62
+    most: int = -(1 << 62)
 
 
-def token_counts(page: Outline) -> dict[tuple[int, int, bool], list[int]]:
-    """(token, its parent's token, whether it is a text) -> [count, characters, those in links]."""
-    out = {(token(p), token(p.rpartition("/")[0]), False): [n, 0, 0] for p, n in page.paths.items()}
-    for b in page.blocks:
-        own = out.setdefault((token(b.path), token(b.path.rpartition("/")[0]), False), [1, 0, 0])
-        own[1] += len(b.text)
-        own[2] += b.link_chars
-        out.setdefault((token(b.path, b.text), token(b.path), True), [0, 0, 0])[0] += 1
-    return out
+LONGS = ("token", "parent", "pages", "vector_a", "vector_b", "prose", "links", "least", "most")
 
 
 def occurrence_vectors(pages: DataFrame, flush_at: int = 100_000) -> DataFrame:
-    """(host, token, parent, is_text, pages, vector, least, most, chars, links) for every token of every host.
+    """One row per token of a host: token, parent, pages, vector, prose, links, least and most.
 
-    vector is a 64-bit signature of the vector of counts over the host's pages (the xor of a hash of page and count),
-    so a host of any number of pages is summed up with map-side combine. Tasks sum up before they emit.
+    vector is a signature of the vector of counts over the host's pages: two sums of 31-bit hashes of page and count, so
+    repeated rows add up and a host of any number of pages is summed up with map-side combine. Tasks sum up before they
+    emit. least and most are of the hash of the token's own text: equal if it is the same in all pages.
     """
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         held: dict[tuple, Seen] = {}
 
         def flush() -> Iterator[tuple]:
-            for (host, t, parent, is_text), s in held.items():
-                yield host, t, parent, is_text, s.pages, s.vector, s.least, s.most, s.chars, s.links
+            for (host, t, parent), s in held.items():
+                yield host, t, parent, s.pages, *s.vector, s.prose, s.links, s.least, s.most
             held.clear()
 
         for host, page_id, html in it:
-            for (t, parent, is_text), (n, chars, links) in token_counts(Outline.of(html)).items():
-                s = held.setdefault((host, t, parent, is_text), Seen())
-                s.pages, s.vector = s.pages + 1, s.vector ^ token(str(page_id), str(n))
-                s.least, s.most, s.chars, s.links = min(s.least, n), max(s.most, n), s.chars + chars, s.links + links
+            page = Outline.of(html)
+            mark = token(str(page_id), "1") & ((1 << 62) - 1)  # the place tells containers apart: each occurs once
+            for n in page.nodes:
+                s = held.setdefault((host, n.token, page.nodes[n.parent].token if n.parent >= 0 else 0), Seen())
+                s.pages += 1
+                s.vector[0] += mark >> 31
+                s.vector[1] += mark & ((1 << 31) - 1)
+                s.prose, s.links = s.prose + int(n.prose), s.links + int(n.links)
+                s.least, s.most = min(s.least, n.text >> 2), max(s.most, n.text >> 2)
             if len(held) >= flush_at:
                 yield from flush()
         yield from flush()
 
-    longs = ("pages", "vector", "least", "most", "chars", "links")
-    arrow = pa.schema([("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), *((c, pa.int64()) for c in longs)])
-    parts = arrow_map(pages, rows, f"host string, token long, parent long, is_text boolean, {', '.join(f'{c} long' for c in longs)}", arrow, chunk=64)
-    sums = (F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    return parts.groupBy("host", "token", "parent", "is_text").agg(*sums)
+    arrow = pa.schema([("host", pa.string()), *((c, pa.int64()) for c in LONGS)])
+    parts = arrow_map(pages, rows, f"host string, {', '.join(f'{c} long' for c in LONGS)}", arrow, chunk=64)
+    sums = [F.sum(c).alias(c) for c in ("pages", "vector_a", "vector_b", "prose", "links")]
+    return parts.groupBy("host", "token", "parent").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed, linky): per host the tokens of texts that belong to its template, and of elements that hold links.
+    """(host, tokens): the containers of each host's template, as structs of token, prose and links on the mean of the
+    pages that have it, and fixed: its own text is the same in all pages of the host, of which there are two or more.
 
-    Tokens of a host with one occurrence vector are an equivalence class. A class is valid if its pages are many
-    enough and its tokens nest: each one's parent is a token of a class with at least the same pages. The class that
-    occurs once in every page is the template's root; valid classes below it are its repeated parts.
+    Tokens of a host with one occurrence vector are an equivalence class. A class is valid if MIN_SHARE of the host's
+    pages have it and its tokens nest: each one's parent is a token that as many pages have. The class of the page
+    itself, which all pages have, is the template's root; the others lie in it or in one another.
     """
     tokens = cut(occurrence_vectors(pages))
-    shared = tokens.where(F.col("pages") >= MIN_PAGES * MIN_SHARE)  # a token of fewer pages is in no host's template
-    hosts = tokens.where(~F.col("is_text")).groupBy("host").agg(F.max("pages").alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
+    hosts = tokens.where("parent = 0").groupBy("host").agg(F.sum("pages").alias("n_pages"))
     # A host may hold a third of all tokens, so they meet their host's figures in SALTS places.
     salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = shared.withColumn("salt", F.pmod("token", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"]).drop("salt")
+    dealt = tokens.withColumn("salt", F.pmod("token", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"]).drop("salt")
     often = cut(dealt.where(F.col("pages") >= MIN_SHARE * F.col("n_pages")))  # fewer for each host than two pages have
-    parents = often.where(~F.col("is_text")).select("host", F.col("token").alias("parent"), F.col("pages").alias("parent_pages"))
-    nests = F.coalesce(F.col("parent_pages") >= F.col("pages"), F.lit(True))
-    classes = often.join(parents, ["host", "parent"], "left").groupBy("host", "vector", "pages", "n_pages").agg(F.bool_and(nests).alias("valid"), F.collect_list(F.struct("token", "is_text", "least", "most", "chars", "links")).alias("members"))
-    root = (F.col("pages") == F.col("n_pages")) & (F.col("n_pages") >= FIXED_PAGES)
-    fixed = F.transform(F.filter("members", lambda m: m["is_text"] & root & (m["least"] == 1) & (m["most"] == 1)), lambda m: m["token"])
-    linky = F.transform(F.filter("members", lambda m: ~m["is_text"] & (m["chars"] > 0) & (m["links"] >= 0.8 * m["chars"])), lambda m: m["token"])
-    told = classes.where("valid").select("host", fixed.alias("fixed"), linky.alias("linky")).where("size(fixed) + size(linky) > 0")
-    return told.groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("fixed"), F.flatten(F.collect_list("linky")).alias("linky"))
-
-
-def slots(page: Outline, fixed: frozenset[int] = frozenset(), linky: frozenset[int] = frozenset()) -> str:
-    """The text of the slots that the template leaves: all blocks of the article, or of the page if it marks none.
-
-    Template texts stay where they are COPY_SHARE of its characters or more: there the pages repeat one article.
+    parents = often.select("host", F.col("token").alias("parent"), F.col("pages").alias("parent_pages"))
+    nests = (F.col("parent") == 0) | F.coalesce(F.col("parent_pages") >= F.col("pages"), F.lit(False))
+    mean = lambda c: (F.col(c) / F.col("pages")).alias(c)
+    fixed = ((F.col("least") == F.col("most")) & (F.col("pages") == F.col("n_pages")) & (F.col("n_pages") > 1)).alias("fixed")
+    member = F.struct("token", mean("prose"), mean("links"), fixed)
+    classes = often.join(parents, ["host", "parent"], "left").groupBy("host", "vector_a", "vector_b", "pages").agg(F.bool_and(nests).alias("valid"), F.collect_list(member).alias("members"))
+    return classes.where("valid").groupBy("host").agg(F.flatten(F.collect_list("members")).alias("tokens"))
+
+
+def slots(page: Outline, template: dict[int, tuple[float, float, bool]] | None = None) -> str:
+    """The text of the article: the blocks of the page's main slots, in order.
+
+    From the page downwards a container that mostly frames others is left for those of them that hold most text; one
+    with much text of its own, or marked as an article, is the slot. A container of the template counts as its host's
+    mean, another as it is. Within the slot parts go that are named like adverts and small, that (unless the slot is
+    marked as an article) hold links only, or that repeat one text in all pages of a host whose articles differ.
     """
-    inside = [b for b in page.blocks if b.article or not page.has_article]
-    kept = [b for b in inside if token(b.path, b.text) not in fixed] if fixed else inside
-    if sum(len(b.text) for b in kept) <= (1 - COPY_SHARE) * sum(len(b.text) for b in inside):
-        kept = inside
-    if not page.has_article:
-        kept = [b for b in kept if token(b.path) not in linky]
-    return "\n".join(b.text for b in kept)
+    template = template or {}
+    nodes = page.nodes
+    prose, links, marked = [0.0] * len(nodes), [0.0] * len(nodes), [False] * len(nodes)
+    own = [template.get(n.token, (n.prose, n.links, False)) for n in nodes]
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        prose[i] += own[i][0]
+        links[i] += own[i][1]
+        marked[i] |= nodes[i].article
+        if nodes[i].parent >= 0 and not (nodes[i].told and not marked[i]):
+            up = nodes[i].parent
+            prose[up], links[up], marked[up] = prose[up] + prose[i], links[up] + links[i], marked[up] or marked[i]
+    mostly_links = lambda i: links[i] >= LINK_SHARE * (links[i] + prose[i]) and links[i] > 0
+    main: set[int] = set()
+    todo = [0]
+    while todo:
+        i = todo.pop()
+        n = nodes[i]
+        held = [k for k in n.inside if marked[k] or not (nodes[k].told or mostly_links(k))]
+        believed = n.article and (n.tag == "article" or not any(marked[k] for k in n.inside))  # a main may frame articles
+        if believed or not held or (own[i][0] >= OWN_SHARE * prose[i] and not any(marked[k] for k in held)):
+            main.add(i)
+            continue
+        most = max(prose[k] for k in held)
+        least = PART_SHARE * max((prose[k] for k in held if marked[k]), default=most)
+        todo += [k for k in held if marked[k] or prose[k] >= least]
+    slot = [-1] * len(nodes)  # the main slot that a container lies in, or -1
+    for i, n in enumerate(nodes):
+        up = n.parent
+        if i in main:
+            slot[i] = i
+        elif up >= 0 and slot[up] >= 0:
+            top = slot[up]
+            named = n.told and not marked[i] and prose[i] < NAMED_SHARE * prose[top]
+            menu = not nodes[top].article and mostly_links(i)
+            repeated = own[i][2] and not own[top][2] and not n.inside and prose[i] < NAMED_SHARE * prose[top]
+            slot[i] = -1 if named or menu or repeated else top
+    return "\n".join(text for text, i in page.blocks if slot[i] >= 0)
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    A null html is an empty page; text is empty where a page has none. Pages of one host share its template; a null
-    url has the empty host, and hosts of too few pages have no template. Repeated rows are extracted alike; an empty
-    table gives no rows. Other columns are not read.
+    A null html is an empty page; text is empty where a page has none. Pages of one host share its template; a null url
+    has the empty host. The template of a host of one page is that page: nothing is told apart by the number of pages.
+    Repeated rows are extracted alike; an empty table gives no rows. Other columns are not read.
     """
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
     templates = cut(deduce_templates(p.select("host", "page_id", "html")))
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        known: dict[str, tuple] = {}
-        for i, u, h, host, fixed, linky in it:
+        known: dict[str, dict] = {}
+        for i, u, h, host, tokens in it:
             if len(known) > 1000:
                 known.clear()
             if host not in known:
-                known[host] = frozenset(fixed or ()), frozenset(linky or ())
-            text = slots(Outline.of(h), *known[host])
+                known[host] = {t["token"]: (t["prose"], t["links"], t["fixed"]) for t in tokens or ()}
+            text = slots(Outline.of(h), known[host])
             yield i, u, text, len(text)
 
-    size = templates.agg(F.coalesce(F.sum(F.length("host") * 4 + 64 + 8 * (F.size("fixed") + F.size("linky"))), F.lit(0)).alias("bytes")).first().bytes
+    size = templates.agg(F.coalesce(F.sum(F.length("host") * 4 + 64 + 40 * F.size("tokens")), F.lit(0)).alias("bytes")).first().bytes
     if size <= MOST_BROADCAST:
         joined = p.join(F.broadcast(templates), "host", "left")
     else:  # the pages of a host of any size are dealt to SALTS tasks
         salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    joined = joined.select("page_id", "url", "html", "host", "fixed", "linky")
+    joined = joined.select("page_id", "url", "html", "host", "tokens")
     return arrow_map(joined, rows, "page_id long, url string, text string, n_chars long", pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]), chunk=64)
