@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import operator
+import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,10 +16,12 @@ from pyspark.sql import functions as F
 from quire.llm.common import arrow_map, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: The most labelled texts that are learned from, and the most lines of each.
-MAX_TRAIN, MAX_LINES = 1500, 64
+#: The most labelled texts that are learned from, and the most lines of each: of a longer text a window of so many.
+MAX_TRAIN, MAX_LINES = 1500, 256
 CONTENT_SHARE = 0.5
-N_FEATURES = 15
+#: Phrases of notices, menus and forms.
+NOTICE = re.compile(r"(?i)\b(?:licen[sc]ed?|copyright|rights reserved|terms of (?:use|service)|privacy policy|cookies?|subscribe|newsletter|sign (?:up|in)|log ?in|click here|read more|share this|powered by)\b|©|\(c\)|://")
+FEATURES = ("one", "log_words", "short", "symbols", "upper", "digits", "seen", "same_as_last", "same", "ends", "bangs", "capital", "notice", "first", "word_chars", "marked", "bars")
 
 
 def repeated_words(words: list[bytes], width: int = 5) -> int:
@@ -65,25 +69,39 @@ def base_figures(text: str | None, words: list[bytes]) -> Base:
 
 
 def line_features(text: str | None) -> tuple[list[list[float]], list[int]]:
-    """Features and number of words of every line that has a word."""
+    """FEATURES and number of words of every line that has a word."""
     rows, sizes, seen = [], [], set()
     for line in (text or "").split("\n"):
         words = words_of(line)
         if not words:
             continue
         n, chars = len(words), len(line)
-        different = len(set(words))
-        upper = sum(w.isupper() for w in words)
+        symbols = sum(map(line.count, SYMBOLS))
         rows.append([
-            1.0, min(math.log1p(n) / 4, 2), 1.0 if n < 4 else 0.0, min(sum(map(line.count, SYMBOLS)) / n, 2), upper / n, min(4 * sum(map(line.count, "0123456789")) / chars, 2),
-            1.0 if line in seen else 0.0, sum(map(operator.eq, words, words[1:])) / n, 1 - different / n if n > 5 else 0.0, 1.0 if line.rstrip()[-1:] in ".!?\"'" else 0.0,
-            min(line.count("!") / n, 2), 1.0 if line[:1].isupper() else 0.0, 1.0 if "://" in line or "©" in line else 0.0, 1.0 if not rows else 0.0, min(chars / n / 10, 2),
+            1.0, min(math.log1p(n) / 4, 2), 1.0 if n < 4 else 0.0, min(symbols / n, 2), sum(w.isupper() for w in words) / n, min(4 * sum(map(line.count, "0123456789")) / chars, 2),
+            1.0 if line in seen else 0.0, sum(map(operator.eq, words, words[1:])) / n, 1 - len(set(words)) / n if n > 5 else 0.0, 1.0 if line.rstrip()[-1:] in ".!?\"'" else 0.0,
+            min(line.count("!") / n, 2), 1.0 if line[:1].isupper() else 0.0, 1.0 if NOTICE.search(line) else 0.0, 1.0 if not rows else 0.0, min(chars / n / 10, 2),
+            sum(len(w) > 1 and w[-1] in _MARKS for w in words) / n if symbols else 0.0, words.count(b"|") / n if symbols else 0.0,
         ])
         sizes.append(n)
         seen.add(line)
     return rows, sizes
 
 
+_MARKS = SYMBOLS.encode()
+#: A line of a bad text is boilerplate if one of these is reached: words that end in a symbol, bars between words,
+#: words in capitals, words that repeat the one before. The others, and those of good texts, are content; notices are
+#: boilerplate in either.
+JUNK = {"marked": 0.5, "bars": 0.2, "upper": 0.5, "same_as_last": 0.4}
+_AT = {name: i for i, name in enumerate(FEATURES)}
+
+
+def weak_labels(rows: list[list[float]], quality: int) -> list[int]:
+    """What each line of a text of this quality is taken for in training: 1 content, 0 boilerplate."""
+    junk = lambda x: quality == 0 and any(x[_AT[name]] >= least for name, least in JUNK.items())
+    return [0 if x[_AT["notice"]] or junk(x) else 1 for x in rows]
+
+
 @dataclass
 class Chain:
     """Emissions (2 x features), transitions (from x to) and start weights; label 1 is content, 0 boilerplate."""
@@ -115,66 +133,89 @@ def log_add(x: np.ndarray, axis: int) -> np.ndarray:
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
 
 
-def fit(sequences: list[list[list[float]]], labels: list[int], rounds: int = 80, rate: float = 0.1, decay: float = 1e-3) -> Chain:
-    """Maximum likelihood by Adam; expectations come from forward-backward over all sequences at once. labels: one
-    for each sequence, which all of its lines have. Without sequences every line is content."""
-    p = [np.zeros((2, N_FEATURES)), np.zeros((2, 2)), np.array([0.0, 1e-3])]
-    kept = [(s[:MAX_LINES], y) for s, y in zip(sequences, labels) if s]
+def expected(x: np.ndarray, mask: np.ndarray, p: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over sequences of up to len(x) lines at once: expected features by label, pairs of labels and
+    first labels. x: (lines, sequences, features); mask: whether a sequence has that line."""
+    steps, n = mask.shape
+    e = x @ p[0].T
+    f = np.zeros((steps, n, 2))
+    f[0] = p[2] + e[0]
+    for k in range(1, steps):
+        f[k] = np.where(mask[k][:, None] > 0, log_add(f[k - 1][:, :, None] + p[1], 1) + e[k], f[k - 1])
+    z = log_add(f[-1], 1)
+    b, pairs = np.zeros((n, 2)), np.zeros((2, 2))
+    gone = np.zeros((steps, n, 2))
+    gone[-1] = np.exp(f[-1] + b - z[:, None])
+    for k in range(steps - 1, 0, -1):
+        on = mask[k][:, None, None] > 0
+        joint = f[k - 1][:, :, None] + p[1] + (e[k] + b)[:, None, :]
+        pairs += (np.exp(joint - z[:, None, None]) * on).sum(0)
+        b = np.where(on[:, :, 0], log_add(p[1] + (e[k] + b)[:, None, :], 2), b)
+        gone[k - 1] = np.exp(f[k - 1] + b - z[:, None])
+    return np.einsum("tnf,tn,tnk->kf", x, mask, gone, optimize=True), pairs, gone[0].sum(0)
+
+
+def fit(sequences: list[list[list[float]]], labels: list[list[int]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Chain:
+    """Maximum likelihood by Adam; labels: one for each line of each sequence. Sequences of like lengths are worked on
+    together. Without lines every line is content."""
+    p = [np.zeros((2, len(FEATURES))), np.zeros((2, 2)), np.array([0.0, 1e-3])]
+    kept = sorted(((s, y) for s, y in zip(sequences, labels) if s), key=lambda r: len(r[0]))
     if not kept:
         return Chain(*p)
-    n, steps = len(kept), max(len(s) for s, _ in kept)
-    x, mask = np.zeros((steps, n, N_FEATURES)), np.zeros((steps, n))
-    for i, (s, _) in enumerate(kept):
-        x[: len(s), i], mask[: len(s), i] = s, 1
-    y = np.array([v for _, v in kept])
-    hot = np.eye(2)[y]
-    lines = mask.sum()
-    count = np.array([((mask.sum(0) - 1) * (y == k)).sum() for k in (0, 1)])
-    seen_emit = np.einsum("tnf,tn,nk->kf", x, mask, hot)
+    seen = [np.zeros_like(a) for a in p]
+    groups: list[tuple[np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(kept):
+        end = next((i for i in range(at, len(kept)) if len(kept[i][0]) > 2 * len(kept[at][0])), len(kept))
+        part = kept[at:end]
+        x, mask = np.zeros((len(part[-1][0]), len(part), len(FEATURES))), np.zeros((len(part[-1][0]), len(part)))
+        for i, (s, y) in enumerate(part):
+            x[: len(s), i], mask[: len(s), i] = s, 1
+            hot = np.eye(2)[y]
+            seen[0] += hot.T @ np.array(s)
+            seen[1] += hot[:-1].T @ hot[1:]
+            seen[2] += hot[0]
+        groups.append((x, mask))
+        at = end
+    lines = sum(mask.sum() for _, mask in groups)
     first, second = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, rounds + 1):
-        e = x @ p[0].T
-        f = np.zeros((steps, n, 2))
-        f[0] = p[2] + e[0]
-        for k in range(1, steps):
-            f[k] = np.where(mask[k][:, None] > 0, log_add(f[k - 1][:, :, None] + p[1], 1) + e[k], f[k - 1])
-        z = log_add(f[-1], 1)
-        b, pairs = np.zeros((n, 2)), np.zeros((2, 2))
-        gone = np.zeros((steps, n, 2))
-        gone[-1] = np.exp(f[-1] + b - z[:, None])
-        for k in range(steps - 1, 0, -1):
-            on = mask[k][:, None, None] > 0
-            joint = f[k - 1][:, :, None] + p[1] + (e[k] + b)[:, None, :]
-            pairs += (np.exp(joint - z[:, None, None]) * on).sum(0)
-            b = np.where(on[:, :, 0], log_add(p[1] + (e[k] + b)[:, None, :], 2), b)
-            gone[k - 1] = np.exp(f[k - 1] + b - z[:, None])
-        grads = [(np.einsum("tnf,tn,tnk->kf", x, mask, gone) - seen_emit) / lines + decay * p[0], (pairs - np.diag(count)) / lines + decay * p[1], (gone[0] - hot).sum(0) / lines + decay * p[2]]
-        for a, m, v, g in zip(p, first, second, grads):
+        sums = [sum(parts) for parts in zip(*(expected(x, mask, p) for x, mask in groups))]
+        for a, m, v, want, have in zip(p, first, second, seen, sums):
+            g = (have - want) / lines + decay * a
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             a -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Chain(*p)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> Chain:
-    """Fits the chain to the lines of labelled texts: those of good texts are content, those of bad ones boilerplate.
+def window(rows: list, name: str, most: int) -> list:
+    """All of rows, or `most` of them in a row, from a place that the name's hash decides."""
+    if len(rows) <= most:
+        return rows
+    at = zlib.crc32(name.encode()) % (len(rows) - most + 1)
+    return rows[at : at + most]
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN, max_lines: int = MAX_LINES) -> Chain:
+    """Fits the chain to the lines of labelled texts, each line labelled by weak_labels().
 
-    It learns from at most `max_train` texts (those with the least hashes of their ids) and the first MAX_LINES lines
-    of each; only these lines' figures reach the driver. A doc_id with several labels has the largest.
+    It learns from at most `max_train` texts (those with the least hashes of their ids) and of each from at most
+    `max_lines` lines; only these lines' figures reach the driver. A doc_id with several labels has the largest, one
+    with several texts the first of them by code point; null ids and labels are left out.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     y_of = {r.id: r.y for r in known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train).collect()}
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in y_of], "id long"))  # max_train rows at most
-    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(wanted, "id", "left_semi")
+    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
 
     def rows(it):
         for i, t in it:
-            yield i, line_features(t)[0][:MAX_LINES]
+            yield i, window(line_features(t)[0], str(i), max_lines)
 
     arrow = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.list_(pa.float64())))])
-    made = arrow_map(found, rows, "id long, x array<array<double>>", arrow).limit(2 * max_train).collect()
-    made.sort(key=lambda r: (r.id, r.x))
-    return fit([r.x for r in made], [y_of[r.id] for r in made])
+    made = sorted(arrow_map(found, rows, "id long, x array<array<double>>", arrow).collect(), key=lambda r: r.id)
+    return fit([r.x for r in made], [weak_labels(r.x, y_of[r.id]) for r in made])
 
 
 def judge(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
