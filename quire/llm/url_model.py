@@ -24,34 +24,47 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: The labelled URL table: hosts with paths that are to be blocked, and such that are to be allowed.
+#: The labelled URL table, written by hand from everyday words: kinds of hosts and pages that corpora leave out, and
+#: such that they keep.
 BLOCKED = """
-casino-win.example.org/en/14 www.casino-royal.example.net/play m.bet-casino.example.org/de/30 online-casino.test/slots
-lucky-casino.test/bonus/ poker-win.example.org/fr/9 blog.slots-win.example.net/en/7 jackpot-win.test/join
-free-bets.example.net/de/963 m.free-bets.example.org/en/27 sports-bets.test/odds best-bets.example.org/es/4
-www.bets-online.example.net/en/81 free-spins.example.org/en/5 blog.free-coins.test/claim free-money.example.net/en/2
-cheap-pills.example.org/en/680 www.cheap-pills.example.net/fr/176 m.buy-pills.example.org/en/3 diet-pills.test/order
-cheap-meds.example.org/de/12 cheap-viagra.test/buy blog.cheap-loans.example.net/en/8 pills-shop.example.org/es/40
-spam-farm.example.org/en/728 www.spam-farm.example.net/de/5 link-farm.example.org/en/61 blog.seo-farm.test/links
-spam-links.example.net/en/12 content-farm.example.org/fr/33 m.spam-mail.test/list click-farm.example.org/en/10
-ads-track.example.org/en/584 m.ads-track.example.net/en/9 www.ads-serve.example.org/de/2 track-ads.test/pixel
-popup-ads.example.org/en/71 banner-ads.example.net/en/15 click-track.test/go blog.ads-network.example.org/es/6
-adult-x.example.org/en/45 www.adult-x.example.net/en/6 m.adult-cams.example.org/de/8 x-adult.test/videos
-porn-tube.test/watch sex-cams.example.org/en/1 xxx-videos.example.net/fr/20 adult-dating.example.org/en/77
+casino.test/play royal-casino.test/slots/ www.casino-games.test/bonus online-casino.test/en/free-spins casinobonus.test/
+poker-room.test/join free-poker.test/tables www.pokerstake.test/ slots-jackpot.test/win jackpot.test/spin/3 winbig.test/lottery
+bet-now.test/odds sports-betting.test/football www.betting.test/live bets24.test/ roulette-online.test/wheel win-money.test/now
+cheap-pills.test/order buy-pills-online.test/ pharmacy-discount.test/viagra viagra-cialis.test/buy www.pills.test/cheap diet-pills.test/slim
+buy-meds.test/no-prescription replica-watches.test/rolex cheap-handbags.test/outlet fake-diploma.test/order essay-mill.test/price
+porn.test/videos free-porn-tube.test/watch xxx-clips.test/4 www.sex-chat.test/live adult-cams.test/models sexdating.test/join
+adult-videos.test/new hot-escorts.test/city nude-pics.test/gallery erotic-stories.test/17 adultfriends.test/login
+ads.test/click adserver.test/banner www.ad-network.test/serve track-clicks.test/pixel adtracker.test/redirect popads.test/show
+banner-exchange.test/ affiliate-offers.test/go?id=3 click-bank.test/hop doubleads.test/imp tracking-pixel.test/t.gif
+spam.test/list spam-links.test/ link-farm.test/exchange seo-links.test/buy-backlinks www.spamblog.test/2 backlink-farm.test/add
+content-farm.test/how-to scraper-site.test/copy bulk-mail.test/send email-blast.test/lists spammers.test/tools
+free-iphone.test/claim prize-winner.test/you-won get-rich-quick.test/system payday-loan.test/apply cheap-loans.test/now
+work-from-home-cash.test/start crypto-doubler.test/send free-gift-cards.test/generator bitcoin-profit.test/invest miracle-cure.test/buy
+secure-login-verify.test/account phish-bank.test/signin update-your-password.test/confirm warez.test/crack keygen-download.test/serial
+torrent-movies.test/free pirated-software.test/full free-downloads.test/setup.exe malware-host.test/payload hack-tool.test/generator
 """
 ALLOWED = """
-thther.example.org/en/685 ththed.example.org/de/252 www.ththwh.example.org/en/471 blog.ththly.example.org/en/777
-therti.example.org/en/334 www.therti.example.org/en/618 therhe.example.org/en/10 ththin.example.org/fr/671
-blog.thertion.example.org/es/978 thersh.example.org/en/63 ththst.example.org/en/122 theron.example.net/en/93
-therin.example.net/en/770 blog.tionsh.example.net/en/533 therat.example.net/en/251 blog.ththan.example.net/en/960
-m.ththth.example.net/en/25 thernd.example.net/de/612 ththble.example.net/en/797 blog.theren.example.net/en/455
-tiontion.example.org/en/12 tionble.example.net/de/40 thonth.example.org/en/55 ononer.example.net/en/18
-therre.example.org/en/58 ererin.example.org/en/4 ingthe.example.net/de/9 www.handre.example.org/fr/66
-m.restion.example.net/en/31 blog.edlyhe.example.org/en/73 statou.example.org/es/15 www.whatth.example.net/en/2
 library.test/catalogue news.test/2021/05/report museum.test/visit university.test/courses/history weather.test/today
 gardening.test/roses recipes.test/bread science.test/articles/42 travel-notes.test/norway/fjords river-history.test/maps
-city-council.test/minutes school-board.test/en/8 old-maps.example.org/en/19 open-data.example.net/en/3
-blog.knitting.test/patterns history.example.org/en/1 m.chess-club.example.org/de/5 book-review.example.net/en/27
+city-council.test/minutes school-board.test/en/8 old-maps.test/en/19 open-data.test/en/3 book-review.test/en/27
+blog.knitting.test/patterns history.test/en/1 m.chess-club.test/de/5 birdwatching.test/spring mountains.test/hikes/12
+www.theatre.test/programme orchestra.test/season poetry.test/translations/8 philosophy.test/essays/kant grammar.test/verbs
+parliament.test/debates/2019 court-records.test/cases/77 statistics.test/tables/population census.test/1901 treaty.test/text
+hospital.test/departments medicine.test/journal/3/12 anatomy.test/heart nutrition.test/vegetables vaccines.test/schedule
+physics.test/lectures/waves chemistry.test/elements/iron mathematics.test/proofs/primes biology.test/cells astronomy.test/planets/mars
+software.test/docs/install opensource.test/project/readme programming.test/tutorial/loops database.test/manual/index kernel.test/changelog
+railway.test/timetable harbour.test/ferries airport.test/arrivals bicycle.test/repair cars.test/engines/diesel
+football-club.test/fixtures swimming.test/results olympics.test/1936 tennis.test/rules athletics.test/records
+cooking.test/soup bakery.test/cake wine.test/regions tea-house.test/menu cheese.test/kinds
+painting.test/baroque sculpture.test/rodin photography.test/lenses architecture.test/gothic cinema.test/reviews/44
+bibliothek.test/de/katalog zeitung.test/de/politik/22 wetter.test/de/heute kochen.test/de/suppe geschichte.test/de/mittelalter
+stadtrat.test/de/protokoll schule.test/de/unterricht wandern.test/de/alpen musik.test/de/lieder garten.test/de/rosen
+bibliotheque.test/fr/livres journal.test/fr/monde/9 cuisine.test/fr/pain histoire.test/fr/roi jardin.test/fr/fleurs
+musee.test/fr/visite ecole.test/fr/cours montagne.test/fr/chemins poesie.test/fr/vers mairie.test/fr/conseil
+biblioteca.test/es/libros periodico.test/es/mundo/31 cocina.test/es/sopa historia.test/es/reyes jardines.test/es/flores
+museo.test/es/visita escuela.test/es/clases montes.test/es/rutas poemas.test/es/versos ayuntamiento.test/es/plenos
+www.harvest.test/en/402 blog.winter-tales.test/en/55 m.lanterns.test/en/930 forum.sailing.test/en/218 shop.pottery.test/en/67
+wiki.geology.test/en/743 archive.letters.test/en/86 notes.linguist.test/en/311 static.weaving.test/en/5.html orchard.test/en/690.html
 """
 
 
@@ -75,15 +88,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-@lru_cache(maxsize=100_000)
-def part_grams(part: str) -> tuple[int, ...]:
+def part_grams(part: str) -> frozenset[int]:
     raw = part.encode("utf-8", "surrogatepass")
-    return tuple({zlib.crc32(raw[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(raw) - n + 1)})
+    return frozenset(zlib.crc32(raw[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(raw) - n + 1))
+
+
+#: Hosts recur; only short ones are held, so the cache has a bound.
+short_grams = lru_cache(maxsize=8192)(part_grams)
 
 
 def grams(host: str, path: str) -> list[int]:
-    """Buckets of the n-grams of a host (its ends marked) and of a path."""
-    return sorted({*part_grams(f"h^{host}$"), *part_grams(f"p{path}$")})
+    """Buckets of the n-grams of a host (its ends and labels marked) and of a path."""
+    whole = f"h^{host}$"
+    return sorted((short_grams if len(whole) <= 128 else part_grams)(whole) | part_grams(f"p{path}$"))
 
 
 @dataclass
@@ -106,20 +123,41 @@ def split_row(entry: str) -> tuple[str, str]:
     return host, "/" + path
 
 
-def fit(blocked: str = BLOCKED, allowed: str = ALLOWED, rounds: int = 1500, rate: float = 4.0, decay: float = 2e-4) -> UrlModel:
-    """Gradient descent with a quadratic penalty over the small labelled table; deterministic."""
-    rows = [(split_row(e), 1.0) for e in blocked.split()] + [(split_row(e), 0.0) for e in allowed.split()]
+#: The log odds of blocking before any n-gram is met.
+PRIOR = -1.0
+
+#: Surroundings that say nothing of a site: what may stand before and behind its name, and paths.
+BEFORE, BEHIND = ("", "www.", "m.", "blog."), (".example.com", ".example.org", ".example.net", ".test")
+PATHS = ("/", "/en/{}", "/de/{}.html", "/fr/{}", "/es/{}", "/en/{}.html", "/{}", "")
+
+
+def varied(entries: str, times: int = 4) -> list[tuple[str, str]]:
+    """(host, path) of each entry, and `times` more with its name in other surroundings, the same for either label, so
+    that these don't tell."""
+    out = []
+    for k, (host, path) in enumerate(map(split_row, entries.split())):
+        out.append((host, path))
+        name = host.rpartition(".")[0].split(".")[-1]
+        for n in range(times):
+            v = k * times + n
+            out.append((BEFORE[v % 4] + name + BEHIND[v // 4 % 4], PATHS[v % 8].format(v * 37 % 9973)))
+    return out
+
+
+def fit(blocked: str = BLOCKED, allowed: str = ALLOWED, rounds: int = 800, rate: float = 4.0, decay: float = 5e-5) -> UrlModel:
+    """Gradient descent with a quadratic penalty over the small labelled table; deterministic. The bias is not learned:
+    it says that most sites whose letters tell nothing are to be allowed, whatever the table's shares are."""
+    rows = [(r, 1.0) for r in varied(blocked)] + [(r, 0.0) for r in varied(allowed)]
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, ((host, path), _) in enumerate(rows):
         at = grams(host, path)
         x[i, at] = 1 / max(len(at), 1) ** 0.5
     y = np.array([v for _, v in rows], np.float32)
     met = np.flatnonzero(x.any(0))
-    x, w, bias = x[:, met], np.zeros(len(met), np.float32), 0.0
+    x, w, bias = x[:, met], np.zeros(len(met), np.float32), PRIOR
     for _ in range(rounds):
         g = (1 / (1 + np.exp(-(x @ w + bias))) - y) / len(y)
         w -= rate * (x.T @ g + decay * w)
-        bias -= rate * float(g.sum())
     weights = np.zeros(BUCKETS, np.float32)
     weights[met] = w
     return UrlModel(bias, weights)
