@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -71,6 +71,22 @@ def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], least: int =
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(told.where(is_hot).select(*keys)), keys, "left_anti").join(rest, keys))
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with columns that hold the sum of a long over all rows before this one in `order` (0 for the first).
+
+    Rows are dealt out by ranges of the order and stored; only one row for each range is summed up in one task.
+    """
+    dealt = df.withColumns({f"of_{name}": c.cast("long") for name, c in sums.items()}).repartitionByRange(*order)
+    dealt = cut(dealt.withColumn("range_", F.spark_partition_id()))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("range_").agg(*(F.sum(f"of_{name}").alias(name) for name in sums))
+    totals = totals.select("range_", *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"upto_{name}") for name in sums))
+    inside = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    told = dealt.join(F.broadcast(totals), "range_")  # a row for each range
+    made = {name: F.col(f"upto_{name}") + F.coalesce(F.sum(f"of_{name}").over(inside), F.lit(0)) for name in sums}
+    return told.withColumns(made).select(*df.columns, *sums)
+
+
 #: A table of keys measured to be at most so many rows of 32 bytes is broadcast.
 MOST_KEYS = 250_000
 
