@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
+from quire.functions import text
 from quire.operators import cost, lines, packages, pages, summaries
-from quire.sources import containers
+from quire.sources import containers, convert
 from quire.streaming import recognize
 
 #: Programs that a command may need: (name, whether nothing works without it).
@@ -30,18 +31,37 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def import_scans(spark: SparkSession, a: argparse.Namespace) -> bool:
-    """Scans of a folder, or the images of archives below it, as a table of numbered pages."""
+    """Scans of a folder, or the pages of archives or PDFs below it, as a table of numbered pages. A book that has
+    imported pages is not imported again, and a source without any page is an error."""
     if a.archives:
         found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{cbz,zip}").load(a.source).select(F.lit(a.book).alias("book"), "content")
         images = containers.archived_images(found, ["book"]).select("book", "stem", "ext", "name", F.length("content").cast("long").alias("size"), "content", "page_no")
+    elif a.pdf:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(a.source).select(F.lit(a.book).alias("book"), "content")
+        rendered = convert.pdf_pages(found, ["book"]).where("error is null")
+        images = rendered.select("book", F.lit("").alias("stem"), F.lit("png").alias("ext"), F.lit("").alias("name"), F.length("content").cast("long").alias("size"), "content", "page_no")
     else:
         found = pages.importable(containers.scan_images(spark, a.source)).withColumn("book", F.lit(a.book))
-        images = pages.numbered(found).select("book", "stem", "ext", "name", "size", "content", "page_no")
-    named = images.withColumn("stem", F.format_string("page_%03d", F.col("page_no"))).drop("page_no")
-    named.write.mode("append").parquet(a.out)
+        images = convert.heic_to_jpg(pages.numbered(found)).where("error is null").select("book", "stem", "ext", "name", "size", "content", "page_no")
+    try:
+        existing = read(spark, a.out, schemas.PAGE_IMAGES).where(F.col("book") == a.book)
+        blocked = not pages.importable_books(spark.createDataFrame([(a.book,)], "book string"), existing).where("blocked").isEmpty()
+    except Exception as e:  # nothing has been written yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        blocked = False
+    if not blocked:
+        images.withColumn("stem", F.format_string("page_%03d", F.col("page_no"))).drop("page_no").write.mode("append").parquet(a.out)
     n = read(spark, a.out, schemas.PAGE_IMAGES).where(F.col("book") == a.book).count()
-    tell(spark.range(1).select(summaries.event_line(F.lit("imported"), F.lit(a.book).alias("book"), F.lit(n).alias("pages")).alias("line")), 1)
-    return n > 0
+    tell(spark.range(1).select(summaries.event_line(F.lit("blocked" if blocked else "imported"), F.lit(a.book).alias("book"), F.lit(n).alias("pages")).alias("line")), 1)
+    return n > 0 and not blocked
+
+
+def init(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """A row of metadata for a new book; its slug is made from the title."""
+    row = spark.createDataFrame([(a.title, a.author, a.lang, a.year)], "title string, author string, lang string, year string")
+    row.select(text.slugify(F.col("title")).alias("slug"), "title", "author", F.lit(None).cast("string").alias("translator"), "lang", "year").write.mode("append").parquet(a.books)
+    return True
 
 
 def recognize_pages(spark: SparkSession, a: argparse.Namespace) -> bool:
@@ -51,16 +71,51 @@ def recognize_pages(spark: SparkSession, a: argparse.Namespace) -> bool:
     return left == 0
 
 
+def book_rows(spark: SparkSession, path: str) -> DataFrame:
+    return read(spark, path, schemas.BOOKS).select(F.col("slug").alias("book"), "title", "author", "lang", "year", text.split_authors(F.coalesce("author", F.lit(""))).alias("authors"))
+
+
 def merge(spark: SparkSession, a: argparse.Namespace) -> bool:
-    texts, books = read(spark, a.texts, schemas.PAGE_TEXT), read(spark, a.books, schemas.BOOKS)
-    merged = lines.merge_books(texts, books.select(F.col("slug").alias("book"), "title", "author", "lang", "year"))
-    merged.write.mode("overwrite").parquet(a.out)
+    """The page texts of each book as one, with its front matter; contents blocks go if --toc is given."""
+    texts, books = read(spark, a.texts, schemas.PAGE_TEXT).where("md is not null").dropDuplicates(["book", "stem"]), book_rows(spark, a.books)
+    merged = lines.merge_books(texts, books)
+    (lines.clean_books(merged, books).select("book", "md") if a.toc else merged).write.mode("overwrite").parquet(a.out)
     tell(lines.merge_stats(texts), a.most)
     return True
 
 
+def toc(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """Merged books without contents blocks and empty title sections; tells what went."""
+    cleaned = lines.clean_books(read(spark, a.merged, "book string, md string"), book_rows(spark, a.books))
+    cleaned.select("book", "md").write.mode("overwrite").parquet(a.out)
+    tell(cleaned.select("book", "removed", "demoted").orderBy("book"), a.most)
+    return True
+
+
+def epub(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """Reflowable packages of merged books. They need no cover, so only their other gates count."""
+    books = read(spark, a.books, schemas.BOOKS).select(F.col("slug").alias("book"), F.coalesce("title", "slug").alias("title"), "author", "lang", F.col("year").alias("date"))
+    merged = read(spark, a.merged, "book string, md string")
+    body = F.regexp_replace("md", r"(?s)\A---\n.*?\n---\n", "")
+    packages.build_reflowable(merged.withColumn("md", body).join(books, "book", "left").withColumn("modified", F.lit(a.modified))).write.mode("overwrite").parquet(a.out)
+    checked = packages.validate(read(spark, a.out, "book string, content binary"))
+    wrong = checked.select("book", F.filter("errors", lambda e: e != "no cover image").alias("errors")).where("size(errors) > 0")
+    tell(wrong.orderBy("book"), a.most)
+    return wrong.isEmpty()
+
+
+def everything(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """Recognise, merge, clean and package; texts, merged books and packages are written below `out`."""
+    step = lambda **more: argparse.Namespace(**(vars(a) | more))
+    done = recognize_pages(spark, step(out=f"{a.out}/texts"))
+    merge(spark, step(texts=f"{a.out}/texts", out=f"{a.out}/merged", toc=True))
+    return epub(spark, step(merged=f"{a.out}/merged", out=f"{a.out}/epub")) and done
+
+
 def package(spark: SparkSession, a: argparse.Namespace) -> bool:
-    books = read(spark, a.books, schemas.IMAGE_BOOKS).select(F.col("slug").alias("book"), F.coalesce("title", "slug").alias("title"), "author", F.coalesce("lang", F.lit("ja")).alias("lang"), F.lit(a.modified).alias("modified"), F.coalesce("rtl", F.lit(True)).alias("rtl"))
+    told = read(spark, a.books, schemas.IMAGE_BOOKS)
+    title = text.derived_title(F.col("title"), F.col("series"), F.col("series_index"), F.col("slug"))
+    books = told.select(F.col("slug").alias("book"), title.alias("title"), "author", F.coalesce("lang", F.lit("ja")).alias("lang"), F.lit(a.modified).alias("modified"), F.coalesce("rtl", F.lit(True)).alias("rtl"), F.col("year").alias("date"), "series", "series_index", "subject", "publisher", "description")
     packages.build_fixed_layout(read(spark, a.pages, schemas.PAGE_IMAGES).select("book", "stem", "ext", "content"), books).write.mode("overwrite").parquet(a.out)
     return verify(spark, argparse.Namespace(packages=a.out, most=a.most))
 
@@ -84,7 +139,8 @@ def doctor(spark: SparkSession | None, a: argparse.Namespace) -> bool:
 
 
 COMMANDS = {
-    "import": (import_scans, ("source", "book", "out")), "recognize": (recognize_pages, ("pages", "out")), "merge": (merge, ("texts", "books", "out")),
+    "init": (init, ("books", "title")), "import": (import_scans, ("source", "book", "out")), "recognize": (recognize_pages, ("pages", "out")), "merge": (merge, ("texts", "books", "out")),
+    "toc": (toc, ("merged", "books", "out")), "epub": (epub, ("merged", "books", "out")), "all": (everything, ("pages", "books", "out")),
     "package": (package, ("pages", "books", "out")), "verify": (verify, ("packages",)), "ledger": (ledger, ("ledger",)), "doctor": (doctor, ()),
 }
 
@@ -98,8 +154,12 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         for n in names:
             one.add_argument(n)
         one.add_argument("--most", type=int, default=1000, help="rows told at most")
-        one.add_argument("--batches", type=int, default=1)
+        one.add_argument("--batches", type=int, default=None, help="batches of a pass; by the number of pages if not given")
         one.add_argument("--archives", action="store_true", help="import archives instead of scans")
+        one.add_argument("--pdf", action="store_true", help="import PDFs instead of scans")
+        one.add_argument("--toc", action="store_true", help="merge without contents blocks")
+        for n, default in (("author", None), ("lang", "vi"), ("year", None)):
+            one.add_argument(f"--{n}", default=default)
         one.add_argument("--modified", default="2024-01-01T00:00:00Z")
     a = parser.parse_args(argv)
     run = COMMANDS[a.command][0]

@@ -101,6 +101,11 @@ def sniff(content: Column) -> Column:
     return kind.when(F.hex(F.substring(content, 61, 4)).isin("4D4F4249", "424F4F4B"), "mobi").otherwise("unknown")
 
 
+def is_payload(content: Column) -> Column:
+    """Whether bytes are of a known type; a page that stands in for a file is not."""
+    return F.coalesce(sniff(content) != "unknown", F.lit(False))
+
+
 @F.pandas_udf(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType())]))
 def jpeg_size(content: pd.Series) -> pd.DataFrame:
     """Width and height from the first frame header: a walk over markers, which no built-in expresses."""

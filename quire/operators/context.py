@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import json_object
@@ -59,6 +59,17 @@ def counts(c: Column) -> Column:
     return F.struct(size("table_of_contents").alias("toc"), size("proper_names").alias("names"))
 
 
+def saved(contexts: DataFrame, generated_by: str) -> DataFrame:
+    """contexts (book, context CONTEXT) as they are kept: book, json (with what made it), block (the rendered text)."""
+    whole = F.struct("context.*", F.lit(generated_by).alias("_generated_by"))
+    return contexts.select("book", "context", whole.alias("w")).select("book", F.to_json("w").alias("json"), render(F.col("context")).alias("block"))
+
+
+def loaded(rows: DataFrame) -> DataFrame:
+    """book, context of saved() rows; a damaged document, or one without a title, is no context."""
+    return rows.select("book", parse(F.col("json")).alias("context")).where("context is not null")
+
+
 def cover_page(answer: Column, pages: Column) -> Column:
     """The page that an answer names as the cover, if there is such a page."""
     n = F.get_json_object(json_object(answer), "$.cover_page").try_cast("int")

@@ -1,4 +1,5 @@
-"""Texts as lines: fences, notes, rules, headings, contents. All windows run within one page or one book."""
+"""Texts as lines: fences, notes, rules, headings, contents. Whole pages are merged within their texts; where lines are
+wanted as rows, windows run within one page or one book."""
 
 from __future__ import annotations
 
@@ -57,7 +58,7 @@ def renumber(fenced: DataFrame, offsets: DataFrame, page: list[str]) -> DataFram
 
 def rewrite_rules(fenced: DataFrame) -> DataFrame:
     """Rules of dashes outside fences become asterisks, which no reader takes for metadata."""
-    plain = ~F.col("is_fence") & ~F.col("in_fence") & F.col("line").rlike(text.DASH_RULE)
+    plain = ~F.col("is_fence") & ~F.col("in_fence") & text.is_dash_rule(F.col("line"))
     return fenced.withColumn("line", F.when(plain, F.lit(text.RULE)).otherwise(F.col("line")))
 
 
@@ -70,10 +71,13 @@ def clean_contents(lines: DataFrame, title: str = "title", authors: str = "autho
     """Lines with `action`: keep, toc (within a contents block, which goes), demote (an empty section named like the
     book or an author, which becomes plain text)."""
     run = Window.partitionBy(book).orderBy("line_no")
-    head = F.when(F.col("line").startswith("## "), F.lower(text.trimmed(F.substring(F.col("line"), F.lit(4), F.length("line")))))
+    # Composed as names are, by Python; lines that are no heading send it a null.
+    named = F.when(F.col("line").startswith("## "), text.trimmed(F.substring(F.col("line"), F.lit(4), F.length("line"))))
+    lines = lines.withColumn("head_", F.lower(text.nfc(named)))
+    head = F.col("head_")
     # The names of a contents heading.
     is_toc = head.isin("mục lục", "muc luc")
-    p = lines.withColumn("head_", head).withColumn("toc_", F.coalesce(F.last(F.when(F.col("line").startswith("#"), F.coalesce(is_toc, F.lit(False))), ignorenulls=True).over(run), F.lit(False)))
+    p = lines.withColumn("toc_", F.coalesce(F.last(F.when(F.col("line").startswith("#"), F.coalesce(is_toc, F.lit(False))), ignorenulls=True).over(run), F.lit(False)))
     following = F.first(F.when(text.trimmed(F.col("line")) != "", F.col("line")), ignorenulls=True).over(run.rowsBetween(1, Window.unboundedFollowing))
     names = F.transform(F.concat(F.array(title), F.coalesce(authors, F.array().cast("array<string>"))), lambda x: F.lower(text.trimmed(x)))
     p = p.withColumn("next_", following)
@@ -93,31 +97,58 @@ def join_lines(lines: DataFrame, keys: list[str], order: list[str], sep: str = "
     return lines.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["line"]), sep).alias(out))
 
 
-def cleaned_lines(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> tuple[DataFrame, DataFrame]:
-    """The merge of a book up to its joined text: (lines, note offsets of each page)."""
+def renumbered_pages(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> tuple[DataFrame, DataFrame]:
+    """(book, stem, first_line and body of each page that has a line left, notes renumbered; note offsets of each page).
+
+    A page is worked on as one text: only a small row for each page is shuffled for the offsets, and texts once, to
+    meet theirs.
+    """
     page = [book, stem]
-    fenced = with_fences(strip_outer_fence(explode_lines(pages, md), page), page)
     offsets = note_offsets(page_notes(pages, page, md), book, stem)
-    return rewrite_rules(with_fences(upgrade_headings(renumber(fenced, offsets, page)).drop("is_fence", "in_fence"), page)), offsets
+    texts = pages.select(*page, F.col(md).alias("md_")).repartition(*page).join(offsets.select(*page, "note_offset"), page)
+    body, move = F.col("body_"), F.col("note_offset")
+    moved = text.by_fences(body, lambda part: text.shifted_notes(part, move), lambda part: part)
+    bodies = texts.select(*page, "note_offset", text.first_line(F.col("md_")).alias("first_line"), text.unwrapped(F.col("md_")).alias("body_")).where("body_ is not null")
+    return bodies.select(*page, "first_line", F.when((move > 0) & body.contains("[^"), moved).otherwise(body).alias("body")), offsets
+
+
+def cleaned_pages(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> tuple[DataFrame, DataFrame]:
+    """The merge of a book up to its joined text: (book, stem and body of each page, note offsets). Chapter lines become
+    headings, in fences too, and rules of dashes outside fences asterisks."""
+    bodies, offsets = renumbered_pages(pages, book, stem, md)
+
+    def plain(part):
+        return text.each_line(part, lambda x: F.when(text.is_dash_rule(x), F.lit(text.RULE)).otherwise(text.upgraded_heading(x)))
+
+    return bodies.withColumn("body", text.by_fences(F.col("body"), plain, lambda part: text.each_line(part, text.upgraded_heading))), offsets
 
 
 def merge_stats(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> DataFrame:
-    """pages_merged (empty ones too), body_chars, h1, h2 and footnotes of each book; nothing is joined to texts."""
-    lines, offsets = cleaned_lines(pages, book, stem, md)
-    per_line = lines.groupBy(book).agg(F.count_if(F.col("line").startswith("# ")).alias("h1"), F.count_if(F.col("line").startswith("## ")).alias("h2"), F.sum(F.length("line")).alias("chars_"), F.count("*").alias("lines_"))
-    per_page = offsets.groupBy(book).agg(F.sum("max_note").alias("footnotes"), F.count("*").alias("texts_"))
+    """pages_merged (empty ones too), body_chars, h1, h2 and footnotes of each book."""
+    bodies, offsets = cleaned_pages(pages, book, stem, md)
+    heads = lambda mark: F.size(F.filter(F.split("body", "\n", -1), lambda x: x.startswith(mark)))
+    each = bodies.select(book, F.length("body").alias("chars_"), heads("# ").alias("h1_"), heads("## ").alias("h2_"))
+    per_text = each.groupBy(book).agg(F.sum("h1_").alias("h1"), F.sum("h2_").alias("h2"), (F.sum("chars_") + 2 * F.count("*") - 2).alias("chars"))  # two characters between pages
+    footnotes = offsets.groupBy(book).agg(F.sum("max_note").alias("footnotes"))
     total = pages.groupBy(book).agg(F.count("*").alias("pages_merged"))
-    # Lines of a page are joined by one character, pages by two.
-    chars = F.col("chars_") + F.col("lines_") + F.col("texts_") - 2
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return total.join(per_line, book, "left").join(per_page, book, "left").select(book, "pages_merged", zero(chars).alias("body_chars"), zero(F.col("h1")).alias("h1"), zero(F.col("h2")).alias("h2"), zero(F.col("footnotes")).alias("footnotes"))
+    return total.join(per_text, book, "left").join(footnotes, book, "left").select(book, "pages_merged", zero(F.col("chars")).alias("body_chars"), zero(F.col("h1")).alias("h1"), zero(F.col("h2")).alias("h2"), zero(F.col("footnotes")).alias("footnotes"))
 
 
 def merge_books(pages: DataFrame, books: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> DataFrame:
     """One row per book: front matter and body. books: book, title, author, lang, year."""
-    lines, _ = cleaned_lines(pages, book, stem, md)
-    per_page = join_lines(lines, [book, stem], ["line_no"])
-    keyed = per_page.withColumn("key_", text.natural_key(F.col(stem))).withColumnRenamed(md, "line")
+    texts, _ = cleaned_pages(pages, book, stem, md)
+    keyed = texts.withColumn("key_", text.natural_key(F.col(stem))).withColumnRenamed("body", "line")
     bodies = join_lines(keyed, [book], ["key_", stem], "\n\n", "body")
     head = text.front_matter(F.col("title"), F.col("author"), F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("vi")), F.col("year"))
     return bodies.join(books, book).select(book, F.concat(head, F.lit("\n"), "body", F.lit("\n")).alias("md"))
+
+
+def clean_books(merged: DataFrame, books: DataFrame) -> DataFrame:
+    """merged (book, md) without contents blocks and with empty title sections as plain text; also removed and demoted,
+    the numbers of lines that went or changed. books: book, title, authors ARRAY<STRING>. Books without a row in books
+    keep all but their contents blocks."""
+    told = merged.join(books.select("book", "title", "authors"), "book", "left")
+    marked = clean_contents(told.select("book", "title", "authors", F.posexplode(F.split("md", "\n", -1)).alias("line_no", "line")))
+    counts = marked.groupBy("book").agg(F.count_if(F.col("action") == "toc").alias("removed"), F.count_if(F.col("action") == "demote").alias("demoted"))
+    return join_lines(apply_contents(marked), ["book"], ["line_no"]).join(counts, "book")

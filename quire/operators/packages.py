@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions import files, text
+from quire.functions import files, markdown, text
 from quire.operators.pages import spread_cadence
 from quire.sources.containers import zip_members
 
 # Fixed values of the package format, and the size below which an archive is taken for a stub.
 MIMETYPE, CONTAINER_PATH, TINY = "application/epub+zip", "META-INF/container.xml", 10240
+#: Columns of books that the package document takes if they are there and filled, and their elements.
+METADATA = (("author", "dc:creator"), ("publisher", "dc:publisher"), ("date", "dc:date"), ("subject", "dc:subject"), ("description", "dc:description"))
+# Fixed values of the accessibility vocabulary, for books of images.
+ACCESSIBILITY = (("accessMode", "visual"), ("accessModeSufficient", "visual"), ("accessibilityFeature", "none"), ("accessibilityHazard", "none"))
 CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
 
@@ -27,21 +33,29 @@ def layout(images: DataFrame, min_px: int = 400) -> DataFrame:
     return big.withColumn("page_no", n)
 
 
+def leaf_path(n: Column) -> Column:
+    return F.format_string("leaves/%05d.xhtml", n)
+
+
+def scan_path() -> Column:
+    return F.concat(F.format_string("scans/%05d.", F.col("page_no")), F.lower("ext"))
+
+
 def manifest(pages: DataFrame, cover: Column | None = None) -> DataFrame:
     """book, id, href, media_type, properties: an image and a page document for each page, and the navigation."""
-    name = F.format_string("page_%04d", F.col("page_no"))
+    name = F.format_string("%05d", F.col("page_no"))
     is_cover = F.col("page_no") == (cover if cover is not None else F.lit(1))
     item = lambda i, href, kind, props: F.struct(i.alias("id"), href.alias("href"), kind.alias("media_type"), props.alias("properties"))
     none = F.lit(None).cast("string")
-    image = item(F.concat(F.lit("img"), F.col("page_no")), F.concat(F.lit("img/"), name, F.lit("."), F.lower("ext")), files.media_type(F.col("ext")), F.when(is_cover, F.lit("cover-image")))
-    page = item(F.concat(F.lit("pg"), F.col("page_no")), F.concat(F.lit("xhtml/"), name, F.lit(".xhtml")), F.lit("application/xhtml+xml"), none)
+    image = item(F.concat(F.lit("scan-"), name), scan_path(), files.media_type(F.col("ext")), F.when(is_cover, F.lit("cover-image")))
+    page = item(F.concat(F.lit("leaf-"), name), leaf_path(F.col("page_no")), F.lit("application/xhtml+xml"), none)
     nav = F.when(F.col("page_no") == 1, F.array(item(F.lit("nav"), F.lit("nav.xhtml"), F.lit("application/xhtml+xml"), F.lit("nav")))).otherwise(F.array().cast("array<struct<id:string,href:string,media_type:string,properties:string>>"))
     return pages.select("book", F.explode(F.concat(F.array(image, page), nav)).alias("i")).select("book", "i.*")
 
 
 def spine(pages: DataFrame, first_side: str = "right") -> DataFrame:
     placed = spread_cadence(pages if "reset" in pages.columns else pages.withColumn("reset", F.lit(False)), first_side=first_side)
-    return placed.select("book", F.col("page_no").alias("pos"), F.concat(F.lit("pg"), "page_no").alias("idref"), "spread")
+    return placed.select("book", F.col("page_no").alias("pos"), F.format_string("leaf-%05d", F.col("page_no")).alias("idref"), "spread")
 
 
 def double_pages(spine_rows: DataFrame) -> DataFrame:
@@ -49,71 +63,147 @@ def double_pages(spine_rows: DataFrame) -> DataFrame:
 
 
 def opf(manifest_rows: DataFrame, spine_rows: DataFrame, books: DataFrame) -> DataFrame:
-    """The package document of each book. books: book, title, author, lang, modified, rtl."""
+    """The package document of each book. books: book, title, author, lang, modified, rtl, and what it has of METADATA."""
     attr = F.when(F.col("properties").isNotNull(), F.concat(F.lit(' properties="'), "properties", F.lit('"'))).otherwise("")
     item = F.concat(F.lit('<item id="'), "id", F.lit('" href="'), "href", F.lit('" media-type="'), "media_type", F.lit('"'), attr, F.lit("/>"))
     items = manifest_rows.groupBy("book").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
     ref = F.concat(F.lit('<itemref idref="'), "idref", F.lit('" properties="page-spread-'), "spread", F.lit('"/>'))
     refs = spine_rows.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", ref.alias("ref")))), lambda x: x["ref"]).alias("refs"))
-    meta = F.concat(F.lit('<dc:identifier id="id">urn:uuid:'), text.stable_id(F.concat(F.lit("quire:book:"), "book")), F.lit("</dc:identifier><dc:title>"), text.xml_escape(F.col("title")), F.lit("</dc:title>"), F.coalesce(F.concat(F.lit("<dc:creator>"), text.xml_escape(F.col("author")), F.lit("</dc:creator>")), F.lit("")), F.lit("<dc:language>"), "lang", F.lit('</dc:language><meta property="dcterms:modified">'), "modified", F.lit('</meta><meta property="rendition:layout">pre-paginated</meta>'))
+    has = lambda name: F.nullif(F.col(name).cast("string"), F.lit("")) if name in books.columns else F.lit(None).cast("string")
+    element = lambda tag, value: F.concat(F.lit(f"<{tag}>"), text.xml_escape(value), F.lit(f"</{tag.split()[0]}>"))
+    optional = [element(tag, has(name)) for name, tag in METADATA]
+    series = F.concat(F.lit('<meta property="belongs-to-collection" id="series">'), text.xml_escape(has("series")), F.lit('</meta><meta refines="#series" property="collection-type">series</meta>'), F.coalesce(F.concat(F.lit('<meta refines="#series" property="group-position">'), has("series_index"), F.lit("</meta>")), F.lit("")))
+    meta = F.concat_ws(
+        "", F.lit('<dc:identifier id="id">urn:uuid:'), text.stable_id(F.concat(F.lit("quire:book:"), "book")), F.lit("</dc:identifier>"), element("dc:title", F.col("title")), *optional, element("dc:language", F.col("lang")), series,
+        F.lit('<meta property="dcterms:modified">'), "modified", F.lit('</meta><meta property="rendition:layout">pre-paginated</meta><meta property="rendition:spread">landscape</meta>'), *(F.lit(f'<meta property="schema:{p}">{v}</meta>') for p, v in ACCESSIBILITY))
     direction = F.when(F.col("rtl"), "rtl").otherwise("ltr")
     whole = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'), meta, F.lit("</metadata><manifest>"), "items", F.lit('</manifest><spine page-progression-direction="'), direction, F.lit('">'), F.array_join("refs", ""), F.lit("</spine></package>"))
     return books.join(items, "book").join(refs, "book").select("book", whole.alias("opf"))
 
 
 def page_document(w: Column, h: Column, href: Column, n: Column) -> Column:
-    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml"><head><title>'), n.cast("string"), F.lit('</title><meta name="viewport" content="width='), w.cast("string"), F.lit(", height="), h.cast("string"), F.lit('"/></head><body><img src="../'), href, F.lit('" alt=""/></body></html>'))
+    """A leaf: the scan as a picture of its own size on a page without margins."""
+    size = F.concat(F.lit("width="), w.cast("string"), F.lit(", height="), h.cast("string"))
+    return F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><meta name="viewport" content="'), size, F.lit('"/><title>Leaf '), n.cast("string"),
+        F.lit("</title><style>html, body, figure { margin: 0; padding: 0 } img { display: block; width: 100% }</style></head><body><figure><img alt=\"Leaf "), n.cast("string"), F.lit('" src="../'), href, F.lit('"/></figure></body></html>'))
 
 
 def nav_document(pages: DataFrame) -> DataFrame:
-    link = F.concat(F.lit('<li><a href="'), F.format_string("xhtml/page_%04d.xhtml", F.col("page_no")), F.lit('">'), F.col("page_no").cast("string"), F.lit("</a></li>"))
+    link = F.concat(F.lit('<li><a href="'), leaf_path(F.col("page_no")), F.lit('">'), F.col("page_no").cast("string"), F.lit("</a></li>"))
     listed = pages.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", link.alias("l")))), lambda x: x["l"]).alias("l"))
-    body = F.array_join("l", "")
-    return listed.select("book", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>'), F.element_at("l", 1), F.lit('</ol></nav><nav epub:type="page-list"><ol>'), body, F.lit('</ol></nav><nav epub:type="landmarks"><ol>'), F.element_at("l", 1), F.lit("</ol></nav></body></html>")).alias("nav"))
+    part = lambda kind, items: F.concat(F.lit(f'<nav epub:type="{kind}"><ol>'), items, F.lit("</ol></nav>"))
+    first = F.element_at("l", 1)
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>Contents</title></head><body>'
+    return listed.select("book", F.concat(F.lit(head), part("toc", first), part("page-list", F.array_join("l", "")), part("landmarks", first), F.lit("</body></html>")).alias("nav"))
+
+
+class Archive:
+    """A package as it grows: the first member is stored, the others are packed, and all have one date."""
+
+    def __init__(self) -> None:
+        self.out = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+        self.n = 0
+
+    def add(self, name: str, content: bytes) -> None:
+        self.zip.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED if self.n else zipfile.ZIP_STORED)
+        self.n += 1
 
+    def done(self) -> bytes:
+        self.zip.close()
+        return self.out.getvalue()
 
-def zipped(entries: pd.DataFrame) -> pd.DataFrame:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for e in entries.sort_values("pos", kind="stable").itertuples():
-            z.writestr(zipfile.ZipInfo(e.name, (1980, 1, 1, 0, 0, 0)), e.content, zipfile.ZIP_STORED if e.pos == 0 else zipfile.ZIP_DEFLATED)
-    return pd.DataFrame({"book": [entries.book.iloc[0]], "content": [out.getvalue()]})
+
+def zip_books(entries: DataFrame) -> DataFrame:
+    """book, content: one archive for each book of entries (book, pos, name, content), members in order of pos and name.
+
+    A task streams over its books' members, so it holds one packed book and one batch of members, not a book's members.
+    """
+    # By a hash of their own: a union of tables that are all dealt by book counts as dealt, though each is read apart.
+    dealt = entries.repartition(F.xxhash64("book")).sortWithinPartitions("book", "pos", "name")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, archive = None, None
+        for part in parts:
+            for e in part.itertuples(index=False):
+                if archive is None or e.book != current:
+                    if archive is not None:
+                        yield pd.DataFrame({"book": [current], "content": [archive.done()]})
+                    current, archive = e.book, Archive()
+                archive.add(e.name, e.content)
+        if archive is not None:
+            yield pd.DataFrame({"book": [current], "content": [archive.done()]})
+
+    return dealt.select("book", "pos", "name", "content").mapInPandas(run, "book string, content binary")
 
 
 def build_fixed_layout(images: DataFrame, books: DataFrame, min_px: int = 400) -> DataFrame:
     """book, content: a package for each book of page images. A package is one file, so a book is one task's work."""
     pages = layout(images, min_px)
     items = manifest(pages)
-    href = F.concat(F.lit("img/"), F.format_string("page_%04d", F.col("page_no")), F.lit("."), F.lower("ext"))
     entry = lambda df, pos, name, content: df.select("book", F.lit(pos).alias("pos"), name.alias("name"), content.alias("content"))
     raw = lambda c: F.encode(c, "UTF-8")
     own = pages.select("book").distinct()
+    inside = lambda path: F.concat(F.lit("OEBPS/"), path)
+    document = page_document(F.col("w"), F.col("h"), scan_path(), F.col("page_no"))
     parts = [
         entry(own, 0, F.lit("mimetype"), raw(F.lit(MIMETYPE))), entry(own, 1, F.lit(CONTAINER_PATH), raw(F.lit(CONTAINER))),
         entry(opf(items, spine(pages), books), 2, F.lit("OEBPS/content.opf"), raw(F.col("opf"))), entry(nav_document(pages), 3, F.lit("OEBPS/nav.xhtml"), raw(F.col("nav"))),
-        entry(pages, 4, F.concat(F.lit("OEBPS/"), href), F.col("content")), entry(pages, 5, F.format_string("OEBPS/xhtml/page_%04d.xhtml", F.col("page_no")), raw(page_document(F.col("w"), F.col("h"), href, F.col("page_no")))),
+        entry(pages, 4, inside(scan_path()), F.col("content")), entry(pages, 5, inside(leaf_path(F.col("page_no"))), raw(document)),
     ]
     entries = parts[0]
     for p in parts[1:]:
         entries = entries.unionByName(p)
-    return entries.groupBy("book").applyInPandas(zipped, "book string, content binary")
+    return zip_books(entries)
+
+
+def reflowable(book: str, md: str, told: dict) -> bytes:
+    """One book's package: a document for each first-level section, a contents of two levels, and what is told of it:
+    title, author, lang, date, and a cover (bytes) with its ext."""
+    parts, esc = markdown.sections(md), markdown.escape
+    title, lang = told.get("title") or book, told.get("lang") or "vi"
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="' + esc(lang) + '">'
+    items, refs, links, documents = [], [], [], []
+    if told.get("cover"):
+        ext = (told.get("ext") or "jpg").lower()
+        documents += [(f"cover.{ext}", bytes(told["cover"])), ("cover.xhtml", f'{head}<head><title>{esc(title)}</title></head><body epub:type="cover"><img alt="" src="cover.{ext}"/></body></html>'.encode())]
+        items += [("cover-image", f"cover.{ext}", files.MEDIA_TYPES.get(ext, "image/jpeg"), "cover-image"), ("cover", "cover.xhtml", "application/xhtml+xml", "")]
+        refs.append("cover")
+    for n, part in enumerate(parts, 1):
+        name, label = f"text/{n:04d}.xhtml", part.title or title
+        documents.append((name, f"{head}<head><title>{esc(label)}</title></head><body>{markdown.body(part.lines)}</body></html>".encode()))
+        items.append((f"text-{n:04d}", name, "application/xhtml+xml", ""))
+        refs.append(f"text-{n:04d}")
+        below = "".join(f'<li><a href="{name}#part-{k}">{esc(s)}</a></li>' for k, s in enumerate(part.subtitles, 1))
+        links.append(f'<li><a href="{name}">{esc(label)}</a>' + (f"<ol>{below}</ol>" if below else "") + "</li>")
+    nav = f'{head}<head><title>{esc(title)}</title></head><body><nav epub:type="toc"><ol>{"".join(links)}</ol></nav></body></html>'
+    items.append(("nav", "nav.xhtml", "application/xhtml+xml", "nav"))
+    listed = "".join(f'<item id="{i}" href="{href}" media-type="{kind}"' + (f' properties="{props}"' if props else "") + "/>" for i, href, kind, props in items)
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"quire:book:{book}")
+    meta = f'<dc:identifier id="id">urn:uuid:{name}</dc:identifier><dc:title>{esc(title)}</dc:title><dc:language>{esc(lang)}</dc:language>'
+    meta += "".join(f"<{tag}>{esc(told[key])}</{tag}>" for key, tag in METADATA if told.get(key))
+    meta += '<meta property="dcterms:modified">' + esc(told.get("modified") or "2024-01-01T00:00:00Z") + "</meta>"
+    package = f'<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{meta}</metadata><manifest>{listed}</manifest><spine>' + "".join(f'<itemref idref="{r}"/>' for r in refs) + "</spine></package>"
+    out = Archive()
+    for path, content in [("mimetype", MIMETYPE.encode()), (CONTAINER_PATH, CONTAINER.encode()), ("OEBPS/content.opf", package.encode()), ("OEBPS/nav.xhtml", nav.encode()), *((f"OEBPS/{p}", c) for p, c in documents)]:
+        out.add(path, content)
+    return out.done()
 
 
 def build_reflowable(merged: DataFrame) -> DataFrame:
-    """book, content: a package of the merged texts (book, title, md), a document for each first-level heading."""
-    sections = F.filter(F.split("md", r"(?m)(?=^# )"), lambda s: F.trim(s) != "")
-    docs = merged.select("book", "title", F.posexplode(sections).alias("n", "part")).select("book", "title", (F.col("n") + 1).alias("page_no"), "part")
-    html = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>'), text.xml_escape(F.coalesce("title", F.lit(""))), F.lit("</title></head><body><pre>"), text.xml_escape(F.col("part")), F.lit("</pre></body></html>"))
-    item = lambda: F.format_string('<item id="pg%d" href="xhtml/page_%04d.xhtml" media-type="application/xhtml+xml"/>', F.col("page_no"), F.col("page_no"))
-    lists = docs.groupBy("book").agg(F.array_join(F.array_sort(F.collect_list(item())), "").alias("items"), F.max("page_no").alias("n"), F.first("title").alias("title"))
-    refs = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit('<itemref idref="pg'), i.cast("string"), F.lit('"/>'))), "")
-    whole = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata/><manifest>'), "items", F.lit("</manifest><spine>"), refs, F.lit("</spine></package>"))
-    own = lists.select("book")
-    raw = lambda c: F.encode(c, "UTF-8")
-    entries = own.select("book", F.lit(0).alias("pos"), F.lit("mimetype").alias("name"), raw(F.lit(MIMETYPE)).alias("content"))
-    entries = entries.union(own.select("book", F.lit(1), F.lit(CONTAINER_PATH), raw(F.lit(CONTAINER)))).union(lists.select("book", F.lit(2), F.lit("OEBPS/content.opf"), raw(whole)))
-    entries = entries.union(docs.select("book", F.lit(3), F.format_string("OEBPS/xhtml/page_%04d.xhtml", F.col("page_no")), raw(html)))
-    return entries.groupBy("book").applyInPandas(zipped, "book string, content binary")
+    """book, content: a package for each merged text. merged: book, md, and what it has of title, author, lang, publisher,
+    date, subject, description, modified, cover (bytes) and ext. A book is a row, so nothing is shuffled; a book without
+    a text has no package."""
+    names = [c for c in merged.columns if c in {"title", "lang", "modified", "cover", "ext", *(k for k, _ in METADATA)}]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples(index=False):
+                told = {k: v for k in names if isinstance(v := getattr(r, k), (str, bytes, bytearray))}
+                yield pd.DataFrame({"book": [r.book], "content": [reflowable(r.book, r.md, told)]})
+
+    return merged.where("md is not null").select("book", "md", *names).mapInPandas(run, "book string, content binary")
 
 
 def missing_hrefs(manifest_rows: DataFrame, names: DataFrame, root: str = "OEBPS/") -> DataFrame:
@@ -137,7 +227,9 @@ def validate(archives: DataFrame) -> DataFrame:
         F.min_by(F.struct("name", "stored", F.when(F.col("name") == "mimetype", F.col("content")).alias("content")), "pos").alias("first"), F.bool_and("crc_ok").alias("crc"),
         F.max(F.when(F.col("name") == CONTAINER_PATH, F.col("content"))).alias("container"), F.collect_set("name").alias("names"),
         F.collect_list(F.when(is_opf, F.struct("name", "content"))).alias("opfs"))
-    b = b.withColumn("path", F.nullif(F.regexp_extract(F.make_valid_utf8(F.col("container").cast("string")), r'full-path="([^"]+)"', 1), F.lit("")))
+    b = b.withColumn("container", F.make_valid_utf8(F.col("container").cast("string")))
+    b = b.withColumn("container", F.when(well_formed("container"), F.col("container")))
+    b = b.withColumn("path", F.nullif(F.get(F.xpath("container", F.lit("/container/rootfiles/rootfile/@full-path")), F.lit(0)), F.lit("")))
     b = b.withColumn("opf", F.make_valid_utf8(F.get(F.filter("opfs", lambda o: o["name"] == F.col("path")), F.lit(0))["content"].cast("string")))
     b = b.withColumn("well", well_formed("opf")).withColumn("opf", F.when(F.col("well"), F.col("opf"))).withColumn("root", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1))
     each = lambda path: F.coalesce(F.xpath("opf", F.lit(path)), F.array().cast("array<string>"))
@@ -148,6 +240,7 @@ def validate(archives: DataFrame) -> DataFrame:
     told = F.array(
         F.when(~first, "mimetype is not the first, stored member"), F.when(~F.coalesce("crc", F.lit(False)), "a member is damaged"),
         F.when(F.col("path").isNull(), "no package document named").when(~F.array_contains("names", F.col("path")), "the package document is missing").when(~F.col("well"), "the package document is not well-formed"),
+        F.when(F.col("well") & ~F.coalesce(F.xpath_boolean("opf", F.lit("/package/manifest")), F.lit(False)), "no manifest"), F.when(F.col("well") & ~F.coalesce(F.xpath_boolean("opf", F.lit("/package/spine")), F.lit(False)), "no spine"),
         F.when(F.col("well") & ~F.array_contains(F.flatten(F.transform(each("/package/manifest/item/@properties"), lambda p: F.split(p, r"\s+"))), "cover-image"), "no cover image"))
     errors = F.array_sort(F.concat(F.array_compact(told), F.coalesce(missing, F.array().cast("array<string>")), unknown))
     return b.select("book", errors.alias("errors")).select("book", (F.size("errors") == 0).alias("valid"), "errors")
@@ -168,7 +261,21 @@ def well_formed(docs: pd.Series) -> pd.Series:
 
 
 def archive_status(exists: Column, size: Column, zip_ok: Column, tiny: int = TINY) -> Column:
-    return F.when(~exists, "MISSING").when(size < tiny, "TINY").when(~zip_ok, "BADZIP").otherwise("OK")
+    return F.when(~F.coalesce(exists, F.lit(False)), "MISSING").when(size < tiny, "TINY").when(~zip_ok, "BADZIP").otherwise("OK")
+
+
+def verify_targets(targets: DataFrame, files_: DataFrame, homes: DataFrame) -> DataFrame:
+    """target, label, path, exists, size, zip_ok: what a target stands for. A file is itself; a book's home, or each home
+    in a folder of homes, is the packages of its dist folder. A home without any, and a target that is nothing, has one
+    row that is not there. targets: target; files_: path, size, zip_ok; homes: home."""
+    up = lambda c: F.regexp_replace(c, r"/[^/]+$", "")
+    own = targets.join(files_.withColumnRenamed("path", "target"), "target").select("target", F.col("target").alias("label"), F.col("target").alias("path"), "size", "zip_ok")
+    asked = homes.select("home", F.explode(F.array(F.col("home"), up(F.col("home")))).alias("target")).distinct().join(targets, "target")
+    packed = files_.where(F.col("path").rlike(r"/dist/[^/]+\.epub$")).withColumn("home", up(up(F.col("path"))))
+    held = asked.join(packed, "home", "left").select("target", F.col("home").alias("label"), "path", "size", "zip_ok")
+    found = own.union(held)
+    none = targets.join(found.select("target"), "target", "left_anti").select("target", F.col("target").alias("label"), F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("boolean"))
+    return found.union(none).withColumn("exists", F.col("path").isNotNull())
 
 
 def verify_summary(rows: DataFrame, status: str = "status") -> DataFrame:

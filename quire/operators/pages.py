@@ -30,13 +30,70 @@ def pending(scans: DataFrame, outputs: DataFrame, on: list[str], size: str = "si
     return left.orderBy(*(order or [])).limit(limit) if limit is not None else left
 
 
+#: Registries are small; one measured to be larger is not broadcast.
+MOST_REGISTRY = 10_000
+
+
 def with_default(rows: DataFrame, table: DataFrame, key: str, default: str, columns: list[str]) -> DataFrame:
-    """Left join to a small table in which keys that it lacks (and nulls) take the row of `default`. The table is a
-    registry of a few rows, which Spark broadcasts by its measured size."""
+    """Left join to a registry in which keys that it lacks (and nulls) take the row of `default`. Its size is measured;
+    the default's values are literals."""
     known = table.select(F.col(key).alias("k_"), *(F.col(c).alias(f"{c}_") for c in columns))
-    base = table.where(F.col(key) == default).select(*(F.col(c).alias(f"{c}_d") for c in columns)).limit(1)
-    joined = rows.join(known, F.col(key) == F.col("k_"), "left").join(base, how="left")
-    return joined.select(*rows.columns, *(F.coalesce(f"{c}_", f"{c}_d").alias(c) for c in columns))
+    base = table.where(F.col(key) == default).select(*columns).first()
+    small = F.broadcast(known) if known.limit(MOST_REGISTRY + 1).count() <= MOST_REGISTRY else known
+    joined = rows.join(small, F.col(key) == F.col("k_"), "left")
+    value = lambda c: F.coalesce(f"{c}_", F.lit(base[c] if base else None).cast(table.schema[c].dataType)).alias(c)
+    return joined.select(*rows.columns, *map(value, columns))
+
+
+def with_prompt(rows: DataFrame, prompts: DataFrame, lang: str = "lang", default: str = "vi") -> DataFrame:
+    """rows with the `prompt` of their language (lang, prompt), blanks and case aside; the default's if there is none."""
+    clean = rows.withColumn("lang_", F.lower(text.trimmed(F.col(lang))))
+    found = with_default(clean, prompts.select(F.col("lang").alias("lang_"), "prompt"), "lang_", default, ["prompt"])
+    return found.drop("lang_")
+
+
+def attach_context(rows: DataFrame, explicit: DataFrame, cached: DataFrame, book: str = "book") -> DataFrame:
+    """rows with the context block of their book: the explicitly given one, else the cached one, else ''. explicit and
+    cached: book, block."""
+    found = prefer(rows, [(explicit, "block"), (cached, "block")], book, "block")
+    return found.withColumn("block", F.coalesce("block", F.lit("")))
+
+
+def is_path(c: Column) -> Column:
+    """Whether a name is a path, not a slug."""
+    return c.contains("/") | c.contains("\\")
+
+
+def normalized(path: Column) -> Column:
+    """A path without empty, '.' and '..' parts; what would lead above the root is dropped."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda x: ~x.isin("", "."))
+    step = lambda held, x: F.when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+
+
+def covers_within(covers: DataFrame, files_: DataFrame, root: str = "scans") -> DataFrame:
+    """covers (book, cover) whose path, read from the folder `root`, is a file below it. files_: book, path."""
+    inside = F.when(F.col("cover").startswith("/"), normalized(F.col("cover"))).otherwise(normalized(F.concat(F.lit(f"{root}/"), "cover")))
+    named = covers.withColumn("path", inside).where(F.col("path").startswith(f"{root}/"))
+    return named.join(files_.select("book", "path"), ["book", "path"], "left_semi")
+
+
+def cover_candidates(pages: DataFrame, book: str = "book", page_no: str = "page_no", most: int = 5) -> DataFrame:
+    """The first pages of each book, among which a cover is looked for."""
+    n = F.row_number().over(Window.partitionBy(book).orderBy(page_no))
+    return pages.withColumn("n_", n).where(F.col("n_") <= most).drop("n_")
+
+
+def book_homes(listing: DataFrame, home: str = "home", child: str = "child") -> DataFrame:
+    """Folders that are a book's home: they hold scans or dist. listing: a row for each child of a folder."""
+    return listing.where(F.col(child).isin("scans", "dist")).select(home).distinct()
+
+
+def importable_books(wanted: DataFrame, existing: DataFrame, book: str = "book", stem: str = "stem") -> DataFrame:
+    """wanted with `blocked`: whether the book has imported pages already, which another import would mix with."""
+    there = existing.where(F.col(stem).startswith("page_")).select(book).distinct().withColumn("blocked", F.lit(True))
+    return wanted.join(there, book, "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
 def prefer(rows: DataFrame, sources: list[tuple[DataFrame, str]], on: str, out: str) -> DataFrame:

@@ -95,8 +95,9 @@ def footnote_offsets(spark, sf_dir):
 
 @query(f"{ALL_SQL} SELECT book, stem, CAST(line_no AS INTEGER) AS line_no, line FROM moved_")
 def footnote_rewrite(spark, sf_dir):
-    fenced = fenced_lines(spark, sf_dir)
-    return lines.renumber(fenced, lines.note_offsets(lines.page_notes(marked_pages(spark, sf_dir), PAGE)), PAGE).select(*PAGE, "line_no", "line")
+    bodies, _ = lines.renumbered_pages(marked_pages(spark, sf_dir))
+    rows = bodies.select(*PAGE, "first_line", F.posexplode(F.split("body", "\n", -1)).alias("n", "line"))
+    return rows.select(*PAGE, (F.col("first_line") + F.col("n")).alias("line_no"), "line")
 
 
 @query(f"WITH {PAGES_SQL}, {LINES_SQL} SELECT book, stem, count(*) AS n_lines, count(*) FILTER (WHERE is_fence) AS fences, count(*) FILTER (WHERE in_fence) AS inside FROM fence_ GROUP BY book, stem")
@@ -107,7 +108,7 @@ def fence_parity(spark, sf_dir):
 @query(rf"WITH {PAGES_SQL}, {LINES_SQL} SELECT book, stem, CAST(line_no AS INTEGER) AS line_no, CASE WHEN NOT is_fence AND NOT in_fence THEN '* * *' ELSE line END AS line FROM fence_ WHERE regexp_matches(line, '^\s*-(?:\s*-){{2,}}\s*$')")
 def thematic_breaks(spark, sf_dir):
     fenced = fenced_lines(spark, sf_dir)
-    return lines.rewrite_rules(fenced.where(F.col("line").rlike(text.DASH_RULE))).select(*PAGE, "line_no", "line")
+    return lines.rewrite_rules(fenced.where(text.is_dash_rule(F.col("line")))).select(*PAGE, "line_no", "line")
 
 
 @query(f"WITH {PAGES_SQL}, {LINES_SQL} SELECT book, stem, CAST(line_no AS INTEGER) AS line_no, line FROM body_")
@@ -305,9 +306,9 @@ def page_links(spark, sf_dir):
     return p.select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)))).alias("n_links"), text.xml_escape(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN slug = '' THEN 'book' ELSE slug END AS slug FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(translate(substr(text, 1, 60), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝđĐ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYdD'), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN slug = '' THEN 'book' ELSE slug END AS slug FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝđĐ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYdD'), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents)""")
 def slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.latin_slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.latin_slug(F.col("text")).alias("slug"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN slug = '' THEN 'book' ELSE slug END AS slug FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝđĐ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYdD'), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents)""")
@@ -323,19 +324,10 @@ def front_matter(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fm.alias("fm"))
 
 
-@query("""WITH i AS (SELECT source || CAST(doc_id % 6 AS STRING) AS folder, CASE WHEN doc_id % 6 = 0 THEN 'jpg' WHEN doc_id % 6 = 1 THEN 'zip' ELSE lang END AS t FROM documents WHERE doc_id % 6 <> 1 OR doc_id % 4 = 0),
-c AS (SELECT folder, t, count(*) AS n FROM i GROUP BY folder, t)
-SELECT folder, CAST(sum(n) AS BIGINT) AS n_files, CASE WHEN bool_and(t IN ('jpg', 'png')) THEN 'images' WHEN sum(n) = 1 AND min(t) IN ('zip', 'rar', 'mobi', 'pdf') THEN min(t) ELSE 'mixed' END AS route, string_agg(t || '×' || n, ', ' ORDER BY t || '×' || n) AS histogram FROM c GROUP BY folder""")
-def folder_classify(spark, sf_dir):
-    k = F.col("doc_id") % 6
-    d = table(spark, sf_dir, "documents").where((k != 1) | (F.col("doc_id") % 4 == 0))
-    return pages.classify_folders(d.select(F.concat("source", k.cast("string")).alias("folder"), F.when(k == 0, "jpg").when(k == 1, "zip").otherwise(F.col("lang")).alias("file_type")))
-
-
 @query("""WITH i AS (SELECT CASE WHEN doc_id % 6 = 1 THEN source || '/' || doc_id ELSE source || CAST(doc_id % 6 AS STRING) END AS folder, CASE WHEN doc_id % 6 = 0 THEN 'jpg' WHEN doc_id % 6 = 1 THEN ['zip', 'rar', 'mobi', 'pdf'][doc_id // 6 % 4 + 1] ELSE lang END AS t FROM documents),
 c AS (SELECT folder, t, count(*) AS n FROM i GROUP BY folder, t)
 SELECT folder, CAST(sum(n) AS BIGINT) AS n_files, CASE WHEN bool_and(t IN ('jpg', 'png')) THEN 'images' WHEN sum(n) = 1 AND min(t) IN ('zip', 'rar', 'mobi', 'pdf') THEN min(t) ELSE 'mixed' END AS route, string_agg(t || '×' || n, ', ' ORDER BY t || '×' || n) AS histogram FROM c GROUP BY folder""")
-def folder_routes(spark, sf_dir):
+def folder_classify(spark, sf_dir):
     """All documents as files; every sixth is an archive in a folder of its own."""
     k, n = F.col("doc_id") % 6, F.col("doc_id").cast("string")
     kind = F.element_at(F.array(*map(F.lit, ("zip", "rar", "mobi", "pdf"))), F.expr("CAST(doc_id div 6 % 4 + 1 AS INT)"))
@@ -530,7 +522,7 @@ def package_validation(spark, sf_dir):
 
 
 @query(f"""WITH s AS (SELECT {', '.join(SIZED)} FROM part), f AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY p_partkey) AS n FROM s WHERE greatest(w, h) >= 400)
-SELECT book, 'OEBPS/img/page_' || lpad(CAST(n AS VARCHAR), 4, '0') || '.png' AS name, CAST(n AS INTEGER) AS page_no FROM f""")
+SELECT book, 'OEBPS/scans/' || lpad(CAST(n AS VARCHAR), 5, '0') || '.png' AS name, CAST(n AS INTEGER) AS page_no FROM f""")
 def packaged_images(spark, sf_dir):
     return containers.archived_images(packaged_parts(spark, sf_dir), ["book"]).select("book", "name", "page_no")
 
@@ -545,14 +537,20 @@ def pdb_pages(spark, sf_dir):
     return containers.pdb_images(c, ["p_partkey"]).select("p_partkey", "record_no", "page_no", "ext", F.length("record").alias("n_bytes"))
 
 
-@query("SELECT doc_id, CAST(doc_id % 4 + 4 AS BIGINT) AS members FROM documents")
+@query(f"""WITH {PAGES_SQL}, raw_ AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(md, chr(10)) AS l FROM pages_ WHERE md IS NOT NULL)),
+f_ AS (SELECT *, starts_with(line, '```') AS is_fence, coalesce(sum(CAST(starts_with(line, '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM raw_),
+h_ AS (SELECT *, starts_with(line, '# ') AND NOT is_fence AND NOT in_fence AS head FROM f_),
+n_ AS (SELECT doc_id, count(*) FILTER (WHERE head) AS heads, min(line_no) FILTER (WHERE head) AS first_head, min(line_no) FILTER (WHERE regexp_matches(line, '\\S')) AS first_text FROM h_ GROUP BY doc_id)
+SELECT doc_id, CAST(4 + heads + CASE WHEN heads = 0 OR first_text < first_head THEN 1 ELSE 0 END AS BIGINT) AS members FROM n_""")
 def reflowable_members(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("book"), F.col("lang").alias("title"), F.repeat(F.lit("# Head\nbody\n"), (F.col("doc_id") % 4 + 1).cast("int")).alias("md"))
-    m = containers.zip_members(packages.build_reflowable(d), ["book"])
+    """A package for each whole marked text; its members are the sections and four that every package has."""
+    d = table(spark, sf_dir, "documents")
+    merged = d.select(F.col("doc_id").cast("string").alias("book"), F.col("source").alias("title"), F.expr(MARKED).alias("md"))
+    m = containers.zip_members(packages.build_reflowable(merged), ["book"])
     return m.where("crc_ok").groupBy(F.col("book").cast("long").alias("doc_id")).agg(F.count("*").alias("members"))
 
 
-@query("SELECT 'p' || doc_id AS stem, source AS book, 'stop' AS finish, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS tokens_in, coalesce(text, '') = '' AS blank FROM documents")
+@query("SELECT 'p' || doc_id AS stem, source AS book, CASE WHEN coalesce(text, '') = '' THEN 'blank' ELSE 'ok' END AS outcome, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS tokens_in FROM documents")
 def recognized_pages(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("stem"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit("").alias("prompt"))
-    return recognize.recognize(d).select("stem", "book", "finish", "tokens_in", F.col("md").isNull().alias("blank"))
+    return recognize.recognize(d).select("stem", "book", "outcome", "tokens_in")

@@ -1,31 +1,87 @@
-"""The recognition stage: pluggable, resumable, with a breaker; batch or stream."""
+"""The recognition stage: pluggable, resumable, with retries and a breaker; batch or stream."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import re
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RESULT = "md string, finish string, tokens_in long, tokens_out long, msg string"
+from quire.operators.attempts import BLANK_TEXT, DEAD_400, DEAD_PREFIX
+
+RESULT = "outcome string, attempts int, md string, finish string, tokens_in long, tokens_out long, msg string"
+COLUMNS = ["outcome", "attempts", "md", "finish", "tokens_in", "tokens_out", "msg"]
+#: Outcomes that later passes need not repeat.
+TERMINAL = ("ok", "blank", "dead")
+#: Pages between which a pass looks whether credit has run out.
+BATCH_PAGES = 2000
 Recognizer = Callable[[bytes, str], dict]
 
 
 def offline_stub(image: bytes, prompt: str) -> dict:
     """A recogniser without a network: its answer is a function of the image."""
     if not image:
-        return {"md": None, "finish": "stop", "tokens_in": 0, "tokens_out": 0, "msg": "blank page (empty + finish_reason=stop)"}
+        return {"md": None, "finish": "stop", "tokens_in": 0, "tokens_out": 0, "msg": None}
     if image.startswith(b"402"):
         return {"md": None, "finish": None, "tokens_in": 0, "tokens_out": 0, "msg": "HTTP 402"}
     name = base64.b32encode(hashlib.sha1(image).digest()).decode()[:8]
     return {"md": f"# {name}\n", "finish": "stop", "tokens_in": len(image), "tokens_out": len(name), "msg": None}
 
 
-def recognize(pages: DataFrame, recognizer: Recognizer = offline_stub, prompt: str = "prompt", retries: int = 4) -> DataFrame:
-    """pages (book, stem, content, prompt) -> book, stem, RESULT. A partition stops calling once it is out of credit.
+def kind_of_error(msg: str) -> str:
+    """refused, unpaid, content, service or other; operators.attempts has the same as expressions."""
+    if "HTTP 402" in msg:
+        return "unpaid"
+    if "HTTP 400" in msg and any(mark in msg for mark in DEAD_400):
+        return "refused"
+    if "empty content" in msg or "malformed response" in msg:
+        return "content"
+    return "service" if "HTTP 429" in msg or "HTTP 5" in msg or "timed out" in msg.lower() else "other"
+
+
+def class_of(msg: str) -> str:
+    return re.sub("[0-9]+", "#", msg.split(" | body[:")[0])
+
+
+def attempted(image: bytes, prompt: str, recognizer: Recognizer, retries: int, pause: Callable[[float], None]) -> dict:
+    """One page with its retries, as a row of RESULT.
+
+    An empty answer that ended by itself is a blank page; one that was cut is a content error. Two content errors of one
+    class in a row make the page dead, as does a refused image; its placeholder is its text from then on. Errors of the
+    service are tried again behind a growing wait; all others, and the last attempt, fail. Every attempt is billed.
+    """
+    tokens_in = tokens_out = 0
+    last = None
+    for n in range(1, retries + 2):
+        got = recognizer(image, prompt)
+        tokens_in, tokens_out = tokens_in + (got["tokens_in"] or 0), tokens_out + (got["tokens_out"] or 0)
+        row = {"attempts": n, "md": got["md"], "finish": got["finish"], "tokens_in": tokens_in, "tokens_out": tokens_out, "msg": got["msg"]}
+        if not row["msg"] and not (row["md"] or "").strip():
+            if row["finish"] == "stop":
+                return row | {"outcome": "blank", "md": BLANK_TEXT}
+            row["msg"] = f"empty content (finish_reason={row['finish']})"
+        if not row["msg"]:
+            return row | {"outcome": "ok"}
+        kind, this = kind_of_error(row["msg"]), class_of(row["msg"])
+        if kind == "refused" or (kind == "content" and this == last):
+            return row | {"outcome": "dead", "md": f"{DEAD_PREFIX}: {this.splitlines()[0][:120]} -->"}
+        if kind in ("unpaid", "other") or n > retries:
+            return row | {"outcome": "unpaid" if kind == "unpaid" else "fail", "md": None}
+        last = this if kind == "content" else None
+        pause(2.0 ** (n - 1) + 0.5 * (n - 1))
+    raise AssertionError("the last attempt returns")
+
+
+def recognize(pages: DataFrame, recognizer: Recognizer = offline_stub, prompt: str = "prompt", retries: int = 4, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """pages (book, stem, content, prompt) -> book, stem, RESULT, a row for each page. A partition stops calling once it
+    is out of credit: its other pages are skipped.
 
     Calls cost money: write the result before using it, and run the stage without speculation.
     """
@@ -35,40 +91,54 @@ def recognize(pages: DataFrame, recognizer: Recognizer = offline_stub, prompt: s
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
-                got = {"md": None, "finish": None, "tokens_in": 0, "tokens_out": 0, "msg": "skipped: HTTP 402 before"}
+                got = {"outcome": "skipped", "attempts": 0, "md": None, "finish": None, "tokens_in": 0, "tokens_out": 0, "msg": "skipped: HTTP 402 before"}
                 if not unpaid:
-                    got = recognizer(r.content, getattr(r, prompt, ""))
-                    unpaid = "HTTP 402" in (got["msg"] or "")
+                    got = attempted(r.content, getattr(r, prompt, ""), recognizer, retries, pause)
+                    unpaid = got["outcome"] == "unpaid"
                 out.append({"book": r.book, "stem": r.stem} | got)
-            yield pd.DataFrame(out, columns=["book", "stem", "md", "finish", "tokens_in", "tokens_out", "msg"])
+            yield pd.DataFrame(out, columns=["book", "stem", *COLUMNS])
 
     return pages.mapInPandas(run, f"book string, stem string, {RESULT}")
 
 
 def terminal(results: DataFrame) -> DataFrame:
-    """Results that later passes need not repeat: texts and blank pages."""
-    return results.where(F.col("md").isNotNull() | F.col("msg").contains("blank page"))
+    """Results that later passes need not repeat: texts, blank pages and dead ones."""
+    return results.where(F.col("outcome").isin(*TERMINAL))
 
 
-def run_pass(spark: SparkSession, pages: DataFrame, done_path: str, recognizer: Recognizer = offline_stub, batches: int = 1) -> int:
-    """Recognises what has no terminal result below done_path, in batches; stops between batches when out of credit.
-    Returns how many pages are still open."""
+def page_texts(results: DataFrame) -> DataFrame:
+    """book, stem, md: one text for each page that has one, placeholders of blank and dead pages included."""
+    return terminal(results).groupBy("book", "stem").agg(F.min("md").alias("md"))
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results of all passes so far; none if nothing has been written yet."""
+    schema = f"book string, stem string, {RESULT}, pass_id string"
     try:
-        done = spark.read.schema(f"book string, stem string, {RESULT}").parquet(done_path)
-    except Exception as e:  # nothing has been written yet
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        done = spark.createDataFrame([], f"book string, stem string, {RESULT}")
-    todo = pages.join(terminal(done).select("book", "stem"), ["book", "stem"], "left_anti").withColumn("batch_", F.pmod(F.xxhash64("book", "stem"), F.lit(batches)))
-    todo = todo.persist()
+        return spark.createDataFrame([], schema)
+
+
+def open_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
+    return pages.join(terminal(results).select("book", "stem"), ["book", "stem"], "left_anti")
+
+
+def run_pass(spark: SparkSession, pages: DataFrame, done_path: str, recognizer: Recognizer = offline_stub, batches: int | None = None, **options) -> int:
+    """Recognises what has no terminal result below done_path, in batches of about BATCH_PAGES; stops between batches
+    when this pass has run out of credit (an earlier one's shortage is past). Returns how many pages are still open."""
+    todo = open_pages(pages, read_results(spark, done_path)).persist()
     try:
+        batches = batches or max(1, math.ceil(todo.count() / BATCH_PAGES))
+        name = uuid.uuid4().hex
         for b in range(batches):
-            recognize(todo.where(F.col("batch_") == b), recognizer).write.mode("append").parquet(done_path)
-            now = spark.read.parquet(done_path)
-            if not now.where(F.col("msg").contains("HTTP 402")).isEmpty():
+            batch = todo.where(F.pmod(F.xxhash64("book", "stem"), F.lit(batches)) == b)
+            recognize(batch, recognizer, **options).withColumn("pass_id", F.lit(name)).write.mode("append").parquet(done_path)
+            if not read_results(spark, done_path).where((F.col("pass_id") == name) & (F.col("outcome") == "unpaid")).isEmpty():
                 break
-        now = terminal(spark.read.parquet(done_path)).select("book", "stem")
-        return pages.join(now, ["book", "stem"], "left_anti").count()
+        return open_pages(pages, read_results(spark, done_path)).count()
     finally:
         todo.unpersist()
 

@@ -36,6 +36,15 @@ def test_scans_to_package(spark, tmp_path, capsys):
     assert main(["recognize", paths["pages"], paths["done"]], spark) == 0
     assert main(["merge", paths["done"], paths["books"], paths["merged"]], spark) == 0
     assert spark.read.parquet(paths["merged"]).count() == 1
+    assert main(["merge", paths["done"], paths["books"], paths["merged"], "--toc"], spark) == 0
+    assert main(["toc", paths["merged"], paths["books"], str(tmp_path / "clean")], spark) == 0
+    assert main(["epub", str(tmp_path / "clean"), paths["books"], str(tmp_path / "epub")], spark) == 0
+    assert main(["all", paths["pages"], paths["books"], str(tmp_path / "whole")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "whole" / "epub")).count() == 1
+    assert main(["import", str(scans), "b", paths["pages"]], spark) == 1  # imported already
+    assert spark.read.parquet(paths["pages"]).count() == 3
+    assert main(["init", str(tmp_path / "new"), "Đường xa", "--year", "1990"], spark) == 0
+    assert [(r.slug, r.lang) for r in spark.read.parquet(str(tmp_path / "new")).collect()] == [("duong-xa", "vi")]
     spark.createDataFrame([("b", "1.5"), ("b", "bad")], "book string, cost_usd string").write.parquet(paths["ledger"])
     capsys.readouterr()
     assert main(["ledger", paths["ledger"]], spark) == 0

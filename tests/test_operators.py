@@ -4,12 +4,13 @@ import io
 import random
 import struct
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import files, text
-from quire.operators import attempts, context, cost, lines, packages, pages, summaries
+from quire.functions import files, markdown, text
+from quire.operators import attempts, batch, context, cost, lines, packages, pages, summaries
 from quire.sources import containers, convert
 from quire.streaming import recognize
 
@@ -185,3 +186,74 @@ def test_notes_of_whole_texts_are_those_of_the_lines(spark):
     got = {r.stem: r.max_note for r in lines.page_notes(df, page).collect()}
     assert got == {r.stem: r.max_note for r in want.collect()}
     assert (got["p1501"], got["p1502"]) == (5, 2)
+
+
+def test_passes_pay_for_no_page_twice(spark, tmp_path):
+    """Dead and blank pages are done with; a shortage of credit stops its own pass only; failures stay open."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def recognizer(content, prompt):
+        import uuid
+
+        kind = bytes(content).decode()
+        (calls / f"{kind}-{uuid.uuid4().hex}").touch()
+        answer = {"md": None, "finish": None, "tokens_in": 1, "tokens_out": 0, "msg": None}
+        if kind == "paid" and not (calls / "topped-up").exists():
+            return answer | {"msg": "HTTP 402"}
+        told = {"blank": {"finish": "stop"}, "dead": {"msg": "malformed response 7"}, "fail": {"msg": "HTTP 403"}}
+        return answer | told.get(kind, {"md": kind, "finish": "stop"})
+
+    kinds = ["ok", "blank", "dead", "fail", "paid"]
+    pages_ = spark.createDataFrame([("b", k, bytearray(k.encode()), "") for k in kinds], "book string, stem string, content binary, prompt string")
+    out = str(tmp_path / "done")
+    n = lambda k: len(list(calls.glob(f"{k}-*")))
+    left = recognize.run_pass(spark, pages_.where("stem <> 'paid'"), out, recognizer, pause=lambda s: None)
+    assert left == 1 and (n("ok"), n("blank"), n("dead"), n("fail")) == (1, 1, 2, 1)
+    assert recognize.run_pass(spark, pages_, out, recognizer, batches=1, pause=lambda s: None) == 2
+    (calls / "topped-up").touch()
+    assert recognize.run_pass(spark, pages_, out, recognizer, batches=3, pause=lambda s: None) == 1  # an old shortage does not stop it
+    assert (n("ok"), n("blank"), n("dead")) == (1, 1, 2) and n("paid") == 2
+    texts = {r.stem: r.md for r in recognize.page_texts(recognize.read_results(spark, out)).collect()}
+    assert texts == {"ok": "ok", "paid": "paid", "blank": "<!-- blank page -->", "dead": "<!-- OCR FAILED (deterministic): malformed response # -->"}
+
+
+def test_waits_between_attempts():
+    waited = []
+    answer = {"md": None, "finish": None, "tokens_in": 3, "tokens_out": 1, "msg": "HTTP 503"}
+    got = recognize.attempted(b"x", "", lambda c, p: answer, 4, waited.append)
+    assert waited == [1.0, 2.5, 5.0, 9.5] and (got["outcome"], got["attempts"], got["tokens_in"]) == ("fail", 5, 15)
+
+
+def test_batches_stop_without_credit():
+    script = {"a": [(True, False)], "b": [(False, False), (True, False)], "c": [(False, False)] * 2, "d": [(False, True)], "e": []}
+    outcomes, left = batch.run_batch("abcde", lambda slug, n: script[slug][n - 1])
+    assert outcomes == {"a": "output", "b": "output", "c": "given_up", "d": "unpaid"} and left == ["e"]
+
+
+def test_queues_without_their_columns(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('slug,title\na,"x, ""y"""\n')
+    with pytest.raises(ValueError, match="pdf_path"):
+        batch.read_queue(spark, str(tmp_path / "q.csv"))
+    (tmp_path / "r.csv").write_text('pdf_path,slug\n/a.pdf,a\n/b.pdf,b\n')
+    assert [tuple(r) for r in batch.read_queue(spark, str(tmp_path / "r.csv"), limit=1).collect()] == [("a", None, None, "/a.pdf")]
+
+
+def test_markdown_documents():
+    md = "Before\n\n# One *two*\nText **bold** `a<b` [x](http://y) note[^1]  \nnext\n## Sub\n> said\n\n- a\n- b\n\n1. c\n\n* * *\n```\n# no heading\n```\n[^1]: told\n# Last\n" + "> " * 3000 + "deep"
+    first, one, last = markdown.sections(md)
+    assert (first.title, one.title, last.title, one.subtitles) == ("", "One *two*", "Last", ["Sub"])
+    html = markdown.body(one.lines)
+    for part in ("<h1>One <em>two</em></h1>", "<strong>bold</strong>", "<code>a&lt;b</code>", '<a href="http://y">x</a>', 'href="#note-1"', "<br/>", '<h2 id="part-1">Sub</h2>', "<blockquote><p>said</p></blockquote>", "<ul><li>a</li><li>b</li></ul>", "<ol><li>c</li></ol>", "<hr/>", "<pre><code># no heading</code></pre>", 'id="note-1"'):
+        assert part in html
+    assert "deep" in markdown.body(last.lines)
+    ElementTree.fromstring(f'<body xmlns:epub="e">{html}</body>')
+
+
+def test_reflowable_package_is_whole(spark):
+    row = [("b", "# A & B\ntext\n## C\n\n# D\nmore", "T < U", "me", bytearray(png(8, 8)), "png")]
+    built = packages.build_reflowable(spark.createDataFrame(row, "book string, md string, title string, author string, cover binary, ext string"))
+    assert [(r.valid, r.errors) for r in packages.validate(built).collect()] == [(True, [])]
+    members = {r.name: bytes(r.content).decode(errors="replace") for r in containers.zip_members(built, ["book"]).collect()}
+    assert "<li><a href=\"text/0001.xhtml#part-1\">C</a></li>" in members["OEBPS/nav.xhtml"] and "<dc:creator>me</dc:creator>" in members["OEBPS/content.opf"]
+    assert {"OEBPS/cover.png", "OEBPS/text/0002.xhtml"} <= set(members)

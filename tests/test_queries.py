@@ -2,7 +2,7 @@
 
 import pytest
 
-from quire.plans import queries
+from quire.plans import batch_queries, queries  # noqa: F401  both register
 from tests.compare import spark_rows, sql_rows
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +33,7 @@ def test_slugs_of_whole_texts(spark):
 
 
 def test_folders_hold_all_documents(spark):
-    got = queries.QUERIES["folder_routes"](spark, SF).collect()
+    got = queries.QUERIES["folder_classify"](spark, SF).collect()
     assert sum(r.n_files for r in got) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert {r.route for r in got} >= {"images", "mixed"} and {r.route for r in got} & {"zip", "rar", "mobi", "pdf"}
     assert all(r.n_files == 1 for r in got if r.route not in ("images", "mixed"))
