@@ -21,10 +21,11 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         deep = e.select("v").join(e.select(F.col("u").alias("v")), "v", "left_semi").select(F.lit(1))
         if many.union(deep).isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+        # The least neighbours are stored before they are joined, so that a hub's edges can be split in the join.
         both = e.select("u", "v").union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         e = cut(small.distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
