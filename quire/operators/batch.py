@@ -26,6 +26,13 @@ def read_queue(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return queue.limit(limit) if limit is not None else queue
 
 
+def read_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """slug, log_no, text of log files named SLUG.NUMBER.log, each read whole."""
+    found = spark.read.text(folder, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.([0-9]+)\.log$", 0).alias("file"))
+    part = lambda n: F.regexp_extract("file", r"^(.*)\.([0-9]+)\.log$", n)
+    return found.where("file <> ''").select(part(1).alias("slug"), part(2).cast("long").alias("log_no"), F.col("value").alias("text"))
+
+
 def listed_slugs(c: Column) -> Column:
     """The slugs of a comma-separated list, blanks around them dropped."""
     return F.filter(F.transform(F.split(c, ","), lambda x: trimmed(x)), lambda x: x != "")

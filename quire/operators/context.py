@@ -70,6 +70,14 @@ def loaded(rows: DataFrame) -> DataFrame:
     return rows.select("book", parse(F.col("json")).alias("context")).where("context is not null")
 
 
+def metadata(document: Column, slug: Column) -> Column:
+    """struct title, author, lang, year of a book's metadata document; what it lacks, holds empty, or cannot be read for
+    damage takes its default: the slug, '', 'vi' and ''. A number counts as its digits."""
+    got = F.from_json(document, "title string, author string, lang string, year string")
+    value = lambda name, default: F.coalesce(filled(got[name]), default).alias(name)
+    return F.struct(value("title", slug), value("author", F.lit("")), value("lang", F.lit("vi")), value("year", F.lit("")))
+
+
 def cover_page(answer: Column, pages: Column) -> Column:
     """The page that an answer names as the cover, if there is such a page."""
     n = F.get_json_object(json_object(answer), "$.cover_page").try_cast("int")

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import files, text
-from quire.operators import attempts, batch, context, lines, packages, pages
+from quire.operators import attempts, batch, context, cost, lines, packages, pages
 from quire.plans.queries import ANSWER, MARKED, PAGES_SQL, packaged_parts, query, table
+from quire.sources import containers, inputs
 from quire.sources.scratch import scratch_dir
 from quire.streaming import recognize
 
@@ -293,3 +294,62 @@ def composed_headings(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(k.cast("string").alias("text_id"), F.lit("tînh").alias("title"), F.lit(None).cast("array<string>").alias("authors"), F.concat(F.lit("## "), toc, F.lit("\nentry\n"), own, F.lit("## End\nx")).alias("md"))
     n = lambda a: F.count_if(F.col("action") == a)
     return lines.clean_contents(lines.explode_lines(d), book="text_id").groupBy(F.col("text_id").cast("long").alias("doc_id")).agg(n("toc").alias("toc"), n("demote").alias("demoted"))
+
+
+@query("""WITH b AS (SELECT p_brand AS folder, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) % 4 AS k, count(*) AS n, count(*) FILTER (WHERE p_partkey % 97 <> 5) AS big FROM part GROUP BY 1, 2)
+SELECT folder, CASE k WHEN 0 THEN 'images' WHEN 1 THEN 'zip' WHEN 2 THEN 'mixed' ELSE 'zip' END AS route, CAST(CASE k WHEN 0 THEN n WHEN 1 THEN big ELSE 0 END AS BIGINT) AS pages, CASE k WHEN 2 THEN 'mixed: png×' || n || ', zip×1' WHEN 3 THEN 'no pages' END AS error FROM b""")
+def routed_pages(spark, sf_dir):
+    """A folder for each brand: of images, of one package, of both (an error), or of an archive without any image."""
+    number = F.regexp_extract("folder", "([0-9]+)", 1).cast("int") % 4
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex("p_size"), 8, "0"), F.lpad(F.hex("p_size"), 8, "0"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), F.concat(F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"), F.unhex(head).alias("content"))
+    zips = packaged_parts(spark, sf_dir).select(F.col("book").alias("folder"), F.lit("x.zip").alias("name"), "content")
+    empty = packages.build_reflowable(p.select(F.col("folder").alias("book")).distinct().withColumn("md", F.lit("text"))).select(F.col("book").alias("folder"), F.lit("y.zip").alias("name"), "content")
+    given = p.where(number.isin(0, 2)).union(zips.where(number.isin(1, 2))).union(empty.where(number == 3))
+    path = scratch_dir(spark, "inputs")
+    given.write.parquet(path)  # each reader reads the stored files, not what made them
+    return inputs.read_inputs(spark.read.schema(given.schema).parquet(path)).groupBy("folder", "route").agg(F.count("page_no").alias("pages"), F.max("error").alias("error"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 2 = 1")
+def containers_without_pages(spark, sf_dir):
+    """Containers of two records, every other of which holds an image that is too small to be a page."""
+    u32 = lambda c: F.concat(F.lpad(F.hex(c), 8, "0"), F.lit("0" * 8))
+    image = F.concat(F.lit("89504E470D0A1A0A"), F.when(F.col("p_partkey") % 2 == 0, F.repeat(F.lit("00"), 1200)).otherwise(F.repeat(F.lit("00"), 10)))
+    whole = F.concat(F.lit("00" * 76), F.lit("0002"), u32(F.lit(94)), u32(F.octet_length("p_name") + 94), F.hex("p_name"), image)
+    c = table(spark, sf_dir, "part").select("p_partkey", F.unhex(whole).alias("content"))
+    return containers.without_pages(c, containers.pdb_images(c, ["p_partkey"]), ["p_partkey"])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 's' || c_custkey ELSE c_name END AS title, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS author,
+  CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 = 0 THEN 'de' ELSE 'vi' END AS lang, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '1990' END AS year FROM customer""")
+def metadata_defaults(spark, sf_dir):
+    k = F.col("c_custkey")
+    whole = F.to_json(F.struct(F.when(k % 5 == 0, "").otherwise(F.col("c_name")).alias("title"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("author"), F.when(k % 4 == 0, "de").alias("lang"), F.lit(1990).alias("year")))
+    document = F.when(k % 3 > 0, whole).when(k % 2 == 0, F.lit("{damaged"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", context.metadata(document, F.concat(F.lit("s"), k)).alias("m"))
+    return c.select("c_custkey", "m.*")
+
+
+@query("SELECT CAST(o_custkey AS STRING) AS book, 2 * count(*) AS entries, CAST(2 * sum(o_orderkey % 50) AS BIGINT) AS total FROM orders WHERE o_orderkey % 50 > 0 AND o_orderkey % 7 > 0 GROUP BY o_custkey")
+def appended_ledger(spark, sf_dir):
+    """A ledger that the same entries were appended to twice; those without a readable cost are kept aside."""
+    usd = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise((F.col("o_orderkey") % 50).cast("string"))
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("book"), usd.alias("cost_usd"))
+    path = scratch_dir(spark, "ledger")
+    cost.append_ledger(entries, path)
+    cost.append_ledger(entries, path)
+    kept = cost.ledger_totals(spark.read.schema("book string, cost_usd decimal(18,6)").parquet(f"{path}/entries"), ["book"])
+    return kept.select("book", "entries", F.col("total_usd").cast("long").alias("total"))
+
+
+@query("SELECT source AS book, count(*) AS pages, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS tokens_in FROM documents GROUP BY source")
+def streamed_pages(spark, sf_dir):
+    """Pages recognised as a stream that is started twice: what the first run has done the second one leaves."""
+    pages_ = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("stem"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit("").alias("prompt"))
+    path = scratch_dir(spark, "stream")
+    for half in (0, 1):
+        pages_.where(F.pmod(F.xxhash64("stem"), F.lit(2)) == half).write.mode("append").parquet(f"{path}/pages")
+        recognize.stream_new_pages(spark, f"{path}/pages", f"{path}/done", f"{path}/checkpoint", "book string, stem string, content binary, prompt string")
+    done = spark.read.schema(f"book string, stem string, {recognize.RESULT}").parquet(f"{path}/done")
+    return done.groupBy("book").agg(F.count("*").alias("pages"), F.sum("tokens_in").alias("tokens_in"))

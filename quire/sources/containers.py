@@ -87,3 +87,8 @@ def pdb_images(containers: DataFrame, keys: list[str], content: str = "content",
     """Records that hold an image of more than `least` bytes, numbered in the order of the records."""
     r = pdb_records(containers, keys, content).withColumn("ext", files.sniff(F.col("record"))).where(F.col("ext").isin("jpg", "png", "gif") & (F.length("record") > least))
     return r.withColumn("page_no", F.row_number().over(Window.partitionBy(*keys).orderBy("record_no")))
+
+
+def without_pages(archives: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of archives that gave no page, which is an error of the input."""
+    return archives.select(*keys).join(pages.select(*keys), keys, "left_anti")

@@ -239,6 +239,14 @@ def test_queues_without_their_columns(spark, tmp_path):
     assert [tuple(r) for r in batch.read_queue(spark, str(tmp_path / "r.csv"), limit=1).collect()] == [("a", None, None, "/a.pdf")]
 
 
+def test_logs_are_read_whole(spark, tmp_path):
+    for name, body in (("a-b.2.log", "x\n2 trang DEAD placeholder\n"), ("a-b.10.log", "HTTP 429\n"), ("c.1.log", ""), ("notes.txt", "no")):
+        (tmp_path / name).write_text(body)
+    logs = batch.read_logs(spark, str(tmp_path))
+    assert sorted((r.slug, r.log_no, r.text.count("\n")) for r in logs.collect() if r.text) == [("a-b", 2, 2), ("a-b", 10, 1)]
+    assert {r.slug: r.dead for r in attempts.last_dead(logs, ["slug"]).collect()}["a-b"] == 2
+
+
 def test_markdown_documents():
     md = "Before\n\n# One *two*\nText **bold** `a<b` [x](http://y) note[^1]  \nnext\n## Sub\n> said\n\n- a\n- b\n\n1. c\n\n* * *\n```\n# no heading\n```\n[^1]: told\n# Last\n" + "> " * 3000 + "deep"
     first, one, last = markdown.sections(md)
