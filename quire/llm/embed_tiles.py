@@ -23,6 +23,7 @@ SLACK = 1e-9
 #: Above the rounding of angles: an arc cosine near 1 has half the digits.
 ANGLE_SLACK = 1e-6
 CODE_BITS = 24
+PAIRS_PER_TASK = 8
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,7 +245,9 @@ def linked_classes(tiles: DataFrame, out: str, threshold: float) -> DataFrame:
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], schema=arrow)
 
-    spread = pairs.repartition("path_a", "at_a", "path_b", "at_b").sortWithinPartitions("path_a", "at_a")
+    # A number of tasks of its own: the rows are few bytes each, so Spark would take them all for one task's work.
+    tasks = max(1, -(-pairs.count() // PAIRS_PER_TASK))
+    spread = pairs.repartition(tasks, "path_a", "at_a", "path_b", "at_b").sortWithinPartitions("path_a", "at_a")
     return spread.mapInArrow(run, "class_id long, links long, root long")
 
 
