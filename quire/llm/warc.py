@@ -22,6 +22,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: A file is closed when it has grown beyond this.
 FILE_BYTES = 64 << 20
+#: Digests measured to be at most so many (of about 200 bytes with their URL) are broadcast.
+MOST_SHARED = 50_000
 
 RECORD = "record_id string, kind string, concurrent_to string, target_uri string, payload_digest string, page_id long, payload_bytes long, payload binary, fields map<string,string>"
 RECORD_ARROW = pa.schema([
@@ -51,12 +53,13 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def capture_records(page_id: int | None, url: str | None, payload: bytes, revisits: bool, capture: str) -> Iterator[bytes]:
-    """The response or revisit of one page, then its request and its metadata, which name it as concurrent."""
+def capture_records(page_id: int | None, url: str | None, payload: bytes, revisits: bool, capture: str, first_url: str | None = None) -> Iterator[bytes]:
+    """The response or revisit of one page, then its request and its metadata, which name it as concurrent. A revisit
+    refers to the response by its URL and date."""
     uri, sha = header_uri(url), digest(payload)
     main, http = str(uuid.uuid5(uuid.NAMESPACE_OID, capture)), f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if revisits:
-        yield record("revisit", main, http, "application/http;msgtype=response", Target_URI=uri, Payload_Digest=f"sha1:{sha}", Profile=PROFILE, Refers_To_Date=DATE)
+        yield record("revisit", main, http, "application/http;msgtype=response", Target_URI=uri, Payload_Digest=f"sha1:{sha}", Profile=PROFILE, Refers_To_Target_URI=header_uri(first_url), Refers_To_Date=DATE)
     else:
         yield record("response", main, http + payload, "application/http;msgtype=response", Target_URI=uri, Payload_Digest=f"sha1:{sha}")
     try:
@@ -79,8 +82,12 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, page_id: str
     page_id is the largest only if no page of that payload has an id.
     """
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.sha1("payload"))
-    keepers = p.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.lit(True).alias("shared"))
-    told = p.join(keepers, "sha", "left").select("page_id", "url", "payload", (F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("keeper"))).alias("revisits"))
+    # Only payloads that several records have can be revisited. Their digests, if few, are broadcast, and payloads stay
+    # where they are read; else both are shuffled, and Spark can split a digest that very many records have.
+    found = p.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("page_id", F.col("url").alias("first_url"))).alias("k"))
+    shared = cut(found.where("n > 1").select("sha", F.col("k.page_id").alias("keeper"), "k.first_url", F.lit(True).alias("shared")))
+    near = F.broadcast(shared) if shared.count() <= MOST_SHARED else shared
+    told = p.join(near, "sha", "left").select("page_id", "url", "payload", "first_url", (F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("keeper"))).alias("revisits"))
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         store, folder = fs.FileSystem.from_uri(out)
@@ -88,11 +95,11 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, page_id: str
         at, attempt = 0, uuid.uuid4().hex
         file, name, captures, size = None, "", 0, 0
         part = TaskContext.get().partitionId()
-        for n, (i, u, payload, revisits) in enumerate(it):
+        for n, (i, u, payload, first_url, revisits) in enumerate(it):
             if file is None:
                 name, captures, size = f"part-{part:05d}-{at:03d}-{attempt}.warc.gz", 0, 0
                 file = store.open_output_stream(f"{folder}/{name}", compression=None)
-            for raw in capture_records(i, u, payload, revisits, f"{part}/{n}/{i}"):
+            for raw in capture_records(i, u, payload, revisits, f"{part}/{n}/{i}", first_url):
                 size += file.write(packed := member(raw)) or len(packed)
             captures += 1
             if size >= file_bytes:
@@ -156,7 +163,7 @@ def read_archives(manifest: DataFrame, out: str, with_payload: bool = True) -> D
                 for raw in members(stream):
                     yield parse(raw, with_payload)
 
-    names = manifest.select("path").repartition(max(manifest.count(), 1), "path")
+    names = manifest.select("path").repartitionByRange(max(manifest.count(), 1), "path")  # about a file for each task
     return arrow_map(names, rows, RECORD, RECORD_ARROW, chunk=16)
 
 
@@ -172,8 +179,10 @@ def assemble(records: DataFrame) -> DataFrame:
     meta = records.where("kind = 'metadata'").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct("page_id", "payload_bytes")).alias("told"), F.collect_list(F.struct("record_id", "fields")).alias("metadata"))
     joined = main.select("record_id", "kind", "target_uri", "payload_digest", "payload_bytes", "payload").join(ask, "record_id", "left").join(meta, "record_id", "left")
     kept = joined.where("kind = 'response'").groupBy("payload_digest").agg(F.max("told.page_id").alias("page_id"), F.max("payload_bytes").alias("bytes"))
-    first = kept.select("payload_digest", F.lit("revisit").alias("kind"), F.struct("page_id", "bytes").alias("refers_to"))
-    both = joined.join(first, ["payload_digest", "kind"], "left")
+    # Stored first, so that the revisits of one very common payload can be split in the join.
+    wanted = joined.where("kind = 'revisit'").select("payload_digest").distinct()
+    first = cut(kept.join(wanted, "payload_digest", "left_semi").select("payload_digest", F.lit("revisit").alias("kind"), F.struct("page_id", "bytes").alias("refers_to")))
+    both = joined.join(F.broadcast(first) if first.count() <= MOST_SHARED else first, ["payload_digest", "kind"], "left")
     response = F.struct("payload_digest", F.coalesce("payload_bytes", "refers_to.bytes").alias("payload_bytes"), "payload").alias("response")
     return both.select(F.col("told.page_id").alias("page_id"), "record_id", "kind", "target_uri", response, "request", "metadata", "refers_to")
 
