@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import arrow_map, cut, given, join_counted, tiled, words_of
 from quire.llm.graph import connected_components
-from quire.llm.simhash import SHARD_ROWS, signed, tree_links
+from quire.llm.simhash import signed, tree_links
 
 SEED, WIDTH = 42, 5
 #: Two texts are near copies if their similarity is at least this fraction.
@@ -91,7 +91,7 @@ def linked_sets(run: Iterable[tuple[int, list[int]]], least: tuple[int, int]) ->
     return {m: min(members) for members in groups.values() for m in members}
 
 
-def candidates(sets: DataFrame, radius: int, least: tuple[int, int], shard_rows: int = SHARD_ROWS) -> DataFrame:
+def candidates(sets: DataFrame, radius: int, least: tuple[int, int], shard_rows: int = 2 * CHUNK) -> DataFrame:
     """(a, b), repeated: edges that connect the sets (uid, n, fp, bands) which the shards' trees find near each other.
     Sets of sizes that make `least` impossible are not linked. A task streams over its shards."""
 
