@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and the master is local
+    a temporary one. On a cluster no other machine would see that, so there it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -43,7 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet to a new folder of the shared one and read back, and that folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    except Exception:
+        remove_dir(path)
+        raise
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -152,18 +159,22 @@ def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
-def append_columns(df: DataFrame, text: str, make: Callable[[list], list[tuple]], names: list[tuple[str, str, pa.DataType]], keep: Callable[[tuple], bool] | None = None) -> DataFrame:
-    """df with columns made from its column `text` by make(list of texts) -> list of tuples, all other columns handed
-    through as Arrow buffers; rows for which keep(tuple) is false are left out. The new names must not be in df."""
+#: Rows whose texts are Python objects at one time.
+AT_ONCE = 64
+
+
+def append_columns(df: DataFrame, text: str | list[str], make: Callable[..., list[tuple]], names: list[tuple[str, str, pa.DataType]], keep: Callable[[tuple], bool] | None = None) -> DataFrame:
+    """df with columns made from its column `text` (or columns, if a list) by make(list of texts, ...) -> list of tuples,
+    all other columns handed through as Arrow buffers; rows for which keep(tuple) is false are left out. The new names must not be in df."""
     schema = StructType(list(df.schema.fields))
     for name, kind, _ in names:
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                made = make(b.column(b.schema.get_field_index(text)).to_pylist())
+            for i in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(i, AT_ONCE)
+                made = make(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ([text] if isinstance(text, str) else text)))
                 cols = [pa.array([r[j] for r in made], t) for j, (_, _, t) in enumerate(names)]
                 out = pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(n for n, _, _ in names)])
                 yield out.filter(pa.array([keep(r) for r in made], pa.bool_())) if keep else out

@@ -490,6 +490,38 @@ def test_line_figures(spark):
     assert chain.decode(rows) == max(([(m >> k) & 1 for k in range(7)] for m in range(128)), key=score)
     out = line_crf.judge(documents(spark, [(1, None), (2, ""), (None, "w " * 20)]), chain).collect()
     assert [r.base_failed for r in out] == [True] * 3
+    assert line_crf.judge(documents(spark, []), chain).collect() == []
+    long = [(1, "a line of words\n" * 100_000), (2, "word " * 300_000), (3, "\n" * 500_000), (3, "\n" * 500_000)]
+    assert sorted(r.n_words for r in line_crf.judge(documents(spark, long), chain).collect()) == [0, 0, 300_000, 400_000]
+
+
+def test_url_model_is_not_of_the_tables():
+    """No row of the labelled table is a host of the pages; spam hosts of the pages are told from the others; and rows
+    of the table are told by a model that has not seen them."""
+    import pyarrow.parquet as pq
+
+    urls = [r["url"] or "" for r in pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pylist()]
+    hosts = sorted({u.split("://")[1].split("/")[0].lower() for u in urls if "://" in u})
+    table = [url_model.split_row(e)[0] for e in (url_model.BLOCKED + url_model.ALLOWED).split()]
+    assert not set(hosts) & set(table)
+    spam = [h for h in hosts if "-" in h]  # the made-up words of the others have no hyphen
+    model = url_model.fit()
+    score = dict(zip(hosts, model.score([(h, "/en/77") for h in hosts])))
+    assert sum(score[h] >= 0.5 for h in spam) >= 0.9 * len(spam) > 0
+    assert sum(score[h] < 0.5 for h in hosts if h not in spam) >= 0.97 * (len(hosts) - len(spam))
+    right = [0, 0]
+    blocked, allowed = url_model.BLOCKED.split(), url_model.ALLOWED.split()
+    for k in range(4):
+        m = url_model.fit(" ".join(e for i, e in enumerate(blocked) if i % 4 != k), " ".join(e for i, e in enumerate(allowed) if i % 4 != k), rounds=300)
+        right[0] += sum(s >= 0.5 for s in m.score([url_model.split_row(e) for e in blocked[k::4]]))
+        right[1] += sum(s < 0.5 for s in m.score([url_model.split_row(e) for e in allowed[k::4]]))
+    assert right[0] >= 0.45 * len(blocked) and right[1] >= 0.9 * len(allowed)
+
+
+def test_url_verdicts_of_awkward_rows(spark):
+    rows = [(1, None), (2, ""), (2, ""), (None, "http://" + "a." * 200_000 + "test/"), (3, "http://x.test/" + "p" * 1_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    assert len(url_model.judge(df).collect()) == 5 and url_model.judge(df.limit(0)).collect() == []
 
 
 def test_url_verdicts(spark):
@@ -506,6 +538,7 @@ def test_quality(spark):
     texts = ["", None, "a b c", "The the to be. " * 30]
     for t, s in zip(texts, m.score(texts)):  # pairs one by one
         at, x, st = quality_fm.features(t)
+        assert quality_fm.features(t, len(t or ""))[2] == st
         full = np.zeros(len(m.w))
         full[at] = x
         full[quality_fm.BUCKETS :] = m.scaled(np.array(st))
@@ -513,6 +546,8 @@ def test_quality(spark):
         z = m.bias + full @ m.w + sum(float(m.v[i] @ m.v[j]) * full[i] * full[j] for k, i in enumerate(nz) for j in nz[:k])
         assert math.isclose(s, 1 / (1 + math.exp(-max(min(z, 30), -30))), abs_tol=1e-4)
     df = documents(spark, [(1, ""), (None, None), (2, "x")])
+    copies = spark.createDataFrame([(i % 3, f"text {i} of one id") for i in range(30)], "doc_id long, text string")  # ids repeat, no n_chars
+    assert len(quality_fm.score(copies, quality_fm.train(copies, spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, quality int"))).collect()) == 30
     assert len(quality_fm.score(df, m).collect()) == 3 and quality_fm.keep_good(df, m, threshold=0.0).columns == df.columns
     assert quality_fm.score(documents(spark, []), m).collect() == []
 

@@ -105,6 +105,34 @@ def test_line_label_query(spark):
         assert not (r.kept and r.base_failed) and (r.kept or r.base_failed or d["doc_id"] not in good)
 
 
+def test_lines_of_mixed_documents(spark):
+    """Chain trained on sf0.01, held against the labelled documents that it has not seen: lines of junk among others are
+    found, mixed documents get both labels, bad documents go and good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chain = line_crf.train(docs, labels)
+    quality = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()}
+    seen = {r["text"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+    lines, found, wrong, mixed, both, bad, good = 0, 0, 0, 0, 0, [0, 0], [0, 0]
+    for d in pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pylist():
+        if d["text"] in seen or d["doc_id"] not in quality:
+            continue
+        y = quality[d["doc_id"]]
+        rows, sizes = line_crf.line_features(d["text"])
+        told, got = line_crf.weak_labels(rows, y), chain.decode(rows)
+        lines, found = lines + told.count(0), found + sum(a == b == 0 for a, b in zip(told, got))
+        wrong += sum(a == 1 and b == 0 for a, b in zip(told, got))
+        if 0 < sum(told) < len(told):
+            mixed, both = mixed + 1, both + (0 < sum(got) < len(got))
+        base = line_crf.base_figures(d["text"], line_crf.words_of(d["text"]))
+        if not base.failed:
+            kept = sum(s for s, label in zip(sizes, got) if label) >= line_crf.CONTENT_SHARE * base.n_words
+            (good if y else bad)[kept] += 1
+    assert lines > 1000 and found >= 0.9 * lines and wrong < 0.02 * lines + 200
+    assert mixed > 50 and both >= 0.7 * mixed
+    assert good[0] <= 0.002 * good[1] and bad[0] >= 0.9 * sum(bad)
+
+
 def test_url_query(spark):
     got = {r.page_id: r for r in queries.op9_url_verdicts(spark, SF).collect()}
     model = url_model.fit()
@@ -158,7 +186,15 @@ def test_stages_on_awkward_rows(spark, empty, tmp_path):
 def test_pipeline_leaves_one_table(spark, monkeypatch, tmp_path):
     monkeypatch.setattr("quire.llm.common.shared_dir", lambda _: str(tmp_path))
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.glob("pipeline-*")] == ["pipeline-source_mix"]
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.glob("pipeline-*")] == ["pipeline-packing"]
+
+    def broken(spark, docs, sf_dir):
+        raise ValueError("no stage")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:1], ("broken", broken)])
+    with pytest.raises(ValueError, match="no stage"):
+        corpus_pipeline.run(spark, SF)
+    assert len(list(tmp_path.glob("pipeline-*"))) == 1  # that of the first run
 
 
 def test_empty_labels(spark):
