@@ -14,7 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more,
+    found by SimHash and BK-trees."""
     return shingles.keep_one(docs)
 
 
@@ -29,8 +30,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents with their texts, packed into sequences."""
+    return packing.pack(docs, texts=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private_data", private_data), ("source_mix", source_mix), ("packing", packed)]
@@ -42,11 +43,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents. What each keeps is written as Parquet to the shared folder and read back by the
     next one, so lineage ends there and later stages read only the columns they need; it is removed once the next is
-    written."""
+    written, or a stage fails. The last table, which the result reads, stays."""
     docs, last = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if last:
-            remove_dir(last)
+    for name, stage in STAGES:
+        try:
+            docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        finally:
+            if last:
+                remove_dir(last)
         last = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
