@@ -13,6 +13,7 @@ from quire import schemas
 from quire.functions import text
 from quire.operators import cost, lines, packages, pages, summaries
 from quire.sources import containers, convert
+from quire.sources.scratch import scratch_dir
 from quire.streaming import recognize
 
 #: Programs that a command may need: (name, whether nothing works without it).
@@ -38,11 +39,11 @@ def import_scans(spark: SparkSession, a: argparse.Namespace) -> bool:
         images = containers.archived_images(found, ["book"]).select("book", "stem", "ext", "name", F.length("content").cast("long").alias("size"), "content", "page_no")
     elif a.pdf:
         found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(a.source).select(F.lit(a.book).alias("book"), "content")
-        rendered = convert.pdf_pages(found, ["book"]).where("error is null")
-        images = rendered.select("book", F.lit("").alias("stem"), F.lit("png").alias("ext"), F.lit("").alias("name"), F.length("content").cast("long").alias("size"), "content", "page_no")
+        rendered = convert.pdf_pages(found, ["book"])
+        images = rendered.select("error", "book", F.lit("").alias("stem"), F.lit("png").alias("ext"), F.lit("").alias("name"), F.length("content").cast("long").alias("size"), "content", "page_no")
     else:
         found = pages.importable(containers.scan_images(spark, a.source)).withColumn("book", F.lit(a.book))
-        images = convert.heic_to_jpg(pages.numbered(found)).where("error is null").select("book", "stem", "ext", "name", "size", "content", "page_no")
+        images = convert.heic_to_jpg(pages.numbered(found)).select("error", "book", "stem", "ext", "name", "size", "content", "page_no")
     try:
         existing = read(spark, a.out, schemas.PAGE_IMAGES).where(F.col("book") == a.book)
         blocked = not pages.importable_books(spark.createDataFrame([(a.book,)], "book string"), existing).where("blocked").isEmpty()
@@ -50,11 +51,17 @@ def import_scans(spark: SparkSession, a: argparse.Namespace) -> bool:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         blocked = False
+    failed = 0
     if not blocked:
-        images.withColumn("stem", F.format_string("page_%03d", F.col("page_no"))).drop("page_no").write.mode("append").parquet(a.out)
+        path = scratch_dir(spark, "import")  # conversions run once, then what worked is imported and the rest counted
+        (images if "error" in images.columns else images.withColumn("error", F.lit(None).cast("string"))).write.parquet(path)
+        made = spark.read.parquet(path)
+        failed = made.where("error is not null").count()
+        good = made.where("error is null").drop("error")
+        good.withColumn("stem", F.format_string("page_%03d", F.col("page_no"))).drop("page_no").write.mode("append").parquet(a.out)
     n = read(spark, a.out, schemas.PAGE_IMAGES).where(F.col("book") == a.book).count()
-    tell(spark.range(1).select(summaries.event_line(F.lit("blocked" if blocked else "imported"), F.lit(a.book).alias("book"), F.lit(n).alias("pages")).alias("line")), 1)
-    return n > 0 and not blocked
+    tell(spark.range(1).select(summaries.event_line(F.lit("blocked" if blocked else "imported"), F.lit(a.book).alias("book"), F.lit(n).alias("pages"), F.lit(failed).alias("failed")).alias("line")), 1)
+    return n > 0 and not blocked and not failed
 
 
 def init(spark: SparkSession, a: argparse.Namespace) -> bool:

@@ -50,12 +50,6 @@ def note_offsets(notes: DataFrame, book: str = "book", stem: str = "stem") -> Da
     return notes.withColumn("note_offset", F.coalesce(F.sum("max_note").over(before), F.lit(0)))
 
 
-def renumber(fenced: DataFrame, offsets: DataFrame, page: list[str]) -> DataFrame:
-    joined = fenced.join(offsets.select(*page, "note_offset"), page)
-    plain = ~F.col("is_fence") & ~F.col("in_fence") & (F.col("note_offset") > 0)
-    return joined.withColumn("line", F.when(plain, text.shifted_notes(F.col("line"), F.col("note_offset"))).otherwise(F.col("line")))
-
-
 def rewrite_rules(fenced: DataFrame) -> DataFrame:
     """Rules of dashes outside fences become asterisks, which no reader takes for metadata."""
     plain = ~F.col("is_fence") & ~F.col("in_fence") & text.is_dash_rule(F.col("line"))

@@ -353,3 +353,16 @@ def streamed_pages(spark, sf_dir):
         recognize.stream_new_pages(spark, f"{path}/pages", f"{path}/done", f"{path}/checkpoint", "book string, stem string, content binary, prompt string")
     done = spark.read.schema(f"book string, stem string, {recognize.RESULT}").parquet(f"{path}/done")
     return done.groupBy("book").agg(F.count("*").alias("pages"), F.sum("tokens_in").alias("tokens_in"))
+
+
+@query("""SELECT p_partkey, ['png', 'gif', 'jpg'][p_partkey % 3 + 1] AS kind, CAST(p_size + 100 AS INTEGER) AS w, CAST(p_size * 7 + 300 AS INTEGER) AS h FROM part""")
+def image_sizes(spark, sf_dir):
+    """PNG, GIF and JPEG headers made from part sizes; the JPEG's frame lies behind another segment."""
+    w, h, k = F.col("p_size") + 100, F.col("p_size") * 7 + 300, F.col("p_partkey") % 3
+    big = lambda c, n: F.lpad(F.hex(c), n, "0")
+    little = lambda c: F.concat(F.substring(big(c, 4), 3, 2), F.substring(big(c, 4), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 8), big(h, 8))
+    gif = F.concat(F.lit("474946383961"), little(w), little(h), F.lit("0000"))
+    jpg = F.concat(F.lit("FFD8FFE00004ABCDFFC2001108"), big(h, 4), big(w, 4), F.lit("00" * 12))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.when(k == 0, png).when(k == 1, gif).otherwise(jpg)).alias("content"))
+    return p.select("p_partkey", files.sniff(F.col("content")).alias("kind"), files.image_size(F.col("content")).alias("size")).select("p_partkey", "kind", "size.w", "size.h")
