@@ -36,11 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder; its lineage ends there, so a lost executor costs a read."""
-    named = shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    """df computed once and written to the shared folder; its lineage ends there, so a lost executor costs a read.
+
+    A checkpoint keeps its plan's estimate of its size, and joins multiply these: after some rounds of an iteration they
+    are too large for any number. So it is taken up again as rows of unknown size.
+    """
+    spark, named = df.sparkSession, shared_dir(df.sparkSession)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    done = df.checkpoint(eager=True)
+    rows = done._jdf.queryExecution().toRdd()
+    return type(done)(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -104,19 +110,6 @@ def given(rows: DataFrame, told: DataFrame, keys: list[str], how: str = "left_se
     return rows.join(F.broadcast(told) if told.count() <= MOST_KEYS else told, keys, how)
 
 
-def tiled(rows: DataFrame, keys: list[str], member: str, most: int) -> DataFrame:
-    """rows dealt to tasks so that any two of a key meet in one, and none holds over about 2 * most rows of a key.
-
-    A key's rows are cut into tiles of about `most`, and each row goes once to every pair (i, j) of tiles that its own
-    is in; keys of one row are left out. Sorted by key, i, j and member; read twice.
-    """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.ceil(F.col("n") / most).cast("int").alias("tiles"))
-    placed = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(member), F.col("tiles")).cast("int"))
-    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = both.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *(c for c in rows.columns if c not in keys))
-    return dealt.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", member)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(c, UPPER, LOWER)

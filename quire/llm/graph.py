@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import arrow_map, cut
+
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: link() of link_groups(): the members of one tile, as (member, root or None if unknown, *others) -> edges between
+#: members that connect them as all links between different roots do.
+Link = Callable[[list[tuple]], Iterator[tuple[int, int]]]
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -29,3 +38,68 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         e = cut(small.distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def link_tiles(rows: DataFrame, keys: list[str], member: str, link: Link) -> DataFrame:
+    """Edges (a, b) that link() finds in every tile: rows of equal keys, which one task has at a time."""
+    others = [c for c in rows.columns if c not in (*keys, member, "root")]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, member).select(*keys, member, "root", *others)
+
+    def run(it: Iterator[tuple]) -> Iterator[tuple]:
+        for _, tile in itertools.groupby(it, key=lambda r: r[: len(keys)]):
+            held = [r[len(keys) :] for r in tile]
+            if len(held) > 1:
+                yield from link(held)
+
+    return arrow_map(dealt, run, "a long, b long", EDGES, 256)
+
+
+def link_groups(rows: DataFrame, key: str, member: str, most: int, link: Link) -> DataFrame:
+    """Edges (a, b), stored, that connect the members of each key exactly as all links between them do.
+
+    rows: key, member (a long, once for each key) and what link() wants; read three times, so cheap to make or stored. Keys of up to `most` members are a tile
+    each. A larger key is cut into tiles; then one member of each component found so far, its leader, meets the others'
+    leaders, in tiles again, until that connects little more. Copies of one text are one component by then. What is
+    left are pairs of members of different components: these meet in tiles of about `most` with `most`, and parts of
+    one component never meet again, so a key costs no more than its components' sizes with each other's.
+    """
+    own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), member), F.col(n)).cast("int")
+    parts = lambda c: F.greatest(F.ceil(c / most), F.lit(1)).cast("int")
+    sizes = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, parts(F.col("n")).alias("tiles")))
+    unknown = F.lit(None).cast("long").alias("root")
+    first = rows.join(sizes, key).withColumn("tile", own("tiles", 0)).drop("tiles").withColumn("root", unknown)
+    edges = cut(link_tiles(first, [key, "tile"], member, link))
+    hot = cut(sizes.where("tiles > 1").select(key))
+    if hot.isEmpty():
+        return edges
+    members = cut(rows.join(hot, key))
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        roots = connected_components(edges, "a", "b").withColumnRenamed("node", member)
+        return members.join(roots.select(member, "root"), member, "left").withColumn("root", F.coalesce("root", member))
+
+    was, salt = members.count(), 0
+    while True:
+        known = cut(rooted(edges))
+        leaders = cut(known.groupBy(key, "root").agg(F.min(member).alias(member)))
+        n = leaders.count()
+        if 10 * n > 9 * was:
+            break
+        was, salt = n, salt + 1
+        dealt = leaders.join(leaders.groupBy(key).agg(parts(F.count("*")).alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n"), key)
+        dealt = known.drop("root").join(dealt.withColumn("tile", own("tiles", salt)).select(key, member, "root", "tile"), [key, member])
+        edges = cut(edges.union(link_tiles(dealt, [key, "tile"], member, link)))
+    # Blocks: parts of one large component, or small components pooled.
+    counts = known.groupBy(key, "root").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy(key).agg(F.count("*").alias("roots"), F.sum(F.when(F.col("n") < most, F.col("n"))).alias("pooled")).where("roots > 1")
+    counts = cut(counts.join(mixed, key).withColumn("solo", F.when(F.col("n") >= most, F.col("root"))))
+    pool = F.pmod(F.xxhash64("root"), parts(F.col("pooled"))).cast("long")
+    blocks = known.join(counts, [key, "root"]).withColumn("block", F.when(F.col("solo").isNotNull(), F.pmod(F.xxhash64(member), parts(F.col("n"))).cast("long")).otherwise(pool))
+    blocks = cut(blocks.withColumn("name", F.concat_ws("/", F.coalesce(F.col("solo").cast("string"), F.lit("pool")), "block")).drop("n", "roots", "pooled", "block"))
+    names = blocks.select(key, "name", "solo").distinct()
+    one, two = names.select(key, F.col("name").alias("i"), F.col("solo").alias("solo_i")), names.select(key, F.col("name").alias("j"), F.col("solo").alias("solo_j"))
+    pairs = cut(one.join(two, key).where("i <= j").where(~F.coalesce(F.col("solo_i") == F.col("solo_j"), F.lit(False))).select(key, "i", "j"))
+    here = blocks.drop("solo")
+    left = here.join(pairs.withColumn("name", F.col("i")), [key, "name"])
+    right = here.join(pairs.where("i < j").withColumn("name", F.col("j")), [key, "name"])
+    return cut(edges.union(link_tiles(left.unionByName(right).drop("name"), [key, "i", "j"], member, link)))

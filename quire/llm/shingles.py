@@ -9,8 +9,7 @@ trees link is then compared by its whole sets.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, given, join_counted, tiled, words_of
-from quire.llm.graph import connected_components
+from quire.llm.common import arrow_map, cut, given, join_counted, words_of
+from quire.llm.graph import connected_components, link_groups
 from quire.llm.simhash import signed, tree_links
 
 SEED, WIDTH = 42, 5
@@ -77,32 +76,41 @@ def similar(na, nb, common, least: tuple[int, int]):
     return common * (least[0] + least[1]) >= least[0] * (na + nb)
 
 
-def linked_sets(run: Iterable[tuple[int, list[int]]], least: tuple[int, int]) -> dict[int, int]:
-    """Every set -> the least of those that links connect it with. Pairs already connected are not compared."""
+def linked_sets(tile: list[tuple], least: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """Edges between sets (name, root or None, members) that connect them as all links between them do. Sets of one
+    root, and such as are connected already, are not compared."""
     sets: dict[int, np.ndarray] = {}
     groups: dict[int, list[int]] = {}
-    for uid, s in run:
-        if uid in sets:
-            continue
+    home_of: dict[int, int] = {}  # of roots
+
+    def linked(x: np.ndarray, members: list[int]) -> int | None:
+        sizes = (y for y in members if similar(len(x), len(sets[y]), min(len(x), len(sets[y])), least))
+        return next((y for y in sizes if similar(len(x), len(sets[y]), len(np.intersect1d(x, sets[y], True)), least)), None)
+
+    for uid, root, s in tile:
         x = np.array(s, np.int64)
-        met = [g for g, members in groups.items() if any(similar(len(x), len(y), min(len(x), len(y)), least) and similar(len(x), len(y), len(np.intersect1d(x, y, True)), least) for y in map(sets.__getitem__, members))]
+        home = home_of.get(root) if root is not None else None
+        met = [] if home is None else [home]
+        for g, members in groups.items():
+            if g != home and (y := linked(x, members)) is not None:
+                yield uid, y
+                met.append(g)
         groups[uid] = [uid, *(m for g in met for m in groups.pop(g))]
+        home_of.update({r: uid for r, g in home_of.items() if g in met})
+        if root is not None:
+            home_of[root] = uid
         sets[uid] = x
-    return {m: min(members) for members in groups.values() for m in members}
 
 
 def candidates(sets: DataFrame, radius: int, least: tuple[int, int], shard_rows: int = 2 * CHUNK) -> DataFrame:
-    """(a, b), repeated: edges that connect the sets (uid, n, fp, bands) which the shards' trees find near each other.
-    Sets of sizes that make `least` impossible are not linked. A task streams over its shards."""
+    """(a, b): edges that connect the sets (uid, n, fp, bands) which the shards' trees find near each other. Sets of
+    sizes that make `least` impossible are not linked."""
 
-    def grow(it: Iterator[tuple]) -> Iterator[tuple]:
-        for _, run in itertools.groupby(it, key=lambda r: r[:3]):
-            members = {(fp & ((1 << 64) - 1), uid): n for *_, fp, uid, n in run}
-            fits = lambda x, y: similar(members[x], members[y], min(members[x], members[y]), least)  # noqa: B023, E731
-            yield from ((a[1], b[1]) for a, b in tree_links(list(members), radius, fits))
+    def fits(x: tuple, y: tuple) -> bool:
+        return similar(x[3], y[3], min(x[3], y[3]), least)
 
-    shards = sets.select(F.explode("bands").alias("shard"), "fp", "uid", "n")
-    return arrow_map(tiled(shards, ["shard"], "uid", shard_rows), grow, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    shards = sets.select(F.explode("bands").alias("shard"), "uid", "fp", "n")
+    return link_groups(shards, "shard", "uid", shard_rows, lambda tile: tree_links(tile, radius, fits))
 
 
 def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
@@ -140,13 +148,7 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     bodies = given(ids, placed.select("t").distinct(), ["t"]).select("text", "t")
     found = arrow_map(bodies, whole, "uid long, t long, s array<long>", pa.schema([("uid", pa.int64()), ("t", pa.int64()), ("s", pa.list_(pa.int64()))]), 64)
     found = found.dropDuplicates(["uid"]).drop("t")
-    tasks = tiled(cut(found.join(placed.drop("t"), "uid")).select("root", "uid", "s"), ["root"], "uid", chunk)
-
-    def linked(it: Iterator[tuple]) -> Iterator[tuple]:
-        for _, run in itertools.groupby(it, key=lambda r: r[:3]):
-            yield from ((a, b) for a, b in linked_sets(((uid, s) for *_, uid, s in run), least).items() if a != b)
-
-    edges = arrow_map(tasks, linked, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]), 64)
+    edges = link_groups(cut(found.join(placed.drop("t"), "uid").select(F.col("root").alias("part"), "uid", "s")), "part", "uid", chunk, lambda tile: linked_sets(tile, least))
     roots = cut(connected_components(edges, "a", "b").withColumnRenamed("node", "uid"))
     named = sets.select("doc_id", "t", "uid").join(roots, "uid", "left")
     return named.select("doc_id", "t", "uid", F.coalesce("root", "uid").alias("root"))

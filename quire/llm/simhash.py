@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, join_counted, tiled, words_of
-from quire.llm.graph import connected_components
+from quire.llm.common import arrow_map, cut, join_counted, words_of
+from quire.llm.graph import connected_components, link_groups
 
 BITS, SEED = 64, 42
 #: Blocks of a fingerprint that shards are named by.
@@ -76,35 +76,40 @@ class BKTree:
                 stack += [c for e, c in children.items() if d - radius <= e <= d + radius]
 
 
-def tree_links(shard: list[tuple], radius: int, fits: Callable[[tuple, tuple], bool] = lambda x, y: True) -> list[tuple[tuple, tuple]]:
-    """Edges that connect a shard's members as those do that its trees find and `fits` admits.
+def tree_links(members: list[tuple], radius: int, fits: Callable[[tuple, tuple], bool] = lambda x, y: True) -> Iterator[tuple[int, int]]:
+    """Edges between members (name, root or None, fingerprint, ...) that connect them as those do that their trees find
+    and `fits` admits. Members of one root are connected already.
 
     Each component has a tree of its own, and one link to it is enough: the search of a tree ends at the first, so a
-    shard of copies costs each member one step, not one for each pair.
+    shard of copies costs each member one step, not one for each pair. Fingerprints are taken as unsigned.
     """
-    trees: list[tuple[BKTree, list[tuple]]] = []
-    out = []
-    for x in shard:
-        met = []
-        for k, (tree, members) in enumerate(trees):
-            if (y := next((y for y in tree.within(x, radius) if fits(x, y)), None)) is not None:
-                out.append((x, y))
+    mask = (1 << BITS) - 1
+    trees: dict[int, tuple[BKTree, list[tuple]]] = {}
+    home_of: dict[int, int] = {}  # of roots
+    for n, x in enumerate(members):
+        node = (x[2] & mask, x)
+        home = home_of.get(x[1]) if x[1] is not None else None
+        met = [] if home is None else [home]
+        for k, (tree, _) in trees.items():
+            if k != home and (y := next((y for y in tree.within(node, radius) if fits(x, y[1])), None)) is not None:
+                yield x[0], y[1][0]
                 met.append(k)
-        if met:
-            home = max(met, key=lambda k: len(trees[k][1]))
-            for k in reversed(met):
-                if k != home:
-                    for y in trees[k][1]:
-                        trees[home][0].add(y)
-                    trees[home][1].extend(trees[k][1])
-            tree, members = trees[home]
-            trees = [t for k, t in enumerate(trees) if k == home or k not in met] if len(met) > 1 else trees
-        else:
-            tree, members = BKTree(), []
-            trees.append((tree, members))
-        tree.add(x)
-        members.append(x)
-    return out
+        if not met:
+            trees[n] = BKTree(), []
+            met = [n]
+        home = max(met, key=lambda k: len(trees[k][1]))
+        tree, held = trees[home]
+        for k in met:
+            if k != home:
+                for y in trees.pop(k)[1]:
+                    tree.add(y)
+                    held.append(y)
+        tree.add(node)
+        held.append(node)
+        if len(met) > 1:
+            home_of.update({root: home for root, k in home_of.items() if k in met})
+        if x[1] is not None:
+            home_of[x[1]] = home
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -132,19 +137,14 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, blocks: int = BLOCKS
     Every (choice of blocks, their value) is a shard, and every shard has its BK-trees, grown in the task that holds
     its fingerprints. With five blocks and radius 2 a fingerprint is in ten shards named by 38 of its 64 bits, so that the
     shards of 10^11 fingerprints that are spread evenly have few members. A shard of more than `shard_rows` is cut
-    into tiles, and each pair of tiles grows its own trees.
+    into tiles, as link_groups() tells, and each tile grows its own trees.
     """
     if not 0 <= radius < blocks:
         raise ValueError("blocks must be more than radius")
     masks = shard_masks(radius, blocks)
     keys = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("block", "value"))
-
-    def grow(it: Iterator[tuple]) -> Iterator[tuple]:
-        for _, run in itertools.groupby(it, key=lambda r: r[:4]):
-            members = [(r[4] & ((1 << BITS) - 1),) for r in run]
-            yield from ((signed(a[0]), signed(b[0])) for a, b in tree_links(members, radius))
-
-    return arrow_map(tiled(keys, ["block", "value"], "fp", shard_rows), grow, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    shards = keys.select(F.xxhash64("block", "value").alias("shard"), "fp")  # shards of one hash are searched together
+    return link_groups(shards, "shard", "fp", shard_rows, lambda tile: tree_links([(x, root, x) for x, root in tile], radius))
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
