@@ -26,8 +26,14 @@ NAMES = {
     ("family", "", "latin"): "Adler Baker Bauer Berg Brandt Carter Dumont Fischer Garcia Garnier Hansen Keller Lambert Lopez Marsh Meyer Moreau Navarro Novak Palmer Romero Vogel Walker Weber".split(),
     ("family", "", "cyrillic"): "Орлов Соколов Лебедев Козлов Новиков Морозов Волков Зайцев Павлов Белов".split(),
 }
-#: Given names that tell a person without a title, if another name follows.
-GIVEN = "|".join(n for (kind, _, _), names in NAMES.items() if kind == "given" for n in names)
+#: More given names by gender, that are found but not given out.
+KNOWN = {
+    "f": "Agnes Amelia Andrea Angela Anita Barbara Beatrice Birgit Brigitte Camille Carmen Caroline Catherine Charlotte Christine Claudia Deborah Dolores Dorothy Elizabeth Françoise Gertrud Gisela Hannah Heike Helga Ingrid Isabel Isabelle Jennifer Jessica Johanna Juliette Karen Karin Katharina Linda Lucía Margaret Margarita Marie Mary Mónica Monika Nancy Natalia Nathalie Olivia Patricia Petra Pilar Rebecca Renate Sabine Sandra Sarah Silvia Susan Susanne Teresa Ursula Valérie Virginia Yvonne".split(),
+    "m": "Alejandro Alfonso Andreas Andrew Anthony Antoine Benjamin Bernard Bernd Charles Christopher Diego Dieter Dominique Edward Enrique Étienne Fernando Francisco François Frank Franz Frédéric George Gérard Guillaume Günter Hans Heinrich Helmut Henri Henry Hermann Ignacio Jacques James Javier Jean John Jonathan Jorge José Joseph Juan Jürgen Kenneth Klaus Laurent Lorenzo Louis Luis Manuel Marcel Matthew Matthias Michael Michel Miguel Nicolas Patrick Philippe Pierre Rafael Rainer Richard Robert Rodrigo Samuel Stefan Steven Thomas Uwe William Wolfgang".split(),
+}
+#: Given names that tell a person without a title, if another name follows; and phrases behind which a name stands.
+GIVEN = "|".join([*(n for (kind, _, _), names in NAMES.items() if kind == "given" for n in names), *KNOWN["f"], *KNOWN["m"]])
+NAMED = r"(?<=(?:[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es) )"
 _MORE = r"(?:[ -]\p{Lu}\p{Ll}++)"
 
 #: Types and their patterns, in order of precedence. None has a capturing group, and none repeats a group without a
@@ -42,15 +48,15 @@ PATTERNS = (
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w)"),
-    ("person", r"(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:(?:" + TITLES + r")\.? ){1,4}+\p{Lu}\p{Ll}++" + _MORE + r"{0,3}|(?:" + GIVEN + ")" + _MORE + r"{1,3})(?!\p{L})"),
+    ("person", r"(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:(?:" + TITLES + r")\.? ){1,4}+\p{Lu}\p{Ll}++" + _MORE + r"{0,3}|(?:" + GIVEN + ")" + _MORE + r"{1,3}|" + NAMED + r"\p{Lu}\p{Ll}++" + _MORE + r"{0,3})(?!\p{L})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A text without any of these has no entity; far cheaper than the patterns, it spares most texts from them.
-GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:" + TITLES + r")\.? |(?:" + GIVEN + r")[ -]\p{Lu})"
+GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:" + TITLES + r")\.? |(?:" + GIVEN + r")[ -]\p{Lu}|" + NAMED + r"\p{Lu})"
 FEMALE_TITLES = r"(?:^|[ .])(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Mme|Mlle|Señora|Señorita|Sra|Srta|Doctora|Profesora|госпожа)\.? "
 MALE_TITLES = r"(?:^|[ .])(?:Mr|Sir|Herr|Monsieur|Señor|Sr|Profesor|господин)\.? "
 TITLE = r"^(?:(?:" + TITLES + r")\.? ){1,4}"
-CARD, IBAN, PERSON = (dict(PATTERNS)[k] for k in ("card", "iban", "person"))
+CARD, IBAN = (dict(PATTERNS)[k] for k in ("card", "iban"))
 #: The first digits and lengths that card issuers have.
 ISSUERS = r"\A(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11,16}|(?:6011|6[45]\d\d|62\d\d|35\d\d)\d{12,15})\z"
 
@@ -89,8 +95,8 @@ def script_of(c: Column) -> Column:
 
 
 def titled(found: Column) -> Column:
-    """The mentions of persons among all of a text: those with a title or a known given name."""
-    return F.filter(found, lambda m: m.rlike(rf"\A(?:{PERSON})\z"))
+    """The mentions of persons among all of a text: those with a title, a known given name or a phrase before them."""
+    return F.filter(found, lambda m: kind_of(m) == "person")
 
 
 def pattern_with_names(titled: Column) -> Column:
@@ -104,7 +110,7 @@ def is_female(mention: Column, told: Column) -> Column:
     """By the mention's own title; without one that tells, by `told` (another title of the name in the text) or a known
     given name."""
     name = F.regexp_replace(mention, TITLE, "")
-    known = F.substring_index(F.substring_index(name, " ", 1), "-", 1).isin(*NAMES["given", "f", "latin"], *NAMES["given", "f", "cyrillic"])
+    known = F.substring_index(F.substring_index(name, " ", 1), "-", 1).isin(*NAMES["given", "f", "latin"], *NAMES["given", "f", "cyrillic"], *KNOWN["f"])
     return F.when(mention.rlike(FEMALE_TITLES), F.lit(True)).when(mention.rlike(MALE_TITLES), F.lit(False)).otherwise(told | known)
 
 
