@@ -26,6 +26,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that hold blocks; others (paragraphs, headings, cells) count as what lies within.
 CONTAINERS = set("html body div section article main header footer nav aside ul ol dl table blockquote figure form fieldset details center".split())
+#: Cells of tables that lay out a page, as those outside of articles may, hold blocks as well.
+CELLS = {"td", "th"}
 #: Elements whose text is never part of the article, and such that are not unless within the article.
 DROPPED = set("head title script style noscript template iframe object svg canvas nav footer aside form button select option textarea input dialog menu".split())
 DROPPED_OUTSIDE = {"header"}
@@ -141,7 +143,7 @@ class Outline(HTMLParser):
         article = up.article or own
         dropped = up.dropped or tag in DROPPED or "hidden" in has or (not article and tag in DROPPED_OUTSIDE)
         at = up.node
-        if not dropped and (tag in CONTAINERS or told):
+        if not dropped and (tag in CONTAINERS or told or (tag in CELLS and not up.article)):
             kind = tag + "." + re.sub(r"[0-9]+", "#", marks)
             n = self.seen[at, kind] = self.seen.get((at, kind), 0) + 1
             self.nodes[at].inside.append(len(self.nodes))
@@ -239,7 +241,7 @@ def slots(page: Outline, template: dict[int, tuple[float, float, bool]] | None =
     """The text of the article: the blocks of the page's main slots, in order.
 
     From the page downwards a container that mostly frames others is left for those of them that hold most text; one
-    with much text of its own, or marked as an article, is the slot. A container of the template counts as its host's
+    with much text of its own, with some and parts that all belong to the article, or marked as one, is the slot. A container of the template counts as its host's
     mean, another as it is. Within the slot parts go that are named like adverts and small, that (unless the slot is
     marked as an article) hold links only, or that repeat one text in all pages of a host whose articles differ.
     """
@@ -267,7 +269,11 @@ def slots(page: Outline, template: dict[int, tuple[float, float, bool]] | None =
             continue
         most = max(prose[k] for k in held)
         least = PART_SHARE * max((prose[k] for k in held if marked[k]), default=most)
-        todo += [k for k in held if marked[k] or prose[k] >= least]
+        parts = [k for k in held if marked[k] or prose[k] >= least]
+        if own[i][0] and not any(marked[k] for k in held) and all(k in parts or not prose[k] for k in held):
+            main.add(i)  # all that it holds is of the article, and so is what it says itself, a heading mostly
+        else:
+            todo += parts
     slot = [-1] * len(nodes)  # the main slot that a container lies in, or -1
     for i, n in enumerate(nodes):
         up = n.parent

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import embed_tiles, line_crf, mixing, packing, quality_fm, simhash, surrogates, templates, url_model, warc
+from quire.llm import common, embed_tiles, graph, line_crf, mixing, packing, quality_fm, simhash, surrogates, templates, url_model, warc
 from tests.compare import spark_rows, sql_rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string"
@@ -38,6 +38,21 @@ def smallest(n, links):
     return root
 
 
+def smallest_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
 def brute_print(text):
     words = [w.encode() for w in (text or "").translate({c: c + 32 for c in range(65, 91)}).split(" ") if w] if text and not set(text) & set("\t\n") else (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))] if words else []
@@ -57,6 +72,35 @@ def test_simhash(spark, blocks):
     assert simhash.simhash_groups(documents(spark, [])).collect() == []
 
 
+def test_components_of_long_chains(spark):
+    """As many rounds as chains need; plans must not grow with them."""
+    r = random.Random(1)
+    nodes = r.sample(range(100_000), 3000)
+    edges = list(zip(nodes, nodes[1:2000])) + list(zip(nodes[2000:], nodes[2001:])) + [(nodes[0], nodes[0]), (None, 5)]
+    got = {c.node: c.root for c in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {n: min(nodes[:2000]) if i < 2000 else min(nodes[2000:]) for i, n in enumerate(nodes)}
+
+
+@pytest.mark.parametrize("most", [2, 7, 1000])
+def test_links_of_hot_groups(spark, most):
+    """Members are numbers, linked if they differ by 3 at most; a hot group of one component, one of many, and others."""
+    r = random.Random(most)
+    groups = {1: [2 * i for i in range(120)], 2: [10 * i for i in range(40)] + [1000 + i for i in range(60)], 3: r.sample(range(2000), 90), 4: [7], 5: [1, 2]}
+    rows = [(k, 100_000 * k + v, v) for k, vs in groups.items() for v in vs]
+
+    def link(tile):
+        for i, (a, root_a, x) in enumerate(tile):
+            yield from ((a, b) for b, root_b, y in tile[:i] if abs(x - y) <= 3 and (root_a is None or root_a != root_b))
+
+    df = common.cut(spark.createDataFrame(rows, "key long, m long, v long"))
+    edges = graph.link_groups(df, "key", "m", most, link)
+    assert edges.where("abs(a - b) > 3").isEmpty()
+    names = [m for _, m, _ in rows]
+    want = smallest_of(len(rows), [(i, j) for i, (k, _, v) in enumerate(rows) for j in range(i) if rows[j][0] == k and abs(rows[j][2] - v) <= 3])
+    index = {m: i for i, m in enumerate(names)}
+    assert smallest_of(len(rows), [(index[e.a], index[e.b]) for e in edges.collect()]) == want
+
+
 def test_near_fingerprints_in_hot_shards(spark):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(6)]
@@ -285,6 +329,22 @@ def test_persons_without_their_title(spark):
     assert got[4].text.startswith("Poe was here before. госпожа ") and not re.search("Анна|Белова|Ruiz|Vega", got[4].text) and got[4].n_ == 4
 
 
+def test_recall_of_persons(spark):
+    """Names in four languages, with a title, a given name, a phrase or nothing before them: what is found of each kind."""
+    family = "Abbot Brandl Castellano Dubois Ekholm Fabre Grünwald Hoffmeister Ibarra Janvier Kowalski Lindqvist".split()
+    frames = {
+        "title": ["Yesterday Mrs {} spoke.", "Herr {} kam.", "Madame {} est ici.", "La Sra. {} vino.", "Then Prof. Dr. {} left"],
+        "given": ["Yesterday Mary {} spoke.", "Wolfgang {} kam.", "Hier Françoise {} est venue.", "Juan {} vino.", "by Elizabeth {}, 1990"],
+        "phrase": ["Hello, my name is Zorro {}.", "Ich heiße Xaverl {}.", "Je m'appelle Yolaine {}.", "Me llamo Zacarías {}."],
+        "bare": ["Yesterday {} spoke.", "{} kam."],
+    }
+    texts = [(kind, f.format(name), name) for kind, forms in frames.items() for f in forms for name in family]
+    got = {r.doc_id: r.text for r in surrogates.replace_pii(documents(spark, [(i, t) for i, (_, t, _) in enumerate(texts)])).collect()}
+    found = {kind: sum(name not in got[i] for i, (k, _, name) in enumerate(texts) if k == kind) / sum(k == kind for k, *_ in texts) for kind in frames}
+    assert found == {"title": 1.0, "given": 1.0, "phrase": 1.0, "bare": 0.0}
+    assert all("Zorro" not in t and "Xaverl" not in t for t in got.values())
+
+
 def test_formats_without_a_free_surrogate_are_widened(spark):
     texts = [f"Mail {c}@example.com" for c in "abcdefghijklmnopqrst"] + ["password: ........", "secret=пароль1234"]
     texts += ["4111111111111111", "(644) 555-7859", "10.20.30.40", "Mr Poe"]
@@ -442,7 +502,7 @@ def test_classes_of_tokens(spark):
     by = {}
     for t in tokens:
         by.setdefault((t.vector_a, t.vector_b), []).append(t.pages)
-    assert sorted((len(v), v[0]) for v in by.values()) == [(1, 2), (2, 6), (3, 12)]  # table; section and its div; page, body, div
+    assert sorted((len(v), v[0]) for v in by.values()) == [(2, 2), (2, 6), (3, 12)]  # table and cell; section and its div; page, body, div
     (row,) = templates.deduce_templates(df).collect()
     assert len(row.tokens) == 5  # without the table of one page
 
