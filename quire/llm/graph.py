@@ -30,13 +30,16 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         deep = e.select("v").join(e.select(F.col("u").alias("v")), "v", "left_semi").select(F.lit(1))
         if many.union(deep).isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
-        # The least neighbours are stored before they are joined, so that a hub's edges can be split in the join.
+        # The least neighbours are held before they are joined, so that a hub's edges can be split in the join. What is
+        # held is made anew if an executor is lost; the round's end is stored.
         both = e.select("u", "v").union(e.select("v", "u"))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().persist()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).persist()
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         e = cut(small.distinct())
+        for held in (least, large, low):
+            held.unpersist()
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -65,14 +68,16 @@ def link_groups(rows: DataFrame, key: str, member: str, most: int, link: Link) -
     """
     own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), member), F.col(n)).cast("int")
     parts = lambda c: F.greatest(F.ceil(c / most), F.lit(1)).cast("int")
-    sizes = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, parts(F.col("n")).alias("tiles")))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, parts(F.col("n")).alias("tiles")).persist()
     unknown = F.lit(None).cast("long").alias("root")
     first = rows.join(sizes, key).withColumn("tile", own("tiles", 0)).drop("tiles").withColumn("root", unknown)
     edges = cut(link_tiles(first, [key, "tile"], member, link))
-    hot = cut(sizes.where("tiles > 1").select(key))
+    hot = sizes.where("tiles > 1").select(key)
     if hot.isEmpty():
+        sizes.unpersist()
         return edges
     members = cut(rows.join(hot, key))
+    sizes.unpersist()
 
     def rooted(edges: DataFrame) -> DataFrame:
         roots = connected_components(edges, "a", "b").withColumnRenamed("node", member)

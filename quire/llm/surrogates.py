@@ -263,12 +263,13 @@ def assign(entities: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> D
     done = todo.limit(0).withColumn("surrogate", F.lit(""))
     for attempt in range(max_attempts + 8):
         drawn = wider(todo, key, attempt) if attempt >= max_attempts else candidates(todo.where(~fixed), key, attempt).union(wider(todo.where(fixed), key, attempt))
-        tried = cut(drawn).withColumn("taken", F.lower("surrogate"))
+        tried = drawn.withColumn("taken", F.lower("surrogate")).persist()  # made anew if an executor is lost
         first = tried.groupBy("kind", "taken").agg(F.min(F.struct("value", "gender")).alias("winner"))
         public = (F.col("kind") == "ip") & F.substring_index("value", ".", 1).try_cast("int").between(1, 223) & ~F.substring_index("surrogate", ".", 1).try_cast("int").between(1, 223)
         given = done.select("kind", F.lower("surrogate").alias("taken")).union(real).distinct()
         fits = tried.join(first, ["kind", "taken"]).where((F.col("winner") == F.struct("value", "gender")) & ~public).join(given, ["kind", "taken"], "left_anti")
         done = cut(done.union(fits.select("kind", "gender", "value", "surrogate")))
+        tried.unpersist()
         todo = cut(todo.join(done, ["kind", "gender", "value"], "left_anti"))
         if todo.isEmpty():
             return done
