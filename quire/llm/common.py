@@ -125,6 +125,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+#: Bytes of rows that are sent to Python at one time. Spark's own limit of 64 MB is met several times over in a task,
+#: on both sides, when rows are long texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session was told to send Python no larger batches; a smaller limit of the user's stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, arrow: pa.Schema, chunk: int = 512) -> DataFrame:
     """mapInArrow for functions on tuples: rows() gets all the rows of a partition one by one and yields output
     tuples. Only `chunk` rows at a time are turned into Python objects, and output leaves in batches of 4096."""
@@ -145,7 +159,7 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
         if out:
             yield to_batch(out, arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
@@ -172,4 +186,4 @@ def append_columns(df: DataFrame, text: str | list[str], make: Callable[..., lis
                 out = pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(n for n, _, _ in names)])
                 yield out.filter(pa.array([keep(r) for r in made], pa.bool_())) if keep else out
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quire.llm.common import cut, join_counted, remove_dir, shared_dir
+from quire.llm.common import cut, join_counted, remove_dir, shared_dir, small_batches
 from quire.llm.graph import connected_components
 
 TILE = 1024
@@ -144,7 +144,7 @@ def coded(classes: DataFrame) -> DataFrame:
                 code[at] = direction(matrix(batch.take(pa.array(at)), int(dim)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "code"])
 
-    return classes.mapInArrow(run, StructType([*classes.schema.fields]).add("code", "long"))
+    return small_batches(classes).mapInArrow(run, StructType([*classes.schema.fields]).add("code", "long"))
 
 
 def matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
