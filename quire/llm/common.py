@@ -133,7 +133,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after its session was told to send Python no larger batches; a smaller limit of the user's stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(key, "").rstrip("b")
+    now = conf.get(key).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(key, f"{BATCH_BYTES}b")
     return df
