@@ -60,7 +60,8 @@ def link_tiles(rows: DataFrame, keys: list[str], member: str, link: Link) -> Dat
 def link_groups(rows: DataFrame, key: str, member: str, most: int, link: Link) -> DataFrame:
     """Edges (a, b), stored, that connect the members of each key exactly as all links between them do.
 
-    rows: key, member (a long, once for each key) and what link() wants; read three times, so cheap to make or stored. Keys of up to `most` members are a tile
+    rows: key, member (a long, once for each key) and what link() wants (no column `root`, none that ends in _); read
+    several times, so cheap to make or stored. Keys of up to `most` members are a tile
     each. A larger key is cut into tiles; then one member of each component found so far, its leader, meets the others'
     leaders, in tiles again, until that connects little more. Copies of one text are one component by then. What is
     left are pairs of members of different components: these meet in tiles of about `most` with `most`, and parts of
@@ -68,15 +69,15 @@ def link_groups(rows: DataFrame, key: str, member: str, most: int, link: Link) -
     """
     own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), member), F.col(n)).cast("int")
     parts = lambda c: F.greatest(F.ceil(c / most), F.lit(1)).cast("int")
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, parts(F.col("n")).alias("tiles")).persist()
-    unknown = F.lit(None).cast("long").alias("root")
-    first = rows.join(sizes, key).withColumn("tile", own("tiles", 0)).drop("tiles").withColumn("root", unknown)
-    edges = cut(link_tiles(first, [key, "tile"], member, link))
-    hot = sizes.where("tiles > 1").select(key)
-    if hot.isEmpty():
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key, parts(F.col("n_")).alias("tiles_")).persist()
+    dealt = rows.join(sizes, key).withColumn("tile_", own("tiles_", 0)).withColumn("root", F.lit(None).cast("long"))
+    if sizes.where("tiles_ > 1").isEmpty():
+        edges = cut(link_tiles(dealt.drop("tiles_"), [key, "tile_"], member, link))
         sizes.unpersist()
         return edges
-    members = cut(rows.join(hot, key))
+    whole = cut(link_tiles(dealt.where("tiles_ = 1").drop("tiles_"), [key, "tile_"], member, link))
+    edges = cut(link_tiles(dealt.where("tiles_ > 1").drop("tiles_"), [key, "tile_"], member, link))
+    members = cut(rows.join(sizes.where("tiles_ > 1").select(key), key))
     sizes.unpersist()
 
     def rooted(edges: DataFrame) -> DataFrame:
@@ -91,20 +92,22 @@ def link_groups(rows: DataFrame, key: str, member: str, most: int, link: Link) -
         if 10 * n > 9 * was:
             break
         was, salt = n, salt + 1
-        dealt = leaders.join(leaders.groupBy(key).agg(parts(F.count("*")).alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n"), key)
-        dealt = known.drop("root").join(dealt.withColumn("tile", own("tiles", salt)).select(key, member, "root", "tile"), [key, member])
-        edges = cut(edges.union(link_tiles(dealt, [key, "tile"], member, link)))
+        met = leaders.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").select(key, parts(F.col("n_")).alias("tiles_"))
+        named = leaders.join(met, key).withColumn("tile_", own("tiles_", salt)).select(key, member, "root", "tile_")
+        edges = cut(edges.union(link_tiles(known.drop("root").join(named, [key, member]), [key, "tile_"], member, link)))
     # Blocks: parts of one large component, or small components pooled.
-    counts = known.groupBy(key, "root").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy(key).agg(F.count("*").alias("roots"), F.sum(F.when(F.col("n") < most, F.col("n"))).alias("pooled")).where("roots > 1")
-    counts = cut(counts.join(mixed, key).withColumn("solo", F.when(F.col("n") >= most, F.col("root"))))
-    pool = F.pmod(F.xxhash64("root"), parts(F.col("pooled"))).cast("long")
-    blocks = known.join(counts, [key, "root"]).withColumn("block", F.when(F.col("solo").isNotNull(), F.pmod(F.xxhash64(member), parts(F.col("n"))).cast("long")).otherwise(pool))
-    blocks = cut(blocks.withColumn("name", F.concat_ws("/", F.coalesce(F.col("solo").cast("string"), F.lit("pool")), "block")).drop("n", "roots", "pooled", "block"))
-    names = blocks.select(key, "name", "solo").distinct()
-    one, two = names.select(key, F.col("name").alias("i"), F.col("solo").alias("solo_i")), names.select(key, F.col("name").alias("j"), F.col("solo").alias("solo_j"))
-    pairs = cut(one.join(two, key).where("i <= j").where(~F.coalesce(F.col("solo_i") == F.col("solo_j"), F.lit(False))).select(key, "i", "j"))
-    here = blocks.drop("solo")
-    left = here.join(pairs.withColumn("name", F.col("i")), [key, "name"])
-    right = here.join(pairs.where("i < j").withColumn("name", F.col("j")), [key, "name"])
-    return cut(edges.union(link_tiles(left.unionByName(right).drop("name"), [key, "i", "j"], member, link)))
+    counts = known.groupBy(key, "root").agg(F.count("*").alias("n_"))
+    mixed = counts.groupBy(key).agg(F.count("*").alias("roots_"), F.sum(F.when(F.col("n_") < most, F.col("n_"))).alias("pooled_")).where("roots_ > 1")
+    counts = cut(counts.join(mixed, key).withColumn("solo_", F.when(F.col("n_") >= most, F.col("root"))))
+    pool = F.pmod(F.xxhash64("root"), parts(F.col("pooled_"))).cast("long")
+    block = F.when(F.col("solo_").isNotNull(), F.pmod(F.xxhash64(member), parts(F.col("n_"))).cast("long")).otherwise(pool)
+    name = F.concat_ws("/", F.coalesce(F.col("solo_").cast("string"), F.lit("pool")), block)
+    blocks = cut(known.join(counts, [key, "root"]).withColumn("block_", name).drop("n_", "roots_", "pooled_"))
+    names = blocks.select(key, "block_", "solo_").distinct()
+    one, two = names.select(key, F.col("block_").alias("i_"), F.col("solo_").alias("solo_i")), names.select(key, F.col("block_").alias("j_"), F.col("solo_").alias("solo_j"))
+    pairs = cut(one.join(two, key).where("i_ <= j_").where(~F.coalesce(F.col("solo_i") == F.col("solo_j"), F.lit(False))).select(key, "i_", "j_"))
+    here = blocks.drop("solo_")
+    left = here.join(pairs.withColumn("block_", F.col("i_")), [key, "block_"])
+    right = here.join(pairs.where("i_ < j_").withColumn("block_", F.col("j_")), [key, "block_"])
+    last = link_tiles(left.unionByName(right).drop("block_"), [key, "i_", "j_"], member, link)
+    return cut(whole.union(edges).union(last))

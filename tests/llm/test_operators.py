@@ -92,8 +92,8 @@ def test_links_of_hot_groups(spark, most):
         for i, (a, root_a, x) in enumerate(tile):
             yield from ((a, b) for b, root_b, y in tile[:i] if abs(x - y) <= 3 and (root_a is None or root_a != root_b))
 
-    df = common.cut(spark.createDataFrame(rows, "key long, m long, v long"))
-    edges = graph.link_groups(df, "key", "m", most, link)
+    df = common.cut(spark.createDataFrame(rows, "key long, m long, v long").withColumns({"n": F.lit(1), "i": F.lit(2), "tiles": F.lit(3), "name": F.lit("x")}))
+    edges = graph.link_groups(df, "key", "m", most, lambda tile: link([r[:3] for r in tile]))
     assert edges.where("abs(a - b) > 3").isEmpty()
     names = [m for _, m, _ in rows]
     want = smallest_of(len(rows), [(i, j) for i, (k, _, v) in enumerate(rows) for j in range(i) if rows[j][0] == k and abs(rows[j][2] - v) <= 3])

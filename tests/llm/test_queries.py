@@ -240,7 +240,7 @@ def smallest_of(n, links):
     return [find(x) for x in range(n)]
 
 
-@pytest.mark.parametrize(("chunk", "most"), [(256, 250_000), (3, 0)])
+@pytest.mark.parametrize(("chunk", "most"), [(1024, 250_000), (3, 0), (1, 0)])
 def test_near_duplicate_stage_leaves_one_of_each_group(spark, monkeypatch, chunk, most):
     """Against brute force over all pairs, Jaccard similarity of 0.8 or more of the sets of five-word shingles."""
     monkeypatch.setattr("quire.llm.common.MOST_KEYS", most)
