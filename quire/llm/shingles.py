@@ -28,8 +28,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 20, 4
 #: Fingerprints of sets just as similar as LEAST differ in 9.7 of 64 bits, give or take 2.9: five deviations are within.
 RADIUS = 24
-#: Whole sets that one task holds at a time are at most about twice as many.
-CHUNK = 1024
+#: Whole sets that one task holds at a time are at most about twice as many; more of a group take several steps.
+CHUNK = 4096
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, WIDTH + 2 + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
@@ -102,7 +102,7 @@ def linked_sets(tile: list[tuple], least: tuple[int, int]) -> Iterator[tuple[int
         sets[uid] = x
 
 
-def candidates(sets: DataFrame, radius: int, least: tuple[int, int], shard_rows: int = 4 * CHUNK) -> DataFrame:
+def candidates(sets: DataFrame, radius: int, least: tuple[int, int], shard_rows: int = 2 * CHUNK) -> DataFrame:
     """(a, b): edges that connect the sets (uid, n, fp, bands) which the shards' trees find near each other. Sets of
     sizes that make `least` impossible are not linked."""
 
@@ -136,7 +136,7 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sets = cut(arrow_map(ids, rows, "doc_id long, t long, uid long, n long, fp long, bands array<long>", pa.schema(kinds), 64))
     once = sets.groupBy("uid").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     once = cut(once.where("n > 0"))
-    parts = cut(connected_components(candidates(once, radius, least, 4 * chunk), "a", "b").withColumnRenamed("node", "uid"))
+    parts = cut(connected_components(candidates(once, radius, least, 2 * chunk), "a", "b").withColumnRenamed("node", "uid"))
     placed = cut(parts.join(once.select("uid", "t"), "uid").select("uid", "t", "root"))
 
     def whole(it: Iterator[tuple]) -> Iterator[tuple]:
