@@ -92,8 +92,8 @@ def linked_sets(tile: list[tuple], least: tuple[int, int]) -> Iterator[tuple[int
         home = home_of.get(root) if root is not None else None
         met = [] if home is None else [home]
         for g, members in groups.items():
-            if g != home and (y := linked(x, members)) is not None:
-                yield uid, y
+            if g != home and linked(x, members) is not None:
+                yield uid, members[-1]  # the group's first, so that components settle in few rounds
                 met.append(g)
         groups[uid] = [uid, *(m for g in met for m in groups.pop(g))]
         home_of.update({r: uid for r, g in home_of.items() if g in met})

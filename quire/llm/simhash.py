@@ -90,9 +90,9 @@ def tree_links(members: list[tuple], radius: int, fits: Callable[[tuple, tuple],
         node = (x[2] & mask, x)
         home = home_of.get(x[1]) if x[1] is not None else None
         met = [] if home is None else [home]
-        for k, (tree, _) in trees.items():
-            if k != home and (y := next((y for y in tree.within(node, radius) if fits(x, y[1])), None)) is not None:
-                yield x[0], y[1][0]
+        for k, (tree, held) in trees.items():
+            if k != home and any(fits(x, y[1]) for y in tree.within(node, radius)):
+                yield x[0], held[0][1][0]  # the component's first, so that components settle in few rounds
                 met.append(k)
         if not met:
             trees[n] = BKTree(), []
