@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import embed_tiles, line_crf, mixing, packing, quality_fm, simhash, surrogates, templates, url_model, warc
+from quire.llm import block_products, decontaminate, embed_tiles, fill_middle, line_crf, mixing, packing, quality_fm, simhash, surrogates, templates, url_model, warc
 from quire.llm.common import table
 
 
@@ -51,6 +52,20 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return block_products.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Base 32 from a SHA-1 in DuckDB: 32 groups of five bits of its 160.
 OP4_SQL = """
 WITH p AS (
@@ -68,5 +83,5 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_pii_surrogates, op4_warc_transactions, op5_simhash_groups, op6_template_text, op7_embedding_groups, op8_line_labels, op9_url_verdicts, op10_quality_scores)}
-ORACLE_SQL = {"op2_source_mixing": mixing.MIX_SQL, "op4_warc_transactions": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_pii_surrogates, op4_warc_transactions, op5_simhash_groups, op6_template_text, op7_embedding_groups, op8_line_labels, op9_url_verdicts, op10_quality_scores, op11_hard_negatives, op12_fill_middle, op13_contamination)}
+ORACLE_SQL = {"op2_source_mixing": mixing.MIX_SQL, "op4_warc_transactions": OP4_SQL, "op11_hard_negatives": block_products.MINE_SQL, "op12_fill_middle": fill_middle.DIGEST_SQL, "op13_contamination": decontaminate.DIGEST_SQL}
