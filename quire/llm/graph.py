@@ -17,27 +17,36 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 Link = Callable[[list[tuple]], Iterator[tuple[int, int]]]
 
 
+#: Edges that one task takes of an edge table; a table of fewer is one partition and is never shuffled.
+EDGES_PER_TASK = 100_000
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge, root being the smallest node reachable.
 
     Edges with a null end and self-loops name no component; repeated edges count once; no edges, no rows. Every round
     is two min-aggregations with map-side combine and two joins in which only the edge side can be skewed, written to
-    the shared folder, so lineage stays short. Nothing but a row count reaches the driver.
+    the shared folder, so lineage stays short. Nothing but row counts reaches the driver. Tables have as many
+    partitions as EDGES_PER_TASK makes of them at most, for rounds leave ever fewer edges.
     """
     e = cut(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(max_rounds):
+        shares = max(1, -(-e.count() // EDGES_PER_TASK))
+        few = lambda df: df.coalesce(shares)  # noqa: B023, E731
+        e = few(e)
         many = e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(1))
         deep = e.select("v").join(e.select(F.col("u").alias("v")), "v", "left_semi").select(F.lit(1))
-        if many.union(deep).isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+        if many.isEmpty() and deep.isEmpty():
+            node = F.explode(F.array("u", "v")).alias("node")  # roots as often as they have members
+            return e.select(node, F.col("v").alias("root")).distinct()
         # The least neighbours are held before they are joined, so that a hub's edges can be split in the join. What is
         # held is made anew if an executor is lost; the round's end is stored.
-        both = e.select("u", "v").union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist()
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().persist()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).persist()
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))).persist()
+        large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()).persist()
+        low = few(large.groupBy("u").agg(F.min("v").alias("m"))).persist()
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        e = cut(small.distinct())
+        e = cut(few(few(small).distinct()))
         for held in (least, large, low):
             held.unpersist()
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

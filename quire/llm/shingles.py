@@ -4,7 +4,7 @@ Fingerprints that may differ in a third of their bits agree in no block of usefu
 hashes instead: texts whose Jaccard similarity is at least 0.8 share one of BANDS shards with a likelihood of
 1 - (1 - 0.8^ROWS)^BANDS, all but one in 36 000 pairs that are just as similar as that, and of more similar ones fewer
 are missed. Each shard grows BK-trees of its members' fingerprints and follows only edges within the radius; what the
-trees link is then compared by its whole sets.
+trees link is then compared by its whole sets, pair by pair within the shards and the radius.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import arrow_map, cut, given, join_counted, words_of
 from quire.llm.graph import connected_components, link_groups
-from quire.llm.simhash import signed, tree_links
+from quire.llm.simhash import Groups, signed, tree_links
 
 SEED, WIDTH = 42, 5
 #: Two texts are near copies if their similarity is at least this fraction.
@@ -43,7 +43,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     hashed = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
     width = min(width, len(words))
     n = len(words) - width + 1
-    out = np.full(n, np.uint64(width) * _ODD[WIDTH])
+    out = np.full(n, width, np.uint64) * _ODD[WIDTH]
     for i in range(width):
         out += hashed[i : i + n] * _ODD[i]
     out = (out ^ (out >> np.uint64(32))) * _ODD[WIDTH + 1]
@@ -76,30 +76,41 @@ def similar(na, nb, common, least: tuple[int, int]):
     return common * (least[0] + least[1]) >= least[0] * (na + nb)
 
 
-def linked_sets(tile: list[tuple], least: tuple[int, int]) -> Iterator[tuple[int, int]]:
-    """Edges between sets (name, root or None, members) that connect them as all links between them do. Sets of one
-    root, and such as are connected already, are not compared."""
-    sets: dict[int, np.ndarray] = {}
-    groups: dict[int, list[int]] = {}
-    home_of: dict[int, int] = {}  # of roots
-
-    def linked(x: np.ndarray, members: list[int]) -> int | None:
-        sizes = (y for y in members if similar(len(x), len(sets[y]), min(len(x), len(sets[y])), least))
-        return next((y for y in sizes if similar(len(x), len(sets[y]), len(np.intersect1d(x, sets[y], True)), least)), None)
-
-    for uid, root, s in tile:
-        x = np.array(s, np.int64)
-        home = home_of.get(root) if root is not None else None
-        met = [] if home is None else [home]
-        for g, members in groups.items():
-            if g != home and linked(x, members) is not None:
-                yield uid, members[-1]  # the group's first, so that components settle in few rounds
-                met.append(g)
-        groups[uid] = [uid, *(m for g in met for m in groups.pop(g))]
-        home_of.update({r: uid for r, g in home_of.items() if g in met})
+def linked_sets(tile: list[tuple], least: tuple[int, int], radius: int) -> Iterator[tuple[int, int]]:
+    """Edges between sets (name, root or None, fingerprint, shards, members) that connect them as all links between them
+    do. Compared are sets of one shard whose fingerprints are within the radius, as the trees compare them, unless they
+    are connected already."""
+    groups, first, mask = Groups(), {}, (1 << 64) - 1
+    sets: list[np.ndarray] = []
+    prints: list[int] = []
+    shards: dict[int, dict[int, list[int]]] = {}  # the members of each shard, by their group
+
+    def linked(n: int, k: int) -> bool:
+        a, b = sets[n], sets[k]
+        return (prints[n] ^ prints[k]).bit_count() <= radius and similar(len(a), len(b), min(len(a), len(b)), least) and bool(similar(len(a), len(b), len(np.intersect1d(a, b, True)), least))
+
+    for uid, root, fp, bands, s in tile:
+        n = groups.add()
+        sets.append(np.array(s, np.int64))
+        prints.append(fp & mask)
         if root is not None:
-            home_of[root] = uid
-        sets[uid] = x
+            groups.join(first.setdefault(root, n), n)
+        met: set[int] = set()
+        for band in bands:
+            shard = shards.get(band, {})
+            for g in [g for g in shard if groups.find(g) != g]:
+                shard.setdefault(groups.find(g), []).extend(shard.pop(g))
+            for g, members in shard.items():
+                if groups.find(g) == groups.find(n):
+                    continue
+                for k in members:
+                    if k not in met and linked(n, k):
+                        yield uid, tile[groups.find(k)][0]  # the group's first, so that components settle in few rounds
+                        groups.join(k, n)
+                        break
+                    met.add(k)
+        for band in bands:
+            shards.setdefault(band, {}).setdefault(groups.find(n), []).append(n)
 
 
 def candidates(sets: DataFrame, radius: int, least: tuple[int, int], shard_rows: int = 2 * CHUNK) -> DataFrame:
@@ -136,8 +147,8 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sets = cut(arrow_map(ids, rows, "doc_id long, t long, uid long, n long, fp long, bands array<long>", pa.schema(kinds), 64))
     once = sets.groupBy("uid").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     once = cut(once.where("n > 0"))
-    parts = cut(connected_components(candidates(once, radius, least, 2 * chunk), "a", "b").withColumnRenamed("node", "uid"))
-    placed = cut(parts.join(once.select("uid", "t"), "uid").select("uid", "t", "root"))
+    parts = connected_components(candidates(once, radius, least, 2 * chunk), "a", "b").withColumnRenamed("node", "uid")
+    placed = cut(parts.join(once.select("uid", "t", "fp", "bands"), "uid"))
 
     def whole(it: Iterator[tuple]) -> Iterator[tuple]:
         for t, h in it:
@@ -148,8 +159,9 @@ def near_copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     bodies = given(ids, placed.select("t").distinct(), ["t"]).select("text", "t")
     found = arrow_map(bodies, whole, "uid long, t long, s array<long>", pa.schema([("uid", pa.int64()), ("t", pa.int64()), ("s", pa.list_(pa.int64()))]), 64)
     found = found.dropDuplicates(["uid"]).drop("t")
-    edges = link_groups(cut(found.join(placed.drop("t"), "uid").select(F.col("root").alias("part"), "uid", "s")), "part", "uid", chunk, lambda tile: linked_sets(tile, least))
-    roots = cut(connected_components(edges, "a", "b").withColumnRenamed("node", "uid"))
+    told = cut(found.join(placed.drop("t"), "uid").select(F.col("root").alias("part"), "uid", "fp", "bands", "s"))
+    edges = link_groups(told, "part", "uid", chunk, lambda tile: linked_sets(tile, least, radius))
+    roots = connected_components(edges, "a", "b").withColumnRenamed("node", "uid")
     named = sets.select("doc_id", "t", "uid").join(roots, "uid", "left")
     return named.select("doc_id", "t", "uid", F.coalesce("root", "uid").alias("root"))
 

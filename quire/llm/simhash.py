@@ -48,68 +48,112 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-class BKTree:
-    """A tree of 64-bit numbers in which a child hangs on the edge that is its Hamming distance to the parent. Nodes
-    are tuples whose first member is the number."""
+class Groups:
+    """Disjoint sets of the numbers 0, 1, ...; a set is named by its smallest."""
 
     def __init__(self) -> None:
-        self.root: list | None = None
-
-    def add(self, x: tuple) -> None:
-        if self.root is None:
-            self.root = [x, {}]
-            return
-        node = self.root
-        while (d := (node[0][0] ^ x[0]).bit_count()) in node[1]:
-            node = node[1][d]
-        node[1][d] = [x, {}]
-
-    def within(self, x: tuple, radius: int) -> Iterator[tuple]:
-        """The nodes at most `radius` bits from x. By the triangle inequality only edges d-radius..d+radius count."""
-        stack = [self.root] if self.root else []
-        while stack:
-            y, children = stack.pop()
-            d = (y[0] ^ x[0]).bit_count()
-            if d <= radius:
-                yield y
-            if children:
-                stack += [c for e, c in children.items() if d - radius <= e <= d + radius]
+        self.up: list[int] = []
 
+    def add(self) -> int:
+        self.up.append(len(self.up))
+        return len(self.up) - 1
 
-def tree_links(members: list[tuple], radius: int, fits: Callable[[tuple, tuple], bool] = lambda x, y: True) -> Iterator[tuple[int, int]]:
-    """Edges between members (name, root or None, fingerprint, ...) that connect them as those do that their trees find
-    and `fits` admits. Members of one root are connected already.
+    def find(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
 
-    Each component has a tree of its own, and one link to it is enough: the search of a tree ends at the first, so a
-    shard of copies costs each member one step, not one for each pair. Fingerprints are taken as unsigned.
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+
+
+class BKTree:
+    """A tree of 64-bit numbers in which a child hangs on the edge that is its Hamming distance to the parent.
+
+    Nodes hold the members (numbered from 0) that share a value, and whether all members below them are of one group:
+    a search for links of a group passes over what is that group's already.
+    """
+
+    def __init__(self, groups: Groups) -> None:
+        self.groups = groups
+        self.values: list[int] = []
+        self.members: list[list[int]] = []
+        self.children: list[dict[int, int]] = []
+        #: A member of the one group that a node and all below it belong to, or -1.
+        self.only: list[int] = []
+        self.visits = self.visits_then = 0
+
+    def add(self, value: int, member: int) -> None:
+        at, find, only = 0, self.groups.find, self.only
+        group = find(member)
+        while at < len(self.values):
+            if only[at] >= 0 and find(only[at]) != group:
+                only[at] = -1
+            d = (self.values[at] ^ value).bit_count()
+            if not d:
+                self.members[at].append(member)
+                return
+            if d not in self.children[at]:
+                self.children[at][d] = len(self.values)
+                break
+            at = self.children[at][d]
+        self.values.append(value)
+        self.members.append([member])
+        self.children.append({})
+        only.append(member)
+
+    def within(self, value: int, radius: int, member: int | None = None) -> Iterator[int]:
+        """The members at most `radius` bits from value; those of another group than `member`, if that is given, which
+        may join groups meanwhile. By the triangle inequality only edges d-radius..d+radius are followed."""
+        if member is not None and self.visits - self.visits_then > 4 * len(self.values):
+            self.refresh()
+        find, only, values = self.groups.find, self.only, self.values
+        stack, own = [0] if values else [], -1 if member is None else find(member)
+        while stack:
+            at = stack.pop()
+            if own >= 0 and only[at] >= 0 and find(only[at]) == own:
+                continue
+            self.visits += 1
+            d = (values[at] ^ value).bit_count()
+            if d <= radius:
+                for k in self.members[at]:
+                    if own < 0 or find(k) != own:
+                        yield k
+                        own = own if own < 0 else find(member)
+            if self.children[at]:
+                stack += [c for e, c in self.children[at].items() if d - radius <= e <= d + radius]
+
+    def refresh(self) -> None:
+        """Finds anew which nodes are of one group, after groups were joined. Children come after their parents."""
+        find = self.groups.find
+        for at in range(len(self.values) - 1, -1, -1):
+            below = [*self.members[at], *(self.only[c] for c in self.children[at].values())]
+            group = find(below[0])
+            self.only[at] = below[0] if all(k >= 0 and find(k) == group for k in below) else -1
+        self.visits_then = self.visits
+
+
+def tree_links(members: list[tuple], radius: int, fits: Callable[[tuple, tuple], bool] = lambda x, y: True, tree: BKTree | None = None) -> Iterator[tuple[int, int]]:
+    """Edges between members (name, root or None, fingerprint, ...) that connect them as all links do: pairs at most
+    `radius` bits apart that `fits` admits. Members of one root are connected already.
+
+    There is one tree. A member's search passes over parts of it that are of the member's own group, so a tile of copies
+    costs each member a few steps, not one for each pair; parts of other groups are pruned by distances alone.
+    Fingerprints are taken as unsigned.
     """
-    mask = (1 << BITS) - 1
-    trees: dict[int, tuple[BKTree, list[tuple]]] = {}
-    home_of: dict[int, int] = {}  # of roots
-    for n, x in enumerate(members):
-        node = (x[2] & mask, x)
-        home = home_of.get(x[1]) if x[1] is not None else None
-        met = [] if home is None else [home]
-        for k, (tree, held) in trees.items():
-            if k != home and any(fits(x, y[1]) for y in tree.within(node, radius)):
-                yield x[0], held[0][1][0]  # the component's first, so that components settle in few rounds
-                met.append(k)
-        if not met:
-            trees[n] = BKTree(), []
-            met = [n]
-        home = max(met, key=lambda k: len(trees[k][1]))
-        tree, held = trees[home]
-        for k in met:
-            if k != home:
-                for y in trees.pop(k)[1]:
-                    tree.add(y)
-                    held.append(y)
-        tree.add(node)
-        held.append(node)
-        if len(met) > 1:
-            home_of.update({root: home for root, k in home_of.items() if k in met})
+    tree = tree or BKTree(Groups())
+    groups, mask, first = tree.groups, (1 << BITS) - 1, {}
+    for x in members:
+        n, value = groups.add(), x[2] & mask
         if x[1] is not None:
-            home_of[x[1]] = home
+            groups.join(first.setdefault(x[1], n), n)
+        for k in tree.within(value, radius, n):
+            if fits(x, members[k]):
+                yield x[0], members[groups.find(k)][0]  # the group's first, so that components settle in few rounds
+                groups.join(k, n)
+        tree.add(value, n)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:

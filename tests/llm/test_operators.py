@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import common, embed_tiles, graph, line_crf, mixing, packing, quality_fm, simhash, surrogates, templates, url_model, warc
+from quire.llm import common, embed_tiles, graph, line_crf, mixing, packing, quality_fm, shingles, simhash, surrogates, templates, url_model, warc
 from tests.compare import spark_rows, sql_rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string"
@@ -114,6 +114,43 @@ def test_near_fingerprints_in_hot_shards(spark):
         assert smallest(len(fps), found) == want
 
 
+@pytest.mark.parametrize(("made", "radius", "most"), [("unlike", 2, 0.05), ("near", 24, 0.01), ("mixed", 2, 0.2)])
+def test_one_tree_of_a_tile(made, radius, most):
+    """Links connect as those of all pairs do, with few visits of nodes: unlike members are told apart by distances,
+    near ones by their group."""
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(20)]
+    flip = lambda x, n: x ^ sum(1 << i for i in r.sample(range(64), n))
+    of = {"unlike": lambda i: r.getrandbits(64), "near": lambda i: flip(base[0], r.randint(0, 8)), "mixed": lambda i: flip(base[i % 20], r.randint(0, 3))}
+    prints = [of[made](i) for i in range(2000)]
+    roots = [i % 50 if made == "mixed" and i % 3 == 0 else None for i in range(2000)]
+    tree = simhash.BKTree(simhash.Groups())
+    found = list(simhash.tree_links([(i, root, simhash.signed(x)) for i, (x, root) in enumerate(zip(prints, roots))], radius, tree=tree))
+    known = [(i, roots.index(root)) for i, root in enumerate(roots) if root is not None]
+    links = [(a, b) for a in range(2000) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= radius]
+    assert smallest_of(2000, found + known) == smallest_of(2000, links + known)
+    assert tree.visits < most * 2000 * 2000 / 2
+    near = {i for i in tree.within(prints[7], radius)}
+    assert near == {i for i, x in enumerate(prints) if (x ^ prints[7]).bit_count() <= radius}
+
+
+def test_sets_are_compared_within_their_shards():
+    """Near copies are linked to one another, sets that share shards but too little are not; most pairs never meet."""
+    r = random.Random(8)
+    kinds = [r.sample(range(10**6), 300) for _ in range(6)]
+    rows = []
+    for i in range(300):
+        own = set(kinds[i % 6])
+        own = set(r.sample(sorted(own), 300 - i % 40)) | {10**6 + 100 * i + j for j in range(r.choice([0, 10, 80]))}
+        rows.append((i, None, 0, [i % 6, 6 + i % 2], sorted(own)))
+    found = list(shingles.linked_sets(rows, (4, 5), 24))
+    like = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+    links = [(a, b) for a in range(300) for b in range(a) if like(rows[a][4], rows[b][4])]
+    assert smallest_of(300, found) == smallest_of(300, links) and all(like(rows[a][4], rows[b][4]) or smallest_of(300, links)[a] == smallest_of(300, links)[b] for a, b in found)
+    far = [(i, None, (1 << 64) - 1 if i % 2 else 0, [1], rows[0][4]) for i in range(4)]
+    assert smallest_of(4, list(shingles.linked_sets(far, (4, 5), 24))) == [0, 1, 0, 1]
+
+
 def test_mixing(spark):
     texts = [(i, "w " * (i % 7)) for i in range(300)] + [(None, "a b"), (5, None)]
     sources = [None if i % 10 == 0 else "big" if i % 3 else f"s{i % 4}" for i in range(302)]
