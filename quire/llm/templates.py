@@ -1,10 +1,12 @@
 """Main text of web pages: each host's template is deduced from equivalence classes of tokens, and its main slot read.
 
-Tokens are a page's containers (elements that hold blocks), told apart by their place. Tokens that occur in the same
-pages equally often have one occurrence vector and form a class; classes that many pages have and whose tokens lie
-within tokens of classes as frequent nest into the template. What its containers hold themselves, on the mean of the
-host's pages, tells the slot of the article from those of menus, adverts and notices. Markup that says what it is (nav,
-footer, article) is believed; names in class, id and role only decide about small parts beside or within the article.
+Tokens are a page's containers (elements that hold blocks), told apart by their place, and on pages that mark no article
+also its texts, told apart by container. Tokens that occur in the same pages equally often have one occurrence vector
+and form a class; classes that many pages have and whose tokens lie within tokens of classes as frequent nest into the
+template. What lies between the template's texts is what differs from page to page: where most of it is, is the slot of
+the article. Where texts do not differ, what the template's containers hold on the mean of the host's pages tells the
+slot from menus, adverts and notices. Markup that says what it is (nav, footer, article) is believed; names in class, id
+and role only decide about small parts beside or within the article.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 import xxhash
@@ -45,6 +47,9 @@ PART_SHARE = 0.3
 #: A part named like an advert is dropped if it has less than this share of the article; one of links has this share in
 #: links.
 NAMED_SHARE, LINK_SHARE = 0.5, 0.8
+#: Texts are taken for the template's if the host has so many different pages that mark no article; and a page is read
+#: by what differs if that is at least this share of what is read without.
+LEAST_PAGES, OWN_TEXT = 3, 0.15
 #: Templates measured to be at most so many bytes are broadcast; beyond that a host's pages go to so many tasks.
 MOST_BROADCAST, SALTS = 8 << 20, 64
 
@@ -87,13 +92,77 @@ def names_of(marks: str) -> bool:
     return False
 
 
-class Outline(HTMLParser):
+TAG_NAME = re.compile(r"[A-Za-z][^\t\n\r\f />]*+")
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"?)|'([^']*+)('?)|([^\s>]*+)))?+")
+BETWEEN = re.compile(r"[\s/]*+")
+END_OF_COMMENT = re.compile(r"--!?>")
+#: Elements whose content is text up to their own end tag.
+RAW = {t: re.compile(rf"</{t}(?=[\t\n\r\f />])", re.I) for t in "script style iframe textarea title xmp noembed noframes".split()}
+ZEROS, TOO_LARGE = re.compile(r"(&#[xX]?)0++(?=[0-9A-Fa-f])"), re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9A-Fa-f]{7,}+);?")
+
+
+def decoded(text: str) -> str:
+    """text with its character references resolved, numbers of any length among them."""
+    if "&" not in text:
+        return text
+    return unescape(TOO_LARGE.sub("\ufffd", ZEROS.sub(r"\1", text)) if "&#" in text else text)
+
+
+def markup(html: str) -> Iterator[tuple[str, str, list[tuple[str, str | None]], bool]]:
+    """(kind, name or text, attributes, closed at once) of what a page consists of: kinds are start, end and text.
+
+    Each character is looked at a bounded number of times, whatever the page. A tag or comment that nothing ends reaches
+    to the end of the page, as in browsers; a < that opens nothing is text.
+    """
+    at, n = 0, len(html)
+    while at < n:
+        open_ = html.find("<", at)
+        if open_ < 0:
+            open_ = n
+        if open_ > at:
+            yield "text", decoded(html[at:open_]), [], False
+        at = open_
+        if at >= n:
+            return
+        following = html[at + 1 : at + 2]
+        if following in ("!", "?") or (following == "/" and not TAG_NAME.match(html, at + 2)):
+            if html.startswith("<!--", at):
+                short = html.startswith((">", "->"), at + 4)  # an empty comment
+                found = None if short else END_OF_COMMENT.search(html, at + 4)
+                at = html.index(">", at) + 1 if short else found.end() if found else n
+            else:
+                at = html.find(">", at) + 1 or n
+        elif following == "/":
+            name = TAG_NAME.match(html, at + 2)
+            yield "end", name.group().lower(), [], False
+            at = html.find(">", name.end()) + 1 or n
+        elif name := TAG_NAME.match(html, at + 1):
+            tag, attrs, at = name.group().lower(), [], BETWEEN.match(html, name.end()).end()
+            while at < n and html[at] != ">":
+                a = ATTRIBUTE.match(html, at)
+                value = next((v for v in (a[2], a[4], a[6]) if v is not None), None)
+                attrs.append((a[1].lower(), None if value is None else decoded(value)))
+                at = n if a[3] == "" or a[5] == "" else BETWEEN.match(html, a.end()).end()
+            if at >= n:
+                return
+            at += 1
+            yield "start", tag, attrs, html[at - 2] == "/"
+            if tag in RAW and html[at - 2] != "/":
+                end = RAW[tag].search(html, at)
+                yield "text", html[at : end.start() if end else n], [], False
+                at = end.start() if end else n
+        else:
+            yield "text", "<", [], False
+            at += 1
+
+
+class Outline:
     """A page's containers as a tree, and its blocks of text in order as (text, container)."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.nodes = [Node(token(""), -1)]
         self.stack = [Open("", 0, False, False, False)]
+        self.open: dict[str, list[int]] = {}  # where in the stack each tag is open
         self.blocks: list[tuple[str, int]] = []
         self.seen: dict[tuple[int, str], int] = {}
         self.held: list[str] = []
@@ -102,8 +171,15 @@ class Outline(HTMLParser):
     @classmethod
     def of(cls, html: str | None) -> Outline:
         page = cls()
-        page.feed(html or "")
-        page.close()
+        for kind, what, attrs, closed in markup(html or ""):
+            if kind == "text":
+                page.add_text(what)
+            elif kind == "end":
+                page.close(what)
+            else:
+                page.start(what, attrs)
+                if closed:
+                    page.close(what)
         page.flush()
         return page
 
@@ -116,21 +192,33 @@ class Outline(HTMLParser):
             node.text = token(str(node.text), text)
         self.held, self.link_chars = [], 0
 
-    def pop_to(self, tags: set[str], stop: set[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in stop:
-                return
+    def marked(self) -> bool:
+        return any(n.article for n in self.nodes)
+
+    def text_tokens(self) -> list[int]:
+        """Of each block a token: its text and the container that it lies in."""
+        return [token(str(self.nodes[i].token), "text", text) for text, i in self.blocks]
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def push(self, entry: Open) -> None:
+        self.open.setdefault(entry.tag, []).append(len(self.stack))
+        self.stack.append(entry)
+
+    def pop_to(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        """Closes the last open one of tags with all that it holds, unless one of stop was opened since."""
+        last = lambda names: max((self.open[t][-1] for t in names if self.open.get(t)), default=0)
+        at = last(tags)
+        if at > last(stop):
+            for entry in self.stack[at:]:
+                self.open[entry.tag].pop()
+            del self.stack[at:]
+
+    def start(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.flush()
-            self.pop_to({"p"}, {"table", "td", "th", "button", "object"})
+            self.pop_to(("p",), ("table", "td", "th", "button", "object"))
         if tag in CLOSES:
             names, stop = CLOSES[tag]
-            self.pop_to(set(names.split()), stop)
+            self.pop_to(tuple(names.split()), tuple(stop))
         if tag == "br":
             self.held.append("\n")
         if tag in VOID:
@@ -149,14 +237,14 @@ class Outline(HTMLParser):
             self.nodes[at].inside.append(len(self.nodes))
             self.nodes.append(Node(token(str(self.nodes[at].token), kind, str(n)), at, tag, told, own))
             at = len(self.nodes) - 1
-        self.stack.append(Open(tag, at, dropped, article, up.link or tag == "a"))
+        self.push(Open(tag, at, dropped, article, up.link or tag == "a"))
 
-    def handle_endtag(self, tag: str) -> None:
+    def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        self.pop_to({tag}, {"td", "th", "table"} if tag in INLINE or tag == "p" else set())
+        self.pop_to((tag,), ("td", "th", "table") if tag in INLINE or tag == "p" else ())
 
-    def handle_data(self, data: str) -> None:
+    def add_text(self, data: str) -> None:
         top = self.stack[-1]
         if not top.dropped:
             self.held.append(data)
@@ -175,54 +263,67 @@ class Seen:
     most: int = -(1 << 62)
 
 
-LONGS = ("token", "parent", "pages", "vector_a", "vector_b", "prose", "links", "least", "most")
+LONGS = ("token", "parent", "page", "pages", "vector_a", "vector_b", "prose", "links", "least", "most")
+#: In the place of a token, the page itself.
+WHOLE = 0
 
 
-def occurrence_vectors(pages: DataFrame, flush_at: int = 100_000) -> DataFrame:
-    """One row per token of a host: token, parent, pages, vector, prose, links, least and most.
+def occurrence_vectors(pages: DataFrame, flush_at: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(containers, texts), each with one row per token of a host: token, parent, pages, vector; and of containers prose,
+    links, least and most.
 
     vector is a signature of the vector of counts over the host's pages: two sums of 31-bit hashes of page and count, so
     repeated rows add up and a host of any number of pages is summed up with map-side combine. Tasks sum up before they
-    emit. least and most are of the hash of the token's own text: equal if it is the same in all pages.
+    emit. least and most are of the hash of the token's own text: equal if it is the same in all pages. Texts are those
+    of pages that mark no article; pages of one content count once there, and token WHOLE counts them.
     """
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         held: dict[tuple, Seen] = {}
 
         def flush() -> Iterator[tuple]:
-            for (host, t, parent), s in held.items():
-                yield host, t, parent, s.pages, *s.vector, s.prose, s.links, s.least, s.most
+            for (host, t, parent, page), s in held.items():
+                yield host, t, parent, page, s.pages, *s.vector, s.prose, s.links, s.least, s.most
             held.clear()
 
         for host, page_id, html in it:
             page = Outline.of(html)
             mark = token(str(page_id), "1") & ((1 << 62) - 1)  # the place tells containers apart: each occurs once
             for n in page.nodes:
-                s = held.setdefault((host, n.token, page.nodes[n.parent].token if n.parent >= 0 else 0), Seen())
+                s = held.setdefault((host, n.token, page.nodes[n.parent].token if n.parent >= 0 else 0, None), Seen())
                 s.pages += 1
                 s.vector[0] += mark >> 31
                 s.vector[1] += mark & ((1 << 31) - 1)
                 s.prose, s.links = s.prose + int(n.prose), s.links + int(n.links)
                 s.least, s.most = min(s.least, n.text >> 2), max(s.most, n.text >> 2)
+            if not page.marked():
+                texts = page.text_tokens()
+                content = token(*map(str, texts))
+                for t in {WHOLE, *texts}:
+                    held.setdefault((host, t, None, content), Seen()).pages = 1
             if len(held) >= flush_at:
                 yield from flush()
         yield from flush()
 
     arrow = pa.schema([("host", pa.string()), *((c, pa.int64()) for c in LONGS)])
-    parts = arrow_map(pages, rows, f"host string, {', '.join(f'{c} long' for c in LONGS)}", arrow, chunk=64)
+    parts = cut(arrow_map(pages, rows, f"host string, {', '.join(f'{c} long' for c in LONGS)}", arrow, chunk=64))
     sums = [F.sum(c).alias(c) for c in ("pages", "vector_a", "vector_b", "prose", "links")]
-    return parts.groupBy("host", "token", "parent").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"))
+    containers = parts.where("page is null").groupBy("host", "token", "parent").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"))
+    each = parts.where("page is not null").select("host", "token", "page").distinct()
+    marks = [F.sum(F.shiftright("page", n).bitwiseAND((1 << 31) - 1)).alias(v) for v, n in (("vector_a", 0), ("vector_b", 32))]
+    return containers, each.groupBy("host", "token").agg(F.count("*").alias("pages"), *marks)
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens): the containers of each host's template, as structs of token, prose and links on the mean of the
-    pages that have it, and fixed: its own text is the same in all pages of the host, of which there are two or more.
+    """(host, tokens, texts): the containers of each host's template, as structs of token, prose and links on the mean of
+    the pages that have it, and fixed: its own text is the same in all pages of the host, of which there are two or
+    more; and the template's texts, or null.
 
     Tokens of a host with one occurrence vector are an equivalence class. A class is valid if MIN_SHARE of the host's
     pages have it and its tokens nest: each one's parent is a token that as many pages have. The class of the page
     itself, which all pages have, is the template's root; the others lie in it or in one another.
     """
-    tokens = cut(occurrence_vectors(pages))
+    tokens, texts = map(cut, occurrence_vectors(pages))
     hosts = tokens.where("parent = 0").groupBy("host").agg(F.sum("pages").alias("n_pages"))
     # A host may hold a third of all tokens, so they meet their host's figures in SALTS places.
     salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -234,21 +335,43 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     fixed = ((F.col("least") == F.col("most")) & (F.col("pages") == F.col("n_pages")) & (F.col("n_pages") > 1)).alias("fixed")
     member = F.struct("token", mean("prose"), mean("links"), fixed)
     classes = often.join(parents, ["host", "parent"], "left").groupBy("host", "vector_a", "vector_b", "pages").agg(F.bool_and(nests).alias("valid"), F.collect_list(member).alias("members"))
-    return classes.where("valid").groupBy("host").agg(F.flatten(F.collect_list("members")).alias("tokens"))
+    containers = classes.where("valid").groupBy("host").agg(F.flatten(F.collect_list("members")).alias("tokens"))
+    # Texts lie in containers that at least as many pages have. A class has fewer members than two pages have texts.
+    whole = texts.where(F.col("token") == WHOLE).where(F.col("pages") >= LEAST_PAGES).select("host", F.col("pages").alias("n_pages"))
+    often = texts.where(F.col("token") != WHOLE).where("pages > 1").join(whole, "host").where(F.col("pages") >= MIN_SHARE * F.col("n_pages"))
+    same = often.groupBy("host", "vector_a", "vector_b", "pages").agg(F.collect_list("token").alias("members"))
+    return containers.join(same.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("texts")), "host", "left")
+
+
+def slots(page: Outline, template: dict[int, tuple[float, float, bool]] | None = None, texts: set[int] | frozenset[int] = frozenset()) -> str:
+    """The text of the article: the blocks of the page's main slots, in order; of a page that marks no article those
+    that are not texts of the template, if what is left is not too little to be read by."""
+    whole = main_slots(page, template or {}, None)
+    if not texts or page.marked():
+        return whole
+    differs = [t not in texts for t in page.text_tokens()]
+    own = main_slots(page, template or {}, differs)
+    return own if len(own) >= OWN_TEXT * len(whole) else whole
 
 
-def slots(page: Outline, template: dict[int, tuple[float, float, bool]] | None = None) -> str:
-    """The text of the article: the blocks of the page's main slots, in order.
+def main_slots(page: Outline, template: dict[int, tuple[float, float, bool]], differs: list[bool] | None) -> str:
+    """The blocks of the main slots, in order; with `differs`, which tells for each block whether it is the page's own,
+    only such count.
 
     From the page downwards a container that mostly frames others is left for those of them that hold most text; one
     with much text of its own, with some and parts that all belong to the article, or marked as one, is the slot. A container of the template counts as its host's
     mean, another as it is. Within the slot parts go that are named like adverts and small, that (unless the slot is
     marked as an article) hold links only, or that repeat one text in all pages of a host whose articles differ.
     """
-    template = template or {}
     nodes = page.nodes
     prose, links, marked = [0.0] * len(nodes), [0.0] * len(nodes), [False] * len(nodes)
-    own = [template.get(n.token, (n.prose, n.links, False)) for n in nodes]
+    if differs is None:
+        own = [template.get(n.token, (n.prose, n.links, False)) for n in nodes]
+    else:
+        own = [(0.0, 0.0, False)] * len(nodes)
+        for (text, i), is_own in zip(page.blocks, differs):
+            share = nodes[i].links / max(nodes[i].links + nodes[i].prose, 1) if is_own else 0.0
+            own[i] = own[i][0] + is_own * len(text) * (1 - share), own[i][1] + is_own * len(text) * share, False
     for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
         prose[i] += own[i][0]
         links[i] += own[i][1]
@@ -285,7 +408,7 @@ def slots(page: Outline, template: dict[int, tuple[float, float, bool]] | None =
             menu = not nodes[top].article and mostly_links(i)
             repeated = own[i][2] and not own[top][2] and not n.inside and prose[i] < NAMED_SHARE * prose[top]
             slot[i] = -1 if named or menu or repeated else top
-    return "\n".join(text for text, i in page.blocks if slot[i] >= 0)
+    return "\n".join(text for k, (text, i) in enumerate(page.blocks) if slot[i] >= 0 and (differs is None or differs[k]))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -299,20 +422,20 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     templates = cut(deduce_templates(p.select("host", "page_id", "html")))
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        known: dict[str, dict] = {}
-        for i, u, h, host, tokens in it:
+        known: dict[str, tuple[dict, set]] = {}
+        for i, u, h, host, tokens, texts in it:
             if len(known) > 1000:
                 known.clear()
             if host not in known:
-                known[host] = {t["token"]: (t["prose"], t["links"], t["fixed"]) for t in tokens or ()}
-            text = slots(Outline.of(h), known[host])
+                known[host] = {t["token"]: (t["prose"], t["links"], t["fixed"]) for t in tokens or ()}, set(texts or ())
+            text = slots(Outline.of(h), *known[host])
             yield i, u, text, len(text)
 
-    size = templates.agg(F.coalesce(F.sum(F.length("host") * 4 + 64 + 40 * F.size("tokens")), F.lit(0)).alias("bytes")).first().bytes
+    size = templates.agg(F.coalesce(F.sum(F.length("host") * 4 + 64 + 40 * F.size("tokens") + 8 * F.coalesce(F.size("texts"), F.lit(0))), F.lit(0)).alias("bytes")).first().bytes
     if size <= MOST_BROADCAST:
         joined = p.join(F.broadcast(templates), "host", "left")
     else:  # the pages of a host of any size are dealt to SALTS tasks
         salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    joined = joined.select("page_id", "url", "html", "host", "tokens")
+    joined = joined.select("page_id", "url", "html", "host", "tokens", "texts")
     return arrow_map(joined, rows, "page_id long, url string, text string, n_chars long", pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]), chunk=64)

@@ -68,14 +68,28 @@ wiki.geology.test/en/743 archive.letters.test/en/86 notes.linguist.test/en/311 s
 """
 
 
+def behind_scheme(url: Column) -> Column:
+    """What follows the first ://; empty for null and where :// is missing."""
+    at = F.instr(url, "://")
+    return F.when(F.coalesce(at, F.lit(0)) > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+
+
+def up_to(c: Column, marks: str) -> Column:
+    """c up to the first of the marks, without a pattern, as URLs may be of any length."""
+    for mark in marks:
+        c = F.substring_index(c, mark, 1)
+    return c
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null and where :// is missing."""
-    return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(?:(?!://).)*://([^/?#]*)", 1))
+    return ascii_lower(up_to(behind_scheme(url), "/?#"))
 
 
 def path_of(url: Column) -> Column:
     """After the host up to ?, # or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    rest = behind_scheme(url)
+    return up_to(F.substring(rest, F.length(up_to(rest, "/?#")) + 1, F.length(rest)), "?#")
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:

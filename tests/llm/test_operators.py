@@ -512,6 +512,56 @@ def test_hosts_without_telling_names(spark, pages, copies):
         assert got[i] == "\n".join(want + ["Call us today"] * (pages == 1))
 
 
+BOILER = "".join(f"<p>{t}</p>" for t in ("All that you see here was gathered with care by the people of this house, who ask you to treat it so." * 3, "Orders are sent within three days, and who is not content sends them back within thirty." * 4))
+
+
+@pytest.mark.parametrize("page", ["<div>" + BOILER + "</div><div><h2>{0}</h2>{1}</div><div>The house</div>", "<div>" + BOILER + "<h2>{0}</h2>{1}" + BOILER.replace("days", "weeks") + "</div>", "<table><tr><td>" + BOILER + "<td><h2>{0}</h2>{1}<td>Contact</table>"])
+@pytest.mark.parametrize("pages", [3, 8])
+def test_boilerplate_longer_than_the_article(spark, page, pages):
+    """Nothing but what differs from page to page tells the article; without the host's template it isn't found."""
+    page = "<html><body>" + page
+    rows = [(i, f"http://long.org/{i}", page.format(f"Title {i}", "".join(f"<p>{s}</p>" for s in story(i, 2)))) for i in range(pages)]
+    want = {i: "\n".join([f"Title {i}", *story(i, 2)]) for i in range(pages)}
+    assert extracted(spark, rows + rows[:1]) == want
+    assert all(templates.slots(templates.Outline.of(h)) != want[i] for i, _, h in rows)
+
+
+def test_copies_and_near_copies_of_an_unmarked_page_stay_whole(spark):
+    """Pages of a host that hold one article, word for word or nearly, are not taken for their template."""
+    body = "<html><body><div><a href=/>Start</a></div><div>{}</div>"
+    paragraphs = story(1, 8)
+    rows = [(i, f"http://copy.org/{i}", body.format("".join(f"<p>{s}</p>" for s in paragraphs))) for i in range(6)]
+    rows += [(10 + i, f"http://near.org/{i}", body.format("".join(f"<p>{s}</p>" for s in paragraphs + [f"Seen {i} times."]))) for i in range(6)]
+    got = extracted(spark, rows)
+    assert all(got[i] == "\n".join(paragraphs) for i in range(6)) and all(got[10 + i] == "\n".join([*paragraphs, f"Seen {i} times."]) for i in range(6))
+
+
+def test_neutral_pages_are_read_as_their_marked_form(spark):
+    """Pages of the table whose telling tags are plain divs: nearly all are read as with the tags."""
+    import re
+
+    neutral = lambda h: re.sub(r"<(/?)(?:article|main|nav|footer|aside|header|form)\b[^>]*>", r"<\1div>", h or "")
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    marked, plain = extracted(spark, rows), extracted(spark, [(i, u, neutral(h)) for i, u, h in rows])
+    assert sum(marked[i] == plain[i] for i in marked) >= 0.97 * len(marked)
+
+
+@pytest.mark.parametrize("page", ["<b>{n}<p>{n}", "<div>{n}", "<a {n}", "<a x='{n}", "<!--{n}", "<![{n}", "<{n}", "</{n}", "&#1{n}", "<td>{n}</b>{n}", "<title>x{n}", "<script></scr{n}"])
+def test_parsing_takes_time_in_proportion(page):
+    import time
+
+    began = time.time()
+    whole = "".join(part * 100_000 for part in page.split("{n}"))
+    outline = templates.Outline.of(whole)
+    templates.slots(outline)
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize(("html", "text"), [("a &#" + "9" * 9000 + "; b", "a \ufffd b"), ("&#x000041;&#" + "0" * 6000 + "65; &amp;&lt", "AA &<"), ("<p>x<![CDATA[y]]>z", "xz"), ("a < b", "a < b"), ("<!-->x<!-- a --!>y", "xy"), ("</>q</3>r", "qr"), ("<p title='a>b'>t", "t"), ("<TITLE>a<b></title>x", "x"), ("<A HREF=x>Q</A>", "Q"), ("<", "<"), ("x<a href='y", "x"), ("<p>one<p>two<td>three", "one\ntwo\nthree"), ("a<script>if (a</b>) '<p>'</SCRIPT >b", "a\nb")])
+def test_markup_is_read_as_browsers_do(html, text):
+    assert templates.slots(templates.Outline.of(html)) == text
+
+
 @pytest.mark.parametrize("mark", ["<body class=has-sidebar><article>{}</article>", "<body class='post-template single no-comments'><div>{}</div>", "<body><article class='post share-on'>{}</article>", "<body id=comments-page><div class=content>{}</div>", "<body><main><article>{}</article><div>More of this</div></main>"])
 def test_names_do_not_drop_the_article(spark, mark):
     menu = "<div class=menu><a href=/>Home</a></div>"
@@ -535,7 +585,7 @@ def test_classes_of_tokens(spark):
     base = "<body><div><p>{0}</p></div>"
     rows = [(i, "http://c.org/", base.format(i) + ("<section><div>s</div></section>" if i % 2 else "") + ("<table><td>t</table>" if i == 3 else "")) for i in range(8)]
     df = spark.createDataFrame(rows + rows[:4], "host_id long, host string, html string").withColumnRenamed("host_id", "page_id").select("host", "page_id", "html")
-    tokens = templates.occurrence_vectors(df).collect()
+    tokens = templates.occurrence_vectors(df)[0].collect()
     by = {}
     for t in tokens:
         by.setdefault((t.vector_a, t.vector_b), []).append(t.pages)
@@ -616,9 +666,13 @@ def test_url_model_is_not_of_the_tables():
 
 
 def test_url_verdicts_of_awkward_rows(spark):
-    rows = [(1, None), (2, ""), (2, ""), (None, "http://" + "a." * 200_000 + "test/"), (3, "http://x.test/" + "p" * 1_000_000)]
+    odd = "a\U0001d518" * 250_000
+    rows = [(1, None), (2, ""), (2, ""), (None, "http://" + "a." * 200_000 + "test/"), (3, "http://x.test/" + "p" * 1_000_000), (4, odd), (5, odd + "://A/b"), (6, f"http://{odd}/{odd}?{odd}#{odd}"), (7, "://"), (8, "a://b://c/d"), (9, "://H#/p?q"), (10, "x://h?/p"), (11, "x:///p/q#r")]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    assert len(url_model.judge(df).collect()) == 5 and url_model.judge(df.limit(0)).collect() == []
+    told = {r.page_id: (r.host, r.path) for r in url_model.judge(df).collect()}
+    assert told[4] == ("", "") and told[5] == ("a", "/b") and told[6] == (odd, "/" + odd)
+    assert [told[i] for i in range(7, 12)] == [("", ""), ("b:", "//c/d"), ("h", ""), ("h", ""), ("", "/p/q")]
+    assert len(url_model.judge(df).collect()) == len(rows) and url_model.judge(df.limit(0)).collect() == []
 
 
 def test_url_verdicts(spark):
