@@ -3,7 +3,7 @@ wanted as rows, windows run within one page or one book."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
@@ -32,16 +32,22 @@ def with_fences(lines: DataFrame, page: list[str]) -> DataFrame:
     return fenced.withColumn("in_fence", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)) % 2 == 1)
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with columns computed once: a plan does not look through an explosion, so filters and later columns take them
+    as they are instead of computing them again."""
+    return df.select(*df.columns, F.explode(F.array(F.struct(*columns))).alias("once_")).select(*df.columns, "once_.*")
+
+
 def page_notes(pages: DataFrame, page: list[str], md: str = "md") -> DataFrame:
     """The largest note number of each page outside fences, 0 if none; pages of which no line is left have no row.
 
     Read off each page's text as a whole: no lines are made, and only keys and numbers are shuffled.
     """
-    body = F.when(F.col(md).contains("```"), text.unwrapped(F.col(md))).otherwise(F.nullif(text.trimmed(F.col(md)), F.lit("")))
+    body = F.when(F.col(md).contains("```"), text.let(text.flat(F.col(md)), text.unwrapped)).otherwise(F.nullif(text.trimmed(F.col(md)), F.lit("")))
+    read = once(pages.select(*page, md), body.alias("body_")).where("body_ is not null")
     plain = F.when(F.col("body_").contains("```"), text.unfenced(F.col("body_"))).otherwise(F.col("body_"))
-    most = F.coalesce(F.when(F.col("body_").contains("[^"), F.array_max(text.note_numbers(plain))), F.when(F.col("body_").isNotNull(), 0))
-    each = pages.select(*page, body.alias("body_")).select(*page, most.alias("n_"))
-    return each.groupBy(*page).agg(F.max("n_").alias("max_note")).where(F.col("max_note").isNotNull())
+    most = F.when(F.col("body_").contains("[^"), F.array_max(text.note_numbers(plain)))
+    return read.select(*page, F.coalesce(most, F.lit(0)).alias("n_")).groupBy(*page).agg(F.max("n_").alias("max_note"))
 
 
 def note_offsets(notes: DataFrame, book: str = "book", stem: str = "stem") -> DataFrame:
@@ -91,8 +97,8 @@ def join_lines(lines: DataFrame, keys: list[str], order: list[str], sep: str = "
     return lines.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["line"]), sep).alias(out))
 
 
-def renumbered_pages(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> tuple[DataFrame, DataFrame]:
-    """(book, stem, first_line and body of each page that has a line left, notes renumbered; note offsets of each page).
+def unwrapped_pages(pages: DataFrame, book: str, stem: str, md: str) -> tuple[DataFrame, DataFrame]:
+    """(book, stem, note_offset, first_line and body of each page that has a line left; note offsets of each page).
 
     A page is worked on as one text: only a small row for each page is shuffled for the offsets, and texts once, to
     meet theirs.
@@ -100,21 +106,32 @@ def renumbered_pages(pages: DataFrame, book: str = "book", stem: str = "stem", m
     page = [book, stem]
     offsets = note_offsets(page_notes(pages, page, md), book, stem)
     texts = pages.select(*page, F.col(md).alias("md_")).repartition(*page).join(offsets.select(*page, "note_offset"), page)
-    body, move = F.col("body_"), F.col("note_offset")
-    moved = text.by_fences(body, lambda part: text.shifted_notes(part, move), lambda part: part)
-    bodies = texts.select(*page, "note_offset", text.first_line(F.col("md_")).alias("first_line"), text.unwrapped(F.col("md_")).alias("body_")).where("body_ is not null")
-    return bodies.select(*page, "first_line", F.when((move > 0) & body.contains("[^"), moved).otherwise(body).alias("body")), offsets
+    read = once(texts, text.flat(F.col("md_")).alias("flat_")).where("flat_ <> ''").drop("md_")
+    read = once(read, text.is_wrapped(F.col("flat_")).cast("int").alias("first_line"), text.unwrapped(F.col("flat_")).alias("body"))
+    return read.where("body is not null").drop("flat_"), offsets
+
+
+def renumbered(part: Column, move: Column) -> Column:
+    return F.when((move > 0) & part.contains("[^"), text.shifted_notes(part, move)).otherwise(part)
+
+
+def renumbered_pages(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> tuple[DataFrame, DataFrame]:
+    """(book, stem, first_line and body of each page that has a line left, notes renumbered; note offsets of each page)."""
+    bodies, offsets = unwrapped_pages(pages, book, stem, md)
+    moved = text.by_fences(F.col("body"), lambda part, fenced: F.when(fenced, part).otherwise(renumbered(part, F.col("note_offset"))))
+    return bodies.select(book, stem, "first_line", moved.alias("body")), offsets
 
 
 def cleaned_pages(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> tuple[DataFrame, DataFrame]:
-    """The merge of a book up to its joined text: (book, stem and body of each page, note offsets). Chapter lines become
-    headings, in fences too, and rules of dashes outside fences asterisks."""
-    bodies, offsets = renumbered_pages(pages, book, stem, md)
+    """The merge of a book up to its joined text: (book, stem and body of each page, note offsets). Outside fences notes
+    are renumbered and rules of dashes become asterisks; chapter lines become headings, in fences too."""
+    bodies, offsets = unwrapped_pages(pages, book, stem, md)
 
-    def plain(part):
-        return text.each_line(part, lambda x: F.when(text.is_dash_rule(x), F.lit(text.RULE)).otherwise(text.upgraded_heading(x)))
+    def cleaned(part: Column, fenced: Column) -> Column:
+        line = lambda x: F.when(~fenced & text.is_dash_rule(x), F.lit(text.RULE)).otherwise(text.upgraded_heading(x))
+        return text.each_line(F.when(fenced, part).otherwise(renumbered(part, F.col("note_offset"))), line)
 
-    return bodies.withColumn("body", text.by_fences(F.col("body"), plain, lambda part: text.each_line(part, text.upgraded_heading))), offsets
+    return once(bodies, text.by_fences(F.col("body"), cleaned).alias("clean_")).select(book, stem, F.col("clean_").alias("body")), offsets
 
 
 def merge_stats(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> DataFrame:
