@@ -8,13 +8,15 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import files, markdown, text
 from quire.operators.pages import spread_cadence
+from quire.sources.archive_source import read_archives
 from quire.sources.containers import zip_members
+from quire.sources.package_sink import book_of
 
 # Fixed values of the package format, and the size below which an archive is taken for a stub.
 MIMETYPE, CONTAINER_PATH, TINY = "application/epub+zip", "META-INF/container.xml", 10240
@@ -138,8 +140,8 @@ def zip_books(entries: DataFrame) -> DataFrame:
     return dealt.select("book", "pos", "name", "content").mapInPandas(run, "book string, content binary")
 
 
-def build_fixed_layout(images: DataFrame, books: DataFrame, min_px: int = 400) -> DataFrame:
-    """book, content: a package for each book of page images. A package is one file, so a book is one task's work."""
+def package_entries(images: DataFrame, books: DataFrame, min_px: int = 400) -> DataFrame:
+    """book, pos, name, content: the members of a package for each book of page images."""
     pages = layout(images, min_px)
     items = manifest(pages)
     entry = lambda df, pos, name, content: df.select("book", F.lit(pos).alias("pos"), name.alias("name"), content.alias("content"))
@@ -155,7 +157,13 @@ def build_fixed_layout(images: DataFrame, books: DataFrame, min_px: int = 400) -
     entries = parts[0]
     for p in parts[1:]:
         entries = entries.unionByName(p)
-    return zip_books(entries)
+    return entries
+
+
+def build_fixed_layout(images: DataFrame, books: DataFrame, min_px: int = 400) -> DataFrame:
+    """book, content: a package for each book of page images. A package is one file, so a book is one task's work;
+    package_sink writes packages that are too large for a cell."""
+    return zip_books(package_entries(images, books, min_px))
 
 
 def reflowable(book: str, md: str, told: dict) -> bytes:
@@ -215,13 +223,25 @@ def dangling_idrefs(spine_rows: DataFrame, manifest_rows: DataFrame) -> DataFram
     return spine_rows.join(manifest_rows.select("book", F.col("id").alias("idref")), ["book", "idref"], "left_anti")
 
 
+#: The members that validation looks into; of the others names and checks are enough.
+LOOKED_INTO = f"mimetype,{CONTAINER_PATH},*.opf"
+
+
 def validate(archives: DataFrame) -> DataFrame:
-    """book, valid, errors (sorted): the seven gates of a package. archives: book, content.
+    """book, valid, errors (sorted): the seven gates of a package. archives: book, content. What is no zip, null
+    included, fails for want of members. Archives of one book are judged together."""
+    return validate_members(zip_members(archives, keys=["book"], mark_empty=True, wanted=LOOKED_INTO))
 
-    A package's members meet once, in one aggregation; all gates are expressions on the arrays of its row. What is no
-    zip, null included, fails for want of members. Archives of one book are judged together.
-    """
-    members = zip_members(archives, keys=["book"], mark_empty=True)
+
+def validate_files(spark: SparkSession, path: str, **options) -> DataFrame:
+    """validate() for package files below path, which are read by ranges and need not fit a cell."""
+    members = read_archives(spark, path, content=LOOKED_INTO, markEmpty=True, **options)
+    return validate_members(members.withColumn("book", book_of(F.col("path"))))
+
+
+def validate_members(members: DataFrame) -> DataFrame:
+    """The gates over members (book, pos, name, stored, crc_ok, content) as zip_members() gives them. A package's members
+    meet once, in one aggregation; all gates are expressions on the arrays of its row."""
     is_opf = F.col("name").endswith(".opf")
     b = members.groupBy("book").agg(
         F.min_by(F.struct("name", "stored", F.when(F.col("name") == "mimetype", F.col("content")).alias("content")), "pos").alias("first"), F.bool_and("crc_ok").alias("crc"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import files, text
 from quire.operators import attempts, context, cost, lines, packages, pages, summaries
-from quire.sources import containers
+from quire.sources import archive_source, containers, package_sink
+from quire.sources.scratch import scratch_dir
 from quire.streaming import recognize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,14 +507,18 @@ def spine_integrity(spark, sf_dir):
     return packages.dangling_idrefs(refs, ids).select("l_orderkey", "l_linenumber")
 
 
-def packaged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed-layout package for each brand, its parts being the page images."""
+def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of a fixed-layout package for each brand, its parts being the page images."""
     p = table(spark, sf_dir, "part").selectExpr(*SIZED)
     head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), *(F.lpad(F.hex(c), 8, "0") for c in ("w", "h")))
     images = p.select("book", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("stem"), F.lit("png").alias("ext"), F.unhex(head).alias("content"))
     none = F.lit(None).cast("string")
     books = p.select("book").distinct().select("book", F.col("book").alias("title"), none.alias("author"), F.lit("ja").alias("lang"), F.lit("2024-01-01T00:00:00Z").alias("modified"), F.lit(True).alias("rtl"))
-    return packages.build_fixed_layout(images, books)
+    return packages.package_entries(images, books)
+
+
+def packaged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packages.zip_books(part_entries(spark, sf_dir))
 
 
 @query("SELECT DISTINCT p_brand AS book, true AS valid, CAST(0 AS INTEGER) AS n_errors FROM part")
@@ -527,6 +532,23 @@ def packaged_images(spark, sf_dir):
     return containers.archived_images(packaged_parts(spark, sf_dir), ["book"]).select("book", "name", "page_no")
 
 
+@query(f"""WITH s AS (SELECT {', '.join(SIZED)} FROM part), f AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY p_partkey) AS n FROM s WHERE greatest(w, h) >= 400)
+SELECT book, 'OEBPS/scans/' || lpad(CAST(n AS VARCHAR), 5, '0') || '.png' AS name, CAST(24 AS BIGINT) AS size, CAST(n AS INTEGER) AS page_no FROM f""")
+def package_file_images(spark, sf_dir):
+    """Packages written as files by the sink, and their images read back by ranges, several tasks to a file."""
+    path = scratch_dir(spark, "packages")
+    package_sink.write_packages(part_entries(spark, sf_dir), path)
+    members = archive_source.read_archives(spark, path, splitBytes=1 << 14)
+    return containers.numbered_images(members.withColumn("book", package_sink.book_of(F.col("path"))), ["book"]).select("book", "name", "size", "page_no")
+
+
+@query("SELECT DISTINCT p_brand AS book, true AS valid, CAST(0 AS INTEGER) AS n_errors FROM part")
+def package_file_validation(spark, sf_dir):
+    path = scratch_dir(spark, "packages")
+    package_sink.write_packages(part_entries(spark, sf_dir), path)
+    return packages.validate_files(spark, path).select("book", "valid", F.size("errors").alias("n_errors"))
+
+
 @query("SELECT p_partkey, CAST(1 AS INTEGER) AS record_no, CAST(1 AS INTEGER) AS page_no, 'png' AS ext, CAST(1208 AS INTEGER) AS n_bytes FROM part WHERE p_partkey % 2 = 0")
 def pdb_pages(spark, sf_dir):
     """Containers of two records, a name and an image; every other image is too small to be a page."""

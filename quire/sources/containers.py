@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import zipfile
 import zlib
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import files
+from quire.functions.text import natural_key
 
 MIN_RECORD = 1000
 #: Members that a task hands on together.
@@ -26,9 +28,11 @@ def scan_images(spark: SparkSession, folder: str, patterns: str = "*.png,*.jpg,*
     return found.select("path", name.alias("name"), files.stem(name).alias("stem"), files.extension(name).alias("ext"), F.col("length").alias("size"), "content").where(~files.is_sidecar(F.col("name")))
 
 
-def zip_members(archives: DataFrame, keys: list[str], content: str = "content", mark_empty: bool = False) -> DataFrame:
+def zip_members(archives: DataFrame, keys: list[str], content: str = "content", mark_empty: bool = False, wanted: str = "*") -> DataFrame:
     """A row for each member: keys, pos, name, stored, crc_ok, content. What is no zip has no rows or, with mark_empty,
-    like a zip without members one row of nulls."""
+    like a zip without members one row of nulls. wanted tells by comma-separated patterns of names of which members the
+    bytes are handed on; the others are checked only."""
+    patterns = wanted.split(",")
     kinds = ", ".join(f"`{k}` {archives.schema[k].dataType.simpleString()}" for k in keys)
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +52,7 @@ def zip_members(archives: DataFrame, keys: list[str], content: str = "content",
                         data, ok = z.read(info), True
                     except (zipfile.BadZipFile, zlib.error, EOFError):
                         data, ok = b"", False
-                    held.append(key | {"pos": pos, "name": info.filename, "stored": info.compress_type == zipfile.ZIP_STORED, "crc_ok": ok, "content": data})
+                    held.append(key | {"pos": pos, "name": info.filename, "stored": info.compress_type == zipfile.ZIP_STORED, "crc_ok": ok, "content": data if any(fnmatch.fnmatchcase(info.filename, p) for p in patterns) else None})
                     if len(held) == MEMBERS_AT_ONCE:
                         yield pd.DataFrame(held)
                         held = []
@@ -60,10 +64,12 @@ def zip_members(archives: DataFrame, keys: list[str], content: str = "content",
 
 def archived_images(archives: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """The images of archives, numbered in natural order. A member that would leave the archive's folder is an error."""
-    from quire.functions.text import natural_key
+    return numbered_images(zip_members(archives, keys, content), keys)
 
-    m = zip_members(archives, keys, content)
-    guarded = m.withColumn("name", F.when(files.escapes(F.col("name")), F.raise_error(F.concat(F.lit("member leaves the archive: "), "name"))).otherwise(F.col("name")))
+
+def numbered_images(members: DataFrame, keys: list[str]) -> DataFrame:
+    """The images among members (keys, name, ...) as archived_images() tells them."""
+    guarded = members.withColumn("name", F.when(files.escapes(F.col("name")), F.raise_error(F.concat(F.lit("member leaves the archive: "), "name"))).otherwise(F.col("name")))
     images = guarded.where(files.is_archived_image(F.col("name"))).withColumn("stem", files.stem(F.col("name"))).withColumn("ext", files.extension(F.col("name")))
     return images.withColumn("page_no", F.row_number().over(Window.partitionBy(*keys).orderBy(natural_key(F.col("stem")), "stem", "ext")))
 
