@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from quire.functions import files, text
 from quire.operators import attempts, batch, context, cost, lines, packages, pages
-from quire.plans.queries import ANSWER, MARKED, PAGES_SQL, packaged_parts, query, table
+from quire.plans.queries import ANSWER, MARKED, ORACLE_SQL, PAGES_SQL, attempt_rows, packaged_parts, query, table
 from quire.sources import containers, inputs
 from quire.sources.scratch import scratch_dir
-from quire.streaming import recognize
+from quire.streaming import attempt_state, recognize
 
 
 @query(r"""SELECT 'c' || s_suppkey AS slug, s_name || ', "the" one' || CASE WHEN s_suppkey % 3 = 0 THEN chr(10) || 'second line' ELSE '' END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'A; B' END AS authors, '/in/' || s_suppkey || '.pdf' AS pdf_path FROM supplier""")
@@ -355,6 +355,20 @@ def streamed_pages(spark, sf_dir):
     return done.groupBy("book").agg(F.count("*").alias("pages"), F.sum("tokens_in").alias("tokens_in"))
 
 
+@query(ORACLE_SQL["early_abort"])
+def streamed_attempts(spark, sf_dir):
+    """The outcomes of early_abort from a stream of the attempts that ends in the middle of many pages and is started
+    again: what it knew of them is state."""
+    rows, path = attempt_rows(spark, sf_dir), scratch_dir(spark, "attempts")
+    first = F.col("ts") < F.lit("2024-01-02").cast("timestamp")
+    for part in (first, ~first):
+        rows.where(part).write.mode("append").parquet(f"{path}/attempts")
+        told = attempt_state.watched(spark.readStream.schema(rows.schema).parquet(f"{path}/attempts"), ["user_id"], F.col("event_id"))
+        attempt_state.watch(spark, told, f"{path}/told", f"{path}/checkpoint").awaitTermination()
+    told = spark.read.schema(f"user_id long, {attempt_state.TOLD}").parquet(f"{path}/told")
+    return attempt_state.latest(told, ["user_id"])
+
+
 @query("""SELECT p_partkey, ['png', 'gif', 'jpg'][p_partkey % 3 + 1] AS kind, CAST(p_size + 100 AS INTEGER) AS w, CAST(p_size * 7 + 300 AS INTEGER) AS h FROM part""")
 def image_sizes(spark, sf_dir):
     """PNG, GIF and JPEG headers made from part sizes; the JPEG's frame lies behind another segment."""

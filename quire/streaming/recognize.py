@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.attempts import BLANK_TEXT, DEAD_400, DEAD_PREFIX
+from quire.operators.attempts import BLANK_TEXT, DEAD_400, DEAD_PREFIX, wait_seconds
 
 RESULT = "outcome string, attempts int, md string, finish string, tokens_in long, tokens_out long, msg string"
 COLUMNS = ["outcome", "attempts", "md", "finish", "tokens_in", "tokens_out", "msg"]
@@ -75,7 +75,7 @@ def attempted(image: bytes, prompt: str, recognizer: Recognizer, retries: int, p
         if kind in ("unpaid", "other") or n > retries:
             return row | {"outcome": "unpaid" if kind == "unpaid" else "fail", "md": None}
         last = this if kind == "content" else None
-        pause(2.0 ** (n - 1) + 0.5 * (n - 1))
+        pause(wait_seconds(n - 1))
     raise AssertionError("the last attempt returns")
 
 
