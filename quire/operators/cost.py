@@ -42,6 +42,19 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.where(c.isNull()).write.mode("append").parquet(f"{path}/quarantine")
 
 
+def record_pass(entries: DataFrame, path: str, pass_id: str) -> None:
+    """Writes what one pass cost, once: the same pass written again takes the place of what it wrote before. Entries
+    with and without a readable cost go with one commit; the latter are kept aside, what cost nothing is left out."""
+    c = F.col("cost_usd").try_cast("decimal(18,6)")
+    told = entries.where(c.isNull() | (c > 0)).withColumns({"pass_id": F.lit(pass_id), "readable": c.isNotNull()})
+    told.withColumn("cost_usd", F.col("cost_usd").cast("string")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pass_id", "readable").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The entries of all passes that record_pass() wrote: `columns` (with cost_usd a string), pass_id and readable."""
+    return spark.read.schema(f"{columns}, pass_id string, readable boolean").parquet(path)
+
+
 def estimates(pages: DataFrame, key: list[str]) -> DataFrame:
     """Before a run: pages to do, skipped, all, and the dollars at the fixed estimate. pages: done BOOLEAN."""
     todo = F.count_if(~F.col("done"))

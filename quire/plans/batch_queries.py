@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import files, text
@@ -15,7 +16,7 @@ from quire.operators import attempts, batch, context, cost, lines, packages, pag
 from quire.plans.queries import ANSWER, MARKED, ORACLE_SQL, PAGES_SQL, attempt_rows, packaged_parts, query, table
 from quire.sources import containers, inputs
 from quire.sources.scratch import scratch_dir
-from quire.streaming import attempt_state, recognize
+from quire.streaming import attempt_state, lanes, recognize, requests, smoke
 
 
 @query(r"""SELECT 'c' || s_suppkey AS slug, s_name || ', "the" one' || CASE WHEN s_suppkey % 3 = 0 THEN chr(10) || 'second line' ELSE '' END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'A; B' END AS authors, '/in/' || s_suppkey || '.pdf' AS pdf_path FROM supplier""")
@@ -380,3 +381,110 @@ def image_sizes(spark, sf_dir):
     jpg = F.concat(F.lit("FFD8FFE00004ABCDFFC2001108"), big(h, 4), big(w, 4), F.lit("00" * 12))
     p = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.when(k == 0, png).when(k == 1, gif).otherwise(jpg)).alias("content"))
     return p.select("p_partkey", files.sniff(F.col("content")).alias("kind"), files.image_size(F.col("content")).alias("size")).select("p_partkey", "kind", "size.w", "size.h")
+
+
+def bytes_pages(spark, sf_dir):
+    """Documents as pages of the books that their sources are."""
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("stem"), content.alias("content"), F.lit("").alias("prompt"))
+
+
+BYTES_SQL = "b AS (SELECT doc_id, source AS book, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents)"
+
+
+@query("""WITH b AS (SELECT c_nationkey AS slug, c_custkey, CAST(octet_length(encode(c_name)) AS BIGINT) AS n FROM customer)
+SELECT 'n' || slug AS slug, CASE slug WHEN 3 THEN 'failed' WHEN 7 THEN 'given_up' ELSE 'output' END AS outcome, CAST(CASE slug WHEN 3 THEN 0 WHEN 7 THEN 2 ELSE 1 END AS INTEGER) AS passes,
+  CAST(CASE slug WHEN 3 THEN 0 WHEN 7 THEN count(*) FILTER (WHERE c_custkey % 2 = 0) ELSE count(*) END AS BIGINT) AS pages, CAST(CASE slug WHEN 3 THEN 0 WHEN 7 THEN coalesce(sum(n) FILTER (WHERE c_custkey % 2 = 0), 0) ELSE sum(n) END AS BIGINT) AS tokens_in FROM b GROUP BY slug""")
+def lane_books(spark, sf_dir):
+    """Customers as pages of the books that their nations are, recognised in lanes: the pages of one book never all come
+    to an end, and another one's break its jobs."""
+    k, path = F.col("c_custkey"), scratch_dir(spark, "lanes")
+    hurt = F.when(F.col("c_nationkey") == 3, F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.encode("c_name", "UTF-8"))
+    prompt = F.when((F.col("c_nationkey") == 7) & (k % 2 > 0), "fails").otherwise("")
+    pages_ = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("book"), k.cast("string").alias("stem"), hurt.alias("content"), prompt.alias("prompt"))
+
+    def answer(image: bytes, prompt: str) -> dict:
+        return {"md": None, "finish": None, "tokens_in": 0, "tokens_out": 0, "msg": "HTTP 403"} if prompt else recognize.offline_stub(image, prompt)
+
+    queue = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("slug"))
+    told = lanes.run_lanes(spark, queue, lanes.recognizing(spark, pages_, path, answer, batches=1), lanes=6)
+    done = recognize.terminal(recognize.read_results(spark, path)).groupBy(F.col("book").alias("slug")).agg(F.count("*").alias("pages"), F.sum("tokens_in").alias("tokens_in"))
+    return told.join(done, "slug", "left").select("slug", "outcome", "passes", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("tokens_in", F.lit(0)).alias("tokens_in"))
+
+
+def asked_about(images: list[bytes], prompt: str) -> dict:
+    """A model without a network: its answer is a function of the images, and of some no answer."""
+    size = sum(map(len, images))
+    answer = f'{{"title": "{len(images)} pages", "author": "{size}", "cover_page": {len(images) - size % 3}, "reason": "by size"}}'
+    return {"md": answer if size % 5 else "nothing to say", "tokens_in": size, "tokens_out": len(answer), "msg": "HTTP 500" if size % 7 == 0 else None}
+
+
+SAMPLE_SQL = f"""{BYTES_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY book) AS n_pages FROM b),
+s AS (SELECT book, count(*) AS k, sum(n) AS size FROM i WHERE n_pages <= 15 OR i < 7 OR i BETWEEN (n_pages - 4) // 2 AND (n_pages - 4) // 2 + 3 OR i >= n_pages - 4 GROUP BY book)"""
+
+
+@query(f"""WITH {SAMPLE_SQL} SELECT book, k || ' pages' AS title, CAST(size AS VARCHAR) AS author, CAST(size AS BIGINT) AS tokens_first, CAST(0 AS BIGINT) AS tokens_again, false AS cached_first, true AS cached_again
+FROM s WHERE size % 5 > 0 AND size % 7 > 0""")
+def prepass_contexts(spark, sf_dir):
+    """Contexts asked for twice: the second time none is paid for; books without a valid answer are left out."""
+    pages_, path = bytes_pages(spark, sf_dir), scratch_dir(spark, "contexts")
+    first = requests.prepass(spark, pages_, path, asked_about, "context")
+    again = requests.prepass(spark, pages_, path, asked_about, "context")
+    told = lambda df, suffix: df.select("book", F.col("tokens_in").alias(f"tokens_{suffix}"), F.col("from_cache").alias(f"cached_{suffix}"))
+    return first.select("book", "context.title", "context.author").join(told(first, "first"), "book").join(told(again, "again"), "book")
+
+
+@query(f"""WITH {BYTES_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS i FROM b), s AS (SELECT book, count(*) AS k, sum(n) AS size FROM i WHERE i <= 12 GROUP BY book)
+SELECT book, CASE WHEN size % 5 > 0 AND k - size % 3 BETWEEN 1 AND k THEN CAST(k - size % 3 AS INTEGER) END AS cover, CASE WHEN size % 5 > 0 THEN 'by size' ELSE 'nothing to say' END AS reason FROM s WHERE size % 7 > 0""")
+def found_covers(spark, sf_dir):
+    numbered = bytes_pages(spark, sf_dir).withColumn("page_no", F.row_number().over(Window.partitionBy("book").orderBy(text.natural_key(F.col("stem")))))
+    return requests.covers(spark, numbered, scratch_dir(spark, "covers"), asked_about, "cover").select("book", "cover", "reason")
+
+
+@query(f"""WITH {BYTES_SQL}, p AS (SELECT *, CASE WHEN n = 0 THEN 'blank' WHEN n % 97 = 0 THEN 'fail' ELSE 'ok' END AS o, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS i FROM b),
+c AS (SELECT *, CASE WHEN o = 'ok' THEN (n * 32 + 1074) // 100 ELSE 0 END AS micro FROM p),
+t AS (SELECT book, count(*) FILTER (WHERE i <= 10 AND o = 'ok') AS ok, count(*) FILTER (WHERE i <= 10 AND o = 'blank') AS blank, count(*) FILTER (WHERE i <= 10 AND o = 'fail') AS fail, CAST(coalesce(sum(micro) FILTER (WHERE i <= 10), 0) AS BIGINT) AS smoke_micro,
+  count(*) FILTER (WHERE i > 10 OR o = 'fail') AS remaining, CAST(coalesce(sum(micro) FILTER (WHERE i > 10), 0) AS BIGINT) AS rest_micro, count(*) FILTER (WHERE o <> 'fail') AS good, count(*) FILTER (WHERE i <= 10 AND o <> 'fail') AS tried FROM c GROUP BY book),
+e AS (SELECT *, CASE WHEN ok = 0 THEN 4000 ELSE smoke_micro / ok END * remaining AS est FROM t),
+s AS (SELECT *, CASE WHEN fail > 0 THEN 'partial' WHEN est <= remaining * 1000 THEN 'full' ELSE 'smoke' END AS status FROM e)
+SELECT book, status, ok, blank, fail, remaining, smoke_micro, CAST(round(est / 1000) AS BIGINT) AS est_milli, CASE WHEN status = 'full' THEN rest_micro ELSE 0 END AS full_micro, CASE WHEN status = 'full' THEN good ELSE tried END AS texts FROM s""")
+def smoke_gate(spark, sf_dir):
+    """Books whose first ten pages tell what the rest costs: some are too dear, of some a page fails, the others are done
+    whole, and no page is recognised twice."""
+
+    def answer(image: bytes, prompt: str) -> dict:
+        got = recognize.offline_stub(image, prompt)
+        return got | {"md": None, "tokens_in": 0, "tokens_out": 0, "msg": "HTTP 403"} if image and len(image) % 97 == 0 else got
+
+    path = scratch_dir(spark, "smoke")
+    told = smoke.smoke_gate(spark, bytes_pages(spark, sf_dir), path, lambda est: est * 1000 <= F.col("remaining"), answer)
+    texts = recognize.terminal(recognize.read_results(spark, path)).groupBy("book").agg(F.count("*").alias("texts"))
+    micro = lambda c: (F.col(c) * 1_000_000).cast("long")
+    return told.join(texts, "book", "left").select("book", "status", "ok", "blank", "fail", "remaining", micro("smoke_usd").alias("smoke_micro"), F.round(F.col("est_full_usd") * 1000).cast("long").alias("est_milli"), micro("full_usd").alias("full_micro"), F.coalesce("texts", F.lit(0)).alias("texts"))
+
+
+@query(f"""WITH {BYTES_SQL} SELECT doc_id % 3 AS batch, count(*) AS rows, count(*) FILTER (WHERE n > 0) AS ok, count(*) FILTER (WHERE n = 0) AS blank, CAST(sum(n) AS BIGINT) AS tokens_in FROM b GROUP BY 1""")
+def progress_events(spark, sf_dir):
+    """The events that a listener wrote while three batches of pages were recognised as a stream."""
+    path = scratch_dir(spark, "progress")
+    pages_ = bytes_pages(spark, sf_dir)
+    for k in range(3):
+        pages_.where(F.substring("stem", F.lit(2), F.length("stem")).cast("long") % 3 == k).coalesce(1).write.mode("append").parquet(f"{path}/pages")
+    recognize.stream_new_pages(spark, f"{path}/pages", f"{path}/done", f"{path}/checkpoint", "book string, stem string, content binary, prompt string", events=f"{path}/events", files_per_batch=1)
+    return spark.read.schema(recognize.EVENTS).json(f"{path}/events").select("batch", "rows", "ok", "blank", "tokens_in")
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderkey % 3 AS pass, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 50 END AS c FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS book, count(*) FILTER (WHERE c > 0) AS entries, CAST(coalesce(sum(c), 0) AS BIGINT) AS total, count(*) FILTER (WHERE c IS NULL) AS aside FROM e WHERE c IS NULL OR c > 0 GROUP BY o_custkey""")
+def ledger_passes(spark, sf_dir):
+    """Three passes of a ledger, one of them written three times: it counts once."""
+    usd = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise((F.col("o_orderkey") % 50).cast("string"))
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("book"), usd.alias("cost_usd"), (F.col("o_orderkey") % 3).alias("pass"))
+    path = scratch_dir(spark, "ledger")
+    for n in (0, 1, 2, 1, 1):
+        cost.record_pass(entries.where(F.col("pass") == n).drop("pass"), path, f"pass-{n}")
+    ledger = cost.read_ledger(spark, path, "book string, cost_usd string")
+    counted = cost.ledger_totals(ledger.where("readable"), ["book"])
+    aside = ledger.where("not readable").groupBy("book").agg(F.count("*").alias("aside"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return counted.join(aside, "book", "full").withColumnRenamed("total_usd", "total").select("book", zero("entries"), zero("total"), zero("aside"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 import re
 import time
@@ -11,8 +12,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from quire.operators.attempts import BLANK_TEXT, DEAD_400, DEAD_PREFIX, wait_seconds
 
@@ -20,6 +23,9 @@ RESULT = "outcome string, attempts int, md string, finish string, tokens_in long
 COLUMNS = ["outcome", "attempts", "md", "finish", "tokens_in", "tokens_out", "msg"]
 #: Outcomes that later passes need not repeat.
 TERMINAL = ("ok", "blank", "dead")
+OUTCOMES = ("ok", "blank", "dead", "fail", "unpaid", "skipped")
+#: The name under which a stream's results are observed.
+OBSERVED = "recognized"
 #: Pages between which a pass looks whether credit has run out.
 BATCH_PAGES = 2000
 Recognizer = Callable[[bytes, str], dict]
@@ -123,31 +129,95 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """Pages without a terminal result."""
     return pages.join(terminal(results).select("book", "stem"), ["book", "stem"], "left_anti")
 
 
-def run_pass(spark: SparkSession, pages: DataFrame, done_path: str, recognizer: Recognizer = offline_stub, batches: int | None = None, **options) -> int:
+def counted() -> list[Column]:
+    """What is observed of results as they are written: how many of each outcome, and tokens."""
+    tokens = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out")]
+    return [*(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES), *tokens]
+
+
+def write_results(results: DataFrame, path: str, pass_id: str) -> dict:
+    """Appends results and tells what was observed while they were written: nothing is read again. Each pass has a folder
+    of its own, so that lanes can write at one time, and in it each book."""
+    seen = Observation()
+    results.observe(seen, *counted()).write.mode("append").partitionBy("book").parquet(f"{path}/pass_id={pass_id}")
+    return seen.get
+
+
+def run_pass(spark: SparkSession, pages: DataFrame, done_path: str, recognizer: Recognizer = offline_stub, batches: int | None = None, tell: Callable[[dict], None] | None = None, pass_id: str | None = None, **options) -> int:
     """Recognises what has no terminal result below done_path, in batches of about BATCH_PAGES; stops between batches
-    when this pass has run out of credit (an earlier one's shortage is past). Returns how many pages are still open."""
+    when this pass has run out of credit (an earlier one's shortage is past). Returns how many pages are still open.
+    tell() gets the counts of each batch as it ends."""
+    # In order of batches, so that a batch is a stretch of each partition and reads no other.
     todo = open_pages(pages, read_results(spark, done_path)).persist()
+    left = todo.count()
+    batches = batches or max(1, math.ceil(left / BATCH_PAGES))
+    dealt = todo.withColumn("batch_", F.pmod(F.xxhash64("book", "stem"), F.lit(batches))).sortWithinPartitions("batch_").persist()
     try:
-        batches = batches or max(1, math.ceil(todo.count() / BATCH_PAGES))
-        name = uuid.uuid4().hex
+        name = pass_id or uuid.uuid4().hex
         for b in range(batches):
-            batch = todo.where(F.pmod(F.xxhash64("book", "stem"), F.lit(batches)) == b)
-            recognize(batch, recognizer, **options).withColumn("pass_id", F.lit(name)).write.mode("append").parquet(done_path)
-            if not read_results(spark, done_path).where((F.col("pass_id") == name) & (F.col("outcome") == "unpaid")).isEmpty():
+            got = write_results(recognize(dealt.where(F.col("batch_") == b).drop("batch_"), recognizer, **options), done_path, name)
+            left -= sum(got[o] for o in TERMINAL)
+            if tell:
+                tell({"pass_id": name, "batch": b, "batches": batches, "open": left, **got})
+            if got["unpaid"]:
                 break
-        return open_pages(pages, read_results(spark, done_path)).count()
+        return left
     finally:
+        dealt.unpersist()
         todo.unpersist()
 
 
-def stream_new_pages(spark: SparkSession, folder: str, out: str, checkpoint: str, schema: str, recognizer: Recognizer = offline_stub) -> None:
-    """Recognises page files that have come since the last run, then ends."""
-    pages = spark.readStream.schema(schema).parquet(folder)
-    query = recognize(pages, recognizer).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+class Progress(StreamingQueryListener):
+    """Writes what is observed of each batch of a stream as an event: one small JSON file for each batch, named by the
+    query and the batch, so that a batch that is run again replaces its event."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if OBSERVED in p.observedMetrics and p.numInputRows:
+            row = p.observedMetrics[OBSERVED].asDict() | {"query": str(p.id), "batch": p.batchId, "rows": p.numInputRows}
+            store, folder = fs.FileSystem.from_uri(self.folder)
+            store.create_dir(folder, recursive=True)
+            with store.open_output_stream(f"{folder}/{p.id}-{p.batchId:09d}.json") as out:
+                out.write(json.dumps(row).encode())
+
+
+EVENTS = f"query string, batch long, rows long, {', '.join(f'{o} long' for o in OUTCOMES)}, tokens_in long, tokens_out long"
+
+
+def stream_new_pages(spark: SparkSession, folder: str, out: str, checkpoint: str, schema: str, recognizer: Recognizer = offline_stub, events: str | None = None, files_per_batch: int | None = None) -> None:
+    """Recognises page files that have come since the last run, then ends. The counts of each batch go to `events` as
+    it ends: read them with the schema EVENTS."""
+    reader = spark.readStream.schema(schema)
+    pages = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
+    results = recognize(pages, recognizer)
+    listener = Progress(events) if events else None
+    if listener:
+        results = results.observe(OBSERVED, *counted())
+        spark.streams.addListener(listener)
+    try:
+        query = results.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if listener:  # events come on a bus of their own
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        if listener:
+            spark.streams.removeListener(listener)
 
 
 def progress(events: DataFrame) -> DataFrame:
