@@ -9,6 +9,10 @@ from quire.llm import block_products, decontaminate, embed_tiles, fill_middle, l
 from quire.llm.common import table
 
 
+#: An open key, for results that can be compared; real corpora need one of their own, in surrogates.KEY_SETTING.
+OPEN_KEY = "an open key for tests"
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -19,7 +23,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replace_pii(docs, count="n_entities")
+    return surrogates.replace_pii(docs, spark.conf.get(surrogates.KEY_SETTING, OPEN_KEY), count="n_entities")
 
 
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ Everything is DataFrame expressions: the texts never leave the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut, join_counted
@@ -36,23 +36,31 @@ GIVEN = "|".join([*(n for (kind, _, _), names in NAMES.items() if kind == "given
 NAMED = r"(?<=(?:[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Mm]i nombre es) )"
 _MORE = r"(?:[ -]\p{Lu}\p{Ll}++)"
 
+#: What the keys of well-known vendors begin with, those of signed tokens among them.
+VENDORS = "eyJ|gh[pousr]_|github_pat_|glpat-|xox[abpr]-|sk-|sk_live_|AIza|SG\\."
+#: Words before a number that make it a telephone's, whatever its format.
+CALLED = r"(?<![\p{L}\p{N}])(?i:tel|phone|telephone|telefon|teléfono|téléphone|mobile|mobil|móvil|handy|cell|fax|whatsapp|call(?: me| us)?(?: at| on)?|reach (?:me|us) (?:at|on))(?:[.:]{1,2}|(?i: number:?| no\.?:?))? {0,2}"
+
 #: Types and their patterns, in order of precedence. None has a capturing group, and none repeats a group without a
 #: bound: the matcher recurses for each repetition of a group, so a long text would overflow its stack.
 PATTERNS = (
-    ("email", r"(?<![\w.+-])[\w.+-]++@[\w-][\w.-]*\.[A-Za-z]{2,24}(?![\w-])"),
+    ("email", r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-][\p{L}\p{N}_.-]*\.\p{L}{2,24}(?![\p{L}\p{N}_-])"),
     ("secret", r"(?<![\w])(?i:password|passwd|pwd|secret|api_key)" + _IS + r"(?:\"[^\"'\r\n]{6,}+\"|'[^\"'\r\n]{6,}+'|[\"']?[^\s#*$%&|<>!\"',;]{6,}+)"),
     ("token", r"(?<![\w])(?i:token|key)" + _IS + r"[\"'][0-9A-Za-z_\-+/=.]{16,}+[\"']"),
+    ("vendor_key", r"(?<![\w-])(?:" + VENDORS + r")[0-9A-Za-z_-]{16,}+(?:\.[0-9A-Za-z_-]++){0,4}(?![\w])"),
+    ("passport", r"(?<![\w])(?i:passport|passeport|pasaporte|reisepass)(?i: number| no\.?| nr\.?|nummer)?:? [A-Z]{0,3}\d[A-Z0-9]{5,8}(?![\w-])"),
     ("cloud_key", r"(?<![\w])(?i:AKIA|ASIA)[0-9A-Za-z]{16}(?![\w])"),
     ("iban", r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}" + _N + r"[ .-]?\(?\d{2,4}\)?" + _N + r"(?:[ .-]?\d{2,4}" + _N + r"){1,3}(?<![#*$%&|<>!])(?!\d)|(?<![\w+])\(\d{3}\)" + _N + r"[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w-])"),
-    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+\d{1,3}" + _N + r"[ .-]?(?:\(0\) ?)?\(?\d{2,4}\)?" + _N + r"(?:[ .-]?\d{2,4}" + _N + r"){1,3}(?<![#*$%&|<>!])(?!\d)|(?<![\w+])\(\d{3}\)" + _N + r"[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w-])|" + CALLED + r"\(?\d(?:[ ()/.-]{0,2}\d){6,14}(?![\w-])"),
+    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![\w])(?:SSN|[Ss]ocial [Ss]ecurity(?: [Nn]umber| [Nn]o\.?)?)[:#]? ?\d{3} ?\d{2} ?\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w)"),
+    ("ipv6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,40}[0-9A-Fa-f]{3})(?=[0-9A-Fa-f:]{0,40}[0-9])(?=[0-9A-Fa-f:]{0,40}::)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![\w:])"),
     ("person", r"(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:(?:" + TITLES + r")\.? ){1,4}+\p{Lu}\p{Ll}++" + _MORE + r"{0,3}|(?:" + GIVEN + ")" + _MORE + r"{1,3}|" + NAMED + r"\p{Lu}\p{Ll}++" + _MORE + r"{0,3})(?!\p{L})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A text without any of these has no entity; far cheaper than the patterns, it spares most texts from them.
-GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:" + TITLES + r")\.? |(?:" + GIVEN + r")[ -]\p{Lu}|" + NAMED + r"\p{Lu})"
+GATE = r"[0-9@=:]|(?i:AKIA|ASIA)|" + VENDORS + r"|(?<!\p{L})(?=[\p{Lu}гдп])(?:(?:" + TITLES + r")\.? |(?:" + GIVEN + r")[ -]\p{Lu}|" + NAMED + r"\p{Lu})"
 FEMALE_TITLES = r"(?:^|[ .])(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Mme|Mlle|Señora|Señorita|Sra|Srta|Doctora|Profesora|госпожа)\.? "
 MALE_TITLES = r"(?:^|[ .])(?:Mr|Sir|Herr|Monsieur|Señor|Sr|Profesor|господин)\.? "
 TITLE = r"^(?:(?:" + TITLES + r")\.? ){1,4}"
@@ -65,6 +73,8 @@ SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo na".split(),
 MAX_ATTEMPTS = 24
 #: Characters of a value that are permuted within their classes.
 LONG = 256
+#: Characters of the rest that one key moves.
+BLOCK = 60
 
 
 def kind_of(mention: Column) -> Column:
@@ -82,11 +92,11 @@ def letters_of(c: Column) -> Column:
 
 def identity(kind: Column, mention: Column) -> Column:
     """What makes two mentions the same entity: case of an email, and separators of numbers, do not count."""
-    value = F.when(kind.isin("secret", "token"), letters_of(mention))
+    value = F.when(kind.isin("secret", "token"), letters_of(mention)).when(kind == "passport", F.regexp_extract(mention, r"[A-Z0-9]+\z", 0))
     country = F.regexp_extract(mention, r"^\+(\d{1,3})(?!\d)", 1)
     abroad = F.concat(country, F.lit("-"), F.regexp_replace(F.substring(mention, F.length(country) + 2, F.length(mention)), r"\D", ""))
     value = value.when((kind == "phone") & (country != ""), abroad).when(kind.isin("phone", "ssn", "card"), F.regexp_replace(mention, r"\D", ""))
-    value = value.when(kind == "email", F.lower(mention)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
+    value = value.when(kind.isin("email", "ipv6"), F.lower(mention)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
     return value.when(kind == "cloud_key", F.upper(mention)).otherwise(mention)
 
 
@@ -151,7 +161,7 @@ def permute(df: DataFrame, column: str, key: str, label: Column, attempt: int) -
     halves, each a projection of its own. Different texts of one alphabet never get the same result."""
     text = F.col(column)
     half = (F.length(text) / 2).cast("int")
-    df = df.withColumns({"hexed_": text.rlike("^[0-9a-f]+$"), "salt_": F.concat_ws("|", label, F.length(text), F.lit(attempt)), "l_": F.substring(text, F.lit(1), half), "r_": F.substring(text, half + 1, F.length(text))})
+    df = df.withColumns({"hexed_": text.rlike("^[0-9a-f:]+$"), "salt_": F.concat_ws("|", label, F.length(text), F.lit(attempt)), "l_": F.substring(text, F.lit(1), half), "r_": F.substring(text, half + 1, F.length(text))})
     for n, (moved, other) in enumerate((("r_", "l_"), ("l_", "r_"), ("r_", "l_"))):
         df = df.withColumn("k_", keystream(key, F.lit(n), F.col(other), F.col("salt_"))).withColumn(moved, shifted(F.col(moved), F.col("k_"), F.col("hexed_")))
     return df.withColumn(column, F.concat("l_", "r_")).drop("hexed_", "salt_", "l_", "r_", "k_")
@@ -188,12 +198,19 @@ def candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     outer = F.when(safe != "", F.substring(domain, F.lit(1), F.length(domain) - F.length(safe))).otherwise(domain)
     # What is permuted: all but a card's check digit, the two sides of an email, all but the type of a cloud key, the
     # country of a phone number, and country and check digits of an IBAN.
-    main = F.when(kind == "card", F.substring(value, F.lit(1), n - 1)).when(kind == "email", F.substring_index(value, "@", 1)).when(kind.isin("cloud_key", "iban"), F.substring(value, F.lit(5), n)).when(kind == "phone", F.substring_index(value, "-", -1))
+    brand = F.regexp_extract(value, f"^(?:{VENDORS})", 0)
+    main = F.when(kind == "vendor_key", F.substring(value, F.length(brand) + 1, n)).when(kind == "card", F.substring(value, F.lit(1), n - 1)).when(kind == "email", F.substring_index(value, "@", 1)).when(kind.isin("cloud_key", "iban"), F.substring(value, F.lit(5), n)).when(kind == "phone", F.substring_index(value, "-", -1))
     df = entities.withColumns({"main": F.when(~kind.isin("ip", "given", "family"), main.otherwise(value)).otherwise(F.lit("")), "host": F.when(kind == "email", outer).otherwise(F.lit("")), "safe": safe})
     df = df.withColumn("body", F.col("main"))
-    # Of a very long value the beginning is permuted, the rest drawn anew; its collisions show like any other's.
-    rest = lambda c: F.when(F.length(c) > LONG, F.rpad(F.lit(""), F.length(c) - LONG, keystream(key, F.lit(c), kind, value, F.lit(attempt)))).otherwise(F.lit(""))
-    df = df.withColumns({"main_rest": rest("main"), "host_rest": rest("host"), "main": F.substring("main", 1, LONG), "host": F.substring("host", 1, LONG)})
+    # Of a very long value the beginning is permuted; the rest is moved within its classes block by block, by keys that
+    # the whole value decides. Its collisions show like any other's.
+    def rest(c: str) -> Column:
+        block = lambda i: F.substring(c, LONG + 1 + i * BLOCK, F.lit(BLOCK))
+        moved = F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - LONG - 1) / BLOCK).cast("int")), lambda i: shifted(block(i), keystream(key, F.lit(c), kind, value, F.lit(attempt), i), F.lit(False)))
+        return F.when(F.length(c) > LONG, F.array_join(moved, "")).otherwise(F.lit(""))
+
+    df = df.withColumns({"main_rest": rest("main"), "host_rest": rest("host")})
+    df = df.withColumns({"main": F.substring("main", 1, LONG), "host": F.substring("host", 1, LONG)})
     df = permute(permute(df, "main", key, kind, attempt), "host", key, F.lit("host"), attempt)
     df = df.withColumns({"main": F.concat("main", "main_rest"), "host": F.concat("host", "host_rest")})
 
@@ -222,6 +239,7 @@ def candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     out = F.when(kind == "card", F.concat("main", "last")).when(kind == "ip", F.array_join(F.transform("ip", lambda o: o.cast("string")), "."))
     out = out.when(kind == "email", F.concat("main", F.lit("@"), "host", F.when(F.col("safe") != "", F.col("safe")).otherwise(F.lit(".invalid"))))
     out = out.when((kind == "phone") & value.contains("-"), F.concat(F.substring_index(value, "-", 1), F.lit("-"), F.col("main")))
+    out = out.when(kind == "vendor_key", F.concat(brand, "main"))
     out = out.when(kind.isin("given", "family"), name).when(kind == "cloud_key", F.concat(F.substring(value, 1, 4), "main"))
     check = F.lpad((F.lit(98) - mod_97(F.concat("main", F.substring(value, 1, 2), F.lit("00")))).cast("string"), 2, "0")
     out = out.when(kind == "iban", F.concat(F.substring(value, 1, 2), check, "main"))
@@ -244,7 +262,8 @@ def wider(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     # Numbers are drawn anew as a whole: digits of the own format, then 20 more.
     fresh = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), (byte_at(k, i + 20) % 10).cast("string")).otherwise(c)), "")
     number = F.when(kind.isin("phone") & value.contains("-"), F.concat(F.substring_index(value, "-", 1), F.lit("-"), F.substring_index(fresh, "-", -1), digits)).otherwise(F.concat(fresh, digits))
-    out = out.when(kind.isin("phone", "ssn", "card", "iban"), number)
+    out = out.when(kind == "ipv6", F.concat_ws(":", F.lit("2001:db8"), *(F.substring(k, n, 4) for n in range(1, 25, 4))))
+    out = out.when(kind.isin("phone", "ssn", "card", "iban", "passport"), number)
     return entities.select("kind", "gender", "value", out.otherwise(F.substring(k, 1, 32)).alias("surrogate"))
 
 
@@ -257,7 +276,7 @@ def assign(entities: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> D
     there; the others try again. Names come from lists first, then from more and more syllables. What has none after
     `max_attempts`, or holds no letter or digit that could be moved, gets one of a wider format.
     """
-    fixed = F.col("kind").isin("secret", "token") & (~F.col("value").rlike("[0-9A-Za-z]") | F.col("value").rlike(r"[^\x00-\x7F]"))
+    fixed = F.col("kind").isin("secret", "token", "email") & (~F.col("value").rlike("[0-9A-Za-z]") | F.col("value").rlike(r"[^\x00-\x7F]"))
     todo = cut(entities)
     real = todo.select("kind", F.lower("value").alias("taken")).distinct()
     done = todo.limit(0).withColumn("surrogate", F.lit(""))
@@ -294,7 +313,7 @@ def rendered(kind: Column, mention: Column, surrogates: Column) -> Column:
     out = F.when(kind.isin("phone", "ssn", "card"), redrawn(mention, value, s, "0-9")).when(kind == "iban", redrawn(mention, value, s, "0-9A-Z"))
     end = F.regexp_extract(mention, r"[\"']?\z", 0)  # the value stands before it; the same word may be the secret's name
     head = F.substring(mention, F.lit(1), F.length(mention) - F.length(value) - F.length(end))
-    out = out.when(kind.isin("secret", "token"), F.concat(head, s, end)).when(kind == "email", email).when(kind == "cloud_key", cloud)
+    out = out.when(kind.isin("secret", "token", "passport"), F.concat(head, s, end)).when(kind == "email", email).when(kind == "cloud_key", cloud)
     return out.when(kind == "person", person).otherwise(s)
 
 
@@ -350,9 +369,21 @@ def replacements(texts: DataFrame, key: str) -> DataFrame:
 MOST_BROADCAST = 8 << 20
 
 
-def replace_pii(docs: DataFrame, key: str = "quire", text: str = "text", count: str | None = None) -> DataFrame:
+#: The setting that holds the key.
+KEY_SETTING = "spark.quire.pii.key"
+
+
+def key_of(spark: SparkSession, key: str | None) -> str:
+    """The key given, else the one in the setting; there is no default, for whoever knows the key can undo surrogates."""
+    found = key or spark.conf.get(KEY_SETTING, None)
+    if not found:
+        raise ValueError(f"surrogates need a secret key: give one, or set {KEY_SETTING}")
+    return found
+
+
+def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with the entities in `text` replaced, all other columns as they were; `count` names a column to be added
-    with the number of replaced mentions.
+    with the number of replaced mentions. Without a key the setting KEY_SETTING is taken; one of them must be there.
 
     Equal entities have equal surrogates in all texts (the key decides which), different ones different surrogates.
     Texts without an entity, empty ones and nulls stay as they are. What replaces what depends on the text alone, so
@@ -362,7 +393,7 @@ def replace_pii(docs: DataFrame, key: str = "quire", text: str = "text", count:
     broadcast and the texts are rewritten where they are read; beyond that the texts that a pattern finds something in
     are shuffled by their hash, and no others.
     """
-    news = replacements(texts_with_entities(docs, text), key)
+    news = replacements(texts_with_entities(docs, text), key_of(docs.sparkSession, key))
     size = news.agg(F.coalesce(F.sum(F.lit(96) + F.coalesce(F.length("pattern"), F.lit(0)) + F.length(F.array_join("news", "        "))), F.lit(0)).alias("bytes")).first().bytes
     body = F.col("row")[text].cast("string")
     rows = docs.select(F.struct("*").alias("row")).withColumn("h", F.sha2(body, 256))
