@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import mixing, packing, quality_fm, shingles, surrogates
 from quire.llm.common import remove_dir, stored, table
+from quire.llm.queries import OPEN_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +21,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Private data is replaced by surrogates."""
-    return surrogates.replace_pii(docs)
+    """Private data is replaced by surrogates, by the key of surrogates.KEY_SETTING or, where that is unset, an open one."""
+    return surrogates.replace_pii(docs, spark.conf.get(surrogates.KEY_SETTING, OPEN_KEY))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
