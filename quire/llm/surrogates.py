@@ -205,9 +205,11 @@ def candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     # Of a very long value the beginning is permuted; the rest is moved within its classes block by block, by keys that
     # the whole value decides. Its collisions show like any other's.
     def rest(c: str) -> Column:
-        block = lambda i: F.substring(c, LONG + 1 + i * BLOCK, F.lit(BLOCK))
-        moved = F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - LONG - 1) / BLOCK).cast("int")), lambda i: shifted(block(i), keystream(key, F.lit(c), kind, value, F.lit(attempt), i), F.lit(False)))
-        return F.when(F.length(c) > LONG, F.array_join(moved, "")).otherwise(F.lit(""))
+        whole = keystream(key, F.lit(c), kind, value, F.lit(attempt))
+        blocks = F.regexp_extract_all(F.substring(c, F.lit(LONG + 1), F.length(c)), F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+        block = lambda k, b, i: shifted(b, keystream(key, k, i), F.lit(False))
+        moved = F.transform(F.array(whole), lambda k: F.array_join(F.transform(blocks, lambda b, i: block(k, b, i)), ""))  # whole is hashed once
+        return F.when(F.length(c) > LONG, moved[0]).otherwise(F.lit(""))
 
     df = df.withColumns({"main_rest": rest("main"), "host_rest": rest("host")})
     df = df.withColumns({"main": F.substring("main", 1, LONG), "host": F.substring("host", 1, LONG)})
