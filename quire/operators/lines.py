@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import normal, text
 
 
 def explode_lines(pages: DataFrame, md: str = "md") -> DataFrame:
@@ -67,28 +67,32 @@ def upgrade_headings(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", text.upgraded_heading(F.col("line")))
 
 
-def clean_contents(lines: DataFrame, title: str = "title", authors: str = "authors", book: str = "book") -> DataFrame:
+def clean_contents(lines: DataFrame, title: str = "title", authors: str = "authors", book: str = "book", heads: bool = False) -> DataFrame:
     """Lines with `action`: keep, toc (within a contents block, which goes), demote (an empty section named like the
-    book or an author, which becomes plain text)."""
+    book or an author, which becomes plain text); with heads, toc_head for the heading of a contents block. Names are
+    compared as composed, whichever way either side is written."""
     run = Window.partitionBy(book).orderBy("line_no")
-    # Composed as names are, by Python; lines that are no heading send it a null.
-    named = F.when(F.col("line").startswith("## "), text.trimmed(F.substring(F.col("line"), F.lit(4), F.length("line"))))
-    lines = lines.withColumn("head_", F.lower(text.nfc(named)))
+    name = lambda c: F.lower(text.trimmed(normal.nfc(c)))
+    named = F.when(F.col("line").startswith("## "), name(F.substring(F.col("line"), F.lit(4), F.length("line"))))
+    lines = once(lines, named.alias("head_"))
     head = F.col("head_")
     # The names of a contents heading.
     is_toc = head.isin("mục lục", "muc luc")
     p = lines.withColumn("toc_", F.coalesce(F.last(F.when(F.col("line").startswith("#"), F.coalesce(is_toc, F.lit(False))), ignorenulls=True).over(run), F.lit(False)))
     following = F.first(F.when(text.trimmed(F.col("line")) != "", F.col("line")), ignorenulls=True).over(run.rowsBetween(1, Window.unboundedFollowing))
-    names = F.transform(F.concat(F.array(title), F.coalesce(authors, F.array().cast("array<string>"))), lambda x: F.lower(text.trimmed(x)))
+    names = F.transform(F.concat(F.array(title), F.coalesce(authors, F.array().cast("array<string>"))), name)
     p = p.withColumn("next_", following)
     empty = F.col("next_").isNull() | F.col("next_").startswith("## ")
-    action = F.when(F.col("toc_"), "toc").when(F.array_contains(names, F.col("head_")) & empty, "demote").otherwise("keep")
-    return p.withColumn("action", action).drop("head_", "toc_", "next_")
+    # Names are looked at only where a heading stands over nothing.
+    own = F.when(F.col("head_").isNotNull() & (F.col("head_") != "") & empty, F.coalesce(F.array_contains(names, F.col("head_")), F.lit(False)))
+    action = F.when(F.coalesce(is_toc, F.lit(False)), "toc_head").when(F.col("toc_"), "toc").when(own, "demote").otherwise("keep")
+    marked = p.withColumn("action", action).drop("head_", "toc_", "next_")
+    return marked if heads else marked.withColumn("action", F.when(F.col("action") == "toc_head", "toc").otherwise(F.col("action")))
 
 
 def apply_contents(marked: DataFrame) -> DataFrame:
     out = F.when(F.col("action") == "demote", text.trimmed(F.substring(F.col("line"), F.lit(4), F.length("line")))).otherwise(F.col("line"))
-    return marked.where("action <> 'toc'").withColumn("line", out)
+    return marked.where("action not in ('toc', 'toc_head')").withColumn("line", out)
 
 
 def join_lines(lines: DataFrame, keys: list[str], order: list[str], sep: str = "\n", out: str = "md") -> DataFrame:
@@ -156,10 +160,14 @@ def merge_books(pages: DataFrame, books: DataFrame, book: str = "book", stem: st
 
 
 def clean_books(merged: DataFrame, books: DataFrame) -> DataFrame:
-    """merged (book, md) without contents blocks and with empty title sections as plain text; also removed and demoted,
-    the numbers of lines that went or changed. books: book, title, authors ARRAY<STRING>. Books without a row in books
-    keep all but their contents blocks."""
+    """merged (book, md) without contents blocks and with empty title sections as plain text: book, md (ended by a line
+    end), removed (contents blocks), demoted (the headings that became plain text, in order). books: book, title,
+    authors ARRAY<STRING>. Books without a row in books keep all but their contents blocks."""
     told = merged.join(books.select("book", "title", "authors"), "book", "left")
-    marked = clean_contents(told.select("book", "title", "authors", F.posexplode(F.split("md", "\n", -1)).alias("line_no", "line")))
-    counts = marked.groupBy("book").agg(F.count_if(F.col("action") == "toc").alias("removed"), F.count_if(F.col("action") == "demote").alias("demoted"))
-    return join_lines(apply_contents(marked), ["book"], ["line_no"]).join(counts, "book")
+    each = F.posexplode(F.split(F.regexp_replace("md", r"\n\z", ""), "\n", -1)).alias("line_no", "line")
+    marked = clean_contents(told.where("md is not null").select("book", "title", "authors", each), heads=True)
+    heading = F.when(F.col("action") == "demote", F.struct("line_no", text.trimmed(F.substring(F.col("line"), F.lit(4), F.length("line"))).alias("head")))
+    demoted = F.transform(F.array_sort(F.collect_list(heading)), lambda x: x["head"])
+    counts = marked.groupBy("book").agg(F.count_if(F.col("action") == "toc_head").alias("removed"), demoted.alias("demoted"))
+    kept = counts.join(join_lines(apply_contents(marked), ["book"], ["line_no"]), "book", "left")  # of some nothing is left
+    return kept.select("book", F.concat(F.coalesce("md", F.lit("")), F.lit("\n")).alias("md"), "removed", "demoted")

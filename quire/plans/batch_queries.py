@@ -488,3 +488,17 @@ def ledger_passes(spark, sf_dir):
     aside = ledger.where("not readable").groupBy("book").agg(F.count("*").alias("aside"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return counted.join(aside, "book", "full").withColumnRenamed("total_usd", "total").select("book", zero("entries"), zero("total"), zero("aside"))
+
+
+@query(f"""WITH {PAGES_SQL}, h AS (SELECT doc_id, book, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, book, string_split(regexp_replace(md, '\\n\\z', ''), chr(10)) AS l FROM pages_ WHERE md IS NOT NULL)),
+n AS (SELECT *, CASE WHEN starts_with(line, '## ') THEN lower(trim(line[4:])) END AS head FROM h),
+t AS (SELECT *, coalesce(head IN ('mục lục', 'muc luc'), false) AS is_toc, coalesce(last_value(CASE WHEN starts_with(line, '#') THEN coalesce(head IN ('mục lục', 'muc luc'), false) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS toc,
+  first_value(CASE WHEN trim(line) <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM n),
+a AS (SELECT *, NOT toc AND coalesce(head = lower(book), false) AND (nxt IS NULL OR starts_with(nxt, '## ')) AS demote FROM t)
+SELECT CAST(doc_id AS VARCHAR) AS book, md5(coalesce(string_agg(CASE WHEN demote THEN trim(line[4:]) ELSE line END, chr(10) ORDER BY line_no) FILTER (WHERE NOT toc), '') || chr(10)) AS md,
+  count(*) FILTER (WHERE is_toc) AS removed, coalesce(list(trim(line[4:]) ORDER BY line_no) FILTER (WHERE demote), []) AS demoted FROM a GROUP BY doc_id""")
+def cleaned_books(spark, sf_dir):
+    """Marked documents as merged books, cleaned: their texts, contents blocks that went, headings that became text."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("book"), F.expr(MARKED).alias("md"), "source")
+    books = d.select("book", F.col("source").alias("title"), F.lit(None).cast("array<string>").alias("authors"))
+    return lines.clean_books(d.select("book", "md"), books).withColumn("md", F.md5("md"))
