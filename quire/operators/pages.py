@@ -45,6 +45,15 @@ def with_default(rows: DataFrame, table: DataFrame, key: str, default: str, colu
     return joined.select(*rows.columns, *map(value, columns))
 
 
+def bucketed(rows: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None, mode: str = "overwrite") -> DataFrame:
+    """rows as a table of the catalogue (below path, else in the warehouse), dealt by its keys into buckets once and for
+    all. Tables of as many buckets are joined on these keys where they lie: what each pass does over again, pages without
+    a result, then shuffles nothing. mode="append" adds to the buckets."""
+    writer = rows.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def with_prompt(rows: DataFrame, prompts: DataFrame, lang: str = "lang", default: str = "vi") -> DataFrame:
     """rows with the `prompt` of their language (lang, prompt), blanks and case aside; the default's if there is none."""
     clean = rows.withColumn("lang_", F.lower(text.trimmed(F.col(lang))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
@@ -502,3 +503,14 @@ def cleaned_books(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("book"), F.expr(MARKED).alias("md"), "source")
     books = d.select("book", F.col("source").alias("title"), F.lit(None).cast("array<string>").alias("authors"))
     return lines.clean_books(d.select("book", "md"), books).withColumn("md", F.md5("md"))
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality > 0)")
+def bucketed_pending(spark, sf_dir):
+    """Pages without a result, pages and results being tables in buckets: neither side is shuffled. Results come twice."""
+    name, path = uuid.uuid4().hex, scratch_dir(spark, "buckets")
+    pages_ = pages.bucketed(table(spark, sf_dir, "documents").select("doc_id", "source"), f"pages_{name}", ["doc_id"], 8, f"{path}/pages")
+    results = table(spark, sf_dir, "labels").withColumn("size", F.col("quality"))
+    for odd in (0, 1):
+        done = pages.bucketed(results.where(F.col("doc_id") % 2 == odd), f"results_{name}", ["doc_id"], 8, f"{path}/results", "append")
+    return pages.pending(pages_, done, ["doc_id"])

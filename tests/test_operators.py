@@ -265,3 +265,22 @@ def test_reflowable_package_is_whole(spark):
     members = {r.name: bytes(r.content).decode(errors="replace") for r in containers.zip_members(built, ["book"]).collect()}
     assert "<li><a href=\"text/0001.xhtml#part-1\">C</a></li>" in members["OEBPS/nav.xhtml"] and "<dc:creator>me</dc:creator>" in members["OEBPS/content.opf"]
     assert {"OEBPS/cover.png", "OEBPS/text/0002.xhtml"} <= set(members)
+
+
+def test_pending_pages_of_buckets_are_not_shuffled(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("b"), F.col("id") % 3).alias("book"), F.col("id").cast("string").alias("stem"))
+    done = rows.where("stem % 4 = 0").withColumn("size", F.lit(5))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = pages.bucketed(rows, "own_pages", ["book", "stem"], 4, str(tmp_path / "pages"))
+        two = pages.bucketed(done.limit(10), "own_results", ["book", "stem"], 4, str(tmp_path / "results"))
+        two = pages.bucketed(done, "own_results", ["book", "stem"], 4, str(tmp_path / "results"), "append")
+        left = pages.pending(one, two, ["book", "stem"])
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert left.count() == 150 and two.count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS own_pages")
+        spark.sql("DROP TABLE IF EXISTS own_results")
