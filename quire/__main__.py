@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import shutil
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from quire.functions import text
 from quire.operators import cost, lines, packages, pages, summaries
 from quire.sources import containers, convert
 from quire.sources.scratch import scratch_dir
-from quire.streaming import recognize
+from quire.streaming import recognize, smoke
 
 #: Programs that a command may need: (name, whether nothing works without it).
 PROGRAMS = (("java", True), ("magick", False), ("convert", False), ("pdftoppm", False))
@@ -111,9 +112,22 @@ def epub(spark: SparkSession, a: argparse.Namespace) -> bool:
     return wrong.isEmpty()
 
 
+def tried(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """The trial of each book's first pages, and the rest of those that are within the budget. What was spent goes to the
+    ledger below `out`; what the rest of the others would cost is told."""
+    rows = read(spark, a.pages, schemas.PAGE_IMAGES).select("book", "stem", "content", F.lit("").alias("prompt"))
+    told = smoke.smoke_gate(spark, rows, f"{a.out}/texts", lambda est: est <= F.lit(a.budget).cast("decimal(18,6)"))
+    cost.record_pass(told.select("book", F.col("total_usd").cast("string").alias("cost_usd")), f"{a.out}/ledger", uuid.uuid4().hex)
+    tell(told.orderBy("book"), a.most)
+    return told.where("status <> 'full'").isEmpty()
+
+
 def everything(spark: SparkSession, a: argparse.Namespace) -> bool:
-    """Recognise, merge, clean and package; texts, merged books and packages are written below `out`."""
+    """Recognise, merge, clean and package; texts, merged books and packages are written below `out`. With a budget the
+    first pages of each book are a trial, and nothing is merged before all books are within it."""
     step = lambda **more: argparse.Namespace(**(vars(a) | more))
+    if a.budget is not None and not tried(spark, a):
+        return False
     done = recognize_pages(spark, step(out=f"{a.out}/texts"))
     merge(spark, step(texts=f"{a.out}/texts", out=f"{a.out}/merged", toc=True))
     return epub(spark, step(merged=f"{a.out}/merged", out=f"{a.out}/epub")) and done
@@ -164,6 +178,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         one.add_argument("--batches", type=int, default=None, help="batches of a pass; by the number of pages if not given")
         one.add_argument("--archives", action="store_true", help="import archives instead of scans")
         one.add_argument("--pdf", action="store_true", help="import PDFs instead of scans")
+        one.add_argument("--budget", default=None, help="dollars that the rest of a book may cost behind its trial")
         one.add_argument("--toc", action="store_true", help="merge without contents blocks")
         for n, default in (("author", None), ("lang", "vi"), ("year", None)):
             one.add_argument(f"--{n}", default=default)

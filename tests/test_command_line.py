@@ -6,7 +6,9 @@ import zipfile
 
 import pytest
 
+from quire import schemas
 from quire.__main__ import main
+from quire.operators import cost
 from tests.test_operators import png
 
 
@@ -64,3 +66,21 @@ def test_wrong_calls(capsys):
     with pytest.raises(SystemExit):
         main(["nothing"])
     assert main(["doctor"]) in (0, 1) and told(capsys)[0]["check"] == "java"
+
+
+def test_trial_before_the_whole(spark, tmp_path, capsys):
+    """A book beyond the budget stops behind its trial; with more to spend the rest is done, and no page twice."""
+    rows = [("b", f"page_{i:03d}", "png", f"page_{i:03d}.png", 4000, bytearray(png(800, 1200, 4000) + bytes([i]))) for i in range(14)]
+    spark.createDataFrame(rows, schemas.PAGE_IMAGES).write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([("b", "T", "A", None, "vi", "1990")], schemas.BOOKS).write.parquet(str(tmp_path / "books"))
+    out = str(tmp_path / "out")
+    call = lambda budget: main(["all", str(tmp_path / "pages"), str(tmp_path / "books"), out, "--budget", budget], spark)
+    capsys.readouterr()
+    assert call("0.001") == 1
+    first = told(capsys)[0]
+    assert (first["status"], first["ok"], first["remaining"]) == ("smoke", 10, 4)
+    assert spark.read.parquet(f"{out}/texts").count() == 10 and not (tmp_path / "out" / "merged").exists()
+    assert call("1") == 0 and told(capsys)[0]["status"] == "full"
+    assert spark.read.parquet(f"{out}/texts").count() == 14 and spark.read.parquet(f"{out}/epub").count() == 1
+    ledger = cost.ledger_totals(cost.read_ledger(spark, f"{out}/ledger", "book string, cost_usd string"), ["book"]).first()
+    assert ledger.entries == 2 and 0.017 < float(ledger.total_usd) < 0.02  # 14 pages of 4001 tokens
