@@ -138,8 +138,14 @@ def cleaned_pages(pages: DataFrame, book: str = "book", stem: str = "stem", md:
     return once(bodies, text.by_fences(F.col("body"), cleaned).alias("clean_")).select(book, stem, F.col("clean_").alias("body")), offsets
 
 
-def merge_stats(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> DataFrame:
-    """pages_merged (empty ones too), body_chars, h1, h2 and footnotes of each book."""
+def book_head() -> Column:
+    """The front matter of a row of books, with the line end behind it."""
+    return F.concat(text.front_matter(F.col("title"), F.col("author"), F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("vi")), F.col("year")), F.lit("\n"))
+
+
+def merge_stats(pages: DataFrame, book: str = "book", stem: str = "stem", md: str = "md", books: DataFrame | None = None) -> DataFrame:
+    """pages_merged (empty ones too), body_chars, h1, h2 and footnotes of each book; with books (as for merge_books) also
+    chars, the length of the merged book as it is written, front matter included."""
     bodies, offsets = cleaned_pages(pages, book, stem, md)
     heads = lambda mark: F.size(F.filter(F.split("body", "\n", -1), lambda x: x.startswith(mark)))
     each = bodies.select(book, F.length("body").alias("chars_"), heads("# ").alias("h1_"), heads("## ").alias("h2_"))
@@ -147,7 +153,11 @@ def merge_stats(pages: DataFrame, book: str = "book", stem: str = "stem", md: st
     footnotes = offsets.groupBy(book).agg(F.sum("max_note").alias("footnotes"))
     total = pages.groupBy(book).agg(F.count("*").alias("pages_merged"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return total.join(per_text, book, "left").join(footnotes, book, "left").select(book, "pages_merged", zero(F.col("chars")).alias("body_chars"), zero(F.col("h1")).alias("h1"), zero(F.col("h2")).alias("h2"), zero(F.col("footnotes")).alias("footnotes"))
+    told = total.join(per_text, book, "left").join(footnotes, book, "left").select(book, "pages_merged", zero(F.col("chars")).alias("body_chars"), zero(F.col("h1")).alias("h1"), zero(F.col("h2")).alias("h2"), zero(F.col("footnotes")).alias("footnotes"))
+    if books is None:
+        return told
+    heads_ = books.select(book, F.length(book_head()).alias("head_"))
+    return told.join(heads_, book).withColumn("chars", F.col("body_chars") + F.col("head_") + 1).drop("head_")
 
 
 def merge_books(pages: DataFrame, books: DataFrame, book: str = "book", stem: str = "stem", md: str = "md") -> DataFrame:
@@ -155,8 +165,7 @@ def merge_books(pages: DataFrame, books: DataFrame, book: str = "book", stem: st
     texts, _ = cleaned_pages(pages, book, stem, md)
     keyed = texts.withColumn("key_", text.natural_key(F.col(stem))).withColumnRenamed("body", "line")
     bodies = join_lines(keyed, [book], ["key_", stem], "\n\n", "body")
-    head = text.front_matter(F.col("title"), F.col("author"), F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("vi")), F.col("year"))
-    return bodies.join(books, book).select(book, F.concat(head, F.lit("\n"), "body", F.lit("\n")).alias("md"))
+    return bodies.join(books, book).select(book, F.concat(book_head(), "body", F.lit("\n")).alias("md"))
 
 
 def clean_books(merged: DataFrame, books: DataFrame) -> DataFrame:

@@ -278,11 +278,11 @@ def recognition_outcomes(spark, sf_dir):
     return results.select(F.col("stem").cast("long").alias("doc_id"), "outcome", "attempts", "tokens_in", "tokens_out", (~F.col("outcome").isin(*recognize.TERMINAL)).alias("open"))
 
 
-@query("SELECT 'b' AS book, CAST(doc_id AS STRING) AS stem, CASE WHEN doc_id % 4 = 0 THEN '<!-- blank page -->' ELSE text END AS md FROM documents WHERE doc_id % 4 < 3 AND text IS NOT NULL")
+@query("SELECT 'b' AS book, CAST(doc_id AS STRING) AS stem, CASE WHEN doc_id % 4 = 0 THEN '<!-- blank page -->' ELSE text END AS md FROM documents WHERE doc_id % 4 < 3")
 def recognized_texts(spark, sf_dir):
     """The page texts of results that came twice: placeholders of blank pages are texts, failures are not."""
     k = F.col("doc_id") % 4
-    r = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.lit("b").alias("book"), F.col("doc_id").cast("string").alias("stem"), F.when(k == 0, "blank").when(k == 3, "fail").otherwise("ok").alias("outcome"), F.when(k == 0, attempts.BLANK_TEXT).when(k < 3, F.col("text")).alias("md"))
+    r = table(spark, sf_dir, "documents").select(F.lit("b").alias("book"), F.col("doc_id").cast("string").alias("stem"), F.when(k == 0, "blank").when(k == 3, "fail").otherwise("ok").alias("outcome"), F.when(k == 0, attempts.BLANK_TEXT).when(k < 3, F.col("text")).alias("md"))
     return recognize.page_texts(r.union(r))
 
 

@@ -132,13 +132,26 @@ def toc_cleanup(spark, sf_dir):
     return lines.clean_contents(raw, book="text_id").groupBy("book", "action").agg(F.count("*").alias("n_lines"))
 
 
-@query(f"""{ALL_SQL}, page_ AS (SELECT book, stem, string_agg(line, chr(10) ORDER BY line_no) AS t FROM clean_ GROUP BY book, stem)
-SELECT book, '---' || chr(10) || 'title: "' || book || '"' || chr(10) || 'lang: "vi"' || chr(10) || '---' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY {KEY_SQL}, stem) || chr(10) AS md FROM page_ GROUP BY book""")
+MERGED_SQL = f"""{ALL_SQL}, page_ AS (SELECT book, stem, string_agg(line, chr(10) ORDER BY line_no) AS t FROM clean_ GROUP BY book, stem)
+SELECT book, '---' || chr(10) || 'title: "' || book || '"' || chr(10) || 'lang: "vi"' || chr(10) || '---' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY {KEY_SQL}, stem) || chr(10) AS md FROM page_ GROUP BY book"""
+
+
+def merged_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The marked pages, and their books, which have only a title."""
+    p, none = marked_pages(spark, sf_dir), F.lit(None).cast("string")
+    return p, p.select("book").distinct().select("book", F.col("book").alias("title"), none.alias("author"), none.alias("lang"), none.alias("year"))
+
+
+@query(MERGED_SQL)
 def merged_books(spark, sf_dir):
-    p = marked_pages(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    books = p.select("book").distinct().select("book", F.col("book").alias("title"), none.alias("author"), none.alias("lang"), none.alias("year"))
-    return lines.merge_books(p, books)
+    return lines.merge_books(*merged_sources(spark, sf_dir))
+
+
+@query(f"WITH m_ AS ({MERGED_SQL}) SELECT book, CAST(length(md) AS BIGINT) AS chars FROM m_")
+def merged_book_chars(spark, sf_dir):
+    """How long each merged book is as it is written, told with the figures of its merge."""
+    p, books = merged_sources(spark, sf_dir)
+    return lines.merge_stats(p, books=books).select("book", "chars")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, role, text) AS md, count(*) AS n_turns FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
