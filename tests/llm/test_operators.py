@@ -761,7 +761,7 @@ def test_quality(spark):
     assert quality_fm.score(documents(spark, []), m).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op2_source_mixing", "op4_warc_transactions"])
+@pytest.mark.parametrize("name", ["op2_source_mixing", "op4_warc_transactions", "op11_hard_negatives", "op12_fill_middle", "op13_contamination"])
 def test_same_as_sql(spark, name):
     from quire.llm import queries
 
