@@ -7,13 +7,14 @@ import shutil
 import sys
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions import text
 from quire.operators import cost, lines, packages, pages, summaries
-from quire.sources import containers, convert
+from quire.sources import archive_source, containers, convert
 from quire.sources.scratch import scratch_dir
 from quire.streaming import recognize, smoke
 
@@ -138,10 +139,27 @@ def package(spark: SparkSession, a: argparse.Namespace) -> bool:
     title = text.derived_title(F.col("title"), F.col("series"), F.col("series_index"), F.col("slug"))
     books = told.select(F.col("slug").alias("book"), title.alias("title"), "author", F.coalesce("lang", F.lit("ja")).alias("lang"), F.lit(a.modified).alias("modified"), F.coalesce("rtl", F.lit(True)).alias("rtl"), F.col("year").alias("date"), "series", "series_index", "subject", "publisher", "description")
     packages.build_fixed_layout(read(spark, a.pages, schemas.PAGE_IMAGES).select("book", "stem", "ext", "content"), books).write.mode("overwrite").parquet(a.out)
-    return verify(spark, argparse.Namespace(packages=a.out, most=a.most))
+    return verify(spark, argparse.Namespace(packages=a.out, most=a.most, files=False))
+
+
+def verify_paths(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """What a path stands for (a package, a book's home, or a folder of homes), each file with its status, and how many
+    there are of each; all must be whole."""
+    store, top = fs.FileSystem.from_uri(a.packages)
+    checked = archive_source.read_archives(spark, a.packages, content="", markEmpty=True, pathGlobFilter="*.epub").groupBy("path").agg(F.bool_and(F.coalesce("crc_ok", F.lit(False))).alias("zip_ok"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(a.packages).select(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/").alias("path"), F.col("length").alias("size"))
+    found = listed.join(checked, "path", "left").select("path", "size", F.coalesce("zip_ok", F.lit(False)).alias("zip_ok"))
+    homes = listed.select(F.regexp_extract("path", "^(.*)/(?:scans|work|dist)/", 1).alias("home")).where("home <> ''").distinct()
+    rows = packages.verify_targets(spark.createDataFrame([(top.rstrip("/"),)], "target string"), found, homes)
+    judged = rows.withColumn("status", packages.archive_status(F.col("exists"), F.col("size"), F.col("zip_ok"))).persist()
+    tell(judged.select("label", "path", "size", "status").orderBy("label", "path"), a.most)
+    tell(packages.verify_summary(judged), 1)
+    return judged.where("status <> 'OK'").isEmpty()
 
 
 def verify(spark: SparkSession, a: argparse.Namespace) -> bool:
+    if a.files:
+        return verify_paths(spark, a)
     checked = packages.validate(read(spark, a.packages, "book string, content binary"))
     tell(checked.orderBy("valid", "book"), a.most)
     return checked.where("not valid").isEmpty()
@@ -179,6 +197,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         one.add_argument("--archives", action="store_true", help="import archives instead of scans")
         one.add_argument("--pdf", action="store_true", help="import PDFs instead of scans")
         one.add_argument("--budget", default=None, help="dollars that the rest of a book may cost behind its trial")
+        one.add_argument("--files", action="store_true", help="verify files and homes by their paths instead of a table")
         one.add_argument("--toc", action="store_true", help="merge without contents blocks")
         for n, default in (("author", None), ("lang", "vi"), ("year", None)):
             one.add_argument(f"--{n}", default=default)

@@ -84,3 +84,28 @@ def test_trial_before_the_whole(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{out}/texts").count() == 14 and spark.read.parquet(f"{out}/epub").count() == 1
     ledger = cost.ledger_totals(cost.read_ledger(spark, f"{out}/ledger", "book string, cost_usd string"), ["book"]).first()
     assert ledger.entries == 2 and 0.017 < float(ledger.total_usd) < 0.02  # 14 pages of 4001 tokens
+
+
+def test_files_and_homes_are_verified_by_their_paths(spark, tmp_path, capsys):
+    def archive(path, size, damage=False):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("x", bytes(range(256)) * (size // 256))
+        if damage:
+            raw = bytearray(path.read_bytes())
+            raw[200] ^= 1
+            path.write_bytes(bytes(raw))
+
+    archive(tmp_path / "good" / "dist" / "good.epub", 20_000)
+    archive(tmp_path / "small" / "dist" / "small.epub", 512)
+    archive(tmp_path / "hurt" / "dist" / "hurt.epub", 20_000, damage=True)
+    (tmp_path / "none" / "scans").mkdir(parents=True)
+    (tmp_path / "none" / "scans" / "p1.png").write_bytes(png(1, 1))
+    (tmp_path / "hurt" / "dist" / "notes.txt").write_text("x")
+    capsys.readouterr()
+    assert main(["verify", str(tmp_path), "--files"], spark) == 1
+    *rows, total = told(capsys)
+    assert {r["label"].rpartition("/")[2]: r["status"] for r in rows} == {"good": "OK", "small": "TINY", "hurt": "BADZIP", "none": "MISSING"}
+    assert total == {"ok": 1, "tiny": 1, "badzip": 1, "missing": 1, "total": 4}
+    assert main(["verify", str(tmp_path / "good"), "--files"], spark) == 0 and told(capsys)[0]["status"] == "OK"
+    assert main(["verify", str(tmp_path / "hurt" / "dist" / "hurt.epub"), "--files"], spark) == 1 and told(capsys)[0]["status"] == "BADZIP"
