@@ -69,17 +69,22 @@ def remove_dir(path: str) -> None:
 
 #: Fewer keys than this can each have over 1/HOT_KEYS of all rows.
 HOT_KEYS = 20_000
+#: Bytes of a plain key; and how many keys may be hot however large they are.
+KEY_BYTES, FEW_KEYS = 64, 16
 
 
-def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], least: int = 64) -> DataFrame:
+def join_counted(rows: DataFrame, told: DataFrame, keys: list[str], least: int = 64, size: Column | None = None) -> DataFrame:
     """rows joined with told, which has one row for each key (none null) and in `n` about how many of rows have it.
 
     The keys that over 1/HOT_KEYS of all rows (and over `least`) have are fewer than HOT_KEYS whatever the input, so
-    these are broadcast and their rows stay where they are; the others are shuffled, none of them a hot one. Both
-    tables are read twice and should be stored.
+    these are broadcast and their rows stay where they are; the others are shuffled, none of them a hot one. size tells
+    the bytes of a key that may be large: the largest one measured makes HOT_KEYS as many times less as it is larger than
+    a plain key, so that what is broadcast has one bound. Both tables are read twice and should be stored.
     """
-    total = told.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    is_hot = F.col("n") > max(total // HOT_KEYS, least)
+    large = F.max(F.when(F.col("n") > least, size)) if size is not None else F.lit(None)
+    found = told.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), large.cast("long").alias("bytes")).first()
+    keys_held = max(FEW_KEYS, HOT_KEYS * KEY_BYTES // max(found.bytes or 0, KEY_BYTES))
+    is_hot = F.col("n") > max(found.n // keys_held, least)
     hot, rest = F.broadcast(told.where(is_hot).drop("n")), told.where(~is_hot).drop("n")
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(told.where(is_hot).select(*keys)), keys, "left_anti").join(rest, keys))
 

@@ -275,6 +275,6 @@ def embedding_groups(rows: DataFrame, threshold: float = 0.93, tile: int = TILE,
     names = cut(roots.join(classes.select("class_id", "first_id"), "class_id").groupBy("root").agg(F.min("first_id").alias("name"), F.count("*").alias("n")))
     named = join_counted(roots, names, ["root"]).select("class_id", "name")
     told = cut(classes.join(links, "class_id", "left").join(named, "class_id", "left").select(*group, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("name", "first_id").alias("component_id"), F.col("copies").alias("n")))
-    linked = join_counted(able, told, group).select("vec_id", "n_links", "component_id")
+    linked = join_counted(able, told, group, size=8 * F.col("dim")).select("vec_id", "n_links", "component_id")
     alone = v.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

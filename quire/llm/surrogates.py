@@ -360,7 +360,7 @@ def replacements(texts: DataFrame, key: str) -> DataFrame:
     entity = ["kind", "gender", "value"]
     counts = cut(parts.groupBy(*entity).agg(F.count("*").alias("n")))
     named = cut(assign(counts.select(*entity), key).join(counts, entity))
-    each = join_counted(parts, named, entity).groupBy("h", "pos", "mention", "type").agg(F.array_sort(F.collect_list(F.struct("part", "value", "surrogate"))).alias("s"))
+    each = join_counted(parts, named, entity, size=F.octet_length("value") + F.octet_length("surrogate")).groupBy("h", "pos", "mention", "type").agg(F.array_sort(F.collect_list(F.struct("part", "value", "surrogate"))).alias("s"))
     drawn = each.select("h", "pos", rendered(F.col("type"), F.col("mention"), F.col("s")).alias("new"), F.lit(1).alias("ok"))
     same = found.where("type is null").select("h", "pos", F.col("mention").alias("new"), F.lit(0).alias("ok"))
     news = drawn.union(same).groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("news"), F.sum("ok").alias("n"))

@@ -76,6 +76,16 @@ def test_simhash(spark, blocks):
     assert simhash.simhash_groups(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("size", [None, 10, 1 << 20])
+def test_hot_keys_are_bounded_by_their_bytes(spark, size):
+    """Keys that many rows have are broadcast, as many as their size permits; all rows meet theirs."""
+    r = random.Random(4)
+    rows = [(r.choice([1, 1, 1, 2, 2, *range(3, 60)]), i) for i in range(6000)]
+    told = spark.createDataFrame([(k, f"v{k}", sum(k == x for x, _ in rows)) for k in range(1, 60)], "k long, v string, n long")
+    got = common.join_counted(spark.createDataFrame(rows, "k long, i long"), told, ["k"], size=None if size is None else F.lit(size))
+    assert sorted((x.k, x.i, x.v) for x in got.collect()) == sorted((k, i, f"v{k}") for k, i in rows)
+
+
 def test_components_of_long_chains(spark):
     """As many rounds as chains need; plans must not grow with them."""
     r = random.Random(1)
