@@ -588,4 +588,4 @@ def reflowable_members(spark, sf_dir):
 @query("SELECT 'p' || doc_id AS stem, source AS book, CASE WHEN coalesce(text, '') = '' THEN 'blank' ELSE 'ok' END AS outcome, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS tokens_in FROM documents")
 def recognized_pages(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("stem"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit("").alias("prompt"))
-    return recognize.recognize(d).select("stem", "book", "outcome", "tokens_in")
+    return recognize.recognize(d, recognize.by_content).select("stem", "book", "outcome", "tokens_in")
