@@ -352,7 +352,7 @@ def streamed_pages(spark, sf_dir):
     path = scratch_dir(spark, "stream")
     for half in (0, 1):
         pages_.where(F.pmod(F.xxhash64("stem"), F.lit(2)) == half).write.mode("append").parquet(f"{path}/pages")
-        recognize.stream_new_pages(spark, f"{path}/pages", f"{path}/done", f"{path}/checkpoint", "book string, stem string, content binary, prompt string")
+        recognize.stream_new_pages(spark, f"{path}/pages", f"{path}/done", f"{path}/checkpoint", "book string, stem string, content binary, prompt string", recognize.by_content)
     done = spark.read.schema(f"book string, stem string, {recognize.RESULT}").parquet(f"{path}/done")
     return done.groupBy("book").agg(F.count("*").alias("pages"), F.sum("tokens_in").alias("tokens_in"))
 
