@@ -466,12 +466,12 @@ def smoke_gate(spark, sf_dir):
 
 @query(f"""WITH {BYTES_SQL} SELECT doc_id % 3 AS batch, count(*) AS rows, count(*) FILTER (WHERE n > 0) AS ok, count(*) FILTER (WHERE n = 0) AS blank, CAST(sum(n) AS BIGINT) AS tokens_in FROM b GROUP BY 1""")
 def progress_events(spark, sf_dir):
-    """The events that a listener wrote while three batches of pages were recognised as a stream."""
+    """The events that a listener wrote while three batches of pages, many files each, were recognised as a stream."""
     path = scratch_dir(spark, "progress")
     pages_ = bytes_pages(spark, sf_dir)
     for k in range(3):
-        pages_.where(F.substring("stem", F.lit(2), F.length("stem")).cast("long") % 3 == k).coalesce(1).write.mode("append").parquet(f"{path}/pages")
-    recognize.stream_new_pages(spark, f"{path}/pages", f"{path}/done", f"{path}/checkpoint", "book string, stem string, content binary, prompt string", events=f"{path}/events", files_per_batch=1)
+        pages_.where(F.substring("stem", F.lit(2), F.length("stem")).cast("long") % 3 == k).write.mode("append").parquet(f"{path}/pages")
+        recognize.stream_new_pages(spark, f"{path}/pages", f"{path}/done", f"{path}/checkpoint", "book string, stem string, content binary, prompt string", recognize.by_content, events=f"{path}/events")
     return spark.read.schema(recognize.EVENTS).json(f"{path}/events").select("batch", "rows", "ok", "blank", "tokens_in")
 
 
