@@ -62,6 +62,8 @@ def estimates(pages: DataFrame, key: list[str]) -> DataFrame:
 
 
 def smoke_estimate(smoke_cost: Column, ok: Column, remaining: Column) -> Column:
-    """The rest at what the trial's good pages cost each, or at the fixed estimate if none was good."""
-    each = F.coalesce((smoke_cost / F.nullif(ok.cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))).cast("decimal(24,9)"), F.lit(PAGE_ESTIMATE).cast("decimal(24,9)"))
-    return (each * remaining.cast("decimal(12,0)")).cast("decimal(24,6)")
+    """The rest at what the trial's good pages cost each, or at the fixed estimate if none was good. What each cost is
+    not rounded before it is multiplied."""
+    n = remaining.cast("decimal(12,0)")
+    rest = smoke_cost.cast("decimal(20,6)") * n / F.nullif(ok.cast("decimal(12,0)"), F.lit(0).cast("decimal(12,0)"))
+    return F.coalesce(rest, F.lit(PAGE_ESTIMATE).cast("decimal(6,3)") * n).cast("decimal(28,9)")

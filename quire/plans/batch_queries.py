@@ -405,7 +405,7 @@ def lane_books(spark, sf_dir):
     pages_ = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("book"), k.cast("string").alias("stem"), hurt.alias("content"), prompt.alias("prompt"))
 
     def answer(image: bytes, prompt: str) -> dict:
-        return {"md": None, "finish": None, "tokens_in": 0, "tokens_out": 0, "msg": "HTTP 403"} if prompt else recognize.offline_stub(image, prompt)
+        return {"md": None, "finish": None, "tokens_in": 0, "tokens_out": 0, "msg": "HTTP 403"} if prompt else recognize.by_content(image, prompt)
 
     queue = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("slug"))
     told = lanes.run_lanes(spark, queue, lanes.recognizing(spark, pages_, path, answer, batches=1), lanes=6)
@@ -454,7 +454,7 @@ def smoke_gate(spark, sf_dir):
     whole, and no page is recognised twice."""
 
     def answer(image: bytes, prompt: str) -> dict:
-        got = recognize.offline_stub(image, prompt)
+        got = recognize.by_content(image, prompt)
         return got | {"md": None, "tokens_in": 0, "tokens_out": 0, "msg": "HTTP 403"} if image and len(image) % 97 == 0 else got
 
     path = scratch_dir(spark, "smoke")
