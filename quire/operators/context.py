@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import json_object
+from quire.functions.text import json_object, let
 from quire.schemas import CONTEXT
 
 NAME_CAP = 40
@@ -22,8 +22,7 @@ HEAD, PER_IMAGE, TOC, NAMES, TERMS, LAYOUT, NOTES, PITFALLS = "--- BỐI CẢNH
 def parse(answer: Column) -> Column:
     """The context in a model's answer, fences and prose around it dropped; null unless it is an object with a title.
     Numbers that stand where texts belong are read as texts."""
-    got = F.from_json(json_object(answer), CONTEXT)
-    return F.when(F.nullif(F.trim(got["title"]), F.lit("")).isNotNull(), got)
+    return let(F.from_json(json_object(answer), CONTEXT), lambda got: F.when(F.nullif(F.trim(got["title"]), F.lit("")).isNotNull(), got))
 
 
 def filled(c: Column) -> Column:
@@ -35,12 +34,18 @@ def listed(label: str, items: Column, sep: str) -> Column:
 
 
 def pages_per_image(c: Column) -> Column:
-    return F.coalesce(F.nullif(c["pages_per_image"].try_cast("int"), F.lit(0)), F.lit(1))
+    told = c["pages_per_image"]  # what is no number is told by its letters: a cast that fails costs an exception
+    return F.coalesce(F.nullif(F.when(told.rlike(r"\A[\s\p{Cc}]*[+-]?[0-9]+[\s\p{Cc}]*\z"), told.try_cast("int")), F.lit(0)), F.lit(1))
 
 
-def render(c: Column, rules: tuple[str, ...] = RULES, verse: str = VERSE_RULE) -> Column:
-    """The block of a context struct: fixed rules, then a line for each field that is filled."""
-    n, rtl = pages_per_image(c), F.lower(F.trim(F.coalesce(filled(c["lang"]), F.lit("vi")))) == "ja"
+def render(context: Column, rules: tuple[str, ...] = RULES, verse: str = VERSE_RULE) -> Column:
+    """The block of a context struct: fixed rules, then a line for each field that is filled. The struct, often a parsed
+    answer, is computed once however many fields it has."""
+    return let(context, lambda c: let(pages_per_image(c), lambda n: block_of(c, n, rules, verse)))
+
+
+def block_of(c: Column, n: Column, rules: tuple[str, ...], verse: str) -> Column:
+    rtl = F.lower(F.trim(F.coalesce(filled(c["lang"]), F.lit("vi")))) == "ja"
     imprint = F.concat_ws(", ", filled(c["publisher"]), filled(c["year"]))
     book = F.concat(F.lit("Sách: "), c["title"], F.coalesce(F.concat(F.lit(" — "), filled(c["author"])), F.lit("")), F.coalesce(F.concat(F.lit(" (dịch: "), filled(c["translator"]), F.lit(")")), F.lit("")), F.when(imprint != "", F.concat(F.lit(" ("), imprint, F.lit(")"))).otherwise(""))
     order = F.when(rtl, F.concat(F.lit("Double pages, right to left: "), n.cast("string"), F.lit(" pages in each image, the right one first."))).otherwise(F.concat(F.lit("Double pages, left to right: "), n.cast("string"), F.lit(" pages in each image, the left one first.")))
@@ -61,13 +66,14 @@ def counts(c: Column) -> Column:
 
 def saved(contexts: DataFrame, generated_by: str) -> DataFrame:
     """contexts (book, context CONTEXT) as they are kept: book, json (with what made it), block (the rendered text)."""
+    held = contexts.select("book", F.explode(F.array("context")).alias("context"))  # once, not in each of its fields
     whole = F.struct("context.*", F.lit(generated_by).alias("_generated_by"))
-    return contexts.select("book", "context", whole.alias("w")).select("book", F.to_json("w").alias("json"), render(F.col("context")).alias("block"))
+    return held.select("book", "context", F.explode(F.array(F.to_json(whole))).alias("json")).select("book", "json", render(F.col("context")).alias("block"))
 
 
 def loaded(rows: DataFrame) -> DataFrame:
     """book, context of saved() rows; a damaged document, or one without a title, is no context."""
-    return rows.select("book", parse(F.col("json")).alias("context")).where("context is not null")
+    return rows.select("book", F.explode(F.array(parse(F.col("json")))).alias("context")).where("context is not null")
 
 
 def metadata(document: Column, slug: Column) -> Column:
