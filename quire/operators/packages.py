@@ -17,6 +17,7 @@ from quire.operators.pages import spread_cadence
 from quire.sources.archive_source import read_archives
 from quire.sources.containers import zip_members
 from quire.sources.package_sink import book_of
+from quire.sources.scratch import kept
 
 # Fixed values of the package format, and the size below which an archive is taken for a stub.
 MIMETYPE, CONTAINER_PATH, TINY = "application/epub+zip", "META-INF/container.xml", 10240
@@ -29,7 +30,9 @@ CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:name
 
 def layout(images: DataFrame, min_px: int = 400) -> DataFrame:
     """Pages that are large enough (undecodable ones are not), numbered anew. images: book, stem, ext, content."""
-    sized = images.withColumn("size_", files.image_size(F.col("content"))).withColumn("w", F.col("size_.w")).withColumn("h", F.col("size_.h")).drop("size_")
+    # Sizes are read behind the shuffle that numbering needs, so by all cores however few files the images came from.
+    dealt = images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "book")
+    sized = dealt.withColumn("size_", files.image_size(F.col("content"))).withColumn("w", F.col("size_.w")).withColumn("h", F.col("size_.h")).drop("size_")
     big = sized.where(F.greatest("w", "h") >= min_px)
     n = F.row_number().over(Window.partitionBy("book").orderBy(text.natural_key(F.col("stem")), "stem", "ext"))
     return big.withColumn("page_no", n)
@@ -141,8 +144,10 @@ def zip_books(entries: DataFrame) -> DataFrame:
 
 
 def package_entries(images: DataFrame, books: DataFrame, min_px: int = 400) -> DataFrame:
-    """book, pos, name, content: the members of a package for each book of page images."""
-    pages = layout(images, min_px)
+    """book, pos, name, content: the members of a package for each book of page images. Pages are sized and numbered once
+    for all but the images themselves, which are not stored again."""
+    scans = layout(images, min_px)
+    pages = kept(scans.drop("content"))
     items = manifest(pages)
     entry = lambda df, pos, name, content: df.select("book", F.lit(pos).alias("pos"), name.alias("name"), content.alias("content"))
     raw = lambda c: F.encode(c, "UTF-8")
@@ -152,7 +157,7 @@ def package_entries(images: DataFrame, books: DataFrame, min_px: int = 400) -> D
     parts = [
         entry(own, 0, F.lit("mimetype"), raw(F.lit(MIMETYPE))), entry(own, 1, F.lit(CONTAINER_PATH), raw(F.lit(CONTAINER))),
         entry(opf(items, spine(pages), books), 2, F.lit("OEBPS/content.opf"), raw(F.col("opf"))), entry(nav_document(pages), 3, F.lit("OEBPS/nav.xhtml"), raw(F.col("nav"))),
-        entry(pages, 4, inside(scan_path()), F.col("content")), entry(pages, 5, inside(leaf_path(F.col("page_no"))), raw(document)),
+        entry(scans, 4, inside(scan_path()), F.col("content")), entry(pages, 5, inside(leaf_path(F.col("page_no"))), raw(document)),
     ]
     entries = parts[0]
     for p in parts[1:]:

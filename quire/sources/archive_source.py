@@ -1,13 +1,14 @@
 """Archives as a data source: members of zip files and records of PDB files, read by ranges.
 
 The directory of a large archive is read where the scan is planned, and its members are dealt to as many tasks as their
-bytes make; a task opens the file and reads its members only. Small archives are dealt to tasks whole. So neither must
+bytes make; a task opens the file and reads its stretch of the directory and its members only. Small archives are dealt to tasks whole. So neither must
 an archive fit into a cell, nor is one archive one task.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import io
 import struct
 import zipfile
 import zlib
@@ -24,15 +25,22 @@ MEMBERS = "path string, pos int, name string, stored boolean, crc_ok boolean, si
 ARROW = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("name", pa.string()), ("stored", pa.bool_()), ("crc_ok", pa.bool_()), ("size", pa.int64()), ("content", pa.binary())])
 #: Bytes of members, packed as they are, that one task reads; and bytes that it hands on together.
 SPLIT_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+#: Tasks beyond which a scan's splits grow, up to SPLIT_BYTES, rather than become more.
+MANY_TASKS = 256
+#: An entry of a zip's directory: its mark, length, and where its packed size and the lengths of what follows stand; and
+#: the record that ends a directory.
+ENTRY, ENTRY_BYTES, ENTRY_SIZE, ENTRY_TAILS, ZIP_END = b"PK\1\2", 46, 20, 28, "<4s4H2LH"
 # Fixed by the format: where the number of records stands, and the first entry of their table.
 PDB_COUNT, PDB_TABLE = 76, 78
 
 
 @dataclass
 class Members(InputPartition):
-    """Of each archive the members from `first` up to, not including, `behind`; all if that is None."""
+    """Of each archive the members from `first` up to, not including, `behind`; all if that is None. stretch tells where
+    their part of a zip's directory stands, if it is known: its place, its bytes, the directory's place, and how far
+    offsets are moved by what was put before the archive."""
 
-    ranges: list[tuple[str, int, int | None]]
+    ranges: list[tuple[str, int, int | None, tuple[int, int, int, int] | None]]
 
 
 def is_zip(head: bytes) -> bool:
@@ -47,6 +55,43 @@ def directory(file: pa.NativeFile) -> zipfile.ZipFile | None:
         return None
 
 
+def entries_of(file: pa.NativeFile) -> tuple[int, int, list[tuple[int, int]]] | None:
+    """Of a zip file: where its directory stands, how far offsets are moved, and of each entry its place in the directory
+    and its member's packed bytes. None if the directory is damaged."""
+    try:  # the end is found as zipfile does, but entries are not made objects
+        end = zipfile._EndRecData(file)
+    except (OSError, struct.error, zipfile.BadZipFile, pa.ArrowInvalid):
+        end = None
+    if not end:
+        return None
+    size, offset, place = end[5], end[6], end[9]
+    moved = place - size - offset - (zipfile.sizeEndCentDir64 + zipfile.sizeEndCentDir64Locator if end[0] == zipfile.stringEndArchive64 else 0)
+    if moved + offset < 0:
+        return None
+    file.seek(moved + offset)
+    held, at, found = file.read(size), 0, []
+    while at < len(held):
+        if held[at : at + 4] != ENTRY or at + ENTRY_BYTES > len(held):
+            return None
+        found.append((at, struct.unpack_from("<L", held, at + ENTRY_SIZE)[0]))
+        at += ENTRY_BYTES + sum(struct.unpack_from("<3H", held, at + ENTRY_TAILS))
+    return moved + offset, moved, [*found, (at, 0)]
+
+
+def stretch_of(file: pa.NativeFile, place: int, size: int, start: int, moved: int) -> zipfile.ZipFile:
+    """A zip file of which only a stretch of the directory is read."""
+    file.seek(place)
+    held = file.read(size)
+    archive = zipfile.ZipFile(io.BytesIO(held + struct.pack(ZIP_END, b"PK\5\6", 0, 0, 0, 0, size, 0, 0)))
+    archive.fp = file
+    for info in archive.infolist():
+        info.header_offset += moved
+    behind = start  # no member reaches into the next one, or into the directory
+    for info in sorted(archive.infolist(), key=lambda i: i.header_offset, reverse=True):
+        info._end_offset, behind = behind, info.header_offset
+    return archive
+
+
 def pdb_offsets(file: pa.NativeFile, size: int) -> list[int] | None:
     """Where the records of a PDB file begin, and its end; None if its table is damaged."""
     file.seek(0)
@@ -76,41 +121,46 @@ class ArchiveReader(DataSourceReader):
         top = store.get_file_info(folder)
         found = [top] if top.type == fs.FileType.File else store.get_file_info(fs.FileSelector(folder, recursive=True))
         files = sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")) and fnmatch.fnmatch(f.base_name, self.pattern)), key=lambda f: f.path)
+        split = max(self.split, min(SPLIT_BYTES, sum(f.size for f in files) // MANY_TASKS))
         out, held, size = [], [], 0
         for f in files:
-            if f.size > self.split:
-                out += [Members([(f.path, a, b)]) for a, b in self.parts_of(store, f.path, f.size)]
+            if f.size > split:
+                out += [Members([(f.path, *part)]) for part in self.parts_of(store, f.path, f.size, split)]
                 continue
-            if held and size + f.size > self.split:
+            if held and size + f.size > split:
                 out.append(Members(held))
                 held, size = [], 0
-            held.append((f.path, 0, None))
+            held.append((f.path, 0, None, None))
             size += f.size
         return [*out, Members(held)] if held or not out else out
 
-    def parts_of(self, store: fs.FileSystem, path: str, size: int) -> list[tuple[int, int | None]]:
-        """Ranges of an archive's members, each of about `split` bytes."""
+    def parts_of(self, store: fs.FileSystem, path: str, size: int, split: int) -> list[tuple]:
+        """Ranges of an archive's members, each of about `split` bytes, and their stretches of a zip's directory."""
+        listed = None
         with store.open_input_file(path) as file:
             if is_zip(file.read(2)):
-                archive = directory(file)
-                sizes = [m.compress_size for m in archive.infolist()] if archive else []
+                listed = entries_of(file)
+                sizes = [n for _, n in listed[2][:-1]] if listed else []
             else:
                 offsets = pdb_offsets(file, size) or []
                 sizes = [b - a for a, b in zip(offsets, offsets[1:])]
         cuts, held = [0], 0
         for i, n in enumerate(sizes):
-            if held and held + n > self.split:
+            if held and held + n > split:
                 cuts.append(i)
                 held = 0
             held += n
-        return [*zip(cuts, cuts[1:]), (cuts[-1], None)]
+        if not listed:
+            return [(a, b, None) for a, b in zip(cuts, [*cuts[1:], None])]
+        start, moved, entries = listed
+        return [(a, b, (start + entries[a][0], entries[b][0] - entries[a][0], start, moved)) for a, b in zip(cuts, [*cuts[1:], len(sizes)])]
 
     def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.store_uri)
         held, size = [], 0
-        for path, first, behind in partition.ranges:
+        for path, first, behind, stretch in partition.ranges:
             with store.open_input_file(path) as file:
-                for row in self.members(file, path, first, behind):
+                for row in self.members(file, path, first, behind, stretch):
                     held.append(row)
                     size += len(row[-1] or b"") + 256
                     if size >= BATCH_BYTES:
@@ -119,10 +169,10 @@ class ArchiveReader(DataSourceReader):
         if held:
             yield batch_of(held)
 
-    def members(self, file: pa.NativeFile, path: str, first: int, behind: int | None) -> Iterator[tuple]:
+    def members(self, file: pa.NativeFile, path: str, first: int, behind: int | None, stretch: tuple[int, int, int, int] | None) -> Iterator[tuple]:
         head = file.read(2)
         file.seek(0)
-        rows = self.zip_rows(file, path, first, behind) if is_zip(head) else self.pdb_rows(file, path, first, behind)
+        rows = self.zip_rows(file, path, first, behind, stretch) if is_zip(head) else self.pdb_rows(file, path, first, behind)
         some = False
         for row in rows:
             some = True
@@ -130,9 +180,13 @@ class ArchiveReader(DataSourceReader):
         if not some and self.mark_empty and not first:
             yield path, None, None, None, None, None, None
 
-    def zip_rows(self, file: pa.NativeFile, path: str, first: int, behind: int | None) -> Iterator[tuple]:
-        archive = directory(file)
-        for pos, info in list(enumerate(archive.infolist() if archive else []))[first:behind]:
+    def zip_rows(self, file: pa.NativeFile, path: str, first: int, behind: int | None, stretch: tuple[int, int, int, int] | None) -> Iterator[tuple]:
+        if stretch:
+            listed = enumerate((archive := stretch_of(file, *stretch)).infolist(), first)
+        else:
+            archive = directory(file)
+            listed = list(enumerate(archive.infolist() if archive else []))[first:behind]
+        for pos, info in listed:
             if info.is_dir():
                 continue
             keep, parts, ok = any(fnmatch.fnmatchcase(info.filename, p) for p in self.wanted), [], True
