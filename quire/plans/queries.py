@@ -520,9 +520,9 @@ def spine_integrity(spark, sf_dir):
     return packages.dangling_idrefs(refs, ids).select("l_orderkey", "l_linenumber")
 
 
-def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The members of a fixed-layout package for each brand, its parts being the page images."""
-    p = table(spark, sf_dir, "part").selectExpr(*SIZED)
+def part_entries(spark: SparkSession, sf_dir: str, wanted: str = "true") -> DataFrame:
+    """The members of a fixed-layout package for each wanted brand, its parts being the page images."""
+    p = table(spark, sf_dir, "part").selectExpr(*SIZED).where(wanted)
     head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), *(F.lpad(F.hex(c), 8, "0") for c in ("w", "h")))
     images = p.select("book", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("stem"), F.lit("png").alias("ext"), F.unhex(head).alias("content"))
     none = F.lit(None).cast("string")
@@ -530,8 +530,8 @@ def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.package_entries(images, books)
 
 
-def packaged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.zip_books(part_entries(spark, sf_dir))
+def packaged_parts(spark: SparkSession, sf_dir: str, wanted: str = "true") -> DataFrame:
+    return packages.zip_books(part_entries(spark, sf_dir, wanted))
 
 
 @query("SELECT DISTINCT p_brand AS book, true AS valid, CAST(0 AS INTEGER) AS n_errors FROM part")
