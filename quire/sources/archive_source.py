@@ -25,6 +25,8 @@ MEMBERS = "path string, pos int, name string, stored boolean, crc_ok boolean, si
 ARROW = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("name", pa.string()), ("stored", pa.bool_()), ("crc_ok", pa.bool_()), ("size", pa.int64()), ("content", pa.binary())])
 #: Bytes of members, packed as they are, that one task reads; and bytes that it hands on together.
 SPLIT_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+#: Members of which a task makes directory entries at one time.
+MOST_MEMBERS = 1 << 15
 #: Tasks beyond which a scan's splits grow, up to SPLIT_BYTES, rather than become more.
 MANY_TASKS = 256
 #: An entry of a zip's directory: its mark, length, and where its packed size and the lengths of what follows stand; and
@@ -55,9 +57,9 @@ def directory(file: pa.NativeFile) -> zipfile.ZipFile | None:
         return None
 
 
-def entries_of(file: pa.NativeFile) -> tuple[int, int, list[tuple[int, int]]] | None:
-    """Of a zip file: where its directory stands, how far offsets are moved, and of each entry its place in the directory
-    and its member's packed bytes. None if the directory is damaged."""
+def ranges_of(file: pa.NativeFile, split: int | None) -> list[tuple[int, int, tuple[int, int, int, int]]] | None:
+    """Ranges of a zip file's members, each of about `split` packed bytes, if that is given, and of MOST_MEMBERS at most,
+    with their stretches of the directory. None if the directory is damaged."""
     try:  # the end is found as zipfile does, but entries are not made objects
         end = zipfile._EndRecData(file)
     except (OSError, struct.error, zipfile.BadZipFile, pa.ArrowInvalid):
@@ -69,13 +71,19 @@ def entries_of(file: pa.NativeFile) -> tuple[int, int, list[tuple[int, int]]] |
     if moved + offset < 0:
         return None
     file.seek(moved + offset)
-    held, at, found = file.read(size), 0, []
+    held, at, n, packed, cuts = file.read(size), 0, 0, 0, [(0, 0)]
     while at < len(held):
         if held[at : at + 4] != ENTRY or at + ENTRY_BYTES > len(held):
             return None
-        found.append((at, struct.unpack_from("<L", held, at + ENTRY_SIZE)[0]))
+        own = struct.unpack_from("<L", held, at + ENTRY_SIZE)[0]
+        if n - cuts[-1][0] == MOST_MEMBERS or (split is not None and packed and packed + own > split):
+            cuts.append((n, at))
+            packed = 0
+        packed += own
+        n += 1
         at += ENTRY_BYTES + sum(struct.unpack_from("<3H", held, at + ENTRY_TAILS))
-    return moved + offset, moved, [*found, (at, 0)]
+    start = moved + offset
+    return [(a, b, (start + p, q - p, start, moved)) for (a, p), (b, q) in zip(cuts, [*cuts[1:], (n, at)])]
 
 
 def stretch_of(file: pa.NativeFile, place: int, size: int, start: int, moved: int) -> zipfile.ZipFile:
@@ -107,6 +115,8 @@ def pdb_offsets(file: pa.NativeFile, size: int) -> list[int] | None:
 
 
 class ArchiveReader(DataSourceReader):
+    arrow = ARROW
+
     def __init__(self, options: dict) -> None:
         self.store_uri = options["path"]
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
@@ -136,24 +146,17 @@ class ArchiveReader(DataSourceReader):
 
     def parts_of(self, store: fs.FileSystem, path: str, size: int, split: int) -> list[tuple]:
         """Ranges of an archive's members, each of about `split` bytes, and their stretches of a zip's directory."""
-        listed = None
         with store.open_input_file(path) as file:
             if is_zip(file.read(2)):
-                listed = entries_of(file)
-                sizes = [n for _, n in listed[2][:-1]] if listed else []
-            else:
-                offsets = pdb_offsets(file, size) or []
-                sizes = [b - a for a, b in zip(offsets, offsets[1:])]
+                return ranges_of(file, split) or [(0, None, None)]
+            offsets = pdb_offsets(file, size) or []
         cuts, held = [0], 0
-        for i, n in enumerate(sizes):
+        for i, n in enumerate(b - a for a, b in zip(offsets, offsets[1:])):
             if held and held + n > split:
                 cuts.append(i)
                 held = 0
             held += n
-        if not listed:
-            return [(a, b, None) for a, b in zip(cuts, [*cuts[1:], None])]
-        start, moved, entries = listed
-        return [(a, b, (start + entries[a][0], entries[b][0] - entries[a][0], start, moved)) for a, b in zip(cuts, [*cuts[1:], len(sizes)])]
+        return [(a, b, None) for a, b in zip(cuts, [*cuts[1:], None])]
 
     def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.store_uri)
@@ -164,10 +167,10 @@ class ArchiveReader(DataSourceReader):
                     held.append(row)
                     size += len(row[-1] or b"") + 256
                     if size >= BATCH_BYTES:
-                        yield batch_of(held)
+                        yield batch_of(held, self.arrow)
                         held, size = [], 0
         if held:
-            yield batch_of(held)
+            yield batch_of(held, self.arrow)
 
     def members(self, file: pa.NativeFile, path: str, first: int, behind: int | None, stretch: tuple[int, int, int, int] | None) -> Iterator[tuple]:
         head = file.read(2)
@@ -178,7 +181,7 @@ class ArchiveReader(DataSourceReader):
             some = True
             yield row
         if not some and self.mark_empty and not first:
-            yield path, None, None, None, None, None, None
+            yield path, *[None] * (len(self.arrow) - 1)
 
     def zip_rows(self, file: pa.NativeFile, path: str, first: int, behind: int | None, stretch: tuple[int, int, int, int] | None) -> Iterator[tuple]:
         if stretch:
@@ -209,8 +212,8 @@ class ArchiveReader(DataSourceReader):
             yield path, pos, None, True, None, max(end - start, 0), file.read(max(end - start, 0))
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 class ArchiveSource(DataSource):
