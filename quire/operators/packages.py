@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, count, islice
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import files, markdown, text
 from quire.operators.pages import spread_cadence
 from quire.sources import package_facts
+from quire.sources.archive_source import batch_of
 from quire.sources.package_facts import CONTAINER_PATH, MIMETYPE
 from quire.sources.package_sink import Package, book_of, dealt_by_book
 from quire.sources.scratch import kept
@@ -22,6 +26,8 @@ from quire.sources.scratch import kept
 TINY = 10240
 #: Pages whose items are one part of a document; and the numbers of the part between its lists and of its last one.
 PILE, SECOND, LAST = 256, 1 << 40, 1 << 41
+#: Bytes of an archive that are handed on together, and beyond which it is put into a temporary file.
+PIECE_BYTES = 4 << 20
 #: Rows that validation hands on together.
 FACTS_AT_ONCE = 4096
 #: Columns of books that the package document takes if they are there and filled, and their elements.
@@ -122,6 +128,22 @@ def nav_document(pages: DataFrame) -> DataFrame:
     return around(first, *texts).unionByName(piled(pages, "page_no", link, 1))
 
 
+def packed(parts: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[str, BinaryIO]]:
+    """Each book of entries and its archive, which is in memory as far as it has no more than `most` bytes (0: always)."""
+    current, package, out = None, None, None
+    for part in parts:
+        for e in part.itertuples(index=False):
+            if package is None or e.book != current:
+                if package is not None:
+                    package.close()
+                    yield current, out
+                current, package = e.book, Package(out := tempfile.SpooledTemporaryFile(most))
+            package.add(e.name, e.part, e.content)
+    if package is not None:
+        package.close()
+        yield current, out
+
+
 def zip_books(entries: DataFrame) -> DataFrame:
     """book, content: one archive for each book of entries (book, pos, name, content, and part if members have parts),
     members in order of pos and name.
@@ -130,22 +152,30 @@ def zip_books(entries: DataFrame) -> DataFrame:
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, package, out = None, None, None
-        for part in parts:
-            for e in part.itertuples(index=False):
-                if package is None or e.book != current:
-                    if package is not None:
-                        package.close()
-                        yield pd.DataFrame({"book": [current], "content": [out.getvalue()]})
-                    current, package = e.book, Package(out := io.BytesIO())
-                package.add(e.name, e.part, e.content)
-        if package is not None:
-            package.close()
-            yield pd.DataFrame({"book": [current], "content": [out.getvalue()]})
+        for book, archive in packed(parts, 0):
+            with archive:
+                archive.seek(0)
+                yield pd.DataFrame({"book": [book], "content": [archive.read()]})
 
     return dealt_by_book(entries).mapInPandas(run, "book string, content binary")
 
 
+def zip_pieces(entries: DataFrame) -> DataFrame:
+    """book, piece, content: zip_books() with each archive cut into pieces, from 0, that come one behind the other. So an
+    archive need not fit a cell; a task holds a piece, the archive is in a temporary file meanwhile."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for book, archive in packed(parts, PIECE_BYTES):
+            with archive:
+                archive.seek(0)
+                for n in count():
+                    if not (piece := archive.read(PIECE_BYTES)):
+                        break
+                    yield pd.DataFrame({"book": [book], "piece": [n], "content": [piece]})
+
+    return dealt_by_book(entries).mapInPandas(run, "book string, piece int, content binary")
+
+
 def package_entries(images: DataFrame, books: DataFrame, min_px: int = 400) -> DataFrame:
     """book, pos, name, part, content: the members of a package for each book of page images, long ones in parts. Pages
     are sized and numbered once for all but the images themselves, which are not stored again."""
@@ -232,24 +262,40 @@ def dangling_idrefs(spine_rows: DataFrame, manifest_rows: DataFrame) -> DataFram
     return spine_rows.join(manifest_rows.select("book", F.col("id").alias("idref")), ["book", "idref"], "left_anti")
 
 
+def whole_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, BinaryIO]]:
+    """Each book of (book, piece, content) and its archive, in a temporary file if it is large."""
+    book, archive, n = None, None, 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own, piece, content = (batch.column(k)[i] for k in range(3))
+            if piece.as_py() == 0:
+                if archive is not None:
+                    yield book, archive
+                book, archive, n = own, tempfile.SpooledTemporaryFile(PIECE_BYTES), 0
+            elif archive is None or piece.as_py() != n or own != book:
+                raise ValueError("an archive's pieces are not together and in order")
+            archive.write(content.as_py() or b"")
+            n += 1
+    if archive is not None:
+        yield book, archive
+
+
 def validate(archives: DataFrame) -> DataFrame:
-    """book, valid, errors (sorted): the seven gates of a package. archives: book, content. What is no zip, null
-    included, fails for want of members. Archives of one book are judged together."""
+    """book, valid, errors (sorted): the seven gates of a package. archives: book, content, and piece as of zip_pieces().
+    What is no zip, null included, fails for want of members. Archives of one book are judged together."""
     kind = archives.schema["book"].dataType.simpleString()
+    piece = F.col("piece") if "piece" in archives.columns else F.lit(0).alias("piece")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in package_facts.KINDS]
-        for part in parts:
-            for r in part.itertuples(index=False):
-                facts = package_facts.package_facts(io.BytesIO(r.content or b""))
-                some = False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["book", *package_facts.KINDS.names]
+        for book, archive in whole_archives(batches):
+            with archive:
+                facts = chain(package_facts.package_facts(archive), [(None,) * len(package_facts.KINDS)])  # the last for one without members
                 while held := [*islice(facts, FACTS_AT_ONCE)]:
-                    some = True
-                    yield pd.DataFrame(held, columns=names, dtype=object).assign(book=r.book)
-                if not some:
-                    yield pd.DataFrame([[None] * len(names)], columns=names, dtype=object).assign(book=r.book)
+                    b = batch_of(held, package_facts.KINDS)
+                    yield pa.RecordBatch.from_arrays([pa.array([book.as_py()] * len(held), book.type), *b.columns], names=names)
 
-    return validate_facts(archives.select("book", "content").mapInPandas(run, f"book {kind}, {package_facts.FACTS}"))
+    return validate_facts(archives.select("book", piece, "content").mapInArrow(run, f"book {kind}, {package_facts.FACTS}"))
 
 
 def validate_files(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -536,7 +536,7 @@ def packaged_parts(spark: SparkSession, sf_dir: str, wanted: str = "true") -> Da
 
 @query("SELECT DISTINCT p_brand AS book, true AS valid, CAST(0 AS INTEGER) AS n_errors FROM part")
 def package_validation(spark, sf_dir):
-    return packages.validate(packaged_parts(spark, sf_dir)).select("book", "valid", F.size("errors").alias("n_errors"))
+    return packages.validate(packages.zip_pieces(part_entries(spark, sf_dir))).select("book", "valid", F.size("errors").alias("n_errors"))
 
 
 @query(f"""WITH s AS (SELECT {', '.join(SIZED)} FROM part), f AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY p_partkey) AS n FROM s WHERE greatest(w, h) >= 400)
